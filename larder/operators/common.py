@@ -69,7 +69,8 @@ def topk(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequence
          k: int, rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows per partition, numbered 1..k in ``rank_col``."""
     w = Window.partitionBy(*partition_by).orderBy(*order_by)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return (df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+            .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:

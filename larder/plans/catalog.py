@@ -13,8 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.operators import market
+from larder.operators import logistics, market
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
 
@@ -95,6 +96,177 @@ def q_upcoming_harvest(spark, sf_dir):
     return market.upcoming_harvest(fx.req_availability, fx.planting_schedules, AS_OF)
 
 
+@register("demand_forecast_latest", """
+SELECT * FROM (
+  SELECT r.request_id, f.forecast_id, f.region, f.forecast_date, f.target_date_start, f.target_date_end,
+         f.forecasted_demand_kg, f.confidence_level,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY f.forecast_date DESC, f.forecast_id) AS rank
+    FROM req_forecast r JOIN demand_forecasts f
+      ON f.product_id = r.product_id AND f.target_date_start = r.target_date_start
+     AND f.target_date_end = r.target_date_end
+     AND (NULLIF(r.region, '') IS NULL OR f.region = r.region)) x
+ WHERE rank <= 5""", "req_forecast", "demand_forecasts")
+def q_demand_forecast_latest(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.demand_forecast(fx.req_forecast, fx.demand_forecasts)
+
+
+@register("market_price_day", f"""
+WITH m AS (
+  SELECT r.request_id, p.price_record_id, p.region, p.market_date, p.average_market_price_per_kg, p.source,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY p.region, p.price_record_id) AS rn
+    FROM req_price r JOIN market_prices p
+      ON p.product_id = r.product_id AND p.market_date = coalesce(r.date, {SQL_AS_OF})
+     AND (NULLIF(r.region, '') IS NULL OR p.region = r.region))
+SELECT r.request_id, m.price_record_id, m.region, m.market_date, m.average_market_price_per_kg, m.source,
+       'success' AS status,
+       CASE WHEN m.price_record_id IS NULL THEN
+         'No market price found for ' || r.product_id || ' on ' || strftime(coalesce(r.date, {SQL_AS_OF}), '%Y-%m-%d')
+         || CASE WHEN NULLIF(r.region, '') IS NOT NULL THEN ' in ' || r.region ELSE '' END || '.' END AS message
+  FROM req_price r LEFT JOIN m ON m.request_id = r.request_id AND m.rn = 1""", "req_price",
+          "market_prices")
+def q_market_price_day(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.market_price_day(fx.req_price, fx.market_prices, AS_OF)
+
+
+# --------------------------------------------------------------- logistics
+@register("shipment_tracking", """
+SELECT r.request_id, CASE WHEN s.shipment_id IS NULL THEN 'not_found' ELSE 'success' END AS status,
+       CASE WHEN s.shipment_id IS NULL THEN 'Shipment ID ' || r.shipment_id || ' not found.' END AS message,
+       s.shipment_id IS NOT NULL AS found, coalesce(s.shipment_id, r.shipment_id) AS shipment_id,
+       s.order_id, s.origin_location_id, s.destination_location_id, s.departure_timestamp,
+       s.arrival_timestamp_estimate, s.arrival_timestamp_actual, s.carrier_name, s.vehicle_id,
+       s.status AS shipment_status, s.total_quantity_kg, s.requires_cold_chain
+  FROM req_tracking r LEFT JOIN shipments s ON s.shipment_id = r.shipment_id""", "req_tracking",
+          "shipments")
+def q_shipment_tracking(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return logistics.shipment_tracking(fx.req_tracking, fx.shipments)
+
+
+@register("shipment_readings_top10", """
+SELECT * FROM (
+  SELECT r.request_id, c."timestamp", c.temperature_celsius, c.location, c.sensor_id,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY c."timestamp" DESC, c.reading_id) AS rank
+    FROM req_tracking r JOIN shipments s ON s.shipment_id = r.shipment_id AND s.requires_cold_chain
+    JOIN cold_chain_readings c ON c.shipment_id = r.shipment_id) x
+ WHERE rank <= 10""", "req_tracking", "shipments", "cold_chain_readings")
+def q_shipment_readings_top10(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return logistics.shipment_readings(fx.req_tracking, fx.shipments, fx.cold_chain_readings)
+
+
+_FLOAT_OK = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|nan|inf|infinity)\s*$"
+_TS_OK = (r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
+          r"(Z|[+-]\d{2}:?\d{2})?\s*$")
+_READING_PARSED = f"""
+SELECT report_id, shipment_id, temperature_text, timestamp_text,
+       CASE WHEN regexp_matches(lower(trim(temperature_text)), '{_FLOAT_OK}')
+            THEN TRY_CAST(trim(temperature_text) AS DOUBLE) END AS t,
+       CASE WHEN regexp_matches(timestamp_text, '{_TS_OK}')
+            THEN TRY_CAST(trim(timestamp_text) AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS ts
+  FROM reading_reports"""
+
+
+@register("coldchain_reading_log", f"""
+WITH p AS ({_READING_PARSED})
+SELECT sha256(concat_ws('~', coalesce(report_id, ''), coalesce(shipment_id, ''), coalesce(temperature_text, ''),
+                        coalesce(timestamp_text, ''))) AS reading_id,
+       shipment_id, CAST(NULL AS VARCHAR) AS vehicle_id, ts AS "timestamp", t AS temperature_celsius,
+       CAST(NULL AS VARCHAR) AS location, 'Unknown' AS sensor_id,
+       CASE WHEN isnan(t) THEN 'normal' WHEN t > 15.0 THEN 'critical' WHEN t > 8.0 THEN 'elevated' ELSE 'normal' END AS band,
+       CASE WHEN isnan(t) THEN 'Cold chain reading reported successfully.'
+            WHEN t > 15.0 THEN 'Critical: High temperature excursion reported.'
+            WHEN t > 8.0 THEN 'Cold chain reading reported successfully. Warning: Temperature is elevated.'
+            ELSE 'Cold chain reading reported successfully.' END AS message
+  FROM p WHERE shipment_id IS NOT NULL AND temperature_text IS NOT NULL AND timestamp_text IS NOT NULL
+   AND t IS NOT NULL AND ts IS NOT NULL""", "reading_reports")
+def q_coldchain_reading_log(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return logistics.coldchain_reading_log(fx.reading_reports)[0]
+
+
+@register("coldchain_reading_rejects", f"""
+WITH p AS ({_READING_PARSED})
+SELECT report_id, shipment_id, temperature_text, timestamp_text,
+       CASE WHEN t IS NULL THEN 'invalid_temperature' ELSE 'invalid_timestamp' END AS error_code,
+       CASE WHEN t IS NULL THEN 'Invalid format for temperature_celsius. Expected number.'
+            ELSE 'Invalid timestamp format. Expected ISO 8601 format.' END AS error_message
+  FROM p WHERE t IS NULL OR ts IS NULL""", "reading_reports")
+def q_coldchain_reading_rejects(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return logistics.coldchain_reading_log(fx.reading_reports)[1]
+
+
+@register("warehouse_stock_fresh", f"""
+SELECT * FROM (
+  SELECT r.request_id, s.stock_id, s.product_id, s.current_quantity_kg, s.entry_date, s.best_before_date,
+         s.expiry_date, s.storage_conditions, s.status,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY s.expiry_date ASC NULLS FIRST,
+                            s.best_before_date ASC NULLS FIRST, s.stock_id) AS rank
+    FROM req_stock r JOIN inventory_stock s
+      ON s.location_id = r.location_id AND s.status = coalesce(r.status, 'Available')
+     AND (NULLIF(r.product_id, '') IS NULL OR s.product_id = r.product_id)
+     AND (NOT coalesce(r.nearing_expiry, false) OR s.expiry_date BETWEEN {SQL_AS_OF} AND {SQL_AS_OF} + 7)) x
+ WHERE rank <= 20""", "req_stock", "inventory_stock")
+def q_warehouse_stock_fresh(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return logistics.warehouse_stock(fx.req_stock, fx.inventory_stock, AS_OF)
+
+
+@register("near_expiry_stock", f"""
+SELECT stock_id, product_id, location_id, current_quantity_kg, best_before_date, expiry_date
+  FROM inventory_stock
+ WHERE status = 'Available' AND expiry_date BETWEEN {SQL_AS_OF} AND {SQL_AS_OF} + 7""", "inventory_stock")
+def q_near_expiry_stock(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return logistics.near_expiry_stock(fx.inventory_stock, AS_OF)
+
+
+@register("delivery_destinations", """
+WITH d AS (SELECT request_id, unnest(destination_locations) AS destination_id,
+                  generate_subscripts(destination_locations, 1) - 1 AS pos
+             FROM req_destinations_x),
+dd AS (SELECT request_id, destination_id, min(pos) AS position FROM d GROUP BY request_id, destination_id),
+f AS (SELECT dd.*, c.shipping_address AS destination_address FROM dd JOIN customers c ON c.customer_id = dd.destination_id),
+n AS (SELECT request_id, count(*) AS n FROM f GROUP BY request_id),
+h AS (SELECT r.request_id, v.vehicle_type, v.capacity_kg, v.has_temperature_monitoring, v.carrier_name,
+             v.vehicle_id IS NOT NULL AS vf, coalesce(n.n, 0) AS n
+        FROM req_destinations_x r LEFT JOIN vehicles v ON v.vehicle_id = r.vehicle_id
+        LEFT JOIN n ON n.request_id = r.request_id)
+SELECT h.request_id, f.destination_id, f.destination_address, CAST(f.position AS INTEGER) AS position,
+       h.vehicle_type, h.capacity_kg, h.has_temperature_monitoring, h.carrier_name, 'success' AS status
+  FROM h JOIN f ON f.request_id = h.request_id WHERE h.vf AND h.n > 0
+UNION ALL
+SELECT h.request_id, NULL, NULL, NULL, h.vehicle_type, h.capacity_kg, h.has_temperature_monitoring,
+       h.carrier_name, CASE WHEN NOT h.vf THEN 'not_found' ELSE 'unavailable' END
+  FROM h WHERE NOT h.vf OR h.n = 0""", "req_destinations_x", "customers", "vehicles")
+def q_delivery_destinations(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return logistics.delivery_destinations(fx.req_destinations, fx.customers, fx.vehicles)
+
+
+@register("pickup_intake", """
+SELECT report_id AS request_id,
+       CASE WHEN farm_id IS NULL OR product_id IS NULL OR quantity_text IS NULL OR date_text IS NULL
+            THEN 'error' ELSE 'acknowledged' END AS status,
+       CASE WHEN farm_id IS NULL OR product_id IS NULL OR quantity_text IS NULL OR date_text IS NULL
+            THEN 'Logistics Pickup Request Error: Missing required fields: ' ||
+                 concat_ws(', ', CASE WHEN farm_id IS NULL THEN 'farm_id' END,
+                           CASE WHEN product_id IS NULL THEN 'product_id' END,
+                           CASE WHEN quantity_text IS NULL THEN 'quantity_kg' END,
+                           CASE WHEN date_text IS NULL THEN 'requested_date' END)
+            ELSE 'Pickup request received by Logistics.' END AS message
+  FROM harvest_reports""", "harvest_reports")
+def q_pickup_intake(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    r = fx.harvest_reports.select(F.col("report_id").alias("request_id"), "farm_id", "product_id",
+                                  F.col("quantity_text").alias("quantity_kg"),
+                                  F.col("date_text").alias("requested_date"))
+    return logistics.pickup_intake(r)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

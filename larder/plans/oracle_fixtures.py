@@ -145,16 +145,45 @@ select cast(l_orderkey as string) request_id,
             else cast(cast(l_quantity as bigint) as string) end quantity_text
   from lineitem join orders on l_orderkey = o_orderkey""",
     "reading_reports": """
-select cast(user_id as string) shipment_id,
+select cast(event_id as string) report_id, cast(user_id as string) shipment_id,
        case when event_id % 17 = 0 then 'hot' when event_id % 19 = 0 then 'nan' else cast(value as string) end temperature_text,
        case when event_id % 23 = 0 then '10:00' when event_id % 2 = 0 then '2024-01-01T10:00:00Z' else '2024-01-01T10:00:00+05:30' end timestamp_text
   from events""",
-    "harvest_reports": """
-select cast(l_suppkey as string) farm_id,
+    "harvest_reports": f"""
+select {LINE_ID} report_id, cast(l_suppkey as string) farm_id,
        case when l_linenumber = 6 then null else cast(l_partkey as string) end product_id,
        case when l_linenumber = 7 then '2.7' else cast(cast(l_quantity as bigint) as string) end quantity_text,
        case when l_linenumber = 5 then '2024-02-30' else cast(cast(l_shipdate as date) as string) end date_text
   from lineitem""",
+    "req_forecast": """
+select concat('F', cast(p_partkey as string)) request_id, cast(p_partkey as string) product_id,
+       make_date(1996, cast(p_partkey % 12 + 1 as integer), 1) target_date_start,
+       last_day(make_date(1996, cast(p_partkey % 12 + 1 as integer), 1)) target_date_end,
+       case p_partkey % 3 when 0 then null when 1 then '' else r_name end region
+  from part join region on p_partkey % 5 = r_regionkey""",
+    "req_price": f"""
+select {LINE_ID} request_id, cast(l_partkey as string) product_id,
+       case l_linenumber % 3 when 0 then null when 1 then 'ASIA' else '' end region,
+       case when l_linenumber = 4 then null else cast(o_orderdate as date) end date
+  from lineitem join orders on l_orderkey = o_orderkey""",
+    "req_tracking": """
+select concat('T', cast(o_orderkey as string)) request_id,
+       case when o_orderkey % 13 = 0 then concat('X', cast(o_orderkey as string)) else cast(o_orderkey as string) end shipment_id
+  from orders""",
+    "req_stock": f"""
+select concat('W', cast(s_suppkey as string), '-', v) request_id, cast(s_suppkey as string) location_id,
+       cast(null as varchar) product_id, case when v = 'r' then 'Reserved' end status, v = 'n' nearing_expiry
+  from supplier, (values ('a'), ('r'), ('n')) t(v)
+union all
+select concat('W', {LINE_ID}) request_id, cast(l_suppkey as string) location_id, cast(l_partkey as string) product_id,
+       case l_linenumber % 3 when 0 then null when 1 then 'Available' else '' end status,
+       l_linenumber % 2 = 0 nearing_expiry
+  from lineitem""",
+    "req_destinations_x": """
+select concat('D', cast(o_orderkey as string)) request_id, concat('V', cast(o_custkey % 120 as string)) vehicle_id,
+       case when o_orderkey % 9 = 0 then ['NOPE', 'NOPE2']
+            else [cast(o_custkey as string), cast(o_custkey + 1 as string), cast(o_custkey as string), 'NOPE'] end destination_locations
+  from orders""",
 }
 
 # Views that read other views.
@@ -174,4 +203,9 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in ordered)
-    return f"WITH {ctes}\n{sql}" if ordered else sql
+    if not ordered:
+        return sql
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    return f"WITH {ctes}\n{sql}"

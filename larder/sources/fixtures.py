@@ -326,20 +326,83 @@ class Fixtures:
                 .otherwise(_str("value")))
         ts = (F.when(e % 23 == 0, F.lit("10:00")).when(e % 2 == 0, F.lit("2024-01-01T10:00:00Z"))
               .otherwise(F.lit("2024-01-01T10:00:00+05:30")))
-        return self.t.events.select(_str("user_id").alias("shipment_id"),
+        return self.t.events.select(_str("event_id").alias("report_id"),
+                                    _str("user_id").alias("shipment_id"),
                                     temp.alias("temperature_text"), ts.alias("timestamp_text"))
 
     @cached_property
     def harvest_reports(self) -> DataFrame:
         ln = F.col("l_linenumber")
         return self.t.lineitem.select(
-            _str("l_suppkey").alias("farm_id"),
+            line_id().alias("report_id"), _str("l_suppkey").alias("farm_id"),
             F.when(ln == 6, F.lit(None)).otherwise(_str("l_partkey")).cast("string")
              .alias("product_id"),
             F.when(ln == 7, F.lit("2.7")).otherwise(_str(F.col("l_quantity").cast("bigint")))
              .alias("quantity_text"),
             F.when(ln == 5, F.lit("2024-02-30")).otherwise(_str(_ship_date())).alias("date_text"))
 
+    @cached_property
+    def req_forecast(self) -> DataFrame:
+        p = F.col("p_partkey")
+        start = F.make_date(F.lit(1996), (p % 12 + 1).cast("int"), F.lit(1))
+        region = (F.when(p % 3 == 0, F.lit(None).cast("string")).when(p % 3 == 1, F.lit(""))
+                  .otherwise(F.col("r_name")))
+        r = F.broadcast(self.t.region.select("r_regionkey", "r_name"))  # 5 rows
+        return (self.t.part.select("p_partkey").join(r, p % 5 == F.col("r_regionkey"))
+                .select(F.concat(F.lit("F"), _str(p)).alias("request_id"),
+                        _str(p).alias("product_id"), start.alias("target_date_start"),
+                        F.last_day(start).alias("target_date_end"), region.alias("region")))
+
+    @cached_property
+    def req_price(self) -> DataFrame:
+        ln = F.col("l_linenumber")
+        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                    "l_shipdate")
+        o = self.t.orders.select("o_orderkey", "o_orderdate")
+        return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            line_id().alias("request_id"), _str("l_partkey").alias("product_id"),
+            F.when(ln % 3 == 0, F.lit(None).cast("string")).when(ln % 3 == 1, F.lit("ASIA"))
+             .otherwise(F.lit("")).alias("region"),
+            F.when(ln == 4, F.lit(None).cast("date"))
+             .otherwise(F.col("o_orderdate").cast("date")).alias("date")))
+
+    @cached_property
+    def req_tracking(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        return self.t.orders.select(
+            F.concat(F.lit("T"), _str(k)).alias("request_id"),
+            F.when(k % 13 == 0, F.concat(F.lit("X"), _str(k))).otherwise(_str(k))
+             .alias("shipment_id"))
+
+    @cached_property
+    def req_stock(self) -> DataFrame:
+        s = F.col("s_suppkey")
+        v = F.col("v")
+        sup = self.t.supplier.select("s_suppkey", F.explode(F.array(
+            F.lit("a"), F.lit("r"), F.lit("n"))).alias("v")).select(
+            F.concat(F.lit("W"), _str(s), F.lit("-"), v).alias("request_id"),
+            _str(s).alias("location_id"), F.lit(None).cast("string").alias("product_id"),
+            F.when(v == "r", F.lit("Reserved")).alias("status"),
+            (v == "n").alias("nearing_expiry"))
+        ln = F.col("l_linenumber")
+        lines = self.t.lineitem.select(
+            F.concat(F.lit("W"), line_id()).alias("request_id"),
+            _str("l_suppkey").alias("location_id"), _str("l_partkey").alias("product_id"),
+            F.when(ln % 3 == 0, F.lit(None).cast("string")).when(ln % 3 == 1, F.lit("Available"))
+             .otherwise(F.lit("")).alias("status"),
+            (ln % 2 == 0).alias("nearing_expiry"))
+        return sup.unionByName(lines)
+
+    @cached_property
+    def req_destinations(self) -> DataFrame:
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        ids = F.when(k % 9 == 0, F.array(F.lit("NOPE"), F.lit("NOPE2"))).otherwise(
+            F.array(_str(c), _str(c + 1), _str(c), F.lit("NOPE")))
+        return self.t.orders.select(
+            F.concat(F.lit("D"), _str(k)).alias("request_id"),
+            F.concat(F.lit("V"), _str(c % 120)).alias("vehicle_id"),
+            ids.alias("destination_locations"))
+
 
 def alert_messages_from_events(events: DataFrame) -> DataFrame:
     """Encode one broker message per event (works on batch and streaming
