@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Fixed patterns.
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
-DATE_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
+DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 ISO_TS_PATTERN = (r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
                   r"(Z|[+-]\d{2}:?\d{2})?\s*$")
 FLOAT_PATTERN = (r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|nan|inf|infinity)\s*$")
@@ -43,7 +43,7 @@ def parse_float(c: str | Column) -> Column:
 def parse_date(c: str | Column) -> Column:
     """'YYYY-M-D' text -> date; impossible days (Feb 30) -> null."""
     s = _c(c).cast("string")
-    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(F.trim(s), F.lit("yyyy-M-d")))
+    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(s, "yyyy-M-d"))
 
 
 def parse_iso_timestamp(c: str | Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import logistics, market
+from larder.operators import farm, logistics, market
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
 
@@ -267,6 +267,142 @@ def q_pickup_intake(spark, sf_dir):
     return logistics.pickup_intake(r)
 
 
+# -------------------------------------------------------------------- farm
+_INT_OK = r"^\s*[+-]?\d+\s*$"
+_DATE_OK = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_HARVEST_PARSED = f"""
+SELECT *, CASE WHEN regexp_matches(date_text, '{_DATE_OK}') THEN CAST(TRY_STRPTIME(date_text, '%Y-%m-%d') AS DATE) END AS d,
+          CASE WHEN regexp_matches(quantity_text, '{_INT_OK}') THEN TRY_CAST(trim(quantity_text) AS BIGINT) END AS q,
+          farm_id IS NULL OR product_id IS NULL OR quantity_text IS NULL OR date_text IS NULL AS miss,
+          concat_ws(', ', CASE WHEN farm_id IS NULL THEN 'farm_id' END, CASE WHEN product_id IS NULL THEN 'product_id' END,
+                    CASE WHEN quantity_text IS NULL THEN 'harvested_quantity_kg' END,
+                    CASE WHEN date_text IS NULL THEN 'harvest_date' END) AS missing
+  FROM harvest_reports"""
+
+
+@register("harvest_log_valid", f"""
+WITH p AS ({_HARVEST_PARSED})
+SELECT sha256(concat_ws('~', coalesce(report_id, ''), coalesce(farm_id, ''), coalesce(product_id, ''),
+                        coalesce(quantity_text, ''), coalesce(date_text, ''))) AS harvest_id,
+       farm_id, product_id, CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS category,
+       d AS harvest_date, q AS harvested_quantity_kg, CAST(NULL AS BIGINT) AS estimated_yield_kg,
+       CAST(NULL AS DOUBLE) AS quality_score, '' AS quality_notes, CAST(NULL AS VARCHAR) AS photos_gcs_path,
+       CAST(NULL AS DATE) AS planting_date, CAST(NULL AS VARCHAR) AS field_id
+  FROM p WHERE NOT miss AND d IS NOT NULL AND q IS NOT NULL""", "harvest_reports")
+def q_harvest_log_valid(spark, sf_dir):
+    return farm.harvest_log(Fixtures(spark, sf_dir).harvest_reports)[0]
+
+
+@register("harvest_log_rejects", f"""
+WITH p AS ({_HARVEST_PARSED})
+SELECT report_id,
+       CASE WHEN miss THEN 'missing_fields' WHEN d IS NULL THEN 'invalid_harvest_date'
+            ELSE 'invalid_harvested_quantity_kg' END AS error_code,
+       CASE WHEN miss THEN 'Missing required fields in body: ' || missing
+            WHEN d IS NULL THEN 'Invalid harvest_date format. Expected YYYY-MM-DD.'
+            ELSE 'Invalid format for harvested_quantity_kg. Expected integer.' END AS error_message,
+       missing
+  FROM p WHERE miss OR d IS NULL OR q IS NULL""", "harvest_reports")
+def q_harvest_log_rejects(spark, sf_dir):
+    return farm.harvest_log(Fixtures(spark, sf_dir).harvest_reports)[1]
+
+
+@register("qc_issue_log", f"""
+WITH p AS (
+  SELECT *, CASE WHEN issue_date_text IS NULL THEN {SQL_AS_OF}
+                 WHEN regexp_matches(issue_date_text, '{_DATE_OK}') THEN CAST(TRY_STRPTIME(issue_date_text, '%Y-%m-%d') AS DATE) END AS d,
+            CASE WHEN regexp_matches(affected_text, '{_INT_OK}') THEN TRY_CAST(trim(affected_text) AS BIGINT) END AS a
+    FROM qc_reports)
+SELECT sha256(concat_ws('~', coalesce(report_id, ''), coalesce(farm_id, ''), coalesce(issue_type, ''),
+                        coalesce(issue_date_text, ''))) AS issue_id,
+       farm_id, product_id, d AS issue_date, issue_type, a AS affected_quantity_kg,
+       coalesce(severity, 'Medium') AS severity, 'AI Agent' AS reported_by, coalesce(notes, '') AS notes,
+       CAST(NULL AS VARCHAR) AS photos_gcs_path
+  FROM p WHERE farm_id IS NOT NULL AND issue_type IS NOT NULL AND d IS NOT NULL
+   AND (affected_text IS NULL OR a IS NOT NULL)""", "qc_reports")
+def q_qc_issue_log(spark, sf_dir):
+    return farm.qc_issue_log(Fixtures(spark, sf_dir).qc_reports, AS_OF)[0]
+
+
+_ADVICE_REQ = f"""
+r AS (SELECT request_id, NULLIF(farm_id, '') AS farm_id, NULLIF(product_id, '') AS product_id,
+             CASE WHEN start_date IS NULL AND end_date IS NULL THEN {SQL_AS_OF} - 90 ELSE start_date END AS lo,
+             end_date AS hi
+        FROM req_advice)"""
+
+
+@register("advice_harvests", f"""
+WITH {_ADVICE_REQ}
+SELECT * FROM (
+  SELECT r.request_id, h.harvest_date, h.harvested_quantity_kg, h.quality_score, h.quality_notes,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY h.harvest_date DESC, h.harvest_id) AS rank
+    FROM r JOIN harvest_records h
+      ON (r.farm_id IS NULL OR h.farm_id = r.farm_id) AND (r.product_id IS NULL OR h.product_id = r.product_id)
+     AND (r.lo IS NULL OR h.harvest_date >= r.lo) AND (r.hi IS NULL OR h.harvest_date <= r.hi)) x
+ WHERE rank <= 5""", "req_advice", "harvest_records")
+def q_advice_harvests(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return farm.advice_harvests(fx.req_advice, fx.harvest_records, AS_OF)
+
+
+@register("advice_qc_issues", f"""
+WITH {_ADVICE_REQ}
+SELECT * FROM (
+  SELECT r.request_id, q.issue_date, q.issue_type, q.severity, q.notes,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY q.issue_date DESC, q.issue_id) AS rank
+    FROM r JOIN farm_qc_issues q
+      ON (r.farm_id IS NULL OR q.farm_id = r.farm_id)
+     AND (r.product_id IS NULL OR q.product_id IS NULL OR q.product_id = r.product_id)
+     AND (r.lo IS NULL OR q.issue_date >= r.lo) AND (r.hi IS NULL OR q.issue_date <= r.hi)) x
+ WHERE rank <= 5""", "req_advice", "farm_qc_issues")
+def q_advice_qc_issues(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return farm.advice_qc_issues(fx.req_advice, fx.farm_qc_issues, AS_OF)
+
+
+@register("advice_schedules", f"""
+SELECT * FROM (
+  SELECT r.request_id, s.planned_planting_date, s.planned_harvest_date_estimate,
+         s.expected_yield_estimate_kg, s.status,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY s.planned_planting_date, s.planned_harvest_date_estimate,
+                            s.expected_yield_estimate_kg, s.status) AS rank
+    FROM req_advice r JOIN planting_schedules s
+      ON (NULLIF(r.farm_id, '') IS NULL OR s.farm_id = r.farm_id)
+     AND (NULLIF(r.product_id, '') IS NULL OR s.product_id = r.product_id)
+     AND s.planned_harvest_date_estimate >= {SQL_AS_OF}) x
+ WHERE rank <= 5""", "req_advice", "planting_schedules")
+def q_advice_schedules(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return farm.advice_schedules(fx.req_advice, fx.planting_schedules, AS_OF)
+
+
+@register("advice_farm_profile", """
+SELECT r.request_id, f.farm_name, f.farm_location, f.primary_crops_grown
+  FROM req_advice r JOIN farm_profiles f ON f.farm_id = NULLIF(r.farm_id, '')""", "req_advice",
+          "farm_profiles")
+def q_advice_farm_profile(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return farm.advice_farm_profile(fx.req_advice, fx.farm_profiles)
+
+
+@register("pickup_feasibility", """
+WITH a AS (
+  SELECT r.request_id, r.quantity_kg AS q,
+         CAST(COALESCE((SELECT SUM(h.harvested_quantity_kg) FROM harvest_records h
+                         WHERE h.farm_id = r.farm_id AND h.product_id = r.product_id
+                           AND h.harvest_date >= r.requested_date - 7), 0) AS BIGINT) AS av
+    FROM req_pickup r)
+SELECT request_id, CASE WHEN av >= q THEN 'success' ELSE 'unavailable' END AS status, av AS available_kg,
+       CASE WHEN av >= q THEN q END AS confirmed_quantity_kg,
+       CASE WHEN av >= q THEN 'Pickup request received and appears feasible. Logistics is being notified and will confirm exact details.'
+            ELSE 'Unable to schedule pickup for ' || CAST(q AS VARCHAR) || ' kg. Only found approximately ' || CAST(av AS VARCHAR)
+                 || ' kg recently harvested or on hand for this product at this farm. Please adjust quantity or date.' END AS message
+  FROM a""", "req_pickup", "harvest_records")
+def q_pickup_feasibility(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return farm.pickup_feasibility(fx.req_pickup, fx.harvest_records)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -154,6 +154,14 @@ select {LINE_ID} report_id, cast(l_suppkey as string) farm_id,
        case when l_linenumber = 6 then null else cast(l_partkey as string) end product_id,
        case when l_linenumber = 7 then '2.7' else cast(cast(l_quantity as bigint) as string) end quantity_text,
        case when l_linenumber = 5 then '2024-02-30' else cast(cast(l_shipdate as date) as string) end date_text
+  from lineitem""",
+    "qc_reports": f"""
+select {LINE_ID} report_id, cast(l_suppkey as string) farm_id,
+       case when l_linenumber = 3 then null else concat('T', cast(l_linenumber as string)) end issue_type,
+       case when l_linenumber = 1 then null else cast(l_partkey as string) end product_id,
+       case when l_linenumber = 2 then null when l_linenumber = 5 then '2024-13-01' else cast(cast(l_shipdate as date) as string) end issue_date_text,
+       case when l_linenumber = 4 then 'lots' else cast(cast(l_quantity as bigint) as string) end affected_text,
+       case when l_linestatus = 'O' then 'High' end severity, l_returnflag notes
   from lineitem""",
     "req_forecast": """
 select concat('F', cast(p_partkey as string)) request_id, cast(p_partkey as string) product_id,

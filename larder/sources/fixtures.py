@@ -341,6 +341,22 @@ class Fixtures:
              .alias("quantity_text"),
             F.when(ln == 5, F.lit("2024-02-30")).otherwise(_str(_ship_date())).alias("date_text"))
 
+    @cached_property
+    def qc_reports(self) -> DataFrame:
+        ln = F.col("l_linenumber")
+        return self.t.lineitem.select(
+            line_id().alias("report_id"), _str("l_suppkey").alias("farm_id"),
+            F.when(ln == 3, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("T"), _str(ln))).alias("issue_type"),
+            F.when(ln == 1, F.lit(None).cast("string")).otherwise(_str("l_partkey"))
+             .alias("product_id"),
+            F.when(ln == 2, F.lit(None).cast("string")).when(ln == 5, F.lit("2024-13-01"))
+             .otherwise(_str(_ship_date())).alias("issue_date_text"),
+            F.when(ln == 4, F.lit("lots")).otherwise(_str(F.col("l_quantity").cast("bigint")))
+             .alias("affected_text"),
+            F.when(F.col("l_linestatus") == "O", F.lit("High")).alias("severity"),
+            F.col("l_returnflag").alias("notes"))
+
     @cached_property
     def req_forecast(self) -> DataFrame:
         p = F.col("p_partkey")
