@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import farm, logistics, market
+from larder.operators import farm, logistics, market, search
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
 
@@ -403,6 +403,70 @@ def q_pickup_feasibility(spark, sf_dir):
     return farm.pickup_feasibility(fx.req_pickup, fx.harvest_records)
 
 
+# ------------------------------------------------------------------ search
+def _search_sql(table: str, id_col: str, cols: str, cond: str, limit: int | None) -> str:
+    rank = f", row_number() OVER (PARTITION BY r.request_id ORDER BY t.{id_col}) AS rank"
+    inner = f"""
+  SELECT r.request_id, {cols}{rank}, NULLIF(r.query, '') IS NULL AS browse
+    FROM req_search r JOIN {table} t
+      ON NULLIF(r.query, '') IS NULL OR {cond}
+   WHERE position('\\' IN r.query) = 0"""
+    keep = "rank <= 100" if limit else "(NOT browse OR rank <= 100)"
+    out = "*" if limit else "request_id, " + ", ".join(c.split(".")[-1] for c in cols.split(", ")[0:])
+    return f"SELECT {out} FROM ({inner}) x WHERE {keep}".replace("SELECT *", "SELECT * EXCLUDE (browse)")
+
+
+_LIKE = "lower({c}) LIKE lower('%' || r.query || '%')"
+
+
+@register("farm_search", _search_sql(
+    "farm_profiles", "farm_id", "t.farm_id, t.farm_name, t.farm_location, t.supplier_name",
+    f"{_LIKE.format(c='t.farm_name')} OR {_LIKE.format(c='t.farm_location')}", 100),
+    "req_search", "farm_profiles")
+def q_farm_search(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return search.farm_search(fx.req_search, fx.farm_profiles)
+
+
+@register("product_search", _search_sql(
+    "product_catalog", "product_id", "t.product_id, t.product_name, t.category, t.storage_requirements",
+    _LIKE.format(c="t.product_name"), None), "req_search", "product_catalog")
+def q_product_search(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return search.product_search(fx.req_search, fx.product_catalog)
+
+
+@register("customer_search", _search_sql(
+    "customers", "customer_id", "t.customer_id, t.customer_name, t.customer_type, t.shipping_address",
+    _LIKE.format(c="t.customer_name"), 100), "req_search", "customers")
+def q_customer_search(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return search.customer_search(fx.req_search, fx.customers)
+
+
+@register("browse_first_100", """
+SELECT * FROM (
+  SELECT product_id, product_name, category, storage_requirements,
+         row_number() OVER (ORDER BY product_id) AS rank
+    FROM product_catalog) x
+ WHERE rank <= 100""", "product_catalog")
+def q_browse_first_100(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return search.browse_first(fx.product_catalog, "product_id",
+                               ["product_id", "product_name", "category", "storage_requirements"])
+
+
+@register("vehicle_by_license", """
+SELECT r.request_id, v.vehicle_id, v.carrier_name, v.vehicle_type, v.capacity_kg,
+       v.has_temperature_monitoring, r.vehicle_license_no, v.vehicle_id IS NOT NULL AS found,
+       CASE WHEN v.vehicle_id IS NULL THEN 'not_found' ELSE 'success' END AS status
+  FROM req_license r LEFT JOIN vehicles v ON v.vehicle_license_no = r.vehicle_license_no""",
+          "req_license", "vehicles")
+def q_vehicle_by_license(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return search.vehicle_by_license(fx.req_license, fx.vehicles)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -163,6 +163,10 @@ select {LINE_ID} report_id, cast(l_suppkey as string) farm_id,
        case when l_linenumber = 4 then 'lots' else cast(cast(l_quantity as bigint) as string) end affected_text,
        case when l_linestatus = 'O' then 'High' end severity, l_returnflag notes
   from lineitem""",
+    "req_license": """
+select concat('L', cast(s_suppkey as string)) request_id,
+       case when s_suppkey % 4 = 0 then concat('LIC-X', cast(s_suppkey as string)) else concat('LIC-', cast(s_suppkey as string)) end vehicle_license_no
+  from supplier""",
     "req_forecast": """
 select concat('F', cast(p_partkey as string)) request_id, cast(p_partkey as string) product_id,
        make_date(1996, cast(p_partkey % 12 + 1 as integer), 1) target_date_start,

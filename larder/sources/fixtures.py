@@ -357,6 +357,14 @@ class Fixtures:
             F.when(F.col("l_linestatus") == "O", F.lit("High")).alias("severity"),
             F.col("l_returnflag").alias("notes"))
 
+    @cached_property
+    def req_license(self) -> DataFrame:
+        k = F.col("s_suppkey")
+        return self.t.supplier.select(
+            F.concat(F.lit("L"), _str(k)).alias("request_id"),
+            F.when(k % 4 == 0, F.concat(F.lit("LIC-X"), _str(k)))
+             .otherwise(F.concat(F.lit("LIC-"), _str(k))).alias("vehicle_license_no"))
+
     @cached_property
     def req_forecast(self) -> DataFrame:
         p = F.col("p_partkey")
