@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.common import (normalise_optional, split_by_presence, topk,
@@ -171,3 +171,130 @@ def market_price_day(req: DataFrame, prices: DataFrame, as_of) -> DataFrame:
 
 def today() -> _dt.date:
     return _dt.date.today()
+
+
+# --------------------------------------------------------------------- R1
+def _one_price_per_day(prices: DataFrame) -> DataFrame:
+    """Regional prices reduced to one per (product, day): lowest region,
+    then lowest record id (D5)."""
+    return topk(prices.select("product_id", "market_date", "region", "price_record_id",
+                              "average_market_price_per_kg"),
+                ["product_id", "market_date"],
+                [F.col("region").asc_nulls_first(), F.col("price_record_id").asc()], 1) \
+        .select("product_id", "market_date",
+                F.col("average_market_price_per_kg").alias("price"))
+
+
+def price_asof(items: DataFrame, prices: DataFrame, date_col: str = "order_date") -> DataFrame:
+    """For each distinct (product, date) of ``items``, the latest price
+    on or before that date: ``price`` and ``market_date_used`` (null when the
+    product has no earlier price).
+
+    Prices (one per product and day) and the distinct item keys are merged
+    into one stream per product, ordered by day with prices before items of
+    the same day; ``last(..., ignorenulls)`` carries the latest price
+    forward. One shuffle by product over at most (price days + order days)
+    rows per product - a hot product cannot grow it beyond the calendar.
+    """
+    p = _one_price_per_day(prices).select(
+        "product_id", F.col("market_date").alias("d"), "price",
+        F.col("market_date").alias("used"), F.lit(0).alias("side"))
+    k = items.select("product_id", F.col(date_col).alias("d")).distinct().select(
+        "product_id", "d", F.lit(None).cast("double").alias("price"),
+        F.lit(None).cast("date").alias("used"), F.lit(1).alias("side"))
+    w = (Window.partitionBy("product_id").orderBy(F.col("d").asc(), F.col("side").asc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (p.unionByName(k)
+            .select("product_id", "d", "side",
+                    F.last("price", ignorenulls=True).over(w).alias("price"),
+                    F.last("used", ignorenulls=True).over(w).alias("market_date_used"))
+            .filter(F.col("side") == 1)
+            .select("product_id", F.col("d").alias(date_col), "price", "market_date_used"))
+
+
+def price_cents(price: Column) -> Column:
+    """Round a per-kg price to whole cents, half up, on integers: IEEE
+    multiply/add/floor give the same cents on every engine (rounding a
+    DOUBLE to 2 decimals does not, D6)."""
+    return F.floor(price * 100 + F.lit(0.5)).cast("bigint")
+
+
+# --------------------------------------------------------------------- H8
+UNKNOWN_ADDRESS = "Unknown Address"
+DEFAULT_ORDER_STATUS = "Pending"
+
+
+def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
+    """H8: validate, price and total purchase orders given in exploded form
+    (``request_id, customer_id, order_date, pos, product_id, quantity_text``
+    and optional ``delivery_date_requested, delivery_address, status``).
+
+    Returns ``(orders, order_items, rejects)``. One bad item rejects its
+    whole order; the error is that of the first bad item by position (A8).
+    Prices come from R1 (as-of market price, in whole cents); an item
+    without any earlier price is an error ``no_price``. Ids are hashes of
+    the request, so re-running after a failure rewrites the same ids.
+    """
+    from larder.functions.ids import stable_id
+    from larder.functions.parse import parse_int
+
+    it = items.withColumn("q", parse_int("quantity_text"))
+    asof = price_asof(it, prices)
+    it = it.join(asof, ["product_id", "order_date"], "left") \
+        .withColumn("cents", price_cents(F.col("price")))
+    pid = F.coalesce(F.col("product_id"), F.lit("None"))
+    code = (F.when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
+                   "missing_item_field")
+            .when(F.col("q").isNull(), "invalid_quantity_format")
+            .when(F.col("q") <= 0, "invalid_quantity")
+            .when(F.col("cents").isNull(), "no_price"))
+    msg = (F.when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
+                  F.lit("Each item in 'items' must have 'product_id' and 'quantity_kg'."))
+           .when(F.col("q").isNull(), F.concat(F.lit("Invalid quantity_kg format for product "),
+                                                pid, F.lit(". Expected integer.")))
+           .when(F.col("q") <= 0, F.concat(F.lit("Invalid quantity for product "), pid,
+                                            F.lit(". Must be positive integer.")))
+           .when(F.col("cents").isNull(),
+                 F.concat(F.lit("No market price found for product "), pid,
+                          F.lit(" on or before "), F.date_format("order_date", "yyyy-MM-dd"),
+                          F.lit("."))))
+    it = it.withColumn("error_code", code).withColumn("error_message", msg)
+
+    first_err = (it.filter(F.col("error_code").isNotNull())
+                 .groupBy("request_id")
+                 .agg(F.min(F.struct("pos", "product_id", "quantity_text", "error_code",
+                                     "error_message")).alias("e"))
+                 .select("request_id", F.col("e.error_code").alias("error_code"),
+                         F.col("e.error_message").alias("error_message"),
+                         F.col("e.pos").alias("pos")))
+    ok_items = it.join(first_err.select("request_id"), "request_id", "left_anti")
+    order_id = stable_id("request_id")
+    line_cents = F.col("q") * F.col("cents")
+    out_items = ok_items.select(
+        "request_id", stable_id("request_id", "pos", "product_id", "quantity_text")
+        .alias("order_item_id"), order_id.alias("order_id"), "product_id",
+        F.col("q").alias("ordered_quantity_kg"),
+        (F.col("cents") / F.lit(100.0)).alias("price_per_kg_at_order"),
+        (line_cents / F.lit(100.0)).alias("line_item_total"), "market_date_used")
+
+    head_cols = [c for c in ("delivery_date_requested", "delivery_address", "status")
+                 if c in items.columns]
+    totals = ok_items.groupBy("request_id", "customer_id", "order_date", *head_cols).agg(
+        F.sum(line_cents).alias("total_cents"))
+    cust = topk(customers.select("customer_id", "shipping_address"), ["customer_id"],
+                [F.col("shipping_address").asc_nulls_last()], 1) \
+        .select("customer_id", "shipping_address", F.lit(True).alias("_known"))
+    o = totals.join(cust, "customer_id", "left")
+
+    def opt(c, default):
+        return F.coalesce(F.col(c), default) if c in head_cols else default
+
+    addr = F.when(F.col("_known"), F.col("shipping_address")).otherwise(F.lit(UNKNOWN_ADDRESS))
+    orders = o.select(
+        "request_id", order_id.alias("order_id"), "customer_id", "order_date",
+        opt("delivery_date_requested", F.col("order_date")).alias("delivery_date_requested"),
+        (F.coalesce(F.col("delivery_address"), addr) if "delivery_address" in head_cols
+         else addr).alias("delivery_address"),
+        opt("status", F.lit(DEFAULT_ORDER_STATUS)).alias("status"),
+        (F.col("total_cents") / F.lit(100.0)).alias("total_amount"))
+    return orders, out_items, first_err

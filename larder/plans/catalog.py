@@ -24,6 +24,9 @@ AS_OF_TS = "1998-06-15 00:00:00"
 SQL_AS_OF = "DATE '1998-06-15'"
 SQL_AS_OF_TS = "TIMESTAMP '1998-06-15 00:00:00'"
 
+_INT_OK = r"^\s*[+-]?\d+\s*$"
+_DATE_OK = r"^\d{4}-\d{1,2}-\d{1,2}$"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -130,6 +133,79 @@ def q_market_price_day(spark, sf_dir):
     return market.market_price_day(fx.req_price, fx.market_prices, AS_OF)
 
 
+_P1 = """
+p1 AS (SELECT product_id, market_date, average_market_price_per_kg AS price
+         FROM (SELECT *, row_number() OVER (PARTITION BY product_id, market_date ORDER BY region, price_record_id) AS rn
+                 FROM market_prices) x
+        WHERE rn = 1)"""
+
+
+@register("price_asof", f"""
+WITH {_P1},
+k AS (SELECT DISTINCT product_id, order_date FROM req_order_items)
+SELECT k.product_id, k.order_date, p1.price, p1.market_date AS market_date_used
+  FROM k ASOF LEFT JOIN p1 ON k.product_id = p1.product_id AND k.order_date >= p1.market_date""",
+          "req_order_items", "market_prices")
+def q_price_asof(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.price_asof(fx.req_order_items, fx.market_prices)
+
+
+_ORDER_CTES = f"""
+WITH {_P1},
+i AS (SELECT r.*, CASE WHEN regexp_matches(quantity_text, '{_INT_OK}') THEN TRY_CAST(trim(quantity_text) AS BIGINT) END AS q
+        FROM req_order_items r),
+ip AS (SELECT i.*, p1.price, p1.market_date AS market_date_used
+         FROM i ASOF LEFT JOIN p1 ON i.product_id = p1.product_id AND i.order_date >= p1.market_date),
+ic AS (SELECT *, CAST(FLOOR(price * 100 + 0.5) AS BIGINT) AS cents FROM ip),
+e AS (SELECT *,
+        CASE WHEN product_id IS NULL OR quantity_text IS NULL THEN 'missing_item_field'
+             WHEN q IS NULL THEN 'invalid_quantity_format' WHEN q <= 0 THEN 'invalid_quantity'
+             WHEN cents IS NULL THEN 'no_price' END AS error_code,
+        CASE WHEN product_id IS NULL OR quantity_text IS NULL THEN 'Each item in ''items'' must have ''product_id'' and ''quantity_kg''.'
+             WHEN q IS NULL THEN 'Invalid quantity_kg format for product ' || coalesce(product_id, 'None') || '. Expected integer.'
+             WHEN q <= 0 THEN 'Invalid quantity for product ' || coalesce(product_id, 'None') || '. Must be positive integer.'
+             WHEN cents IS NULL THEN 'No market price found for product ' || coalesce(product_id, 'None') || ' on or before '
+                  || strftime(order_date, '%Y-%m-%d') || '.' END AS error_message
+        FROM ic),
+bad AS (SELECT request_id, error_code, error_message, pos
+          FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos NULLS FIRST, product_id NULLS FIRST,
+                       quantity_text NULLS FIRST, error_code, error_message) AS rn
+                  FROM e WHERE error_code IS NOT NULL) x
+         WHERE rn = 1),
+ok AS (SELECT * FROM e WHERE request_id NOT IN (SELECT request_id FROM bad))"""
+
+
+@register("orders_placed", _ORDER_CTES + """
+SELECT ok.request_id, sha256(ok.request_id) AS order_id, ok.customer_id, ok.order_date,
+       ok.order_date AS delivery_date_requested,
+       CASE WHEN c.customer_id IS NOT NULL THEN c.shipping_address ELSE 'Unknown Address' END AS delivery_address,
+       'Pending' AS status, CAST(SUM(ok.q * ok.cents) AS BIGINT) / 100.0 AS total_amount
+  FROM ok LEFT JOIN customers c ON c.customer_id = ok.customer_id
+ GROUP BY ok.request_id, ok.customer_id, ok.order_date, c.customer_id, c.shipping_address""",
+          "req_order_items", "market_prices", "customers")
+def q_orders_placed(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.purchase_orders(fx.req_order_items, fx.customers, fx.market_prices)[0]
+
+
+@register("order_items_placed", _ORDER_CTES + """
+SELECT request_id, sha256(concat_ws('~', request_id, CAST(pos AS VARCHAR), product_id, quantity_text)) AS order_item_id,
+       sha256(request_id) AS order_id, product_id, q AS ordered_quantity_kg, cents / 100.0 AS price_per_kg_at_order,
+       (q * cents) / 100.0 AS line_item_total, market_date_used
+  FROM ok""", "req_order_items", "market_prices")
+def q_order_items_placed(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.purchase_orders(fx.req_order_items, fx.customers, fx.market_prices)[1]
+
+
+@register("order_rejects", _ORDER_CTES + """
+SELECT request_id, error_code, error_message, pos FROM bad""", "req_order_items", "market_prices")
+def q_order_rejects(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.purchase_orders(fx.req_order_items, fx.customers, fx.market_prices)[2]
+
+
 # --------------------------------------------------------------- logistics
 @register("shipment_tracking", """
 SELECT r.request_id, CASE WHEN s.shipment_id IS NULL THEN 'not_found' ELSE 'success' END AS status,
@@ -268,8 +344,6 @@ def q_pickup_intake(spark, sf_dir):
 
 
 # -------------------------------------------------------------------- farm
-_INT_OK = r"^\s*[+-]?\d+\s*$"
-_DATE_OK = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _HARVEST_PARSED = f"""
 SELECT *, CASE WHEN regexp_matches(date_text, '{_DATE_OK}') THEN CAST(TRY_STRPTIME(date_text, '%Y-%m-%d') AS DATE) END AS d,
           CASE WHEN regexp_matches(quantity_text, '{_INT_OK}') THEN TRY_CAST(trim(quantity_text) AS BIGINT) END AS q,
