@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import farm, logistics, market, search
+from larder.operators import farm, logistics, market, routes, search
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
 
@@ -541,6 +541,152 @@ def q_vehicle_by_license(spark, sf_dir):
     return search.vehicle_by_license(fx.req_license, fx.vehicles)
 
 
+# ------------------------------------------------------------------ routes
+_FLOAT_SQL = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|nan|inf|infinity)\s*$"
+_COORD_SQL = r"Lat:\s*([^,]*?)\s*,\s*Lon:\s*(.*?)\s*$"
+_DUR_SQL = r"^\s*(?:(\d+)\s*h)?\s*(?:(\d+)\s*m)?\s*(?:(\d+)\s*)?s\s*$"
+
+
+def _sql_float(e: str) -> str:
+    return (f"CASE WHEN regexp_matches(lower(trim({e})), '{_FLOAT_SQL}') "
+            f"THEN TRY_CAST(trim({e}) AS DOUBLE) END")
+
+
+def _sql_geo(src: str, text: str) -> str:
+    """Coordinates of ``text`` in relation ``src``: embedded, else geocodes."""
+    lat = _sql_float(f"regexp_extract({text}, '{_COORD_SQL}', 1)")
+    lon = _sql_float(f"regexp_extract({text}, '{_COORD_SQL}', 2)")
+    return f"""
+SELECT s.*, CASE WHEN p.plat IS NOT NULL THEN p.plat ELSE g.latitude END AS latitude,
+       CASE WHEN p.plat IS NOT NULL THEN p.plon ELSE g.longitude END AS longitude,
+       CASE WHEN p.plat IS NOT NULL THEN 'parsed' WHEN g.latitude IS NOT NULL THEN 'geocoded' END AS source
+  FROM {src} s
+  LEFT JOIN LATERAL (SELECT CASE WHEN contains(s.{text}, 'Lat:') AND contains(s.{text}, 'Lon:')
+                                  AND ({lat.replace(text, 's.' + text)}) IS NOT NULL
+                                  AND ({lon.replace(text, 's.' + text)}) IS NOT NULL
+                             THEN {lat.replace(text, 's.' + text)} END AS plat,
+                            {lon.replace(text, 's.' + text)} AS plon) p ON TRUE
+  LEFT JOIN geocodes g ON g.address = s.{text}"""
+
+
+_DUR_SECS = (f"CASE WHEN duration_text IS NULL OR NOT contains(duration_text, 's') THEN 0 "
+             f"WHEN regexp_matches(duration_text, '{_DUR_SQL}') THEN "
+             f"coalesce(TRY_CAST(regexp_extract(duration_text, '{_DUR_SQL}', 1) AS BIGINT), 0) * 3600 + "
+             f"coalesce(TRY_CAST(regexp_extract(duration_text, '{_DUR_SQL}', 2) AS BIGINT), 0) * 60 + "
+             f"coalesce(TRY_CAST(regexp_extract(duration_text, '{_DUR_SQL}', 3) AS BIGINT), 0) END")
+
+_LOC = """
+loc AS (SELECT location_id, location_text
+          FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY prio, location_text) AS rn
+                  FROM (SELECT farm_id AS location_id, farm_location AS location_text, 0 AS prio FROM farm_profiles
+                        UNION ALL
+                        SELECT warehouse_id, location_address, 1 FROM warehouses) u) x
+         WHERE rn = 1)"""
+
+
+@register("origin_coordinates", f"""
+WITH {_LOC},
+o AS (SELECT r.request_id, r.location_id, loc.location_text FROM req_origins r LEFT JOIN loc USING (location_id)),
+g AS ({_sql_geo("o", "location_text")})
+SELECT request_id, location_id, location_text, latitude, longitude, source,
+       CASE WHEN latitude IS NOT NULL THEN 'success' ELSE 'not_found' END AS status
+  FROM g""", "req_origins", "farm_profiles", "warehouses", "geocodes")
+def q_origin_coordinates(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return routes.origin_coordinates(fx.req_origins, fx.farm_profiles, fx.warehouses, fx.geocodes)
+
+
+@register("order_total_kg", """
+SELECT order_id, CAST(SUM(ordered_quantity_kg) AS BIGINT) AS total_kg FROM order_items GROUP BY order_id""",
+          "order_items")
+def q_order_total_kg(spark, sf_dir):
+    return routes.order_total_kg(Fixtures(spark, sf_dir).order_items)
+
+
+@register("order_destinations", f"""
+WITH d AS (SELECT route_id AS request_id, order_id, min(leg_seq) AS position FROM legs GROUP BY route_id, order_id),
+a AS (SELECT DISTINCT order_id, delivery_address FROM orders_v WHERE customer_id IN (SELECT customer_id FROM customers)),
+ag AS ({_sql_geo("a", "delivery_address")}),
+kg AS (SELECT order_id, CAST(SUM(ordered_quantity_kg) AS BIGINT) AS total_kg FROM order_items GROUP BY order_id)
+SELECT d.request_id, d.order_id, ag.delivery_address AS address, ag.latitude, ag.longitude,
+       coalesce(kg.total_kg, 0) AS total_kg, d.position
+  FROM d JOIN ag ON ag.order_id = d.order_id LEFT JOIN kg ON kg.order_id = d.order_id
+ WHERE ag.latitude IS NOT NULL""", "legs", "orders_v", "customers", "order_items", "geocodes")
+def q_order_destinations(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    dest = fx.route_legs.select(F.col("route_id").alias("request_id"),
+                                F.col("leg_seq").alias("pos"), "order_id")
+    return routes.order_destinations(dest, fx.orders, fx.customers, fx.order_items, fx.geocodes)
+
+
+@register("duration_seconds", f"""
+SELECT route_id, leg_seq, duration_text, {_DUR_SECS} AS duration_seconds FROM legs""", "legs")
+def q_duration_seconds(spark, sf_dir):
+    return routes.leg_durations(Fixtures(spark, sf_dir).route_legs)
+
+
+_ROUTE_STATUS = f"""
+{_LOC},
+o AS (SELECT r.request_id, r.origin_location_id AS location_id, loc.location_text
+        FROM req_routes r LEFT JOIN loc ON loc.location_id = r.origin_location_id),
+og AS ({_sql_geo("o", "location_text")}),
+pr AS (SELECT route_id, count(*) AS n_legs, SUM({_DUR_SECS}) AS total_sec, SUM(distance_m) AS total_m
+         FROM legs GROUP BY route_id),
+st AS (SELECT r.*, pr.n_legs, pr.total_sec, pr.total_m,
+              CASE WHEN og.latitude IS NULL THEN 'not_found' WHEN coalesce(pr.n_legs, 0) = 0 THEN 'unavailable'
+                   ELSE 'success' END AS status
+         FROM req_routes r JOIN og ON og.request_id = r.request_id LEFT JOIN pr ON pr.route_id = r.route_id)"""
+
+
+@register("route_headers", f"""
+WITH {_ROUTE_STATUS}
+SELECT request_id, route_id, status, vehicle_id,
+       CASE WHEN status = 'success' THEN n_legs + 1 END AS num_stops_on_route,
+       CASE WHEN status = 'success' THEN CAST(total_sec AS VARCHAR) || 's' END AS estimated_total_duration,
+       CASE WHEN status = 'success' THEN CAST(total_m AS BIGINT) END AS estimated_total_distance_meters,
+       route_date
+  FROM st""", "req_routes", "legs", "farm_profiles", "warehouses", "geocodes")
+def q_route_headers(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return routes.route_headers(fx.req_routes, fx.route_legs, fx.farm_profiles, fx.warehouses,
+                                fx.geocodes)
+
+
+@register("route_stops", f"""
+WITH {_ROUTE_STATUS},
+ok AS (SELECT * FROM st WHERE status = 'success'),
+lg AS (SELECT ok.request_id, ok.departure_time, l.leg_seq, l.order_id, l.duration_text, l.distance_m,
+              {_DUR_SECS} AS sec
+         FROM ok JOIN legs l ON l.route_id = ok.route_id),
+cum AS (SELECT *, SUM(sec) OVER (PARTITION BY request_id ORDER BY leg_seq ROWS UNBOUNDED PRECEDING) AS cs FROM lg),
+kg AS (SELECT order_id, CAST(SUM(ordered_quantity_kg) AS BIGINT) AS total_kg FROM order_items GROUP BY order_id)
+SELECT c.request_id, c.leg_seq AS stop_number, CAST(NULL AS VARCHAR) AS location_id, c.order_id AS destination_id,
+       o.delivery_address AS destination_address, c.departure_time + to_seconds(CAST(c.cs AS BIGINT)) AS estimated_arrival_time,
+       c.duration_text AS estimated_duration_from_previous_stop,
+       c.distance_m AS estimated_distance_from_previous_stop_meters, coalesce(kg.total_kg, 0) AS total_kg_for_stop
+  FROM cum c LEFT JOIN orders_v o ON o.order_id = c.order_id LEFT JOIN kg ON kg.order_id = c.order_id
+UNION ALL
+SELECT request_id, 0, origin_location_id, NULL, NULL, departure_time, '0s', 0, NULL FROM ok""",
+          "req_routes", "legs", "farm_profiles", "warehouses", "geocodes", "order_items", "orders_v")
+def q_route_stops(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return routes.route_stops(fx.req_routes, fx.route_legs, fx.orders, fx.order_items,
+                              fx.farm_profiles, fx.warehouses, fx.geocodes)
+
+
+@register("capacity_check", """
+WITH kg AS (SELECT order_id, CAST(SUM(ordered_quantity_kg) AS BIGINT) AS total_kg FROM order_items GROUP BY order_id),
+ld AS (SELECT l.route_id, CAST(SUM(coalesce(kg.total_kg, 0)) AS BIGINT) AS total_kg
+         FROM legs l LEFT JOIN kg ON kg.order_id = l.order_id GROUP BY l.route_id)
+SELECT r.request_id, r.vehicle_id, coalesce(ld.total_kg, 0) AS total_kg, v.capacity_kg,
+       coalesce(ld.total_kg, 0) > v.capacity_kg AS over_capacity
+  FROM req_routes r LEFT JOIN ld ON ld.route_id = r.route_id LEFT JOIN vehicles v ON v.vehicle_id = r.vehicle_id""",
+          "req_routes", "legs", "order_items", "vehicles")
+def q_capacity_check(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return routes.capacity_check(fx.req_routes, fx.route_legs, fx.order_items, fx.vehicles)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -167,6 +167,19 @@ select {LINE_ID} report_id, cast(l_suppkey as string) farm_id,
 select concat('L', cast(s_suppkey as string)) request_id,
        case when s_suppkey % 4 = 0 then concat('LIC-X', cast(s_suppkey as string)) else concat('LIC-', cast(s_suppkey as string)) end vehicle_license_no
   from supplier""",
+    "geocodes": """
+select n_name address, cast(n_nationkey as double) * 2.5 latitude, cast(n_regionkey as double) * 10.0 longitude
+  from nation""",
+    "req_routes": """
+select concat('R', cast(s_suppkey as string)) request_id, cast(s_suppkey as string) route_id,
+       case when s_suppkey % 7 = 0 then concat('Z', cast(s_suppkey as string)) else cast(s_suppkey as string) end origin_location_id,
+       case when s_suppkey % 5 = 0 then null else concat('V', cast(s_suppkey as string)) end vehicle_id,
+       timestamp '1998-06-15 08:00:00' departure_time, date '1998-06-15' route_date
+  from supplier""",
+    "req_origins": """
+select concat('O', cast(o_orderkey as string)) request_id,
+       case when o_orderkey % 7 = 0 then '999999' else cast(o_custkey % 25 + 5 as string) end location_id
+  from orders""",
     "req_forecast": """
 select concat('F', cast(p_partkey as string)) request_id, cast(p_partkey as string) product_id,
        make_date(1996, cast(p_partkey % 12 + 1 as integer), 1) target_date_start,

@@ -365,6 +365,34 @@ class Fixtures:
             F.when(k % 4 == 0, F.concat(F.lit("LIC-X"), _str(k)))
              .otherwise(F.concat(F.lit("LIC-"), _str(k))).alias("vehicle_license_no"))
 
+    @cached_property
+    def geocodes(self) -> DataFrame:
+        """Address book standing in for a geocoding service: nation names."""
+        return self.t.nation.select(
+            F.col("n_name").alias("address"),
+            (F.col("n_nationkey").cast("double") * 2.5).alias("latitude"),
+            (F.col("n_regionkey").cast("double") * 10.0).alias("longitude"))
+
+    @cached_property
+    def req_routes(self) -> DataFrame:
+        s = F.col("s_suppkey")
+        return self.t.supplier.select(
+            F.concat(F.lit("R"), _str(s)).alias("request_id"), _str(s).alias("route_id"),
+            F.when(s % 7 == 0, F.concat(F.lit("Z"), _str(s))).otherwise(_str(s))
+             .alias("origin_location_id"),
+            F.when(s % 5 == 0, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("V"), _str(s))).alias("vehicle_id"),
+            F.lit("1998-06-15 08:00:00").cast("timestamp_ntz").alias("departure_time"),
+            F.lit("1998-06-15").cast("date").alias("route_date"))
+
+    @cached_property
+    def req_origins(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        return self.t.orders.select(
+            F.concat(F.lit("O"), _str(k)).alias("request_id"),
+            F.when(k % 7 == 0, F.lit("999999"))
+             .otherwise(_str(F.col("o_custkey") % 25 + 5)).alias("location_id"))
+
     @cached_property
     def req_forecast(self) -> DataFrame:
         p = F.col("p_partkey")
