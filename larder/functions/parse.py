@@ -51,8 +51,9 @@ def parse_iso_timestamp(c: str | Column) -> Column:
     TIMESTAMP_NTZ. Bare times such as '10:00' are rejected."""
     s = F.trim(_c(c).cast("string"))
     instant = F.regexp_replace(s, "Z$", "+00:00").try_cast("timestamp")
-    return F.when(s.rlike(ISO_TS_PATTERN),
-                  F.to_utc_timestamp(instant, "UTC").cast("timestamp_ntz"))
+    # render the instant as UTC wall clock whatever the session time zone is
+    utc_wall = F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+    return F.when(s.rlike(ISO_TS_PATTERN), utc_wall)
 
 
 def coordinates(c: str | Column) -> Column:

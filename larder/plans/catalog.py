@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from larder.operators import farm, logistics, market, routes, search
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
+from larder.streaming import alerts
 
 AS_OF = "1998-06-15"
 AS_OF_TS = "1998-06-15 00:00:00"
@@ -687,6 +688,60 @@ def q_capacity_check(spark, sf_dir):
     return routes.capacity_check(fx.req_routes, fx.route_legs, fx.order_items, fx.vehicles)
 
 
+# --------------------------------------------------------------- streaming
+def _sql_json_field(name: str, default: str) -> str:
+    p = f"'$.{name}'"
+    return f"""CASE WHEN json_extract(txt, {p}) IS NULL THEN '{default}'
+            WHEN json_type(txt, {p}) = 'NULL' THEN NULL
+            WHEN json_type(txt, {p}) = 'VARCHAR' THEN json_extract_string(txt, {p})
+            WHEN json_type(txt, {p}) IN ('BIGINT', 'UBIGINT') THEN CAST(CAST(json_extract_string(txt, {p}) AS BIGINT) AS VARCHAR)
+            WHEN json_type(txt, {p}) = 'DOUBLE' THEN CAST(CAST(json_extract_string(txt, {p}) AS DOUBLE) AS VARCHAR)
+            ELSE CAST(json_extract(txt, {p}) AS VARCHAR) END"""
+
+
+@register("alert_stream", f"""
+WITH a AS (SELECT message_id, publish_time, data, regexp_replace(data, '[^A-Za-z0-9+/=]', '', 'g') AS clean FROM alerts),
+b AS (SELECT *, CASE WHEN data IS NULL OR length(clean) % 4 <> 0 THEN NULL ELSE TRY(from_base64(clean)) END AS bin FROM a),
+t AS (SELECT *, TRY(decode(bin)) AS txt FROM b),
+j AS (SELECT *, coalesce(json_valid(txt), false) AS isjson FROM t),
+o AS (SELECT *, CASE WHEN isjson THEN json_type(CASE WHEN isjson THEN txt END) = 'OBJECT' ELSE false END AS obj FROM j),
+f AS (SELECT *,
+        CASE WHEN obj THEN {_sql_json_field("severity", "Unknown")} END AS severity,
+        CASE WHEN obj THEN {_sql_json_field("shipment_id", "Unknown Shipment")} END AS shipment_id,
+        CASE WHEN obj THEN {_sql_json_field("temperature", "N/A")} END AS temperature,
+        CASE WHEN obj THEN {_sql_json_field("message", "No message")} END AS message
+        FROM o),
+c AS (SELECT *, CASE WHEN data IS NULL THEN 'no_data' WHEN txt IS NULL THEN 'error' WHEN NOT isjson THEN 'plain_text'
+                     WHEN NOT obj THEN 'error' WHEN severity = 'Critical' THEN 'critical'
+                     WHEN severity = 'Warning' THEN 'warning' ELSE 'info' END AS alert_class FROM f)
+SELECT message_id, publish_time, alert_class, severity, shipment_id, temperature, message,
+       CASE alert_class
+         WHEN 'critical' THEN 'Shipment ' || coalesce(shipment_id, 'None') || ': HIGH TEMP ' || coalesce(temperature, 'None') || '°C - ' || coalesce(message, 'None')
+         WHEN 'warning' THEN 'Shipment ' || coalesce(shipment_id, 'None') || ': Elevated Temp ' || coalesce(temperature, 'None') || '°C - ' || coalesce(message, 'None')
+         WHEN 'info' THEN 'Info Alert: Shipment ' || coalesce(shipment_id, 'None') || ', Temp ' || coalesce(temperature, 'None') || '°C - ' || coalesce(message, 'None')
+         WHEN 'plain_text' THEN txt END AS text
+  FROM c""", "alerts")
+def q_alert_stream(spark, sf_dir):
+    return alerts.alert_stream(spark, sf_dir)
+
+
+@register("alert_producer_stream", """
+SELECT CAST(event_id AS VARCHAR) AS message_id,
+       CASE WHEN value > 15.0 THEN 'critical' ELSE 'warning' END AS alert_class,
+       CASE WHEN value > 15.0 THEN 'Critical' ELSE 'Warning' END AS severity,
+       CAST(user_id AS VARCHAR) AS shipment_id, CAST(value AS VARCHAR) AS temperature,
+       CASE WHEN value > 15.0 THEN 'Critical: High temperature excursion reported.'
+            ELSE 'Cold chain reading reported successfully. Warning: Temperature is elevated.' END AS message
+  FROM events WHERE NOT isnan(value) AND value > 8.0""")
+def q_alert_producer_stream(spark, sf_dir):
+    return alerts.alert_producer_stream(spark, sf_dir)
+
+
+@register("readings_append_stream", ORACLE["coldchain_reading_log"])
+def q_readings_append_stream(spark, sf_dir):
+    return alerts.readings_append_stream(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -228,7 +228,7 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in ordered)
-    if not ordered:
+    if not ordered or sql.lstrip().upper().startswith("WITH " + ordered[0].upper() + " AS"):
         return sql
     body = sql.lstrip()
     if body[:4].upper() == "WITH":
