@@ -406,46 +406,78 @@ r AS (SELECT request_id, NULLIF(farm_id, '') AS farm_id, NULLIF(product_id, '')
         FROM req_advice)"""
 
 
+def _advice_topk_sql(facts: str, date_col: str, id_col: str, cols: str, general: bool) -> str:
+    """Latest 5 facts per advice request: the keyed groups equi-join on their
+    keys, the no-key group ranks once per distinct date window.
+    ``general``: facts with a null product match any product filter."""
+    win = f"(r.lo IS NULL OR f.{date_col} >= r.lo) AND (r.hi IS NULL OR f.{date_col} <= r.hi)"
+    both = "r.farm_id IS NOT NULL AND r.product_id IS NOT NULL"
+    farm_only = "r.farm_id IS NOT NULL AND r.product_id IS NULL"
+    prod_only = "r.farm_id IS NULL AND r.product_id IS NOT NULL"
+    sel = f"SELECT r.request_id, f.* FROM r JOIN {facts} f"
+    keyed = [f"{sel} ON f.farm_id = r.farm_id AND f.product_id = r.product_id WHERE {both} AND {win}",
+             f"{sel} ON f.farm_id = r.farm_id WHERE {farm_only} AND {win}",
+             f"{sel} ON f.product_id = r.product_id WHERE {prod_only} AND {win}"]
+    if general:
+        keyed += [f"{sel} ON f.farm_id = r.farm_id WHERE {both} AND f.product_id IS NULL AND {win}",
+                  f"{sel} ON f.product_id IS NULL WHERE {prod_only} AND {win}"]
+    union = "\n  UNION ALL ".join(keyed)
+    return f"""
+keyed AS ({union}),
+keyed_top AS (SELECT request_id, {cols}, row_number() OVER (PARTITION BY request_id
+                     ORDER BY {date_col} DESC, {id_col}) AS rank FROM keyed),
+t AS (SELECT DISTINCT lo, hi FROM r WHERE farm_id IS NULL AND product_id IS NULL),
+t_top AS (SELECT * FROM (SELECT r.lo, r.hi, f.*, row_number() OVER (PARTITION BY r.lo, r.hi
+                     ORDER BY f.{date_col} DESC, f.{id_col}) AS rank
+                     FROM t r JOIN {facts} f ON {win}) x WHERE rank <= 5)
+SELECT request_id, {cols}, rank FROM keyed_top WHERE rank <= 5
+UNION ALL
+SELECT r.request_id, {", ".join("x." + c.strip() for c in cols.split(","))}, x.rank
+  FROM r JOIN t_top x ON x.lo IS NOT DISTINCT FROM r.lo AND x.hi IS NOT DISTINCT FROM r.hi
+ WHERE r.farm_id IS NULL AND r.product_id IS NULL"""
+
+
 @register("advice_harvests", f"""
-WITH {_ADVICE_REQ}
-SELECT * FROM (
-  SELECT r.request_id, h.harvest_date, h.harvested_quantity_kg, h.quality_score, h.quality_notes,
-         row_number() OVER (PARTITION BY r.request_id ORDER BY h.harvest_date DESC, h.harvest_id) AS rank
-    FROM r JOIN harvest_records h
-      ON (r.farm_id IS NULL OR h.farm_id = r.farm_id) AND (r.product_id IS NULL OR h.product_id = r.product_id)
-     AND (r.lo IS NULL OR h.harvest_date >= r.lo) AND (r.hi IS NULL OR h.harvest_date <= r.hi)) x
- WHERE rank <= 5""", "req_advice", "harvest_records")
+WITH {_ADVICE_REQ},
+{_advice_topk_sql("harvest_records", "harvest_date", "harvest_id",
+                  "harvest_date, harvested_quantity_kg, quality_score, quality_notes", False)}""",
+          "req_advice", "harvest_records")
 def q_advice_harvests(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return farm.advice_harvests(fx.req_advice, fx.harvest_records, AS_OF)
 
 
 @register("advice_qc_issues", f"""
-WITH {_ADVICE_REQ}
-SELECT * FROM (
-  SELECT r.request_id, q.issue_date, q.issue_type, q.severity, q.notes,
-         row_number() OVER (PARTITION BY r.request_id ORDER BY q.issue_date DESC, q.issue_id) AS rank
-    FROM r JOIN farm_qc_issues q
-      ON (r.farm_id IS NULL OR q.farm_id = r.farm_id)
-     AND (r.product_id IS NULL OR q.product_id IS NULL OR q.product_id = r.product_id)
-     AND (r.lo IS NULL OR q.issue_date >= r.lo) AND (r.hi IS NULL OR q.issue_date <= r.hi)) x
- WHERE rank <= 5""", "req_advice", "farm_qc_issues")
+WITH {_ADVICE_REQ},
+{_advice_topk_sql("farm_qc_issues", "issue_date", "issue_id",
+                  "issue_date, issue_type, severity, notes", True)}""",
+          "req_advice", "farm_qc_issues")
 def q_advice_qc_issues(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return farm.advice_qc_issues(fx.req_advice, fx.farm_qc_issues, AS_OF)
 
 
+_SCHED_COLS = ("planned_planting_date, planned_harvest_date_estimate, expected_yield_estimate_kg, "
+               "status")
+
+
 @register("advice_schedules", f"""
-SELECT * FROM (
-  SELECT r.request_id, s.planned_planting_date, s.planned_harvest_date_estimate,
-         s.expected_yield_estimate_kg, s.status,
-         row_number() OVER (PARTITION BY r.request_id ORDER BY s.planned_planting_date, s.planned_harvest_date_estimate,
-                            s.expected_yield_estimate_kg, s.status) AS rank
-    FROM req_advice r JOIN planting_schedules s
-      ON (NULLIF(r.farm_id, '') IS NULL OR s.farm_id = r.farm_id)
-     AND (NULLIF(r.product_id, '') IS NULL OR s.product_id = r.product_id)
-     AND s.planned_harvest_date_estimate >= {SQL_AS_OF}) x
- WHERE rank <= 5""", "req_advice", "planting_schedules")
+WITH r AS (SELECT request_id, NULLIF(farm_id, '') AS farm_id, NULLIF(product_id, '') AS product_id FROM req_advice),
+s AS (SELECT * FROM planting_schedules WHERE planned_harvest_date_estimate >= {SQL_AS_OF}),
+keyed AS (
+  SELECT r.request_id, s.* FROM r JOIN s ON s.farm_id = r.farm_id AND s.product_id = r.product_id
+   WHERE r.farm_id IS NOT NULL AND r.product_id IS NOT NULL
+  UNION ALL
+  SELECT r.request_id, s.* FROM r JOIN s ON s.farm_id = r.farm_id WHERE r.farm_id IS NOT NULL AND r.product_id IS NULL
+  UNION ALL
+  SELECT r.request_id, s.* FROM r JOIN s ON s.product_id = r.product_id WHERE r.farm_id IS NULL AND r.product_id IS NOT NULL),
+ranked AS (SELECT request_id, {_SCHED_COLS}, row_number() OVER (PARTITION BY request_id ORDER BY {_SCHED_COLS}) AS rank
+             FROM keyed),
+g AS (SELECT {_SCHED_COLS}, row_number() OVER (ORDER BY {_SCHED_COLS}) AS rank FROM s)
+SELECT * FROM ranked WHERE rank <= 5
+UNION ALL
+SELECT r.request_id, g.* FROM r, g WHERE r.farm_id IS NULL AND r.product_id IS NULL AND g.rank <= 5""",
+          "req_advice", "planting_schedules")
 def q_advice_schedules(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return farm.advice_schedules(fx.req_advice, fx.planting_schedules, AS_OF)
