@@ -93,6 +93,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str],
     return left.join(r, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
+def attach_bounded(req: DataFrame, small: DataFrame, order_col: str) -> DataFrame:
+    """Give every request row all rows of ``small``, a table bounded by
+    construction (a global top-k). ``small`` is folded into one array value
+    by a scalar subquery (computed once, shipped with the plan) and each
+    request ``inline``s it: no join, no cartesian operator.
+    """
+    arr = small.select(F.sort_array(F.collect_list(F.struct(order_col, *[
+        c for c in small.columns if c != order_col]))).alias("a")).scalar()
+    return req.select("*", F.inline(arr))
+
+
 def bounded_broadcast(df: DataFrame, bound_reason: str) -> DataFrame:
     """Broadcast a side whose size is bounded by construction.
 

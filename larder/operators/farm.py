@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_date, parse_float, parse_int
-from larder.operators.common import (normalise_optional, split_by_presence, topk,
-                                     union_all)
+from larder.operators.common import (attach_bounded, normalise_optional, split_by_presence,
+                                     topk, union_all)
 from larder.operators.validate import missing_fields, required_message
 
 # Fixed values taken from the reference.
@@ -248,9 +248,9 @@ def advice_schedules(req: DataFrame, schedules: DataFrame, as_of, k: int = 5) ->
             parts.append(sub.select("request_id", *keys).join(top, keys)
                          .select("request_id", *out, "rank"))
         else:
-            top = topk(future.withColumn("_g", F.lit(0)), ["_g"], order, k)
-            top = F.broadcast(top)  # bounded: k rows
-            parts.append(sub.select("request_id", F.lit(0).alias("_g")).join(top, "_g")
+            # requests without keys share one global top k (k rows, bounded)
+            top = topk(future.withColumn("_g", F.lit(0)), ["_g"], order, k).drop("_g")
+            parts.append(attach_bounded(sub.select("request_id"), top.select("rank", *out), "rank")
                          .select("request_id", *out, "rank"))
     return union_all(parts)
 

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.common import topk
+from larder.operators.common import attach_bounded, topk
 
 BROWSE_LIMIT = 100
 SEARCH_LIMIT = 100
@@ -106,9 +106,10 @@ def search_text(req: DataFrame, texts: DataFrame, id_col: str, search_cols: Sequ
                                                               F.lit("%"))).alias("pattern"))
              .join(per_pattern, "pattern").drop("pattern"))
 
-    browse = topk(t.withColumn("_g", F.lit(0)), ["_g"], [F.col(id_col).asc()], BROWSE_LIMIT)
-    browse = F.broadcast(browse)  # bounded: BROWSE_LIMIT rows
-    shown = browsing.select("request_id", F.lit(0).alias("_g")).join(browse, "_g").drop("_g")
+    browse = topk(t.withColumn("_g", F.lit(0)), ["_g"], [F.col(id_col).asc()],
+                  BROWSE_LIMIT).drop("_g")  # bounded: BROWSE_LIMIT rows
+    shown = attach_bounded(browsing.select("request_id"),
+                           browse.select("rank", *dict.fromkeys([id_col, *out_cols])), "rank")
     cols = ["request_id", *dict.fromkeys([id_col, *out_cols])]
     if limit is not None:
         cols.append("rank")

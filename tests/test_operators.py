@@ -117,7 +117,8 @@ def test_orders_address_fallback_and_first_error(spark):
         "quantity_text string")
     orders, its, rej = market.purchase_orders(items, cust, prices)
     o = {r.request_id: r for r in orders.collect()}
-    assert o["o1"].delivery_address == "addr 1" and o["o1"].total_amount == 4.0  # 2.005 -> 2.00
+    # 2.005 * 100 is exactly 200.5 in IEEE doubles, so half-up gives 201 cents
+    assert o["o1"].delivery_address == "addr 1" and o["o1"].total_amount == 4.02
     assert o["o2"].delivery_address is None            # known customer, null address
     assert o["o3"].delivery_address == "Unknown Address"
     assert o["o2"].total_amount == 3.0                 # as-of picks the same-day price
