@@ -155,18 +155,20 @@ def _topk_in_window(req: DataFrame, facts: DataFrame, keys: Sequence[str], date_
     2. Requests are reduced to distinct (keys, lo, hi) tuples.
     3. Tuples meet facts on an equi join of (keys, year): each tuple is
        exploded into the years of its window (open ends clamped to the
-       facts' year range by scalar subqueries), so there is always an equi
-       key - even with no key filter - and a hot key is spread over years.
-       Per tuple at most k rows per calendar day are candidates.
-    4. Top k per tuple, then back to the requests (null-safe on lo/hi).
+       facts' year range, one scalar subquery), so there is always an equi
+       key and a hot key is spread over years. Per tuple at most k rows per
+       calendar day are candidates.
+    4. Top k per tuple, then back to the requests (null-safe on lo/hi) and
+       re-ranked per request (a request may map to several tuples).
     """
     keys = list(keys)
     order = [F.col(date_col).desc(), F.col(tie_col).asc()]
     compact = topk(facts.select(*keys, date_col, tie_col, *out_cols), keys + [date_col],
                    [F.col(tie_col).asc()], k).drop("rank")
     compact = compact.withColumn("_yr", F.year(date_col))
-    years = compact.agg(F.min("_yr").alias("a"), F.max("_yr").alias("b"))
-    y_min, y_max = years.select("a").scalar(), years.select("b").scalar()
+    span = facts.agg(F.struct(F.min(F.year(date_col)).alias("a"),
+                              F.max(F.year(date_col)).alias("b")).alias("s")).scalar()
+    y_min, y_max = span.getField("a"), span.getField("b")
     tuples = req.select(*keys, "lo", "hi").distinct()
     y_lo = F.greatest(F.coalesce(F.year("lo"), y_min), y_min)
     y_hi = F.least(F.coalesce(F.year("hi"), y_max), y_max)
@@ -174,58 +176,67 @@ def _topk_in_window(req: DataFrame, facts: DataFrame, keys: Sequence[str], date_
     cand = tuples.join(compact, keys + ["_yr"]).filter(
         (F.col("lo").isNull() | (F.col(date_col) >= F.col("lo"))) &
         (F.col("hi").isNull() | (F.col(date_col) <= F.col("hi"))))
-    top = topk(cand, keys + ["lo", "hi"], order, k).drop("_yr")
+    top = topk(cand, keys + ["lo", "hi"], order, k).drop("_yr", "rank")
     tk = keys + ["lo", "hi"]
     extra = [tie_col] if tie_col not in out_cols else []
-    top = top.select(*[F.col(c).alias(f"_t_{c}") for c in tk], *out_cols, *extra, "rank")
+    top = top.select(*[F.col(c).alias(f"_t_{c}") for c in tk], *out_cols, *extra)
     cond = None
     for c in tk:
         e = F.col(c).eqNullSafe(F.col(f"_t_{c}"))
         cond = e if cond is None else cond & e
-    return req.join(top, cond).select("request_id", *out_cols, *extra, "rank")
+    got = req.join(top, cond).select("request_id", *out_cols, *extra)
+    return topk(got, ["request_id"], order, k)
+
+
+# Key value standing for "this filter is not given" in the expanded facts.
+_ALL = "\u0001*"
+
+
+def _expand_facts(facts: DataFrame, farm: str, product: str) -> DataFrame:
+    """Each fact row once per filter pattern it can answer: (farm,
+    product), (farm, any), (any, product), (any, any) - an Expand, like
+    GROUPING SETS, so every presence group shares one pipeline."""
+    pats = F.array(*[F.struct((F.col(farm) if f else F.lit(_ALL)).alias("_fk"),
+                              (F.col(product) if p else F.lit(_ALL)).alias("_pk"))
+                     for f, p in ((1, 1), (1, 0), (0, 1), (0, 0))])
+    return facts.select("*", F.inline(pats))
 
 
 def _advice_requests(req: DataFrame, as_of) -> DataFrame:
     req = normalise_optional(req, ["farm_id", "product_id"])
     return _date_window(req.select("request_id", "farm_id", "product_id",
                                    F.col("start_date").cast("date").alias("start_date"),
-                                   F.col("end_date").cast("date").alias("end_date")), as_of)
+                                   F.col("end_date").cast("date").alias("end_date")), as_of) \
+        .withColumn("_fk", F.coalesce(F.col("farm_id"), F.lit(_ALL))) \
+        .withColumn("_pk", F.coalesce(F.col("product_id"), F.lit(_ALL)))
 
 
 def advice_harvests(req: DataFrame, harvests: DataFrame, as_of, k: int = 5) -> DataFrame:
-    """H2 section 1: latest harvests per request."""
-    req = _advice_requests(req, as_of)
+    """H2 section 1: latest harvests per request (T1), any mix of farm /
+    product / date filters."""
+    req = _advice_requests(req, as_of).select("request_id", "_fk", "_pk", "lo", "hi")
     out = ["harvest_date", "harvested_quantity_kg", "quality_score", "quality_notes"]
-    parts = []
-    for group, sub in split_by_presence(req, ["farm_id", "product_id"]):
-        parts.append(_topk_in_window(sub.select("request_id", *group, "lo", "hi"), harvests,
-                                     group, "harvest_date", "harvest_id", out, k)
-                     .drop("harvest_id"))
-    return union_all(parts)
+    facts = _expand_facts(harvests.select("farm_id", "product_id", "harvest_id", *out),
+                          "farm_id", "product_id")
+    return _topk_in_window(req, facts, ["_fk", "_pk"], "harvest_date", "harvest_id", out,
+                           k).drop("harvest_id")
 
 
 def advice_qc_issues(req: DataFrame, issues: DataFrame, as_of, k: int = 5) -> DataFrame:
     """H2 section 2: latest QC issues per request (T2). With a product
-    filter, issues without a product (farm-wide) match too (P4): the
-    request's product key becomes {product, any} and issues with a null
-    product carry the 'any' key, so the match stays an equi join."""
+    filter, issues without a product (farm-wide) match too (P4): such issues
+    carry the product key 'general', and a request for product p asks for
+    both p and 'general' - equi joins only, merged by the final re-rank."""
     req = _advice_requests(req, as_of)
+    req = req.withColumn("_pk", F.explode(
+        F.when(F.col("product_id").isNotNull(),
+               F.array(F.col("_pk"), F.lit(_ANY_PRODUCT))).otherwise(F.array(F.col("_pk")))))
     out = ["issue_date", "issue_type", "severity", "notes"]
-    facts = issues.withColumn("_pk", F.coalesce(F.col("product_id"), F.lit(_ANY_PRODUCT)))
-    parts = []
-    for group, sub in split_by_presence(req, ["farm_id", "product_id"]):
-        keys = [g if g != "product_id" else "_pk" for g in group]
-        s = sub
-        if "product_id" in group:
-            s = s.withColumn("_pk", F.explode(F.array(F.col("product_id"), F.lit(_ANY_PRODUCT))))
-        got = _topk_in_window(s.select("request_id", *keys, "lo", "hi"), facts, keys,
-                              "issue_date", "issue_id", out, k)
-        if "product_id" in group:
-            # two candidate lists per request ({product, any}): merge and re-rank
-            got = topk(got.drop("rank"), ["request_id"],
-                       [F.col("issue_date").desc(), F.col("issue_id").asc()], k)
-        parts.append(got.drop("issue_id"))
-    return union_all(parts)
+    facts = issues.select("farm_id", F.coalesce(F.col("product_id"), F.lit(_ANY_PRODUCT))
+                          .alias("_prod"), "issue_id", *out)
+    facts = _expand_facts(facts, "farm_id", "_prod")
+    return _topk_in_window(req.select("request_id", "_fk", "_pk", "lo", "hi"), facts,
+                           ["_fk", "_pk"], "issue_date", "issue_id", out, k).drop("issue_id")
 
 
 def advice_schedules(req: DataFrame, schedules: DataFrame, as_of, k: int = 5) -> DataFrame:

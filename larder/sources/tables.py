@@ -15,7 +15,24 @@ from larder.schemas import DOMAIN, DRIVER
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of the test environment, e.g. ``lineitem``."""
-    return spark.read.schema(DRIVER[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.schema(DRIVER[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_unsplittable(spark, df)
+
+
+def spread_unsplittable(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    Parquet splits at row-group boundaries; a file written as one row group
+    is read by one task, and everything up to the first shuffle (projection,
+    partial aggregation, map-side top-k) would run single-threaded. In that
+    case one round-robin repartition spreads the rows (column pruning and
+    filters still run below it). A table stored as many files or row groups
+    - any table at scale - already has enough splits and is left alone.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def read_domain(spark: SparkSession, path: str, name: str) -> DataFrame:
