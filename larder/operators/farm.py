@@ -13,6 +13,7 @@ from larder.functions.parse import parse_date, parse_float, parse_int
 from larder.operators.common import (attach_bounded, normalise_optional, split_by_presence,
                                      topk, union_all)
 from larder.operators.validate import missing_fields, required_message
+from larder.sources.requests import value_or_default
 
 # Fixed values taken from the reference.
 DEFAULT_LOOKBACK_DAYS = 90
@@ -123,11 +124,13 @@ def qc_issue_log(reports: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
            .when(F.col("_aff_t").isNotNull() & F.col("_aff").isNull(),
                  F.lit("Invalid format for affected_quantity_kg. Expected integer.")))
     r = r.withColumn("error_code", code).withColumn("error_message", msg)
+    for k, v in QC_DEFAULTS.items():
+        r = r.withColumn(f"_def_{k}", value_or_default(r, k, v))
     valid = r.filter(F.col("error_code").isNull()).select(
         stable_id("report_id", "farm_id", "issue_type", d_text).alias("issue_id"),
         "farm_id", _opt(r, "product_id").alias("product_id"), F.col("_d").alias("issue_date"),
         "issue_type", F.col("_aff").alias("affected_quantity_kg"),
-        *[F.coalesce(_opt(r, k), F.lit(v)).alias(k) for k, v in QC_DEFAULTS.items()],
+        *[F.col(f"_def_{k}").alias(k) for k in QC_DEFAULTS],
         _opt(r, "photos_gcs_path").alias("photos_gcs_path"))
     valid = valid.select(*QC_COLS)
     rejects = r.filter(F.col("error_code").isNotNull()).select(

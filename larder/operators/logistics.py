@@ -11,6 +11,7 @@ from larder.functions.ids import stable_id
 from larder.functions.parse import parse_float, parse_iso_timestamp
 from larder.operators.common import normalise_optional, split_by_presence, topk, union_all
 from larder.operators.validate import missing_fields, required_message
+from larder.sources.requests import value_or_default
 
 SHIPMENT_COLS = ["shipment_id", "order_id", "origin_location_id", "destination_location_id",
                  "departure_timestamp", "arrival_timestamp_estimate", "arrival_timestamp_actual",
@@ -81,10 +82,11 @@ def coldchain_reading_log(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     miss = missing_fields(["shipment_id", "temperature_celsius", "timestamp"],
                           {"shipment_id": F.col("shipment_id"),
                            "temperature_celsius": F.col("temperature_text"),
-                           "timestamp": F.col("timestamp_text")})
+                           "timestamp": F.col("timestamp_text")}, r)
     temp = parse_float("temperature_text")
     ts = parse_iso_timestamp("timestamp_text")
-    r = r.withColumn("_missing", miss).withColumn("_t", temp).withColumn("_ts", ts)
+    r = r.withColumn("_missing", miss).withColumn("_t", temp).withColumn("_ts", ts) \
+        .withColumn("_sensor", value_or_default(r, "sensor_id", "Unknown"))
     err_code = (F.when(F.size("_missing") > 0, F.lit("missing_fields"))
                 .when(F.col("_t").isNull(), F.lit("invalid_temperature"))
                 .when(F.col("_ts").isNull(), F.lit("invalid_timestamp")))
@@ -99,7 +101,7 @@ def coldchain_reading_log(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
         .alias("reading_id"),
         "shipment_id", "vehicle_id", F.col("_ts").alias("timestamp"),
         F.col("_t").alias("temperature_celsius"), "location",
-        F.coalesce(F.col("sensor_id"), F.lit("Unknown")).alias("sensor_id"),
+        F.col("_sensor").alias("sensor_id"),
         temperature_band("_t").alias("band"))
     valid = valid.withColumn("message", band_message("band"))
     rejects = r.filter(F.col("error_code").isNotNull()).select(
@@ -121,7 +123,7 @@ def warehouse_stock(req: DataFrame, stock: DataFrame, as_of, k: int = 20) -> Dat
     req = normalise_optional(req, ["product_id"])
     req = req.select(
         "request_id", "location_id", "product_id",
-        F.coalesce(F.col("status"), F.lit(DEFAULT_STOCK_STATUS)).alias("status"),
+        value_or_default(req, "status", DEFAULT_STOCK_STATUS).alias("status"),
         F.coalesce(F.col("nearing_expiry").cast("boolean"), F.lit(False)).alias("near"))
     s = stock.select("location_id", *STOCK_COLS)
     order = [F.col("expiry_date").asc_nulls_first(), F.col("best_before_date").asc_nulls_first(),
@@ -191,7 +193,7 @@ def pickup_intake(req: DataFrame) -> DataFrame:
     """Logistics acknowledges a pickup request when all four fields are
     present; otherwise an error row listing the missing fields."""
     req_fields = ["farm_id", "product_id", "quantity_kg", "requested_date"]
-    miss = missing_fields(req_fields, {f: F.col(f) for f in req_fields})
+    miss = missing_fields(req_fields, {f: F.col(f) for f in req_fields}, req)
     return req.withColumn("_m", miss).select(
         "request_id",
         F.when(F.size("_m") > 0, "error").otherwise("acknowledged").alias("status"),

@@ -169,3 +169,18 @@ def vehicle_by_license(req: DataFrame, vehicles: DataFrame) -> DataFrame:
     found = F.col("_lic").isNotNull()
     return out.select("request_id", *[c for c in VEHICLE_COLS], found.alias("found"),
                       F.when(found, "success").otherwise("not_found").alias("status"))
+
+
+def vehicle_details(req: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Type, capacity, cold-chain equipment and carrier of the
+    requested vehicle id (first row per id); ``found`` false when unknown or
+    when the request names no vehicle."""
+    v = topk(vehicles.select("vehicle_id", "vehicle_type", "capacity_kg",
+                             "has_temperature_monitoring", "carrier_name"),
+             ["vehicle_id"], [F.col("capacity_kg").asc()], 1).drop("rank") \
+        .withColumnRenamed("vehicle_id", "_vid")
+    out = req.select("request_id", "vehicle_id").join(
+        v, F.col("vehicle_id") == F.col("_vid"), "left")
+    return out.select("request_id", "vehicle_id", "vehicle_type", "capacity_kg",
+                      "has_temperature_monitoring", "carrier_name",
+                      F.col("_vid").isNotNull().alias("found"))

@@ -13,10 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def missing_fields(required: Sequence[str], values: Mapping[str, Column]) -> Column:
-    """array of the required field names whose value is null, in the
-    order they are required."""
-    arr = F.array(*[F.when(values[n].isNull(), F.lit(n)) for n in required])
+def missing_fields(required: Sequence[str], values: Mapping[str, Column],
+                   df: DataFrame | None = None) -> Column:
+    """array of the required field names that are missing, in the order
+    they are required. With a JSON request frame (``_raw`` column) a field
+    is missing when its key is absent, as in the reference; otherwise when
+    its value is null."""
+    from larder.sources.requests import RAW, key_present
+    if df is not None and RAW in df.columns:
+        flags = {n: ~key_present(df, n) for n in required}
+    else:
+        flags = {n: values[n].isNull() for n in required}
+    arr = F.array(*[F.when(flags[n], F.lit(n)) for n in required])
     return F.filter(arr, lambda x: x.isNotNull())
 
 

@@ -574,6 +574,15 @@ def q_vehicle_by_license(spark, sf_dir):
     return search.vehicle_by_license(fx.req_license, fx.vehicles)
 
 
+@register("vehicle_details", """
+SELECT r.request_id, r.vehicle_id, v.vehicle_type, v.capacity_kg, v.has_temperature_monitoring,
+       v.carrier_name, v.vehicle_id IS NOT NULL AS found
+  FROM req_routes r LEFT JOIN vehicles v ON v.vehicle_id = r.vehicle_id""", "req_routes", "vehicles")
+def q_vehicle_details(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return search.vehicle_details(fx.req_routes, fx.vehicles)
+
+
 # ------------------------------------------------------------------ routes
 _FLOAT_SQL = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|nan|inf|infinity)\s*$"
 _COORD_SQL = r"Lat:\s*([^,]*?)\s*,\s*Lon:\s*(.*?)\s*$"
