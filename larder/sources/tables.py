@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.schemas import DOMAIN, DRIVER
 
 
+# Tables smaller than this are not worth a shuffle even when unsplit.
+SPREAD_MIN_BYTES = 1024 * 1024
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of the test environment, e.g. ``lineitem``."""
     df = spark.read.schema(DRIVER[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -29,9 +33,13 @@ def spread_unsplittable(spark: SparkSession, df: DataFrame) -> DataFrame:
     filters still run below it). A table stored as many files or row groups
     - any table at scale - already has enough splits and is left alone.
     """
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): read as is
+        pass
     return df
 
 
