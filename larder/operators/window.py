@@ -43,3 +43,26 @@ def running_sum(df: DataFrame, keys: Sequence[str], seq_col: str, value_col: str
     return (d.join(offsets, keys + ["_chunk"])
             .withColumn(out_col, F.col("_off") + F.col("_in"))
             .drop("_chunk", "_off", "_in"))
+
+
+def row_number_bucketed(df: DataFrame, keys: Sequence[str], bucket_col: str,
+                        order_cols: Sequence[str], out_col: str) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY bucket_col,
+    order_cols...)`` without putting a whole key in one task.
+
+    ``bucket_col`` must lead the order (e.g. a day): rows are counted per
+    (key, bucket), each bucket's offset is the number of rows in the key's
+    earlier buckets (a window over the small counts table, one row per
+    bucket), and rows are numbered inside their (key, bucket) partition.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys, bucket_col).agg(F.count("*").alias("_n"))
+    w_prev = (Window.partitionBy(*keys).orderBy(bucket_col)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, bucket_col,
+                            F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
+    w_in = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols)
+    return (df.withColumn("_rn", F.row_number().over(w_in))
+            .join(offsets, keys + [bucket_col])
+            .withColumn(out_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
+            .drop("_off", "_rn"))

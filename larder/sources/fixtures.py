@@ -245,21 +245,23 @@ class Fixtures:
     @cached_property
     def route_legs(self) -> DataFrame:
         """Legs a routing service would return: one route per supplier, its
-        deliveries in ship order (``leg_seq`` 1..n), one leg per delivery."""
-        from pyspark.sql import Window
-        w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber",
-                                                    "l_partkey")
+        deliveries in ship order (``leg_seq`` 1..n), one leg per delivery.
+        Numbered per (supplier, ship day) plus day offsets, so a supplier
+        with a huge share of the rows is never numbered in one task."""
+        from larder.operators.window import row_number_bucketed
         q = F.col("l_quantity").cast("bigint")
         ln4 = F.col("l_linenumber") % 4
         dur = (F.when(ln4 == 0, F.concat(_str(q * 60), F.lit("s")))
                .when(ln4 == 1, F.concat(F.lit("1h"), _str(q), F.lit("m5s")))
                .when(ln4 == 2, F.concat(_str(q), F.lit("m7s")))
                .otherwise(F.lit("2h")))
-        return self.t.lineitem.select(
-            _str("l_suppkey").alias("route_id"),
-            F.row_number().over(w).cast("bigint").alias("leg_seq"),
-            _str("l_orderkey").alias("order_id"), dur.alias("duration_text"),
-            (q * 1000).alias("distance_m"))
+        li = self.t.lineitem.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber",
+                                    "l_partkey", dur.alias("duration_text"),
+                                    (q * 1000).alias("distance_m"))
+        li = row_number_bucketed(li, ["l_suppkey"], "l_shipdate",
+                                 ["l_orderkey", "l_linenumber", "l_partkey"], "leg_seq")
+        return li.select(_str("l_suppkey").alias("route_id"), "leg_seq",
+                         _str("l_orderkey").alias("order_id"), "duration_text", "distance_m")
 
     # ------------------------------------------------------------ requests
     @cached_property

@@ -250,3 +250,14 @@ def test_alert_classes(spark):
     assert got["m8"].alert_class == "error"      # bad UTF-8
     assert got["m9"].alert_class == "no_data"
     assert got["m10"].alert_class == "plain_text" and got["m10"].text == ""
+
+
+def test_row_number_bucketed_equals_plain(spark):
+    from larder.operators.window import row_number_bucketed
+    df = spark.range(0, 400).select(
+        (F.col("id") % 3).alias("k"), (F.col("id") % 11).alias("day"),
+        (F.col("id") * 7 % 13).alias("a"), F.col("id").alias("b"))
+    got = row_number_bucketed(df, ["k"], "day", ["a", "b"], "rn")
+    w = Window.partitionBy("k").orderBy("day", "a", "b")
+    want = df.withColumn("rn", F.row_number().over(w))
+    assert rows(got, "k", "b", "rn") == rows(want, "k", "b", "rn")
