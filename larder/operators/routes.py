@@ -20,25 +20,28 @@ from larder.operators.window import running_sum
 
 def _geo(df: DataFrame, text_col: str, geocodes: DataFrame | None) -> DataFrame:
     """latitude/longitude from embedded text, else from ``geocodes``;
-    ``source`` says which ('parsed', 'geocoded' or null)."""
-    c = coordinates(F.col(text_col))
-    df = df.withColumn("_c", c)
+    ``source`` says which ('parsed', 'geocoded' or null).
+
+    Text parsing is done once per distinct text (addresses repeat across
+    orders) and joined back on the text."""
+    texts = df.select(F.col(text_col).alias("_txt")).filter(F.col("_txt").isNotNull()).distinct()
+    texts = texts.withColumn("_c", coordinates(F.col("_txt")))
     if geocodes is not None:
-        g = topk(geocodes.select(F.col("address").alias("_addr"), "latitude", "longitude"),
-                 ["_addr"], [F.col("latitude").asc(), F.col("longitude").asc()], 1) \
-            .select("_addr", F.col("latitude").alias("_glat"), F.col("longitude").alias("_glon"))
-        df = df.join(g, F.col(text_col) == F.col("_addr"), "left")
+        g = topk(geocodes.select(F.col("address").alias("_txt"), "latitude", "longitude"),
+                 ["_txt"], [F.col("latitude").asc(), F.col("longitude").asc()], 1) \
+            .select("_txt", F.col("latitude").alias("_glat"), F.col("longitude").alias("_glon"))
+        texts = texts.join(g, "_txt", "left")
     else:
-        df = df.withColumn("_glat", F.lit(None).cast("double")) \
-               .withColumn("_glon", F.lit(None).cast("double"))
+        texts = texts.withColumn("_glat", F.lit(None).cast("double")) \
+                     .withColumn("_glon", F.lit(None).cast("double"))
     parsed = F.col("_c").isNotNull()
     geocoded = F.col("_glat").isNotNull() & F.col("_glon").isNotNull()
-    return (df.withColumn("latitude", F.when(parsed, F.col("_c.latitude"))
-                          .when(geocoded, F.col("_glat")))
-              .withColumn("longitude", F.when(parsed, F.col("_c.longitude"))
-                          .when(geocoded, F.col("_glon")))
-              .withColumn("source", F.when(parsed, "parsed").when(geocoded, "geocoded"))
-              .drop("_c", "_addr", "_glat", "_glon"))
+    texts = texts.select(
+        "_txt",
+        F.when(parsed, F.col("_c.latitude")).when(geocoded, F.col("_glat")).alias("latitude"),
+        F.when(parsed, F.col("_c.longitude")).when(geocoded, F.col("_glon")).alias("longitude"),
+        F.when(parsed, "parsed").when(geocoded, "geocoded").alias("source"))
+    return df.join(texts, F.col(text_col) == F.col("_txt"), "left").drop("_txt")
 
 
 # ------------------------------------------------------------- U1 / H20
@@ -146,9 +149,14 @@ def route_stops(routes: DataFrame, legs: DataFrame, orders: DataFrame, order_ite
     sum of leg durations (W1, chunked so a huge route never sits in one
     task), the leg's duration text and distance, and the order's kilograms
     (R2). Only routes whose header status is 'success'."""
-    ok = _route_status(routes, legs, farms, warehouses, geocodes) \
-        .filter(F.col("status") == "success") \
-        .select("request_id", "route_id", "origin_location_id", "departure_time")
+    # routes whose origin has coordinates; a route without legs simply
+    # produces no leg rows, and its origin row is dropped by the semi join
+    org = origin_coordinates(routes.select("request_id",
+                                           F.col("origin_location_id").alias("location_id")),
+                             farms, warehouses, geocodes) \
+        .filter(F.col("status") == "success").select("request_id")
+    ok = routes.select("request_id", "route_id", "origin_location_id", "departure_time") \
+        .join(org, "request_id", "left_semi")
     lg = (legs.select("route_id", "leg_seq", "order_id", "duration_text", "distance_m")
           .join(ok.select("request_id", "route_id", "departure_time"), "route_id")
           .withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0))))
@@ -168,7 +176,8 @@ def route_stops(routes: DataFrame, legs: DataFrame, orders: DataFrame, order_ite
                      .alias("estimated_distance_from_previous_stop_meters"),
                      F.coalesce(F.col("total_kg"), F.lit(0)).cast("bigint")
                      .alias("total_kg_for_stop")))
-    origin = ok.select("request_id", F.lit(0).cast("bigint").alias("stop_number"),
+    with_legs = ok.join(legs.select("route_id").distinct(), "route_id", "left_semi")
+    origin = with_legs.select("request_id", F.lit(0).cast("bigint").alias("stop_number"),
                        F.col("origin_location_id").alias("location_id"),
                        F.lit(None).cast("string").alias("destination_id"),
                        F.lit(None).cast("string").alias("destination_address"),

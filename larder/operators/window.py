@@ -31,18 +31,20 @@ def running_sum(df: DataFrame, keys: Sequence[str], seq_col: str, value_col: str
     with ``seq_col`` <= this row's (``seq_col`` unique within a key)."""
     keys = list(keys)
     v = F.coalesce(F.col(value_col), F.lit(0))
-    d = df.withColumn("_chunk", F.floor(F.col(seq_col) / F.lit(chunk)).cast("bigint"))
-    totals = d.groupBy(*keys, "_chunk").agg(F.sum(v).alias("_ct"))
+    part = keys + ["_chunk"]
+    w_chunk = Window.partitionBy(*part)
+    w_in = w_chunk.orderBy(seq_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one shuffle by (key, chunk): within-chunk running sums and chunk totals
+    d = (df.withColumn("_chunk", F.floor(F.col(seq_col) / F.lit(chunk)).cast("bigint"))
+         .withColumn("_in", F.sum(v).over(w_in))
+         .withColumn("_ct", F.sum(v).over(w_chunk)))
+    totals = d.groupBy(*part).agg(F.max("_ct").alias("_ct"))
     w_prev = (Window.partitionBy(*keys).orderBy("_chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, "_chunk",
-                            F.coalesce(F.sum("_ct").over(w_prev), F.lit(0)).alias("_off"))
-    w_in = (Window.partitionBy(*keys, "_chunk").orderBy(seq_col)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_in", F.sum(v).over(w_in))
-    return (d.join(offsets, keys + ["_chunk"])
+    offsets = totals.select(*part, F.coalesce(F.sum("_ct").over(w_prev), F.lit(0)).alias("_off"))
+    return (d.join(offsets, part)
             .withColumn(out_col, F.col("_off") + F.col("_in"))
-            .drop("_chunk", "_off", "_in"))
+            .drop("_chunk", "_off", "_in", "_ct"))
 
 
 def row_number_bucketed(df: DataFrame, keys: Sequence[str], bucket_col: str,
@@ -56,13 +58,14 @@ def row_number_bucketed(df: DataFrame, keys: Sequence[str], bucket_col: str,
     bucket), and rows are numbered inside their (key, bucket) partition.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, bucket_col).agg(F.count("*").alias("_n"))
+    part = keys + [bucket_col]
+    # one shuffle by (key, bucket): numbers inside the bucket and its size
+    d = (df.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order_cols)))
+         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*part))))
+    counts = d.groupBy(*part).agg(F.max("_n").alias("_n"))
     w_prev = (Window.partitionBy(*keys).orderBy(bucket_col)
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*keys, bucket_col,
-                            F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols)
-    return (df.withColumn("_rn", F.row_number().over(w_in))
-            .join(offsets, keys + [bucket_col])
+    offsets = counts.select(*part, F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
+    return (d.join(offsets, part)
             .withColumn(out_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_off", "_rn"))
+            .drop("_off", "_rn", "_n"))
