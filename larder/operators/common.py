@@ -65,6 +65,30 @@ def split_by_presence(req: DataFrame, keys: Sequence[str]):
         yield group, req.filter(cond)
 
 
+# Key value standing for "this optional filter is not given".
+ANY_KEY = "\u0001*"
+
+
+def expand_optional(facts: DataFrame, optional: Sequence[str]) -> DataFrame:
+    """Emit each fact row once per presence pattern of the ``optional``
+    keys (like GROUPING SETS): in pattern p, key k keeps its value if k is
+    in p and becomes ``ANY_KEY`` otherwise. Requests then match with
+    ``pattern_keys`` on an equi join, whatever filters they carry, so all
+    presence groups share one pipeline instead of one per group."""
+    pats = F.array(*[F.struct(*[(F.col(k).cast("string") if k in group else F.lit(ANY_KEY))
+                                .alias(f"_p_{k}") for k in optional])
+                     for group in presence_groups(optional)])
+    return facts.select("*", F.inline(pats))
+
+
+def pattern_keys(req: DataFrame, optional: Sequence[str]) -> DataFrame:
+    """The request side of ``expand_optional``: absent filters become
+    ``ANY_KEY`` (null and '' mean absent)."""
+    for k in optional:
+        req = req.withColumn(f"_p_{k}", F.coalesce(present(k), F.lit(ANY_KEY)))
+    return req
+
+
 def topk(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequence[Column],
          k: int, rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows per partition, numbered 1..k in ``rank_col``."""

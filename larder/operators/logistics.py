@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larder.functions.bands import band_message, temperature_band
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_float, parse_iso_timestamp
-from larder.operators.common import normalise_optional, split_by_presence, topk, union_all
+from larder.operators.common import expand_optional, normalise_optional, pattern_keys, topk
 from larder.operators.validate import missing_fields, required_message
 from larder.sources.requests import value_or_default
 
@@ -125,19 +125,20 @@ def warehouse_stock(req: DataFrame, stock: DataFrame, as_of, k: int = 20) -> Dat
         "request_id", "location_id", "product_id",
         value_or_default(req, "status", DEFAULT_STOCK_STATUS).alias("status"),
         F.coalesce(F.col("nearing_expiry").cast("boolean"), F.lit(False)).alias("near"))
-    s = stock.select("location_id", *STOCK_COLS)
     order = [F.col("expiry_date").asc_nulls_first(), F.col("best_before_date").asc_nulls_first(),
              F.col("stock_id").asc()]
-    near_stock = s.filter(F.col("expiry_date").between(
-        _date(as_of), F.date_add(_date(as_of), NEAR_EXPIRY_DAYS)))
-    parts = []
-    for group, sub in split_by_presence(req, ["product_id"]):
-        keys = ["location_id", "status"] + list(group)
-        for near, facts in ((False, s), (True, near_stock)):
-            top = topk(facts, keys, order, k)
-            r = sub.filter(F.col("near") == F.lit(near)).select("request_id", *keys)
-            parts.append(r.join(top, keys).select("request_id", *STOCK_COLS, "rank"))
-    return union_all(parts)
+    in_window = F.col("expiry_date").between(_date(as_of),
+                                             F.date_add(_date(as_of), NEAR_EXPIRY_DAYS))
+    # every stock row answers "all rows" requests; rows expiring soon also
+    # answer nearing-expiry requests; each of those with and without product
+    s = stock.select("location_id", *STOCK_COLS).withColumn(
+        "near", F.explode(F.when(in_window, F.array(F.lit(False), F.lit(True)))
+                          .otherwise(F.array(F.lit(False)))))
+    s = expand_optional(s, ["product_id"])
+    keys = ["location_id", "status", "near", "_p_product_id"]
+    top = topk(s, keys, order, k)
+    r = pattern_keys(req, ["product_id"]).select("request_id", *keys)
+    return r.join(top, keys).select("request_id", *STOCK_COLS, "rank")
 
 
 def near_expiry_stock(stock: DataFrame, as_of, days: int = NEAR_EXPIRY_DAYS,

@@ -12,8 +12,9 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.common import (normalise_optional, split_by_presence, topk,
-                                     union_all)
+from larder.sources.requests import value_or_default
+from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
+                                     split_by_presence, topk, union_all)
 
 # Fixed values taken from the reference's queries.
 STOCK_AVAILABLE = "Available"
@@ -122,17 +123,13 @@ def demand_forecast(req: DataFrame, forecasts: DataFrame, k: int = 5) -> DataFra
     """H5: latest ``k`` forecasts whose target window equals the requested
     one exactly, optionally in one region. Forecasts are cut to the top k
     per key before meeting the requests."""
-    req = normalise_optional(req, ["region"])
     base = ["product_id", "target_date_start", "target_date_end"]
     order = [F.col("forecast_date").desc(), F.col("forecast_id").asc()]
-    f = forecasts.select("product_id", *FORECAST_COLS)
-    parts = []
-    for group, sub in split_by_presence(req.select("request_id", *base, "region"), ["region"]):
-        keys = base + list(group)
-        top = topk(f, keys, order, k)
-        parts.append(sub.select("request_id", *keys).join(top, keys)
-                     .select("request_id", *FORECAST_COLS, "rank"))
-    return union_all(parts)
+    f = expand_optional(forecasts.select("product_id", *FORECAST_COLS), ["region"])
+    keys = base + ["_p_region"]
+    top = topk(f, keys, order, k)
+    r = pattern_keys(req, ["region"]).select("request_id", *keys)
+    return r.join(top, keys).select("request_id", *FORECAST_COLS, "rank")
 
 
 # --------------------------------------------------------------------- H6
@@ -146,17 +143,14 @@ def market_price_day(req: DataFrame, prices: DataFrame, as_of) -> DataFrame:
     then the lowest record id. A request without a price keeps one row with
     a message and ``status='success'``."""
     req = normalise_optional(req, ["region"])
-    req = req.withColumn("market_date", F.coalesce(F.col("date").cast("date"), _lit_date(as_of)))
+    req = req.withColumn("market_date",
+                         value_or_default(req, "date", _lit_date(as_of)).cast("date"))
     order = [F.col("region").asc_nulls_first(), F.col("price_record_id").asc()]
-    p = prices.select("product_id", *PRICE_COLS)
-    parts = []
-    for group, sub in split_by_presence(req.select("request_id", "product_id", "market_date",
-                                                   "region"), ["region"]):
-        keys = ["product_id", "market_date"] + list(group)
-        first = topk(p, keys, order, 1).drop("rank")
-        parts.append(sub.select("request_id", *keys).join(first, keys)
-                     .select("request_id", *PRICE_COLS))
-    found = union_all(parts)
+    p = expand_optional(prices.select("product_id", *PRICE_COLS), ["region"])
+    keys = ["product_id", "market_date", "_p_region"]
+    first = topk(p, keys, order, 1).drop("rank")
+    found = pattern_keys(req, ["region"]).select("request_id", *keys) \
+        .join(first, keys).select("request_id", *PRICE_COLS)
     msg = F.concat(F.lit("No market price found for "), F.col("product_id"), F.lit(" on "),
                    F.date_format(F.col("req_date"), "yyyy-MM-dd"),
                    F.when(F.col("req_region").isNotNull(),
