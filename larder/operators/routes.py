@@ -148,9 +148,9 @@ def route_stops(routes: DataFrame, legs: DataFrame, orders: DataFrame, order_ite
     per leg (leg i ends at destination i) with arrival = departure + running
     sum of leg durations (W1, chunked so a huge route never sits in one
     task), the leg's duration text and distance, and the order's kilograms
-    (R2). Only routes whose header status is 'success'."""
-    # routes whose origin has coordinates; a route without legs simply
-    # produces no leg rows, and its origin row is dropped by the semi join
+    (R2). Only routes whose header status is 'success' (origin with
+    coordinates, at least one leg)."""
+    # routes whose origin has coordinates (legs are numbered from 1)
     org = origin_coordinates(routes.select("request_id",
                                            F.col("origin_location_id").alias("location_id")),
                              farms, warehouses, geocodes) \
@@ -159,33 +159,35 @@ def route_stops(routes: DataFrame, legs: DataFrame, orders: DataFrame, order_ite
         .join(org, "request_id", "left_semi")
     lg = (legs.select("route_id", "leg_seq", "order_id", "duration_text", "distance_m")
           .join(ok.select("request_id", "route_id", "departure_time"), "route_id")
-          .withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0))))
-    lg = running_sum(lg, ["request_id"], "leg_seq", "sec", "cum_sec")
+          .withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0)))
+          .withColumn("location_id", F.lit(None).cast("string")))
+    # the origin is stop 0: a zero-length pseudo-leg in the same stream, so
+    # one pass numbers and times every stop; a route whose only row is its
+    # origin has no legs and is dropped (count from the running sum)
+    origin = ok.select("route_id", F.lit(0).cast("bigint").alias("leg_seq"),
+                       F.lit(None).cast("string").alias("order_id"),
+                       F.lit("0s").alias("duration_text"),
+                       F.lit(0).cast("bigint").alias("distance_m"), "request_id",
+                       "departure_time", F.lit(0).cast("bigint").alias("sec"),
+                       F.col("origin_location_id").alias("location_id"))
+    lg = running_sum(lg.unionByName(origin), ["request_id"], "leg_seq", "sec", "cum_sec",
+                     count_col="n_rows").filter(F.col("n_rows") > 1)
     addr = topk(orders.select("order_id", "delivery_address"), ["order_id"],
                 [F.col("delivery_address").asc_nulls_last()], 1).drop("rank")
     kg = order_total_kg(order_items)
-    stops = (lg.join(addr, "order_id", "left").join(kg, "order_id", "left")
-             .select("request_id", F.col("leg_seq").cast("bigint").alias("stop_number"),
-                     F.lit(None).cast("string").alias("location_id"),
-                     F.col("order_id").alias("destination_id"),
-                     F.col("delivery_address").alias("destination_address"),
-                     F.timestamp_add("SECOND", F.col("cum_sec"), F.col("departure_time"))
-                     .alias("estimated_arrival_time"),
-                     F.col("duration_text").alias("estimated_duration_from_previous_stop"),
-                     F.col("distance_m").cast("bigint")
-                     .alias("estimated_distance_from_previous_stop_meters"),
-                     F.coalesce(F.col("total_kg"), F.lit(0)).cast("bigint")
-                     .alias("total_kg_for_stop")))
-    with_legs = ok.join(legs.select("route_id").distinct(), "route_id", "left_semi")
-    origin = with_legs.select("request_id", F.lit(0).cast("bigint").alias("stop_number"),
-                       F.col("origin_location_id").alias("location_id"),
-                       F.lit(None).cast("string").alias("destination_id"),
-                       F.lit(None).cast("string").alias("destination_address"),
-                       F.col("departure_time").alias("estimated_arrival_time"),
-                       F.lit("0s").alias("estimated_duration_from_previous_stop"),
-                       F.lit(0).cast("bigint").alias("estimated_distance_from_previous_stop_meters"),
-                       F.lit(None).cast("bigint").alias("total_kg_for_stop"))
-    return origin.unionByName(stops)
+    is_origin = F.col("leg_seq") == 0
+    return (lg.join(addr, "order_id", "left").join(kg, "order_id", "left")
+            .select("request_id", F.col("leg_seq").cast("bigint").alias("stop_number"),
+                    "location_id", F.col("order_id").alias("destination_id"),
+                    F.col("delivery_address").alias("destination_address"),
+                    F.timestamp_add("SECOND", F.col("cum_sec"), F.col("departure_time"))
+                    .alias("estimated_arrival_time"),
+                    F.col("duration_text").alias("estimated_duration_from_previous_stop"),
+                    F.col("distance_m").cast("bigint")
+                    .alias("estimated_distance_from_previous_stop_meters"),
+                    F.when(is_origin, F.lit(None)).otherwise(
+                        F.coalesce(F.col("total_kg"), F.lit(0))).cast("bigint")
+                    .alias("total_kg_for_stop")))
 
 
 # --------------------------------------------------------------------- R5

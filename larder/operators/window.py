@@ -26,9 +26,12 @@ DEFAULT_CHUNK = 100_000
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], seq_col: str, value_col: str,
-                out_col: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+                out_col: str, chunk: int = DEFAULT_CHUNK,
+                count_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = sum of ``value_col`` over rows of the same ``keys``
-    with ``seq_col`` <= this row's (``seq_col`` unique within a key)."""
+    with ``seq_col`` <= this row's (``seq_col`` unique within a key).
+    With ``count_col``, also add the number of rows of the key (from the
+    same small totals table, no extra pass)."""
     keys = list(keys)
     v = F.coalesce(F.col(value_col), F.lit(0))
     part = keys + ["_chunk"]
@@ -37,14 +40,17 @@ def running_sum(df: DataFrame, keys: Sequence[str], seq_col: str, value_col: str
     # one shuffle by (key, chunk): within-chunk running sums and chunk totals
     d = (df.withColumn("_chunk", F.floor(F.col(seq_col) / F.lit(chunk)).cast("bigint"))
          .withColumn("_in", F.sum(v).over(w_in))
-         .withColumn("_ct", F.sum(v).over(w_chunk)))
-    totals = d.groupBy(*part).agg(F.max("_ct").alias("_ct"))
+         .withColumn("_ct", F.sum(v).over(w_chunk))
+         .withColumn("_cn", F.count(F.lit(1)).over(w_chunk)))
+    totals = d.groupBy(*part).agg(F.max("_ct").alias("_ct"), F.max("_cn").alias("_cn"))
     w_prev = (Window.partitionBy(*keys).orderBy("_chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*part, F.coalesce(F.sum("_ct").over(w_prev), F.lit(0)).alias("_off"))
+    extra = [F.sum("_cn").over(Window.partitionBy(*keys)).alias(count_col)] if count_col else []
+    offsets = totals.select(*part, F.coalesce(F.sum("_ct").over(w_prev), F.lit(0)).alias("_off"),
+                            *extra)
     return (d.join(offsets, part)
             .withColumn(out_col, F.col("_off") + F.col("_in"))
-            .drop("_chunk", "_off", "_in", "_ct"))
+            .drop("_chunk", "_off", "_in", "_ct", "_cn"))
 
 
 def row_number_bucketed(df: DataFrame, keys: Sequence[str], bucket_col: str,
