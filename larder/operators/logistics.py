@@ -157,9 +157,11 @@ def delivery_destinations(req: DataFrame, customers: DataFrame, vehicles: DataFr
     """H12 (data part): the vehicle's details and the shipping address of
     each distinct listed customer, at its first list position.
 
-    Status per request: 'not_found' (unknown vehicle, one row),
-    'unavailable' (no listed customer exists, one row) or 'success' (one
-    row per found customer). The random route simulation is not built.
+    Status per request: 'error' (a required field missing or an empty
+    list, one row), 'not_found' (unknown vehicle, one row), 'unavailable'
+    (no listed customer exists, one row) or 'success' (one row per found
+    customer), each with the reference's message. The random route
+    simulation is not built.
     """
     veh = topk(vehicles.select("vehicle_id", "vehicle_type", "capacity_kg",
                                "has_temperature_monitoring", "carrier_name"),
@@ -175,17 +177,33 @@ def delivery_destinations(req: DataFrame, customers: DataFrame, vehicles: DataFr
                     F.col("capacity_kg").isNotNull() | F.col("carrier_name").isNotNull())
     n_found = found.groupBy("request_id").agg(F.count("*").alias("n"))
     head = head.join(n_found, "request_id", "left")
-    status = (F.when(~F.col("v_found"), "not_found")
+    checks = req.select("request_id", missing_fields(
+        ["destination_locations", "vehicle_id"],
+        {"destination_locations": F.col("destination_locations"),
+         "vehicle_id": F.col("vehicle_id")}, req).alias("_miss"),
+        F.coalesce(F.size("destination_locations"), F.lit(0)).alias("_n_listed"))
+    head = head.join(checks, "request_id")
+    status = (F.when(F.size("_miss") > 0, "error")
+              .when(F.col("_n_listed") <= 0, "error")   # F27: the list must not be empty
+              .when(~F.col("v_found"), "not_found")
               .when(F.coalesce(F.col("n"), F.lit(0)) == 0, "unavailable").otherwise("success"))
-    head = head.withColumn("status", status)
+    message = (F.when(F.size("_miss") > 0, required_message("_miss"))
+               .when(F.col("_n_listed") <= 0,
+                     F.lit("Field 'destination_locations' must be a non-empty list."))
+               .when(~F.col("v_found"),
+                     F.concat(F.lit("Vehicle ID "), F.col("vehicle_id"), F.lit(" not found.")))
+               .when(F.coalesce(F.col("n"), F.lit(0)) == 0,
+                     F.lit("Could not find valid destinations based on provided IDs.")))
+    head = head.withColumn("status", status).withColumn("message", message)
     vcols = ["vehicle_type", "capacity_kg", "has_temperature_monitoring", "carrier_name"]
     ok = head.filter(F.col("status") == "success").join(found, "request_id").select(
-        "request_id", "destination_id", "destination_address", "position", *vcols, "status")
+        "request_id", "destination_id", "destination_address", "position", *vcols, "status",
+        "message")
     other = head.filter(F.col("status") != "success").select(
         "request_id", F.lit(None).cast("string").alias("destination_id"),
         F.lit(None).cast("string").alias("destination_address"),
         F.lit(None).cast("int").alias("position"),
-        *[F.when(F.col("v_found"), F.col(c)).alias(c) for c in vcols], "status")
+        *[F.when(F.col("v_found"), F.col(c)).alias(c) for c in vcols], "status", "message")
     return ok.unionByName(other)
 
 

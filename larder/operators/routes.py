@@ -120,7 +120,8 @@ def _route_status(routes: DataFrame, legs: DataFrame, farms: DataFrame, warehous
         F.sum(F.coalesce(duration_seconds("duration_text"), F.lit(0))).alias("total_sec"),
         F.sum("distance_m").alias("total_m"))
     return (routes.join(org, "request_id").join(per_route, "route_id", "left")
-            .withColumn("status", F.when(F.col("origin_status") != "success", "not_found")
+            .withColumn("status", F.when(F.col("origin_location_id").isNull(), "error")
+                        .when(F.col("origin_status") != "success", "not_found")
                         .when(F.coalesce(F.col("n_legs"), F.lit(0)) == 0, "unavailable")
                         .otherwise("success")))
 

@@ -308,16 +308,19 @@ WITH d AS (SELECT request_id, unnest(destination_locations) AS destination_id,
 dd AS (SELECT request_id, destination_id, min(pos) AS position FROM d GROUP BY request_id, destination_id),
 f AS (SELECT dd.*, c.shipping_address AS destination_address FROM dd JOIN customers c ON c.customer_id = dd.destination_id),
 n AS (SELECT request_id, count(*) AS n FROM f GROUP BY request_id),
-h AS (SELECT r.request_id, v.vehicle_type, v.capacity_kg, v.has_temperature_monitoring, v.carrier_name,
+h AS (SELECT r.request_id, r.vehicle_id, v.vehicle_type, v.capacity_kg, v.has_temperature_monitoring, v.carrier_name,
              v.vehicle_id IS NOT NULL AS vf, coalesce(n.n, 0) AS n
         FROM req_destinations_x r LEFT JOIN vehicles v ON v.vehicle_id = r.vehicle_id
         LEFT JOIN n ON n.request_id = r.request_id)
 SELECT h.request_id, f.destination_id, f.destination_address, CAST(f.position AS INTEGER) AS position,
-       h.vehicle_type, h.capacity_kg, h.has_temperature_monitoring, h.carrier_name, 'success' AS status
+       h.vehicle_type, h.capacity_kg, h.has_temperature_monitoring, h.carrier_name, 'success' AS status,
+       CAST(NULL AS VARCHAR) AS message
   FROM h JOIN f ON f.request_id = h.request_id WHERE h.vf AND h.n > 0
 UNION ALL
 SELECT h.request_id, NULL, NULL, NULL, h.vehicle_type, h.capacity_kg, h.has_temperature_monitoring,
-       h.carrier_name, CASE WHEN NOT h.vf THEN 'not_found' ELSE 'unavailable' END
+       h.carrier_name, CASE WHEN NOT h.vf THEN 'not_found' ELSE 'unavailable' END,
+       CASE WHEN NOT h.vf THEN 'Vehicle ID ' || h.vehicle_id || ' not found.'
+            ELSE 'Could not find valid destinations based on provided IDs.' END
   FROM h WHERE NOT h.vf OR h.n = 0""", "req_destinations_x", "customers", "vehicles")
 def q_delivery_destinations(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
@@ -675,7 +678,8 @@ og AS ({_sql_geo("o", "location_text")}),
 pr AS (SELECT route_id, count(*) AS n_legs, SUM({_DUR_SECS}) AS total_sec, SUM(distance_m) AS total_m
          FROM legs GROUP BY route_id),
 st AS (SELECT r.*, pr.n_legs, pr.total_sec, pr.total_m,
-              CASE WHEN og.latitude IS NULL THEN 'not_found' WHEN coalesce(pr.n_legs, 0) = 0 THEN 'unavailable'
+              CASE WHEN r.origin_location_id IS NULL THEN 'error' WHEN og.latitude IS NULL THEN 'not_found'
+                   WHEN coalesce(pr.n_legs, 0) = 0 THEN 'unavailable'
                    ELSE 'success' END AS status
          FROM req_routes r JOIN og ON og.request_id = r.request_id LEFT JOIN pr ON pr.route_id = r.route_id)"""
 

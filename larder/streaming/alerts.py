@@ -47,7 +47,7 @@ def _field(v: Column, name: str) -> Column:
             .otherwise(as_text))
 
 
-def classify_alerts(msgs: DataFrame) -> DataFrame:
+def classify_alerts(msgs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """ST1/H19 over ``(message_id, publish_time, data)``.
 
     Classes: ``no_data`` (no data field), ``error`` (bad base64, bad UTF-8,
@@ -60,11 +60,11 @@ def classify_alerts(msgs: DataFrame) -> DataFrame:
     raw = F.when(data.isNull() | (F.length(clean) % 4 != 0), F.lit(None).cast("binary")) \
         .otherwise(F.try_to_binary(clean, F.lit("base64")))
     txt = F.try_validate_utf8(raw.cast("string"))
-    m = msgs.select("message_id", "publish_time", data.alias("data"), txt.alias("_txt"),
+    m = msgs.select("message_id", "publish_time", *keep, data.alias("data"), txt.alias("_txt"),
                     F.try_parse_json(txt).alias("_v"))
     v = F.col("_v")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    m = m.select("message_id", "publish_time", "data", "_txt", "_v", is_obj.alias("_obj"),
+    m = m.select("message_id", "publish_time", *keep, "data", "_txt", "_v", is_obj.alias("_obj"),
                  *[F.when(is_obj, _field(v, k)).alias(k) for k in DEFAULTS])
     sev = F.col("severity")
     cls = (F.when(F.col("data").isNull(), "no_data")
@@ -87,8 +87,45 @@ def classify_alerts(msgs: DataFrame) -> DataFrame:
                            F.lit(DEGREE_C + " - "), msg))
             .when(F.col("alert_class") == "plain_text", F.col("_txt")))
     return (m.withColumn("alert_class", cls)
-            .select("message_id", "publish_time", "alert_class", "severity", "shipment_id",
-                    "temperature", "message", text.alias("text")))
+            .select("message_id", "publish_time", *keep, "alert_class", "severity",
+                    "shipment_id", "temperature", "message", text.alias("text")))
+
+
+def classify_envelopes(events: DataFrame, col: str = "event") -> DataFrame:
+    """ST1 from raw broker events (JSON text in ``col``): the envelope
+    checks come first - ``bad_event`` (not a JSON object), ``no_message``
+    (message missing or empty), ``no_data`` (message without data) - then
+    the payload is classified by ``classify_alerts``. Message id and publish
+    time come from the attributes next to the message, else from the
+    message itself (D12). A data field that is not text is class ``error``
+    (the reference fails on it)."""
+    v = F.try_parse_json(F.col(col))
+    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    msg = F.variant_get(v, "$.message", "variant")
+    msg_text = F.to_json(msg)
+    msg_empty = (msg.isNull() | F.is_variant_null(msg) |
+                 msg_text.isin("{}", '""', "[]", "false", "0", "0.0"))
+    msg_obj = F.coalesce(F.schema_of_variant(msg).startswith("OBJECT"), F.lit(False))
+    data = F.variant_get(v, "$.message.data", "variant")
+    data_text = F.try_variant_get(v, "$.message.data", "string")
+
+    def attr(outer: str, inner: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, f"$.attributes.{outer}", "string"),
+                          F.try_variant_get(v, f"$.message.{inner}", "string"))
+
+    envelope = (F.when(~is_obj, "bad_event").when(msg_empty, "no_message")
+                .when(~msg_obj | data.isNull(), "no_data")
+                .when(data_text.isNull(), "error"))
+    flat = events.select("*", attr("messageId", "messageId").alias("message_id"),
+                         attr("publishTime", "publishTime").alias("publish_time"),
+                         F.when(envelope.isNull(), data_text).alias("data"),
+                         envelope.alias("_envelope"))
+    out = classify_alerts(flat, keep=tuple(c for c in events.columns) + ("_envelope",))
+    payload = ["severity", "shipment_id", "temperature", "message", "text"]
+    return out.select(
+        *[c for c in out.columns if c not in ("_envelope", "alert_class", *payload)],
+        F.coalesce(F.col("_envelope"), F.col("alert_class")).alias("alert_class"),
+        *[F.when(F.col("_envelope").isNull(), F.col(c)).alias(c) for c in payload])
 
 
 # ---------------------------------------------------------------------- R6

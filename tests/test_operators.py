@@ -138,12 +138,16 @@ def test_destinations_duplicates_unknown_and_vehicle(spark):
                                 "vehicle_license_no string")
     req = spark.createDataFrame(
         [("ok", "V1", ["c2", "c1", "c2", "nope"]), ("nov", "V9", ["c1"]),
-         ("nod", "V1", ["x", "y"])],
+         ("nod", "V1", ["x", "y"]), ("empty", "V1", []), ("nolist", "V1", None)],
         "request_id string, vehicle_id string, destination_locations array<string>")
     out = logistics.delivery_destinations(req, cust, veh)
     got = rows(out, "request_id", "destination_id", "position", "status")
-    assert got == [("nod", None, None, "unavailable"), ("nov", None, None, "not_found"),
+    assert got == [("empty", None, None, "error"), ("nod", None, None, "unavailable"),
+                   ("nolist", None, None, "error"), ("nov", None, None, "not_found"),
                    ("ok", "c1", 1, "success"), ("ok", "c2", 0, "success")]
+    msg = {r.request_id: r.message for r in out.collect()}
+    assert msg["empty"] == "Field 'destination_locations' must be a non-empty list."
+    assert msg["nolist"] == "Missing required fields in body: destination_locations"
 
 
 # ------------------------------------------------------------------ H7
@@ -261,3 +265,28 @@ def test_row_number_bucketed_equals_plain(spark):
     w = Window.partitionBy("k").orderBy("day", "a", "b")
     want = df.withColumn("rn", F.row_number().over(w))
     assert rows(got, "k", "b", "rn") == rows(want, "k", "b", "rn")
+
+
+def test_alert_envelope_classes(spark):
+    import base64
+    import json
+    from larder.streaming.alerts import classify_envelopes
+
+    def env(message, attributes=None):
+        d = {"message": message}
+        if attributes is not None:
+            d["attributes"] = attributes
+        return json.dumps(d)
+    ok = base64.b64encode(b'{"severity":"Warning","shipment_id":"S","temperature":9.5}').decode()
+    rows_ = [("e1", "[1, 2]"), ("e2", "not json"), ("e3", env(None)), ("e4", env({})),
+             ("e5", env({"messageId": "inner"})),
+             ("e6", env({"data": ok, "messageId": "inner"}, {"messageId": "outer"})),
+             ("e7", env({"data": 5})), ("e8", json.dumps({"attributes": {"messageId": "a"}}))]
+    df = spark.createDataFrame(rows_, "id string, event string")
+    got = {r.id: r for r in classify_envelopes(df).collect()}
+    assert [got[k].alert_class for k in ["e1", "e2", "e3", "e4", "e5", "e6", "e7", "e8"]] == \
+        ["bad_event", "bad_event", "no_message", "no_message", "no_data", "warning", "error",
+         "no_message"]
+    assert got["e6"].message_id == "outer"           # outer attributes preferred (D12)
+    assert got["e5"].message_id == "inner"
+    assert got["e6"].text == "Shipment S: Elevated Temp 9.5°C - No message"
