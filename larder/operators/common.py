@@ -11,10 +11,11 @@ Scale rules used throughout:
 * Top-k per key is ``row_number() <= k`` over a window; Spark plans it with
   ``WindowGroupLimit`` on both sides of the shuffle, so even a key that
   holds a third of all rows ships at most k rows per map task.
-* ``broadcast`` is only applied to tables with a proven size bound (a
-  LIMIT, a calendar, a fixed dimension). Everything else is left to AQE,
-  which switches a join to broadcast from the *measured* shuffle size and
-  keeps a sort-merge join otherwise.
+* ``broadcast`` is only applied to tables with a proven size bound (fixed
+  dimensions); bounded lists (a global top-k) are attached without a join
+  (``attach_bounded``). Everything else is left to AQE, which switches a
+  join to broadcast from the *measured* shuffle size and keeps a
+  sort-merge join otherwise.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ def present(c: str | Column) -> Column:
     return F.nullif(c.cast("string"), F.lit(""))
 
 
-def is_present(c: str | Column) -> Column:
-    return present(c).isNotNull()
 
 
 def normalise_optional(req: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -104,17 +103,6 @@ def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str],
-                   how: str = "inner") -> DataFrame:
-    """Equi join on ``cols`` where null matches null (``<=>``); the right
-    copies of the key columns are dropped."""
-    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in cols],
-                     *[c for c in right.columns if c not in cols])
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(r[f"__r_{c}"])
-        cond = e if cond is None else cond & e
-    return left.join(r, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
 def attach_bounded(req: DataFrame, small: DataFrame, order_col: str) -> DataFrame:
@@ -127,13 +115,3 @@ def attach_bounded(req: DataFrame, small: DataFrame, order_col: str) -> DataFram
         c for c in small.columns if c != order_col]))).alias("a")).scalar()
     return req.select("*", F.inline(arr))
 
-
-def bounded_broadcast(df: DataFrame, bound_reason: str) -> DataFrame:
-    """Broadcast a side whose size is bounded by construction.
-
-    ``bound_reason`` documents the bound (e.g. "LIMIT 100", "25 nations");
-    it is required so no data-proportional table is broadcast by accident.
-    """
-    if not bound_reason:
-        raise ValueError("broadcast needs a stated size bound")
-    return F.broadcast(df)

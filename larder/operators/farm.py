@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_date, parse_float, parse_int
-from larder.operators.common import (attach_bounded, normalise_optional, split_by_presence,
-                                     topk, union_all)
+from larder.operators.common import (attach_bounded, expand_optional, normalise_optional,
+                                     pattern_keys, split_by_presence, topk, union_all)
 from larder.operators.validate import missing_fields, required_message
 from larder.sources.requests import value_or_default
 
@@ -191,37 +191,27 @@ def _topk_in_window(req: DataFrame, facts: DataFrame, keys: Sequence[str], date_
     return topk(got, ["request_id"], order, k)
 
 
-# Key value standing for "this filter is not given" in the expanded facts.
-_ALL = "\u0001*"
-
-
-def _expand_facts(facts: DataFrame, farm: str, product: str) -> DataFrame:
-    """Each fact row once per filter pattern it can answer: (farm,
-    product), (farm, any), (any, product), (any, any) - an Expand, like
-    GROUPING SETS, so every presence group shares one pipeline."""
-    pats = F.array(*[F.struct((F.col(farm) if f else F.lit(_ALL)).alias("_fk"),
-                              (F.col(product) if p else F.lit(_ALL)).alias("_pk"))
-                     for f, p in ((1, 1), (1, 0), (0, 1), (0, 0))])
-    return facts.select("*", F.inline(pats))
+_KEYS = ["farm_id", "product_id"]
+_PKEYS = ["_p_farm_id", "_p_product_id"]
 
 
 def _advice_requests(req: DataFrame, as_of) -> DataFrame:
-    req = normalise_optional(req, ["farm_id", "product_id"])
-    return _date_window(req.select("request_id", "farm_id", "product_id",
-                                   F.col("start_date").cast("date").alias("start_date"),
-                                   F.col("end_date").cast("date").alias("end_date")), as_of) \
-        .withColumn("_fk", F.coalesce(F.col("farm_id"), F.lit(_ALL))) \
-        .withColumn("_pk", F.coalesce(F.col("product_id"), F.lit(_ALL)))
+    req = normalise_optional(req, _KEYS)
+    req = _date_window(req.select("request_id", *_KEYS,
+                                  F.col("start_date").cast("date").alias("start_date"),
+                                  F.col("end_date").cast("date").alias("end_date")), as_of)
+    return pattern_keys(req, _KEYS)
 
 
 def advice_harvests(req: DataFrame, harvests: DataFrame, as_of, k: int = 5) -> DataFrame:
     """H2 section 1: latest harvests per request (T1), any mix of farm /
-    product / date filters."""
-    req = _advice_requests(req, as_of).select("request_id", "_fk", "_pk", "lo", "hi")
+    product / date filters. Each harvest row is expanded once into the four
+    filter patterns it can answer (farm+product, farm, product, none), so
+    every presence group shares one pipeline."""
+    req = _advice_requests(req, as_of).select("request_id", *_PKEYS, "lo", "hi")
     out = ["harvest_date", "harvested_quantity_kg", "quality_score", "quality_notes"]
-    facts = _expand_facts(harvests.select("farm_id", "product_id", "harvest_id", *out),
-                          "farm_id", "product_id")
-    return _topk_in_window(req, facts, ["_fk", "_pk"], "harvest_date", "harvest_id", out,
+    facts = expand_optional(harvests.select(*_KEYS, "harvest_id", *out), _KEYS)
+    return _topk_in_window(req, facts, _PKEYS, "harvest_date", "harvest_id", out,
                            k).drop("harvest_id")
 
 
@@ -231,15 +221,16 @@ def advice_qc_issues(req: DataFrame, issues: DataFrame, as_of, k: int = 5) -> Da
     carry the product key 'general', and a request for product p asks for
     both p and 'general' - equi joins only, merged by the final re-rank."""
     req = _advice_requests(req, as_of)
-    req = req.withColumn("_pk", F.explode(
+    req = req.withColumn("_p_product_id", F.explode(
         F.when(F.col("product_id").isNotNull(),
-               F.array(F.col("_pk"), F.lit(_ANY_PRODUCT))).otherwise(F.array(F.col("_pk")))))
+               F.array(F.col("_p_product_id"), F.lit(_ANY_PRODUCT)))
+        .otherwise(F.array(F.col("_p_product_id")))))
     out = ["issue_date", "issue_type", "severity", "notes"]
     facts = issues.select("farm_id", F.coalesce(F.col("product_id"), F.lit(_ANY_PRODUCT))
-                          .alias("_prod"), "issue_id", *out)
-    facts = _expand_facts(facts, "farm_id", "_prod")
-    return _topk_in_window(req.select("request_id", "_fk", "_pk", "lo", "hi"), facts,
-                           ["_fk", "_pk"], "issue_date", "issue_id", out, k).drop("issue_id")
+                          .alias("product_id"), "issue_id", *out)
+    facts = expand_optional(facts, _KEYS)
+    return _topk_in_window(req.select("request_id", *_PKEYS, "lo", "hi"), facts, _PKEYS,
+                           "issue_date", "issue_id", out, k).drop("issue_id")
 
 
 def advice_schedules(req: DataFrame, schedules: DataFrame, as_of, k: int = 5) -> DataFrame:

@@ -7,8 +7,6 @@ equi-joined to the requests.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,9 +161,6 @@ def market_price_day(req: DataFrame, prices: DataFrame, as_of) -> DataFrame:
                     F.when(F.col("price_record_id").isNull(), msg).alias("message")))
 
 
-def today() -> _dt.date:
-    return _dt.date.today()
-
 
 # --------------------------------------------------------------------- R1
 def _one_price_per_day(prices: DataFrame) -> DataFrame:

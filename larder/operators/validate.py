@@ -31,8 +31,3 @@ def missing_fields(required: Sequence[str], values: Mapping[str, Column],
 def required_message(missing_col: str | Column) -> Column:
     m = F.col(missing_col) if isinstance(missing_col, str) else missing_col
     return F.concat(F.lit("Missing required fields in body: "), F.array_join(m, ", "))
-
-
-def split_valid(df: DataFrame, error_col: str = "error_code") -> tuple[DataFrame, DataFrame]:
-    """Rows without an error code vs. the quarantine."""
-    return df.filter(F.col(error_col).isNull()), df.filter(F.col(error_col).isNotNull())
