@@ -744,8 +744,11 @@ def _sql_json_field(name: str, default: str) -> str:
             ELSE CAST(json_extract(txt, {p}) AS VARCHAR) END"""
 
 
-@register("alert_stream", f"""
-WITH a AS (SELECT message_id, publish_time, data, regexp_replace(data, '[^A-Za-z0-9+/=]', '', 'g') AS clean FROM alerts),
+def _alert_sql(src: str, keep: str = "") -> str:
+    """Classification of ``src`` (message_id, publish_time, data[, keep]):
+    returns CTE text ending in relation ``c`` plus the final SELECT list."""
+    return f"""
+a AS (SELECT *, regexp_replace(data, '[^A-Za-z0-9+/=]', '', 'g') AS clean FROM {src}),
 b AS (SELECT *, CASE WHEN data IS NULL OR length(clean) % 4 <> 0 THEN NULL ELSE TRY(from_base64(clean)) END AS bin FROM a),
 t AS (SELECT *, TRY(decode(bin)) AS txt FROM b),
 j AS (SELECT *, coalesce(json_valid(txt), false) AS isjson FROM t),
@@ -758,18 +761,62 @@ f AS (SELECT *,
         FROM o),
 c AS (SELECT *, CASE WHEN data IS NULL THEN 'no_data' WHEN txt IS NULL THEN 'error' WHEN NOT isjson THEN 'plain_text'
                      WHEN NOT obj THEN 'error' WHEN severity = 'Critical' THEN 'critical'
-                     WHEN severity = 'Warning' THEN 'warning' ELSE 'info' END AS alert_class FROM f)
-SELECT message_id, publish_time, alert_class, severity, shipment_id, temperature, message,
+                     WHEN severity = 'Warning' THEN 'warning' ELSE 'info' END AS alert_class
+        FROM f)"""
+
+
+_ALERT_TEXT = """
        CASE alert_class
          WHEN 'critical' THEN 'Shipment ' || coalesce(shipment_id, 'None') || ': HIGH TEMP ' || coalesce(temperature, 'None') || '°C - ' || coalesce(message, 'None')
          WHEN 'warning' THEN 'Shipment ' || coalesce(shipment_id, 'None') || ': Elevated Temp ' || coalesce(temperature, 'None') || '°C - ' || coalesce(message, 'None')
          WHEN 'info' THEN 'Info Alert: Shipment ' || coalesce(shipment_id, 'None') || ', Temp ' || coalesce(temperature, 'None') || '°C - ' || coalesce(message, 'None')
-         WHEN 'plain_text' THEN txt END AS text
+         WHEN 'plain_text' THEN txt END"""
+
+
+@register("alert_stream", f"""
+WITH {_alert_sql("alerts")}
+SELECT message_id, publish_time, alert_class, severity, shipment_id, temperature, message,
+       {_ALERT_TEXT} AS text
   FROM c""", "alerts")
 def q_alert_stream(spark, sf_dir):
     return alerts.alert_stream(spark, sf_dir)
 
 
+_ENVELOPE = """
+e0 AS (SELECT event_id, event, coalesce(json_valid(event), false) AS ok FROM alert_envelopes),
+e1 AS (SELECT *, CASE WHEN ok THEN json_type(CASE WHEN ok THEN event END) = 'OBJECT' ELSE false END AS obj FROM e0),
+e2 AS (SELECT *, CASE WHEN obj THEN json_extract(CASE WHEN obj THEN event END, '$.message') END AS msg FROM e1),
+e3 AS (SELECT *,
+         CASE WHEN NOT obj THEN 'bad_event'
+              WHEN msg IS NULL OR CAST(msg AS VARCHAR) IN ('null', '{}', '""', '[]', 'false', '0', '0.0') THEN 'no_message'
+              WHEN json_type(msg) <> 'OBJECT' OR json_extract(msg, '$.data') IS NULL THEN 'no_data'
+              WHEN json_type(msg, '$.data') <> 'VARCHAR' THEN 'error' END AS env_class
+         FROM e2),
+env AS (SELECT event_id, env_class,
+               CASE WHEN obj THEN coalesce(json_extract_string(event, '$.attributes.messageId'),
+                                           json_extract_string(event, '$.message.messageId')) END AS message_id,
+               CASE WHEN obj THEN coalesce(json_extract_string(event, '$.attributes.publishTime'),
+                                           json_extract_string(event, '$.message.publishTime')) END AS publish_time,
+               CASE WHEN env_class IS NULL THEN json_extract_string(msg, '$.data') END AS data
+          FROM e3),"""
+
+
+@register("alert_envelopes", f"""
+WITH {_ENVELOPE}{_alert_sql("env")}
+SELECT event_id, message_id, publish_time, coalesce(env_class, alert_class) AS alert_class,
+       CASE WHEN env_class IS NULL THEN severity END AS severity,
+       CASE WHEN env_class IS NULL THEN shipment_id END AS shipment_id,
+       CASE WHEN env_class IS NULL THEN temperature END AS temperature,
+       CASE WHEN env_class IS NULL THEN message END AS message,
+       CASE WHEN env_class IS NULL THEN {_ALERT_TEXT} END AS text
+  FROM c""", "alert_envelopes")
+def q_alert_envelopes(spark, sf_dir):
+    env = Fixtures(spark, sf_dir).alert_envelopes
+    return alerts.classify_envelopes(env).select(
+        "event_id", "message_id", "publish_time", "alert_class", "severity", "shipment_id",
+        "temperature", "message", "text")
+
+
 @register("alert_producer_stream", """
 SELECT CAST(event_id AS VARCHAR) AS message_id,
        CASE WHEN value > 15.0 THEN 'critical' ELSE 'warning' END AS alert_class,

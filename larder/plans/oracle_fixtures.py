@@ -108,6 +108,16 @@ select cast(event_id as string) message_id, ts publish_time,
          when 'error' then concat('{"severity":"Critical","shipment_id":"', cast(user_id as string), '","temperature":', cast(value as string), ',"message":"m"}')
          else concat('{"severity":"Warning","shipment_id":null,"temperature":', cast(value as string), '}') end as blob)), concat(chr(13), chr(10)), '') data
   from events""",
+    "alert_envelopes": """
+select message_id event_id,
+       case cast(message_id as bigint) % 5
+         when 0 then '"just text"'
+         when 1 then concat('{"attributes":{"messageId":"', message_id, '"}}')
+         when 2 then concat('{"message":{"messageId":"', message_id, '"}}')
+         else concat('{"message":{"data":"', data, '","messageId":"m', message_id,
+                     '"},"attributes":{"messageId":"', message_id, '","publishTime":"',
+                     strftime(publish_time, '%Y-%m-%dT%H:%M:%S'), '"}}') end event
+  from alerts""",
     "legs": """
 select cast(l_suppkey as string) route_id,
        cast(row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey) as bigint) leg_seq,
@@ -212,7 +222,7 @@ select concat('D', cast(o_orderkey as string)) request_id, concat('V', cast(o_cu
 }
 
 # Views that read other views.
-DEPENDS: dict[str, tuple[str, ...]] = {"orders_v": ("customers",)}
+DEPENDS: dict[str, tuple[str, ...]] = {"orders_v": ("customers",), "alert_envelopes": ("alerts",)}
 
 
 def with_views(sql: str, *names: str) -> str:
