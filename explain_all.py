@@ -13,6 +13,27 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 STREAMING = {"alert_stream", "alert_producer_stream", "readings_append_stream"}
 
+SCALE_NOTES = """## Scale review (1000x the data, one key holding a third of the rows)
+
+| Family | Shuffle keys | Largest per-task unit | Broadcast |
+|---|---|---|---|
+| availability, stock, incoming, upcoming | product (partial aggregation first) | one product's aggregate row | AQE only |
+| forecasts, price of a day, warehouse stock | request keys after an Expand of optional filters | k rows per key (WindowGroupLimit on both sides) | AQE only |
+| advice sections | (pattern key, day), then (pattern key, year) | 5 rows per key and day; years per request window | AQE only |
+| pickup feasibility | (farm, product) | days + distinct thresholds of one key (calendar-bounded) | AQE only |
+| as-of price, orders | product; request | price days + order days of one product (calendar-bounded) | AQE only |
+| tracking, readings | shipment | 10 rows per shipment (WindowGroupLimit) | AQE only |
+| search | gram; pattern | one gram's posting list (verified by LIKE, no cap); 100 rows per pattern | none |
+| destinations, coordinates | request, order; distinct address texts | one request's list | AQE only |
+| route stops and headers | (route, 100k-leg chunk); route | one chunk of 100k legs; the per-route chunk-total table | AQE only |
+| route legs fixture | (supplier, day) | one supplier-day | AQE only |
+| streams | none (map-only) | one micro-batch partition | none |
+
+No query plans a cartesian product or a nested-loop join (tests/test_plans.py). Explicit
+broadcasts exist only for the 25-row nation and 5-row region tables; bounded global lists
+(browse list, global top-5 schedules) are attached through a scalar subquery, not a join.
+"""
+
 
 def main(argv) -> int:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
@@ -40,6 +61,7 @@ def main(argv) -> int:
                                    "ReusedExchange", "Scan parquet"))
         lines.append(f"| `{name}` | {shuffles} | {joins or '-'} | {wins or '-'} | "
                      f"{aggs or '-'} | {other or '-'} |")
+    lines += ["", SCALE_NOTES]
     with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "PLANS.md"), "w") as fh:
         fh.write("\n".join(lines) + "\n")
     spark.stop()
