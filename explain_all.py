@@ -30,8 +30,8 @@ SCALE_NOTES = """## Scale review (1000x the data, one key holding a third of the
 | streams | none (map-only) | one micro-batch partition | none |
 
 No query plans a cartesian product or a nested-loop join (tests/test_plans.py). Explicit
-broadcasts exist only for the 25-row nation and 5-row region tables; bounded global lists
-(browse list, global top-5 schedules) are attached through a scalar subquery, not a join.
+broadcasts exist only for the 25-row nation and 5-row region tables; the bounded browse list
+(LIMIT 100) is attached through a scalar subquery, not a join.
 """
 
 

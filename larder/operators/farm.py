@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_date, parse_float, parse_int
-from larder.operators.common import (attach_bounded, expand_optional, normalise_optional,
-                                     pattern_keys, split_by_presence, topk, union_all)
+from larder.operators.common import expand_optional, normalise_optional, pattern_keys, topk
 from larder.operators.validate import missing_fields, required_message
 from larder.sources.requests import value_or_default
 
@@ -235,29 +234,22 @@ def advice_qc_issues(req: DataFrame, issues: DataFrame, as_of, k: int = 5) -> Da
 
 def advice_schedules(req: DataFrame, schedules: DataFrame, as_of, k: int = 5) -> DataFrame:
     """H2 section 3: next schedules (planned harvest on/after ``as_of``),
-    earliest planting first, ties by every projected column (T3). Facts are
-    cut to the top k per key before meeting the requests; requests with no
-    key share one global top k (k rows, broadcast)."""
-    req = normalise_optional(req, ["farm_id", "product_id"])
+    earliest planting first, ties by every projected column (T3).
+
+    Schedules are expanded into their four filter patterns and cut to the
+    top k per pattern key (WindowGroupLimit, so even the no-filter pattern
+    ships at most k rows per map task); each request then equi-joins the k
+    rows of its own pattern. The join side is at most k rows per key, so a
+    hot key (e.g. every request without filters) meets a tiny side that AQE
+    broadcasts or splits."""
     out = ["planned_planting_date", "planned_harvest_date_estimate",
            "expected_yield_estimate_kg", "status"]
     order = [F.col(c).asc_nulls_first() for c in out]
     future = schedules.filter(F.col("planned_harvest_date_estimate") >= _date(as_of)) \
-        .select("farm_id", "product_id", *out)
-    parts = []
-    for group, sub in split_by_presence(req.select("request_id", "farm_id", "product_id"),
-                                        ["farm_id", "product_id"]):
-        keys = list(group)
-        if keys:
-            top = topk(future, keys, order, k)
-            parts.append(sub.select("request_id", *keys).join(top, keys)
-                         .select("request_id", *out, "rank"))
-        else:
-            # requests without keys share one global top k (k rows, bounded)
-            top = topk(future.withColumn("_g", F.lit(0)), ["_g"], order, k).drop("_g")
-            parts.append(attach_bounded(sub.select("request_id"), top.select("rank", *out), "rank")
-                         .select("request_id", *out, "rank"))
-    return union_all(parts)
+        .select(*_KEYS, *out)
+    top = topk(expand_optional(future, _KEYS), _PKEYS, order, k).select(*_PKEYS, *out, "rank")
+    r = pattern_keys(normalise_optional(req, _KEYS), _KEYS).select("request_id", *_PKEYS)
+    return r.join(top, _PKEYS).select("request_id", *out, "rank")
 
 
 def advice_farm_profile(req: DataFrame, farms: DataFrame) -> DataFrame:
