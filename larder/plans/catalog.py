@@ -515,15 +515,21 @@ def q_pickup_feasibility(spark, sf_dir):
 
 # ------------------------------------------------------------------ search
 def _search_sql(table: str, id_col: str, cols: str, cond: str, limit: int | None) -> str:
-    rank = f", row_number() OVER (PARTITION BY r.request_id ORDER BY t.{id_col}) AS rank"
-    inner = f"""
-  SELECT r.request_id, {cols}{rank}, NULLIF(r.query, '') IS NULL AS browse
-    FROM req_search r JOIN {table} t
-      ON NULLIF(r.query, '') IS NULL OR {cond}
-   WHERE position('\\' IN r.query) = 0"""
+    """Search twin: every text matching the request's pattern (or every text
+    when the query is empty), numbered by id; at most 100 per request when
+    ``limit``, else all matches and the first 100 when browsing. Queries
+    with a backslash are rejected (as in the Spark operator)."""
+    names = ", ".join(c.split(".")[-1] for c in cols.split(", "))
     keep = "rank <= 100" if limit else "(NOT browse OR rank <= 100)"
-    out = "*" if limit else "request_id, " + ", ".join(c.split(".")[-1] for c in cols.split(", ")[0:])
-    return f"SELECT {out} FROM ({inner}) x WHERE {keep}".replace("SELECT *", "SELECT * EXCLUDE (browse)")
+    rank_out = ", rank" if limit else ""
+    return f"""
+SELECT request_id, {names}{rank_out} FROM (
+  SELECT r.request_id, {cols},
+         row_number() OVER (PARTITION BY r.request_id ORDER BY t.{id_col}) AS rank,
+         NULLIF(r.query, '') IS NULL AS browse
+    FROM req_search r JOIN {table} t ON NULLIF(r.query, '') IS NULL OR {cond}
+   WHERE coalesce(position('\\' IN r.query), 0) = 0) x
+ WHERE {keep}"""
 
 
 _LIKE = "lower({c}) LIKE lower('%' || r.query || '%')"
