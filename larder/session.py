@@ -50,18 +50,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder of the session.
 
-    On a cluster that setting points at shared storage and is respected as
-    is. Only when it is unset (local tests) a fresh scratch folder is made.
+    On a cluster ``spark.checkpoint.dir`` (or a checkpoint folder already
+    set on the SparkContext) names shared storage and is used as is; it is a
+    core setting, read here, never modified. Only when nothing is
+    configured (local tests) a fresh scratch folder becomes the context's
+    checkpoint folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="larder-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or \
+        sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
+        return configured
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    local = tempfile.mkdtemp(prefix="larder-ckpt-")
+    sc.setCheckpointDir(local)
+    return local
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
