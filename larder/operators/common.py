@@ -3,9 +3,10 @@
 Scale rules used throughout:
 
 * A per-request optional filter is never written as ``f IS NULL OR k = f``
-  inside a join condition (that plans as a cartesian product). Requests are
-  split by which filters are present, each group equi-joins on exactly its
-  present keys, and the groups are unioned (``split_by_presence``).
+  inside a join condition (that plans as a cartesian product). Facts are
+  expanded once into every presence pattern of the optional keys (an
+  Expand, like GROUPING SETS) and each request equi-joins the pattern of
+  the filters it carries (``expand_optional`` / ``pattern_keys``).
 * Facts are aggregated or compacted per key *before* they meet the
   requests, so repeated requests never multiply fact rows.
 * Top-k per key is ``row_number() <= k`` over a window; Spark plans it with
@@ -51,17 +52,6 @@ def presence_groups(keys: Sequence[str]) -> list[tuple[str, ...]]:
     return out
 
 
-def split_by_presence(req: DataFrame, keys: Sequence[str]):
-    """Yield ``(present_keys, sub_request_df)`` for each presence pattern.
-
-    Every request lands in exactly one group; each group is a filter over
-    the same request scan (no shuffle).
-    """
-    for group in presence_groups(keys):
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & (F.col(k).isNotNull() if k in group else F.col(k).isNull())
-        yield group, req.filter(cond)
 
 
 # Key value standing for "this optional filter is not given".
@@ -96,13 +86,6 @@ def topk(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequence
             .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
-def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out
-
-
 
 
 def attach_bounded(req: DataFrame, small: DataFrame, order_col: str) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.sources.requests import value_or_default
-from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
-                                     split_by_presence, topk, union_all)
+from larder.operators.common import expand_optional, normalise_optional, pattern_keys, topk
 
 # Fixed values taken from the reference's queries.
 STOCK_AVAILABLE = "Available"
@@ -32,32 +31,28 @@ def _lit_ts(t) -> Column:
 def stock_on_hand(req: DataFrame, stock: DataFrame) -> DataFrame:
     """A1: available kg and number of distinct stock locations per request.
 
-    One pass groups stock by (product, location); the product-level totals
-    are a second, much smaller aggregate over that, so COUNT(DISTINCT
-    location) becomes an exact count of groups with no extra distinct stage.
+    Stock is summed per (product, location) first (partial aggregation
+    before the shuffle). Each of those rows is expanded into its own
+    location pattern and the any-location pattern and aggregated again: for
+    one location the count is 1, for any location it is the exact number of
+    distinct locations (COUNT(DISTINCT) without a distinct stage). Requests
+    with and without a location filter meet their pattern in one equi join.
     """
     req = normalise_optional(req, ["location_id"])
     by_loc = (stock.filter(F.col("status") == STOCK_AVAILABLE)
               .filter(F.col("product_id").isNotNull())
               .groupBy("product_id", "location_id")
               .agg(F.sum("current_quantity_kg").alias("kg")))
-    by_product = (by_loc.groupBy("product_id")
-                  .agg(F.sum("kg").alias("kg"),
-                       F.count("location_id").alias("n_loc")))
-    by_loc_one = by_loc.filter(F.col("location_id").isNotNull()).select(
-        "product_id", "location_id", "kg", F.lit(1).cast("bigint").alias("n_loc"))
-
-    parts = []
-    for group, sub in split_by_presence(req.select("request_id", "product_id", "location_id"),
-                                        ["location_id"]):
-        facts = by_loc_one if group else by_product
-        keys = ["product_id", "location_id"] if group else ["product_id"]
-        parts.append(sub.join(facts, keys, "left").select("request_id", "kg", "n_loc"))
-    got = union_all(parts)
-    return req.join(got, "request_id", "left").select(
-        "request_id", "product_id", "location_id",
-        F.coalesce(F.col("kg"), F.lit(0)).cast("bigint").alias("total_on_hand_kg"),
-        F.coalesce(F.col("n_loc"), F.lit(0)).cast("bigint").alias("num_stock_locations"))
+    facts = (expand_optional(by_loc, ["location_id"])
+             .groupBy("product_id", "_p_location_id")
+             .agg(F.sum("kg").alias("kg"), F.count("location_id").alias("n_loc")))
+    return (pattern_keys(req, ["location_id"])
+            .select("request_id", "product_id", "location_id", "_p_location_id")
+            .join(facts, ["product_id", "_p_location_id"], "left")
+            .select("request_id", "product_id", "location_id",
+                    F.coalesce(F.col("kg"), F.lit(0)).cast("bigint").alias("total_on_hand_kg"),
+                    F.coalesce(F.col("n_loc"), F.lit(0)).cast("bigint")
+                    .alias("num_stock_locations")))
 
 
 def incoming_by_product(shipments: DataFrame, order_items: DataFrame, as_of_ts) -> DataFrame:
