@@ -11,7 +11,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-STREAMING = {"alert_stream", "alert_producer_stream", "readings_append_stream"}
+STREAMING = {"alert_stream", "alert_producer_stream", "readings_append_stream",
+             "alert_envelope_stream"}
 
 SCALE_NOTES = """## Scale review (1000x the data, one key holding a third of the rows)
 

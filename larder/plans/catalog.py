@@ -823,6 +823,11 @@ def q_alert_envelopes(spark, sf_dir):
         "temperature", "message", "text")
 
 
+@register("alert_envelope_stream", ORACLE["alert_envelopes"])
+def q_alert_envelope_stream(spark, sf_dir):
+    return alerts.alert_envelope_stream(spark, sf_dir)
+
+
 @register("alert_producer_stream", """
 SELECT CAST(event_id AS VARCHAR) AS message_id,
        CASE WHEN value > 15.0 THEN 'critical' ELSE 'warning' END AS alert_class,

@@ -244,22 +244,8 @@ class Fixtures:
 
     @cached_property
     def alert_envelopes(self) -> DataFrame:
-        """Raw broker events (JSON text) around the alert messages: by event
-        id, not an object, attributes without a message, a message without
-        data, or a full envelope (data + ids + publish time)."""
-        m = alert_messages_from_events(self.t.events)
-        k = F.col("message_id").cast("bigint") % 5
-        pt = F.date_format("publish_time", "yyyy-MM-dd'T'HH:mm:ss")
-        ev = (F.when(k == 0, F.lit('"just text"'))
-              .when(k == 1, F.concat(F.lit('{"attributes":{"messageId":"'), F.col("message_id"),
-                                     F.lit('"}}')))
-              .when(k == 2, F.concat(F.lit('{"message":{"messageId":"'), F.col("message_id"),
-                                     F.lit('"}}')))
-              .otherwise(F.concat(F.lit('{"message":{"data":"'), F.col("data"),
-                                  F.lit('","messageId":"m'), F.col("message_id"),
-                                  F.lit('"},"attributes":{"messageId":"'), F.col("message_id"),
-                                  F.lit('","publishTime":"'), pt, F.lit('"}}'))))
-        return m.select(F.col("message_id").alias("event_id"), ev.alias("event"))
+        """Raw broker events (JSON text) around the alert messages."""
+        return envelopes_from_messages(alert_messages_from_events(self.t.events))
 
     @cached_property
     def route_legs(self) -> DataFrame:
@@ -494,3 +480,21 @@ def alert_messages_from_events(events: DataFrame) -> DataFrame:
     data = F.translate(F.base64(body.cast("binary")), "\r\n", "")
     return events.select(_str("event_id").alias("message_id"), F.col("ts").alias("publish_time"),
                          data.alias("data"))
+
+
+def envelopes_from_messages(m: DataFrame) -> DataFrame:
+    """Wrap broker messages into raw event JSON (batch or streaming): by
+    message id, not an object, attributes without a message, a message
+    without data, or a full envelope (data + ids + publish time)."""
+    k = F.col("message_id").cast("bigint") % 5
+    pt = F.date_format("publish_time", "yyyy-MM-dd'T'HH:mm:ss")
+    ev = (F.when(k == 0, F.lit('"just text"'))
+          .when(k == 1, F.concat(F.lit('{"attributes":{"messageId":"'), F.col("message_id"),
+                                 F.lit('"}}')))
+          .when(k == 2, F.concat(F.lit('{"message":{"messageId":"'), F.col("message_id"),
+                                 F.lit('"}}')))
+          .otherwise(F.concat(F.lit('{"message":{"data":"'), F.col("data"),
+                              F.lit('","messageId":"m'), F.col("message_id"),
+                              F.lit('"},"attributes":{"messageId":"'), F.col("message_id"),
+                              F.lit('","publishTime":"'), pt, F.lit('"}}'))))
+    return m.select(F.col("message_id").alias("event_id"), ev.alias("event"))

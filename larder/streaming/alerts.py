@@ -20,7 +20,7 @@ from larder.functions.bands import band_message, temperature_band
 from larder.operators.logistics import coldchain_reading_log
 from larder.schemas import DRIVER
 from larder.session import scratch_dir
-from larder.sources.fixtures import alert_messages_from_events
+from larder.sources.fixtures import alert_messages_from_events, envelopes_from_messages
 
 # Fixed texts and defaults of the reference's consumer.
 DEFAULTS = {"severity": "Unknown", "shipment_id": "Unknown Shipment", "temperature": "N/A",
@@ -195,6 +195,20 @@ def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           "text")
 
 
+ENVELOPE_OUT = ["event_id", "message_id", "publish_time", "alert_class", "severity",
+                "shipment_id", "temperature", "message", "text"]
+
+
+def alert_envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 over raw broker events as a Structured Streaming job: envelope
+    checks, then payload classification, into a table partitioned by
+    ``alert_class``. Returns the written table."""
+    env = envelopes_from_messages(alert_messages_from_events(_events_stream(spark, sf_dir)))
+    out = _run_to_parquet(classify_envelopes(env).select(*ENVELOPE_OUT), spark, "envelopes",
+                          "alert_class")
+    return spark.read.parquet(out).select(*ENVELOPE_OUT)
+
+
 def alert_producer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 -> H19 round trip as a stream: readings are banded, elevated and
     critical ones published as base64 JSON alerts, and the consumer

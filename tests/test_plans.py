@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-STREAMING = {"alert_stream", "alert_producer_stream", "readings_append_stream"}
+STREAMING = {"alert_stream", "alert_producer_stream", "readings_append_stream",
+             "alert_envelope_stream"}
 NAMES = sorted(set(E.queries()) - STREAMING)
 
 
