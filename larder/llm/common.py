@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.session import ensure_checkpoint_dir
 
@@ -57,7 +58,7 @@ def powers(of: int, n: int) -> np.ndarray:
     """of**0 .. of**(n-1) modulo 2**64."""
     have = _powers.get(of)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK), of, np.uint64)
+        have = np.full(max(1024, 2 * n), of, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
         _powers[of] = have
@@ -103,8 +104,8 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def _spans(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ink = ~_SPACE[data]
+def _spans(data: np.ndarray, row_starts: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ink = ~gap[data]
     begin, end = ink.copy(), ink.copy()
     begin[1:] &= ~ink[:-1]
     end[:-1] &= ~ink[1:]
@@ -128,22 +129,23 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of all rows. Long data are walked in pieces cut at white space,
-    so temporaries stay near CHUNK however long a row is."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
+    """Words of all rows; ``gap`` marks the bytes between words. Long data are
+    walked in pieces cut at gaps, so temporaries stay near CHUNK however long
+    a row is."""
     n, cuts = len(data), [0]
     while n - cuts[-1] > 2 * CHUNK:
         at = cuts[-1] + CHUNK
-        while at < n and not (gap := _SPACE[data[at:at + 4096]]).any():
+        while at < n and not (open_at := gap[data[at:at + 4096]]).any():
             at += 4096
-        cuts.append(min(n, at + int(gap.argmax()) if at < n else n))
+        cuts.append(min(n, at + int(open_at.argmax()) if at < n else n))
     if cuts[-1] < n or n == 0:
         cuts.append(n)
     hashes, starts, ends = [], [], []
     for a, b in zip(cuts, cuts[1:]):
         piece = data[a:b]
         rows = offsets[np.searchsorted(offsets, a):np.searchsorted(offsets, b)] - a
-        s, e = _spans(piece, rows)
+        s, e = _spans(piece, rows, gap)
         hashes.append(span_hashes(_LOWER[piece] if lower else piece, s, e))
         starts.append(s + a)
         ends.append(e + a)
@@ -164,3 +166,21 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 def sequence_hash(hashes: np.ndarray) -> int:
     """Hash of a whole short sequence; its length is part of it."""
     return int(window_hashes(hashes, len(hashes))[0]) ^ (len(hashes) * 0xA24BAED4963EE407 & _M64) if len(hashes) else 0
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int,
+                    most: int) -> DataFrame:
+    """Texts and labels to learn from: at most ``most`` labelled documents of
+    each class, by a hash of doc_id, none with crc32(doc_id) mod ``mod`` =
+    ``held``. The sample is small, so documents are filtered by a broadcast."""
+    known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
+             .filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) != held))
+    pick = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
+    return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            .join(F.broadcast(pick[0].union(pick[1])), "doc_id"))
+
+
+def held_out(mod: int, held: int):
+    """Whether a document's label may not be learned from; null ids: false."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) == held, F.lit(False))

@@ -162,8 +162,8 @@ def _squeeze(batches):
 def _cut(k: int, with_text: bool):
     """(doc_id, text without its repeats) rows. The kept words of a document
     with a repeat are joined by one space."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
-                        ("kept_sha256", pa.string()),
+    schema = pa.schema([("doc_id", pa.int64()), ("text_crc32", pa.int64()), ("n_words", pa.int64()),
+                        ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                         ("intervals", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                        + [("kept_text", pa.string())] * with_text)
 
@@ -182,7 +182,7 @@ def _cut(k: int, with_text: bool):
         intervals = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
         stay = np.flatnonzero(~gone[1:-1])
         joined = b" ".join([text[a:b] for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist())])
-        out = (n, n - len(stay), hashlib.sha256(joined).hexdigest(), intervals)
+        out = (zlib.crc32(text), n, n - len(stay), hashlib.sha256(joined).hexdigest(), intervals)
         return out + ((joined if intervals else text).decode("utf-8"),) * with_text
 
     def run(batches):
@@ -199,8 +199,8 @@ def _cut(k: int, with_text: bool):
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool = False,
                    range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, intervals (word positions,
-    maximal, [start, end)) and with ``with_text`` kept_text, one row per input
+    """doc_id, text_crc32, n_words, n_removed, kept_sha256, intervals (word
+    positions, maximal, [start, end)) and with ``with_text`` kept_text, one row per input
     row.
 
     kept_text is the untouched text when nothing is removed. Null text counts
@@ -217,7 +217,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool =
     repeats = (packed.groupBy("part").applyInArrow(_repeats_of_range, "doc_id long, sum int, starts binary")
                .groupBy("doc_id", "sum").agg(F.collect_list("starts").alias("lists")))
     squeezed = docs.mapInArrow(_squeeze, "doc_id long, sum int, packed binary")
-    schema = ("doc_id long, n_words long, n_removed long, kept_sha256 string, "
+    schema = ("doc_id long, text_crc32 long, n_words long, n_removed long, kept_sha256 string, "
               "intervals array<struct<start:int,end:int>>" + ", kept_text string" * with_text)
     return (squeezed.join(repeats, ["doc_id", "sum"], "left").select("doc_id", "packed", "lists")
             .mapInArrow(_cut(window, with_text), schema))
