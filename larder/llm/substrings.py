@@ -9,8 +9,9 @@ doc_id, or earlier in the same document. Words covered by repeats go.
    Entries are packed by hash range: per range one row with the document
    keys, and 8 bytes of hash and 2 to 4 of position per window.
 2. Each hash range finds the first occurrence of every hash and returns the
-   packed starts of all others.
-3. Per document these starts merge into maximal removal intervals.
+   starts of all others, packed by buckets of documents.
+3. Each bucket merges the starts of a document into maximal removal intervals,
+   and these are joined to the texts.
 
 Documents are told apart by doc_id and a checksum of their text. The hash has
 64 bits: n windows give about n**2 / 2**65 chance collisions.
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import row_chunks, utf8_column, window_hashes, words
+from larder.llm.common import mix, row_chunks, utf8_column, window_hashes, words
 
 WINDOW = 20
 #: Bytes of text whose windows one hash range holds, and one chunk of documents.
@@ -36,7 +37,9 @@ _NO_ID = np.iinfo(np.int64).max
 
 _PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary()), ("counts", pa.binary()),
                      ("starts", pa.binary()), ("hashes", pa.binary()), ("repeat", pa.bool_())])
-_STARTS = pa.schema([("doc_id", pa.int64()), ("sum", pa.int32()), ("starts", pa.binary())])
+_BUCKETS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary()), ("counts", pa.binary()),
+                      ("starts", pa.binary())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("sum", pa.int32()), ("spans", pa.binary())])
 
 
 def _ids(column) -> np.ndarray:
@@ -54,26 +57,38 @@ def _unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _entry(part, ids, sums, row, start, hashes, repeat):
-    """One packed row; ``row`` (ascending) points into the chunk's documents."""
+def _entry(ids, sums, row, start):
+    """Packed starts; ``row`` (ascending) points into the documents ``ids``, ``sums``."""
     docs, counts = np.unique(row, return_counts=True)
-    gaps = np.diff(start, prepend=np.int64(0))
-    gaps[np.concatenate([[0], np.cumsum(counts)[:-1]])] = start[np.concatenate([[0], np.cumsum(counts)[:-1]])]
-    return (part, _planes(np.diff(ids[docs], prepend=np.int64(0)), np.int64), _planes(sums[docs], np.uint32),
-            _planes(counts, np.uint32), _planes(gaps, np.uint32), hashes.tobytes(), repeat)
-
-
-def _unpacked_starts(counts: np.ndarray, gaps: np.ndarray) -> np.ndarray:
-    total = np.cumsum(gaps.astype(np.int64))
-    head = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    return total - np.repeat(total[head] - gaps[head], counts)
+    head = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    gaps = np.diff(start.astype(np.int64), prepend=np.int64(0))
+    gaps[head] = start[head]
+    return (_planes(np.diff(ids[docs], prepend=np.int64(0)), np.int64), _planes(sums[docs], np.uint32),
+            _planes(counts, np.uint32), _planes(gaps, np.uint32))
+
+
+def _unpacked(packed):
+    """Entries -> (ids, sums) of documents, and per window its document and start."""
+    docs, rows, starts, n_docs = [], [], [], 0
+    for ids, sums, counts, gaps in packed:
+        counts, gaps = _unplanes(counts, np.uint32), _unplanes(gaps, np.uint32)
+        docs.append((np.cumsum(_unplanes(ids, np.int64)), _unplanes(sums, np.uint32)))
+        rows.append(np.repeat(np.arange(n_docs, n_docs + len(counts), dtype=np.int32), counts))
+        total = np.cumsum(gaps.astype(np.int64))
+        head = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        starts.append((total - np.repeat(total[head] - gaps[head], counts)).astype(np.uint32))
+        n_docs += len(counts)
+    ids, sums = (np.concatenate(x) for x in zip(*docs))
+    return ids, sums, np.concatenate(rows), np.concatenate(starts)
 
 
 def _hash_windows(k: int, parts: int):
     def chunk(ids, offsets, data):
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        sums = np.array([zlib.crc32(data[offsets[r]:offsets[r + 1]]) for r in order], np.uint32)
+        sums = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets, offsets[1:])], np.uint32)
+        order = np.lexsort((sums, ids))
+        ids, sums = ids[order], sums[order]
+        fresh = np.append(True, (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1]))  # a repeated row counts once
+        order, ids, sums = order[fresh], ids[fresh], sums[fresh]
         w = words(data, offsets)
         grams = window_hashes(w.hash, k)
         n = np.maximum(w.counts[order] - k + 1, 0)
@@ -94,8 +109,8 @@ def _hash_windows(k: int, parts: int):
                 pick = here[later[here] == repeat]
                 if len(pick):
                     pick = pick[np.lexsort((start[pick], row[pick]))]
-                    yield _entry(int(p), ids, sums, row[pick], start[pick],
-                                 h[pick] if not repeat else h[:0], repeat)
+                    yield (int(p), *_entry(ids, sums, row[pick], start[pick]),
+                           (h[:0] if repeat else h[pick]).tobytes(), repeat)
 
     def run(batches):
         for batch in batches:
@@ -109,39 +124,63 @@ def _hash_windows(k: int, parts: int):
     return run
 
 
-def _repeats_of_range(key, table):
-    """All packed rows of one hash range -> starts of repeats per document."""
-    docs, rows, starts, hashes, sent = [], [], [], [], []
-    n_docs = 0
-    for ids, sums, counts, gaps, h, repeat in zip(*(table.column(i).to_pylist() for i in range(1, 7))):
-        counts = _unplanes(counts, np.uint32)
-        docs.append((np.cumsum(_unplanes(ids, np.int64)), _unplanes(sums, np.uint32)))
-        rows.append(np.repeat(np.arange(n_docs, n_docs + len(counts), dtype=np.int32), counts))
-        starts.append(_unpacked_starts(counts, _unplanes(gaps, np.uint32)).astype(np.uint32))
-        n_docs += len(counts)
-        sent.append(np.full(len(starts[-1]), repeat))
-        hashes.append(np.frombuffer(h, np.uint64))
-    ids, sums = (np.concatenate(x) for x in zip(*docs))
-    rows, starts, repeat, hashes = map(np.concatenate, (rows, starts, sent, hashes))
-    out = repeat.copy()
-    mine = np.flatnonzero(~repeat)
-    by = np.argsort(hashes, kind="stable")
-    h = hashes[by]
-    same = h[1:] == h[:-1]
-    busy = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-    if len(busy):
-        at, h = mine[by[busy]], h[busy]
-        inner = np.lexsort((starts[at], ids[rows[at]], h))
-        at, h = at[inner], h[inner]
-        head = np.maximum.accumulate(np.where(np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0, np.arange(len(h)), 0))
-        out[at[(ids[rows[at]] != ids[rows[at[head]]]) | (starts[at] != starts[at[head]])]] = True
-    at = np.flatnonzero(out)
-    rows, starts = rows[at], starts[at]
-    first = np.flatnonzero(np.diff(rows, prepend=-1)) if len(rows) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(rows))
-    packed = [_planes(starts[a:b], np.uint32) for a, b in zip(first, ends)]
-    return pa.table([pa.array(ids[rows[first]]), pa.array(sums[rows[first]].view(np.int32)), pa.array(packed, pa.binary())],
-                    schema=_STARTS)
+def _repeats_of_range(buckets: int):
+    """All packed rows of one hash range -> its repeats, packed again by
+    buckets of documents."""
+    def run(key, table):
+        *packed, hashes, repeat = (table.column(i).to_pylist() for i in range(1, 7))
+        ids, sums, rows, starts = _unpacked(zip(*packed))
+        out = np.concatenate([np.full(_unplanes(c, np.uint32).sum(), r) for c, r in zip(packed[2], repeat)])
+        hashes = np.frombuffer(b"".join(hashes), np.uint64)
+        mine = np.flatnonzero(~out)
+        by = np.argsort(hashes, kind="stable")
+        h = hashes[by]
+        same = h[1:] == h[:-1]
+        busy = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(h) else by
+        if len(busy):
+            at, h = mine[by[busy]], h[busy]
+            inner = np.lexsort((starts[at], ids[rows[at]], h))
+            at, h = at[inner], h[inner]
+            head = np.maximum.accumulate(np.where(np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0, np.arange(len(h)), 0))
+            out[at[(ids[rows[at]] != ids[rows[at[head]]]) | (starts[at] != starts[at[head]])]] = True
+        at = np.flatnonzero(out)
+        at = at[np.lexsort((starts[at], sums[rows[at]], ids[rows[at]]))]
+        # one entry per document and start, however often the row was repeated
+        docs, first = _documents(ids[rows[at]], sums[rows[at]])
+        row, start = docs, starts[at]
+        keep = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1]))[:len(row)]
+        ids, sums, row, start = ids[rows[at[first]]], sums[rows[at[first]]], row[keep], start[keep]
+        bucket = (mix(ids.view(np.uint64) ^ sums.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)[row] \
+            if len(ids) else row
+        by = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
+        cols = [(int(bucket[by[a]]), *_entry(ids, sums, row[by[a:b]], start[by[a:b]])) for a, b in zip(cut, cut[1:])]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*cols) if cols else [[]] * 5, _BUCKETS.types)],
+                        schema=_BUCKETS)
+    return run
+
+
+def _documents(ids: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For keys in order: number of the document, and where each begins."""
+    new = np.append(True, (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1]))[:len(ids)]
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _intervals(k: int):
+    """All starts of one bucket -> maximal removal intervals per document."""
+    def run(key, table):
+        ids, sums, rows, starts = _unpacked(zip(*(table.column(i).to_pylist() for i in range(1, 5))))
+        ids, sums = ids[rows], sums[rows]
+        by = np.lexsort((starts, sums, ids))
+        ids, sums, starts = ids[by], sums[by], starts[by].astype(np.int64)
+        doc, first = _documents(ids, sums)
+        begin = np.append(True, (doc[1:] != doc[:-1]) | (starts[1:] > starts[:-1] + k))
+        head = np.flatnonzero(begin)
+        spans = np.stack([starts[head], np.append(starts[head[1:] - 1], starts[-1:]) + k], 1).astype(np.int32)
+        cut = np.searchsorted(head, np.append(first, len(doc)))
+        return pa.table([pa.array(ids[first]), pa.array(sums[first].view(np.int32)),
+                         pa.array([spans[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], schema=_SPANS)
+    return run
 
 
 def _squeeze(batches):
@@ -167,20 +206,16 @@ def _cut(k: int, with_text: bool):
                         ("intervals", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                        + [("kept_text", pa.string())] * with_text)
 
-    def one(packed, lists):
+    def one(packed, spans):
         text = zstandard.ZstdDecompressor().decompress(packed)
         data = np.frombuffer(text, np.uint8)
         w = words(data, np.array([0, len(data)]))
         n = len(w.hash)
-        gone = np.zeros(n + 1, np.int32)
-        for b in lists or ():
-            s = _unplanes(b, np.uint32)
-            np.add.at(gone, s, 1)
-            np.add.at(gone, s + np.uint32(k), -1)
-        gone = np.concatenate([[False], np.cumsum(gone[:n]) > 0, [False]])
-        edge = np.flatnonzero(np.diff(gone.astype(np.int8)))
-        intervals = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-        stay = np.flatnonzero(~gone[1:-1])
+        intervals, gone = [], np.zeros(n, bool)
+        for a, b in np.frombuffer(spans or b"", np.int32).reshape(-1, 2).tolist():
+            intervals.append({"start": a, "end": b})
+            gone[a:b] = True
+        stay = np.flatnonzero(~gone)
         joined = b" ".join([text[a:b] for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist())])
         out = (zlib.crc32(text), n, n - len(stay), hashlib.sha256(joined).hexdigest(), intervals)
         return out + ((joined if intervals else text).decode("utf-8"),) * with_text
@@ -214,10 +249,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool =
     parts = 1 + int(total) // range_bytes
     packed = docs.mapInArrow(_hash_windows(window, parts),
                              "part int, ids binary, sums binary, counts binary, starts binary, hashes binary, repeat boolean")
-    repeats = (packed.groupBy("part").applyInArrow(_repeats_of_range, "doc_id long, sum int, starts binary")
-               .groupBy("doc_id", "sum").agg(F.collect_list("starts").alias("lists")))
+    repeats = (packed.groupBy("part").applyInArrow(_repeats_of_range(parts), "bucket int, ids binary, sums binary, "
+                                                   "counts binary, starts binary")
+               .groupBy("bucket").applyInArrow(_intervals(window), "doc_id long, sum int, spans binary"))
     squeezed = docs.mapInArrow(_squeeze, "doc_id long, sum int, packed binary")
     schema = ("doc_id long, text_crc32 long, n_words long, n_removed long, kept_sha256 string, "
               "intervals array<struct<start:int,end:int>>" + ", kept_text string" * with_text)
-    return (squeezed.join(repeats, ["doc_id", "sum"], "left").select("doc_id", "packed", "lists")
+    return (squeezed.join(repeats, ["doc_id", "sum"], "left").select("doc_id", "packed", "spans")
             .mapInArrow(_cut(window, with_text), schema))
