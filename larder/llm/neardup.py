@@ -8,9 +8,11 @@
    equal and a uniform prior, the similarity has a Beta(m+1, n-m+1)
    posterior; the pair is pruned once P(similarity >= threshold) falls below
    ``miss``. Survivors are confirmed on their whole sets.
-4. Buckets that still hold several components compare the members that the
-   smallest id doesn't cover, in blocks of bounded size; only pairs that pass
-   step 3 leave a task. No pair of different components goes untested.
+4. Buckets that still hold several components compare the rest of their
+   members, in pairs of blocks of bounded size. Pairs of one component are
+   skipped, and only confirmed links that join components leave a task, so a
+   block gives fewer links than it has members. No pair of different
+   components goes untested.
 
 A pair at the threshold shares no band with probability (1 - t**rows)**bands:
 5e-8 for 32 bands of 4 rows at 0.8.
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from larder.llm.common import mix, row_chunks, sequence_hash, utf8_column, window_hashes, words, written
 from larder.llm.components import connected_components
 
-BANDS, ROWS, BATCH, BLOCK = 32, 4, 16, 256
+BANDS, ROWS, BATCH = 32, 4, 16
+#: Members of a block, and shingles per member that a full block has room for.
+BLOCK, BLOCK_SHINGLES = 256, 1024
 MISS = 1e-7
 
 _A = mix(np.arange(1, 4096, dtype=np.uint64)) | np.uint64(1)
@@ -138,22 +142,48 @@ def _prune(n: int, bounds):
     return run
 
 
-def _within(n: int, rows: int, bounds):
-    """Rows sorted by group (bucket, side a, side b) -> plausible pairs of
-    different components. A pair that agrees on several bands is left to the
-    first of them."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole sets reach the threshold."""
+    a = sets.select(F.col("id").alias("u"), F.col("members").alias("a"))
+    b = sets.select(F.col("id").alias("v"), F.col("members").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return (pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), F.size("a").alias("na"),
+                                                   F.size("b").alias("nb"))
+            .filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("u", "v"))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets (distinct members) reach the threshold."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _within(n: int, rows: int, bounds, percent: int):
+    """Rows sorted by group (bucket, side a, side b) -> confirmed links that
+    join two components; at most one fewer than the group has members. A pair
+    that agrees on several bands is left to the first of them."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def pairs(band, ids, comp, sig, left, right):
-        earlier = sig[:, :band * rows].reshape(len(ids), band, rows) if band else None
+    def links(band, ids, comp, sig, sets, left, right, root):
+        earlier = sig[:, :band * rows].reshape(len(ids), band, rows)
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
         for i in np.flatnonzero(left):
             other = np.flatnonzero(right & (comp != comp[i]) & (ids > ids[i]))
             if band and len(other):
-                met = (earlier[other] == earlier[i]).all(2).any(1)
-                other = other[~met]
+                other = other[~(earlier[other] == earlier[i]).all(2).any(1)]
             if len(other):
-                got = other[plausible(np.broadcast_to(sig[i], (len(other), n)), sig[other], bounds)]
-                yield np.full(len(got), ids[i]), ids[got]
+                for j in other[plausible(np.broadcast_to(sig[i], (len(other), n)), sig[other], bounds)].tolist():
+                    a, b = find(int(comp[i])), find(int(comp[j]))
+                    if a != b and _similar(sets[i], sets[j], percent):
+                        root[max(a, b)] = min(a, b)
+                        yield int(ids[i]), int(ids[j])
 
     def run(batches):
         def groups():
@@ -168,39 +198,25 @@ def _within(n: int, rows: int, bounds):
             if held is not None and held.num_rows:
                 yield held
 
-        us, vs = [], []
+        out = []
         for t in groups():
-            side = np.array(t.column(1))
-            ids, comp = np.array(t.column(2)), np.array(t.column(3))
-            one = t.column(5)[0].as_py()
-            sig, band = _matrix(t.column(4), n), t.column(6)[0].as_py()
+            side, ids, comp = (np.array(t.column(i)) for i in (1, 2, 3))
+            one, band = t.column(6)[0].as_py(), t.column(7)[0].as_py()
+            sig, members = _matrix(t.column(4), n), t.column(5).combine_chunks()
+            at, values = np.array(members.offsets), np.array(members.values)
+            sets = [values[a:b] for a, b in zip(at, at[1:])]
+            root = {}
             # in a group of two blocks the smaller id can be on either side
             for left, right in [(side == 0, side == 0)] if one else [(side == 0, side == 1), (side == 1, side == 0)]:
-                for u, v in pairs(band, ids, comp, sig, left, right):
-                    us.append(u)
-                    vs.append(v)
-            if len(us) > 4096:
-                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=schema)
-                us, vs = [], []
-        if us:
-            yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=schema)
+                out += links(band, ids, comp, sig, sets, left, right, root)
+            if len(out) > 4096:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold. Sets are made again from
-    the texts, for the documents in ``pairs`` only."""
-    need = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = (docs.join(need, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, members array<long>"))
-    sets = written(sets.dropDuplicates(["id"]), "sets")
-    a = sets.select(F.col("id").alias("u"), F.col("members").alias("a"))
-    b = sets.select(F.col("id").alias("v"), F.col("members").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return (pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), F.size("a").alias("na"),
-                                                   F.size("b").alias("nb"))
-            .filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("u", "v"))
-
-
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS,
                     rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
@@ -222,13 +238,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # one row of each class, with its signature
     reps = written(usable.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"],
-                               "left_semi").dropDuplicates(["set_key"]).select(F.col("doc_id").alias("id"), "sig"),
+                               "left_semi").dropDuplicates(["set_key"])
+                   .select(F.col("doc_id").alias("id"), "n_shingles", "sig"),
                    "classes")
     shared = (usable.join(classes, "set_key").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u"))
               .filter("u > v").select("u", "v"))
 
     width = 4 * rows
-    buckets = reps.select("id", F.posexplode(F.expr(
+    buckets = reps.select("id", "n_shingles", F.posexplode(F.expr(
         f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"
     )).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head < tail")
@@ -237,17 +254,23 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
 
     sig_u, sig_v = reps.select(F.col("id").alias("u"), F.col("sig").alias("su")), \
         reps.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
+    # whole sets, made again from the texts of documents that met another;
+    # a merge at any size, since that share of the texts grows with the input
+    need = met.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    sets = written(docs.join(need, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, members array<long>")
+                   .dropDuplicates(["id"]), "sets")
     near_head = met.filter("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     first = written(near_head.join(sig_u, "u").join(sig_v, "v").select("u", "v", "su", "sv")
                     .mapInArrow(_prune(n, bounds), "u long, v long"), "pairs")
-    links = written(_confirmed(docs, first, shingle, percent).union(shared), "links")
+    links = written(_confirmed(first, sets, percent).union(shared), "links")
     parts = connected_components(links)
 
     # buckets whose members, besides the head, lie in several components
     known = (met.filter("id <> head").join(parts.withColumnRenamed("node", "id"), "id", "left")
-             .select("bucket", "band", "id", F.coalesce("component", "id").alias("comp")))
-    mixed = (known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-             .filter("lo < hi").select("bucket", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+             .select("bucket", "band", "id", "n_shingles", F.coalesce("component", "id").alias("comp")))
+    weight = F.greatest(F.count("*") / block, F.sum("n_shingles") / (block * BLOCK_SHINGLES))
+    mixed = (known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), weight.alias("w"))
+             .filter("lo < hi").select("bucket", F.ceil("w").cast("int").alias("blocks")))
     rest = written(known.join(mixed, "bucket")
                    .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "rest")
     one = rest.select(F.xxhash64("bucket", "mine", "mine").alias("g"), F.lit(0).alias("side"), "id", "comp",
@@ -257,10 +280,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
            .select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"),
                    (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "comp",
                    F.lit(False).alias("one"), "band"))
-    dealt = (one.union(two).join(reps, "id").select("g", "side", "id", "comp", "sig", "one", "band")
+    dealt = (one.union(two).join(reps.select("id", "sig"), "id").join(sets, "id")
+             .select("g", "side", "id", "comp", "sig", "members", "one", "band")
              .repartition("g").sortWithinPartitions("g"))
-    second = written(dealt.mapInArrow(_within(n, rows, bounds), "u long, v long").distinct(), "pairs")
-    more = _confirmed(docs, second, shingle, percent)
+    more = dealt.mapInArrow(_within(n, rows, bounds, percent), "u long, v long")
     joined = written(more.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))), "links")
     parts = connected_components(joined).withColumnRenamed("node", "rep")
 

@@ -73,15 +73,20 @@ def test_members_that_the_head_does_not_cover_still_meet():
     n, rows = 8, 2
     sig = np.tile(np.arange(n, dtype=np.uint32), (6, 1))
     sig[3:, 2:] = 99  # three of one kind, three of another; all agree on band 0
-    t = pa.record_batch([pa.array([1] * 6), pa.array([0, 0, 0, 1, 1, 1], pa.int32()), pa.array([1, 2, 3, 4, 5, 6]),
-                         pa.array([1, 2, 3, 4, 5, 6]), pa.array([s.tobytes() for s in sig]), pa.array([False] * 6),
-                         pa.array([0] * 6, pa.int32())], names=list("abcdefg"))
-    bounds = neardup.least_matches(n, 4, 0.8, 1e-3)
-    across = [p for b in neardup._within(n, rows, bounds)(iter([t])) for p in zip(*(c.to_pylist() for c in b.columns))]
-    assert across == []  # the sides share two of eight minima
-    t = t.set_column(1, "b", pa.array([0] * 6, pa.int32())).set_column(5, "f", pa.array([True] * 6))
-    inside = [p for b in neardup._within(n, rows, bounds)(iter([t])) for p in zip(*(c.to_pylist() for c in b.columns))]
-    assert sorted(inside) == [(1, 2), (1, 3), (2, 3), (4, 5), (4, 6), (5, 6)]
+    sets = [list(range(10))] * 2 + [list(range(1, 20))] + [list(range(30, 40))] * 3
+
+    def run(side, one, comp):
+        t = pa.record_batch([pa.array([1] * 6), pa.array(side, pa.int32()), pa.array([1, 2, 3, 4, 5, 6]), pa.array(comp),
+                             pa.array([s.tobytes() for s in sig]), pa.array(sets, pa.list_(pa.int64())),
+                             pa.array([one] * 6), pa.array([0] * 6, pa.int32())], names=list("abcdefgh"))
+        bounds = neardup.least_matches(n, 4, 0.8, 1e-3)
+        return sorted(p for b in neardup._within(n, rows, bounds, 80)(iter([t]))
+                      for p in zip(*(c.to_pylist() for c in b.columns)))
+
+    assert run([0, 0, 0, 1, 1, 1], False, [1, 2, 3, 4, 5, 6]) == []  # the sides share two of eight minima
+    # 3 looks like 1 and 2 but its set doesn't; 5-6 is not needed once 4-5 and 4-6 are
+    assert run([0] * 6, True, [1, 2, 3, 4, 5, 6]) == [(1, 2), (4, 5), (4, 6)]
+    assert run([0] * 6, True, [1, 1, 3, 4, 4, 6]) == [(4, 6)]
 
 
 def test_bounds_prune_at_the_chosen_miss_probability():
