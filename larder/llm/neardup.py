@@ -34,7 +34,7 @@ from larder.llm.components import connected_components
 
 BANDS, ROWS, BATCH = 32, 4, 16
 #: Members of a block, and shingles per member that a full block has room for.
-BLOCK, BLOCK_SHINGLES = 256, 1024
+BLOCK, BLOCK_SHINGLES = 1024, 1024
 MISS = 1e-7
 
 _A = mix(np.arange(1, 4096, dtype=np.uint64)) | np.uint64(1)
