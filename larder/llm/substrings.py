@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.common import mix, row_chunks, utf8_column, window_hashes, words
 
@@ -185,7 +186,7 @@ def _intervals(k: int):
 
 def _squeeze(batches):
     """Adds the checksum; texts travel through the shuffle compressed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sum", pa.int32()), ("packed", pa.binary())])
+    names = ["doc_id", "sum", "packed", "carried"]
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         offsets, data = utf8_column(batch.column(1))
@@ -195,7 +196,7 @@ def _squeeze(batches):
             sums.append(zlib.crc32(text))
             packed.append(pack.compress(text))
         yield pa.record_batch([pa.array(_ids(batch.column(0))), pa.array(np.array(sums, np.uint32).view(np.int32)),
-                               pa.array(packed, pa.binary())], schema=schema)
+                               pa.array(packed, pa.binary()), batch.column(2)], names=names)
 
 
 def _cut(k: int, with_text: bool):
@@ -228,14 +229,16 @@ def _cut(k: int, with_text: bool):
                 cols = list(zip(*[one(p, s) for p, s in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]))
                 mine = ids[lo:lo + 256]
                 yield pa.record_batch([pa.array(mine, mask=mine == _NO_ID),
-                                       *(pa.array(c, t) for c, t in zip(cols, schema.types[1:]))], schema=schema)
+                                       *(pa.array(c, t) for c, t in zip(cols, schema.types[1:])), some.column(3)],
+                                      names=[*schema.names, "carried"])
     return run
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool = False,
-                   range_bytes: int = RANGE_BYTES) -> DataFrame:
+                   range_bytes: int = RANGE_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text_crc32, n_words, n_removed, kept_sha256, intervals (word
-    positions, maximal, [start, end)) and with ``with_text`` kept_text, one row per input
+    positions, maximal, [start, end)), carried (a struct of was_null, whether
+    the text was null, and the input columns in ``carry``) and with ``with_text`` kept_text, one row per input
     row.
 
     kept_text is the untouched text when nothing is removed. Null text counts
@@ -244,16 +247,20 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool =
     doc_id sorts after all others. An empty table gives an empty result; other
     columns are not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                            F.struct(F.col("text").isNull().alias("was_null"), *carry).alias("carried"))
+    texts = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(total) // range_bytes
-    packed = docs.mapInArrow(_hash_windows(window, parts),
+    packed = texts.mapInArrow(_hash_windows(window, parts),
                              "part int, ids binary, sums binary, counts binary, starts binary, hashes binary, repeat boolean")
     repeats = (packed.groupBy("part").applyInArrow(_repeats_of_range(parts), "bucket int, ids binary, sums binary, "
                                                    "counts binary, starts binary")
                .groupBy("bucket").applyInArrow(_intervals(window), "doc_id long, sum int, spans binary"))
-    squeezed = docs.mapInArrow(_squeeze, "doc_id long, sum int, packed binary")
-    schema = ("doc_id long, text_crc32 long, n_words long, n_removed long, kept_sha256 string, "
-              "intervals array<struct<start:int,end:int>>" + ", kept_text string" * with_text)
-    return (squeezed.join(repeats, ["doc_id", "sum"], "left").select("doc_id", "packed", "spans")
+    kind = docs.schema["carried"]
+    squeezed = docs.mapInArrow(_squeeze, T.StructType.fromDDL("doc_id long, sum int, packed binary").add(kind))
+    schema = T.StructType.fromDDL(
+        "doc_id long, text_crc32 long, n_words long, n_removed long, kept_sha256 string, "
+        "intervals array<struct<start:int,end:int>>" + ", kept_text string" * with_text).add(kind)
+    return (squeezed.join(repeats, ["doc_id", "sum"], "left").select("doc_id", "packed", "spans", "carried")
             .mapInArrow(_cut(window, with_text), schema))

@@ -1,0 +1,229 @@
+"""The other operators: brute force, round trips, held-out accuracy, odd rows."""
+
+import collections
+import zlib
+
+import numpy as np
+import pytest
+
+from larder.llm import chat, decontam, hostrules, licenses, packing, quality, sharding, substrings, toxicity
+from larder.llm.common import read_table
+
+from conftest import SF_SMALL
+
+ODD = [(1, None, "s"), (2, "", "s"), (None, "no id", None), (None, None, None), (4, " \n\t", "s"), (5, "é ß 漢字 " * 3000, "s"),
+       (6, "twice", "t"), (6, "twice", "t")]
+SCHEMA = "doc_id long, text string, source string, shard int, score string, kept int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, 1, "x", 1) for r in ODD], SCHEMA).repartition(2)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return read_table(spark, SF_SMALL, "documents")
+
+
+def brute_shards(rows, shards):
+    total, at, out = sum(r.size for r in rows), 0, {}
+    for r in rows:
+        out[r.doc_id] = min(shards - 1, (2 * at + r.size) * shards // (2 * total))
+        at += r.size
+    return out
+
+
+def test_shards_are_equal_stretches_of_the_key_order(spark, documents):
+    hot = documents.select("doc_id", "text").union(spark.range(1000, 1200).selectExpr("id", "'the same text' as text"))
+    got = sharding.shard(hot, 7).collect()
+    rows = sharding.records(hot).orderBy("key", "doc_id").collect()
+    assert {r.doc_id: r.shard for r in got} == brute_shards(rows, 7)
+    text = {r.doc_id: r.text for r in hot.collect()}
+    assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r["size"] == len(text[r.doc_id].encode()) + 1 for r in got)
+    for shard in range(7):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def test_odd_shards(odd, none):
+    got = sharding.shard(odd, 3).collect()
+    assert len(got) == len(ODD) and {r["size"] for r in got if r.doc_id == 1} == {1}
+    assert len({(r.shard, r.slot) for r in got}) == len(ODD) and sharding.shard(none, 3).count() == 0
+
+
+def test_licences(spark, none, odd):
+    mit = licenses.LICENSES[0][1]
+    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,")), (2, mit + " and more"),
+            (3, "text\n  licenced under the Apache Licence, version 2.0\nmore"), (4, "Licensed under CC BY-NC 4.0. Really.")]
+    got = {r.doc_id: (r.license_id, r.notices) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", []), 2: (None, []), 3: (None, ["Apache-2.0"]), 4: (None, [])}
+    assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(none).count() == 0
+
+
+def test_packing_places_every_piece_once(spark, documents, odd, none):
+    lengths = packing.word_lengths(documents.union(documents))
+    want = {(r.doc_id, r.tokens): r["count"] for r in lengths.groupBy("doc_id", "tokens").count().collect()}
+    got = packing.pack(lengths, group_pieces=50).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.group_id, r.bin_id].append(r)
+    for pieces in bins.values():
+        pieces.sort(key=lambda r: r.offset)
+        assert pieces[0].offset == 0 and all(a.offset + a.length == b.offset for a, b in zip(pieces, pieces[1:]))
+        used = pieces[-1].offset + pieces[-1].length
+        assert {r.bin_used for r in pieces} == {used}
+        assert {r.capacity for r in pieces} == {min(c for c in packing.LENGTHS if c >= used)}
+    tokens = collections.Counter()
+    for r in got:
+        tokens[r.doc_id] += r.length
+    assert tokens == collections.Counter({d: t * n for (d, t), n in want.items()})
+    assert packing.pack(packing.word_lengths(odd)).count() == len(ODD) + 2 and packing.pack(packing.word_lengths(none)).count() == 0
+
+
+def test_best_fit_takes_the_tightest_bin_and_the_cheapest_length():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        sizes = sorted(rng.integers(1, 4097, 60).tolist(), reverse=True)
+        places, capacity, used = packing.best_fit(sizes)
+        opened, fill, left = [], [], sum(sizes)
+        for size, (b, offset) in zip(sizes, places):  # again by exhaustive search
+            rooms = [c - f for c, f in zip(opened, fill) if c - f >= size]
+            if rooms:
+                assert b < len(opened) and opened[b] - fill[b] == min(rooms)
+            else:
+                assert b == len(opened)
+                fit = [c for c in packing.LENGTHS if c >= size]
+                opened.append(min(fit, key=lambda c: (packing.sequence_cost(c) / min(c, left), c)))
+                fill.append(0)
+            assert offset == fill[b]
+            fill[b] += size
+            left -= size
+        assert used == fill and capacity == [min(c for c in packing.LENGTHS if c >= f) for f in fill]
+
+
+def test_retrieval_equals_scoring_every_item(documents, spark):
+    items = [(r.item_id, r.text) for r in read_table(spark, SF_SMALL, "benchmark").collect()]
+    index = decontam.build_index(items, 64)
+    rng = np.random.default_rng(2)
+    for least in (0.05, 0.3, 0.6):
+        for _ in range(40):
+            terms = np.unique(rng.integers(0, len(index.terms), rng.integers(1, 60)))
+            score = np.zeros(len(items))
+            for t in terms:
+                for p in range(index.at[t], index.at[t + 1]):
+                    score[index.item[p]] += index.share[p]
+            got, share = decontam.retrieve(index, terms, least)
+            assert got.tolist() == np.flatnonzero(score >= least - 1e-9).tolist() and np.allclose(share, score[got])
+
+
+def test_leaks(spark, odd, none):
+    items = [(1, "Which river runs through the old town of the seven bridges? The slow green Avon."),
+             (2, "Seven short words stand in this sentence. Nothing else follows here at all today."), (3, None), (4, "!")]
+    filler = " ".join(f"filler{i}" for i in range(150))
+    rows = [(10, f"{filler} {items[0][1].upper()} {filler}"), (11, f"{filler} {items[0][1][:60]} {filler}"),
+            (12, filler), (13, items[1][1] + " " + filler), (14, None), (15, f"{filler} {items[1][1]}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(10, 1), (13, 2), (15, 2)]
+    split = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, index_items=1)
+    assert sorted((r.doc_id, r.item_id) for r in split.collect()) == [(10, 1), (13, 2), (15, 2)]
+    assert decontam.leaks(odd, bench).count() == 0 == decontam.leaks(none, bench).count()
+    assert decontam.leaks(odd, bench.limit(0)).count() == 0
+
+
+def test_prefix_trees_read_back(spark):
+    texts = ["", "hi", "</s>[INST] ok [/INST]", "a\\[b<\\", " blanks ", "<<SYS>>", "\n", None]
+    rows = [(c, t, ["system", "user", "assistant", "tool<x>", None][(c * 3 + t) % 5], texts[(c // 4 + t * t) % 8])
+            for c in range(60) for t in range(1 + c % 5)]
+    rows += [(100 + c, t, "user", "hot") for c in range(40) for t in range(2)]
+    rows += [(200 + c, t, "user", "hot" if t == 0 else f"own {c}") for c in range(40) for t in range(3)]
+    rows += [(None, 0, "user", "no id"), (300, None, "user", "no turn")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    convs = chat.conversation_turns(df)
+    nodes = chat.prefix_trees(convs, limit=8)
+    back = {bytes(r.leaf): r for r in chat.read_back(nodes).collect()}
+    want = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want[r[0]].append((r[2] or "", r[3] or ""))
+    import hashlib
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = convs.collect()
+    assert {r.conv_id for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        b, turns = back[bytes(r.leaf)], want[r.conv_id]
+        learned = "".join(t for role, t in turns if role == "assistant")
+        assert (b.n_turns, b.turns_sha256, b.loss_chars, b.loss_sha256) == \
+            (len(turns), sha("".join(f"{role}\n{t}\n" for role, t in turns)), len(learned), sha(learned))
+        assert b.formatted_chars == len(chat.BEGIN + "".join(chat.format_turn(*t)[0] for t in turns))
+    for r in nodes.collect():  # positions count the tokens of all ancestors
+        assert r.position_start == sum(a.end - a.start for a in r.ancestors) and r.seq_end - r.seq_start == len(r.text)
+    assert chat.read_back(chat.prefix_trees(chat.conversation_turns(df.limit(0)))).count() == 0
+
+
+def test_hosts(spark, odd, none):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words, "good") for i in range(40)] + [(100 + i, "short", "bad") for i in range(40)] + [(200, words, "bad"), (201, words, None)]
+    got = {r.doc_id: r for r in hostrules.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].kept and not got[200].base_failed and not got[200].kept and got[201].kept and not got[100].kept
+    assert hostrules.host_quality(odd).count() == len(ODD) and hostrules.host_quality(none).count() == 0
+
+
+def test_forward_backward_equals_enumeration():
+    import itertools
+    rng = np.random.default_rng(3)
+    score, trans, first = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([0, 4, 5, 9])
+    good, pairs, z = quality.marginals(score, trans, first)
+    all_pairs = np.zeros((2, 2))
+    for r, (a, b) in enumerate(zip(first, first[1:])):
+        mass, ones = 0.0, np.zeros(b - a)
+        counts = np.zeros((2, 2))
+        for path in itertools.product((0, 1), repeat=int(b - a)):
+            p = np.exp(sum(score[a + i] * s for i, s in enumerate(path)) + sum(trans[x, y] for x, y in zip(path, path[1:])))
+            mass += p
+            ones += p * np.array(path)
+            for x, y in zip(path, path[1:]):
+                counts[x, y] += p
+        assert np.allclose(good[a:b], ones / mass) and np.isclose(z[r], np.log(mass))
+        all_pairs += counts / mass
+    assert np.allclose(pairs, all_pairs)
+
+
+@pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
+def test_classifiers_learn_and_leave_held_out_labels(spark, operator, odd, none):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    rows = []
+    for i in range(900):
+        bad = i % 3 == 0
+        lines = [" ".join(word() for _ in range(12)) for _ in range(3)]
+        if bad:
+            lines[1] = "ZAP ## zapper %% || " * 3
+        rows.append((i, "\n".join(lines), int(not bad), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    label = operator.__name__ == "toxicity" and "toxic" or "quality"
+    labels = docs.select("doc_id", *[c for c in ("quality", "toxic")])
+    got = operator(docs, labels).collect()
+    truth = {r[0]: r[3] if label == "toxic" else r[2] for r in rows}
+    mod, held = (4, 2) if label == "toxic" else (3, 1)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == held) for r in got)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+    plain = operator(odd, labels.limit(0)).collect()
+    assert len(plain) == len(ODD) and len({r.score for r in plain}) == 1
+    assert len(operator(odd.drop("score"), labels).collect()) == len(ODD) and operator(none, labels).count() == 0
+
+
+def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents):
+    import corpus_pipeline
+    docs = documents.withColumn("carried", documents["source"])
+    cut = corpus_pipeline.cut_repeats(spark, docs, SF_SMALL)
+    assert cut.schema == docs.schema or [f.dataType for f in cut.schema] == [f.dataType for f in docs.schema]
+    want = {r.doc_id: r.kept_text for r in substrings.remove_repeats(documents, with_text=True).collect()}
+    assert {r.doc_id: r.text for r in cut.collect()} == want
+    out = corpus_pipeline.run(spark, SF_SMALL)
+    assert 0 < out.select("doc_id").distinct().count() <= documents.count()
