@@ -34,16 +34,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that also start earlier go; n_chars
     follows. A document of which nothing is left stays as an empty one."""
-    cut = (substrings.remove_repeats(docs, with_text=True).filter("n_removed > 0")
-           .groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_sum"))
-           .agg(F.first("kept_text").alias("_text")))
-    crc = F.crc32(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8"))
-    out = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (crc == F.col("_sum")), "left")
-    changed = F.col("_text").isNotNull()
-    new = {"text": F.when(changed, F.col("_text")).otherwise(docs["text"])}
+    cut = substrings.remove_repeats(docs, with_text=True, carry=tuple(c for c in docs.columns if c != "text"))
+    text = F.when(~F.col("carried.was_null"), F.col("kept_text"))
+    new = {c: F.col("carried").getField(c) for c in docs.columns if c != "text"} | {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return out.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)) \
+            .otherwise(new["n_chars"])
+    return cut.select(*[new[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
