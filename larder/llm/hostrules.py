@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import row_chunks, span_hashes, utf8_column, window_hashes, words
+from larder.llm.common import row_chunks, span_hashes, utf8_column, window_hashes, words, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 50, 50
@@ -108,16 +108,16 @@ def host_rates(stats: DataFrame) -> DataFrame:
     the prior's strength s = m(1-m)/v - 1, kept between 1 and 1e6 (one host,
     or hosts all alike: 1e6; an undefined one: 1). Rate = (n_failed + m s) / (n_docs + s).
     """
-    hosts = (stats.filter("host is not null").groupBy("host")
-             .agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
+    hosts = written(stats.filter("host is not null").groupBy("host")
+                    .agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "hosts")
     share = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(share).alias("m"), F.var_samp(share).alias("v")).select(
         "m", F.when(F.coalesce("v", F.lit(0.0)) <= 1e-12, F.lit(1e6)).otherwise(
             F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.expr("m * (1 - m) / v - 1")))).alias("s"))
-    # one row: a broadcast of two numbers
-    return hosts.join(F.broadcast(prior), F.lit(True)).select(
-        "host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("m") * F.col("s"))
-                                       / (F.col("n_docs") + F.col("s"))).alias("shrunk_rate"))
+    m, strength = prior.first()
+    m, strength = F.lit(m).cast("double"), F.lit(strength).cast("double")
+    return hosts.select("host", "n_docs", "n_failed",
+                        ((F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)).alias("shrunk_rate"))
 
 
 def host_quality(documents: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
