@@ -71,7 +71,7 @@ def duration_seconds(c: str | Column) -> Column:
 
     '1h2m3s' -> 3723, '1h5s' -> 3605, '90s' -> 90, '2m5s' -> 125; text
     without an 's' (null, '', '1h', '2h', 'x') -> 0; text with an 's' that
-    is not of the form [Hh][Mm][S]s -> null.
+    is not of the form [Hh][Mm][S]s, or whose sum exceeds 64 bits -> null.
 
     One regex checks the form; the parts are then cut with plain string
     functions (a regex per part costs several times more per row).
@@ -89,6 +89,7 @@ def duration_seconds(c: str | Column) -> Column:
     hours = F.when(has_h, num(F.substring_index(t, "h", 1))).otherwise(F.lit(0))
     minutes = F.when(has_m, num(F.substring_index(rest, "m", 1))).otherwise(F.lit(0))
     seconds = num(F.substring_index(secs_txt, "s", 1))
-    total = (hours * 3600 + minutes * 60 + seconds).cast("bigint")
+    total = F.try_add(F.try_add(F.try_multiply(hours, F.lit(3600).cast("bigint")),
+                                F.try_multiply(minutes, F.lit(60).cast("bigint"))), seconds).cast("bigint")
     return (F.when(s.isNull() | ~s.contains("s"), F.lit(0).cast("bigint"))
             .when(s.rlike(DURATION_PATTERN), total))

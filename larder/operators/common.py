@@ -78,6 +78,12 @@ def pattern_keys(req: DataFrame, optional: Sequence[str]) -> DataFrame:
     return req
 
 
+def requested(facts: DataFrame, req: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Facts of the keys that some request names; a small request table cuts
+    the facts before any expand, window or aggregate."""
+    return facts.join(req.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def topk(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequence[Column],
          k: int, rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows per partition, numbered 1..k in ``rank_col``."""

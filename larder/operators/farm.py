@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_date, parse_float, parse_int
-from larder.operators.common import expand_optional, normalise_optional, pattern_keys, topk
+from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
+                                     requested, topk)
 from larder.operators.validate import missing_fields, required_message
 from larder.sources.requests import value_or_default
 
@@ -55,7 +56,7 @@ def harvest_log(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
         missing_fields(["farm_id", "product_id", "harvested_quantity_kg", "harvest_date"],
                        {"farm_id": F.col("farm_id"), "product_id": F.col("product_id"),
                         "harvested_quantity_kg": F.col("quantity_text"),
-                        "harvest_date": F.col("date_text")}).alias("missing"),
+                        "harvest_date": F.col("date_text")}, r).alias("missing"),
         parse_date("date_text").alias("_d"), parse_int("quantity_text").alias("_q"),
         est.alias("_est_t"), parse_int(est).alias("_est"), qs.alias("_qs_t"),
         parse_float(qs).alias("_qs"), pd_.alias("_pd_t"), parse_date(pd_).alias("_pd"))
@@ -110,7 +111,7 @@ def qc_issue_log(reports: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     r = r.select(
         "*",
         missing_fields(["farm_id", "issue_type"],
-                       {"farm_id": F.col("farm_id"), "issue_type": _opt(r, "issue_type")})
+                       {"farm_id": F.col("farm_id"), "issue_type": _opt(r, "issue_type")}, r)
         .alias("missing"),
         F.when(d_text.isNull(), _date(as_of)).otherwise(parse_date(d_text)).alias("_d"),
         aff.alias("_aff_t"), parse_int(aff).alias("_aff"))
@@ -267,7 +268,9 @@ def advice_farm_profile(req: DataFrame, farms: DataFrame) -> DataFrame:
 def pickup_feasibility(req: DataFrame, harvests: DataFrame) -> DataFrame:
     """H4: a pickup is feasible when the farm harvested at least the asked
     kilograms of the product on or after ``requested_date - 7`` (no upper
-    bound, as in the reference).
+    bound, as in the reference). Date and quantity may be text; a request with
+    a missing field, a bad date or a bad quantity gets one row with status
+    'error' and the first failing check's message.
 
     Harvests are summed per (farm, product, day) first. Distinct request
     thresholds are merged into the same per-(farm, product) stream, sorted
@@ -277,12 +280,15 @@ def pickup_feasibility(req: DataFrame, harvests: DataFrame) -> DataFrame:
     thresholds) rows - no range join, no per-request scan.
     """
     keys = ["farm_id", "product_id"]
-    daily = (harvests.groupBy(*keys, F.col("harvest_date").alias("d"))
+    fields = [*keys, "quantity_kg", "requested_date"]
+    r = req.select("request_id", *keys,
+                   missing_fields(fields, {f: F.col(f) for f in fields}, req).alias("_miss"),
+                   parse_date("requested_date").alias("_d"), parse_int("quantity_kg").alias("_q")) \
+        .withColumn("t", F.date_sub("_d", PICKUP_WINDOW_DAYS))
+    daily = (requested(harvests, r, keys).groupBy(*keys, F.col("harvest_date").alias("d"))
              .agg(F.sum("harvested_quantity_kg").alias("kg"))
              .withColumn("side", F.lit(1)))
-    req = req.withColumn("t", F.date_sub(F.col("requested_date").cast("date"),
-                                         PICKUP_WINDOW_DAYS))
-    thr = (req.select(*keys, F.col("t").alias("d")).distinct()
+    thr = (r.select(*keys, F.col("t").alias("d")).distinct()
            .withColumn("kg", F.lit(None).cast("bigint")).withColumn("side", F.lit(0)))
     w = (Window.partitionBy(*keys).orderBy(F.col("d").desc(), F.col("side").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -290,16 +296,21 @@ def pickup_feasibility(req: DataFrame, harvests: DataFrame) -> DataFrame:
              .withColumn("avail", F.sum(F.coalesce(F.col("kg"), F.lit(0))).over(w))
              .filter(F.col("side") == 0)
              .select(*keys, F.col("d").alias("t"), "avail"))
-    out = req.join(avail, keys + ["t"], "left")
+    out = r.join(avail, keys + ["t"], "left")
     available = F.coalesce(F.col("avail"), F.lit(0)).cast("bigint")
-    q = F.col("quantity_kg").cast("bigint")
-    ok = available >= q
+    q = F.col("_q")
+    error = (F.when(F.size("_miss") > 0, required_message("_miss"))
+             .when(F.col("_d").isNull(), F.lit("Invalid requested_date format. Expected YYYY-MM-DD."))
+             .when(q.isNull(), F.lit("Invalid format for quantity_kg. Expected integer.")))
+    ok = error.isNull() & (available >= q)
     msg_no = F.concat(F.lit("Unable to schedule pickup for "), q.cast("string"),
                       F.lit(" kg. Only found approximately "), available.cast("string"),
                       F.lit(" kg recently harvested or on hand for this product at this farm. "
                             "Please adjust quantity or date."))
     return out.select("request_id",
-                      F.when(ok, "success").otherwise("unavailable").alias("status"),
-                      available.alias("available_kg"),
+                      F.when(error.isNotNull(), "error").when(ok, "success")
+                      .otherwise("unavailable").alias("status"),
+                      F.when(error.isNull(), available).alias("available_kg"),
                       F.when(ok, q).alias("confirmed_quantity_kg"),
-                      F.when(ok, F.lit(MSG_PICKUP_OK)).otherwise(msg_no).alias("message"))
+                      F.coalesce(error, F.when(ok, F.lit(MSG_PICKUP_OK)).otherwise(msg_no))
+                      .alias("message"))

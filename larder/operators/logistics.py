@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from larder.functions.bands import band_message, temperature_band
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_float, parse_iso_timestamp
-from larder.operators.common import expand_optional, normalise_optional, pattern_keys, topk
+from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
+                                     requested, topk)
 from larder.operators.validate import missing_fields, required_message
 from larder.sources.requests import value_or_default
 
@@ -131,7 +132,7 @@ def warehouse_stock(req: DataFrame, stock: DataFrame, as_of, k: int = 20) -> Dat
                                              F.date_add(_date(as_of), NEAR_EXPIRY_DAYS))
     # every stock row answers "all rows" requests; rows expiring soon also
     # answer nearing-expiry requests; each of those with and without product
-    s = stock.select("location_id", *STOCK_COLS).withColumn(
+    s = requested(stock.select("location_id", *STOCK_COLS), req, ["location_id"]).withColumn(
         "near", F.explode(F.when(in_window, F.array(F.lit(False), F.lit(True)))
                           .otherwise(F.array(F.lit(False)))))
     s = expand_optional(s, ["product_id"])
@@ -165,7 +166,8 @@ def delivery_destinations(req: DataFrame, customers: DataFrame, vehicles: DataFr
     """
     veh = topk(vehicles.select("vehicle_id", "vehicle_type", "capacity_kg",
                                "has_temperature_monitoring", "carrier_name"),
-               ["vehicle_id"], [F.col("capacity_kg").asc()], 1).drop("rank")
+               ["vehicle_id"], [F.col("capacity_kg").asc()], 1).drop("rank") \
+        .withColumn("_hit", F.lit(True))
     dest = (req.select("request_id", F.posexplode("destination_locations")
                        .alias("pos", "destination_id"))
             .groupBy("request_id", "destination_id").agg(F.min("pos").alias("position")))
@@ -173,8 +175,7 @@ def delivery_destinations(req: DataFrame, customers: DataFrame, vehicles: DataFr
                             F.col("shipping_address").alias("destination_address"))
     found = dest.join(cust, "destination_id")
     head = req.select("request_id", "vehicle_id").join(veh, "vehicle_id", "left") \
-        .withColumn("v_found", F.col("vehicle_type").isNotNull() |
-                    F.col("capacity_kg").isNotNull() | F.col("carrier_name").isNotNull())
+        .withColumn("v_found", F.coalesce(F.col("_hit"), F.lit(False)))
     n_found = found.groupBy("request_id").agg(F.count("*").alias("n"))
     head = head.join(n_found, "request_id", "left")
     checks = req.select("request_id", missing_fields(

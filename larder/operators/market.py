@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.sources.requests import value_or_default
-from larder.operators.common import expand_optional, normalise_optional, pattern_keys, topk
+from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
+                                     requested, topk)
 
 # Fixed values taken from the reference's queries.
 STOCK_AVAILABLE = "Available"
@@ -118,7 +119,7 @@ def demand_forecast(req: DataFrame, forecasts: DataFrame, k: int = 5) -> DataFra
     per key before meeting the requests."""
     base = ["product_id", "target_date_start", "target_date_end"]
     order = [F.col("forecast_date").desc(), F.col("forecast_id").asc()]
-    f = expand_optional(forecasts.select("product_id", *FORECAST_COLS), ["region"])
+    f = expand_optional(requested(forecasts.select("product_id", *FORECAST_COLS), req, base), ["region"])
     keys = base + ["_p_region"]
     top = topk(f, keys, order, k)
     r = pattern_keys(req, ["region"]).select("request_id", *keys)
@@ -139,7 +140,8 @@ def market_price_day(req: DataFrame, prices: DataFrame, as_of) -> DataFrame:
     req = req.withColumn("market_date",
                          value_or_default(req, "date", _lit_date(as_of)).cast("date"))
     order = [F.col("region").asc_nulls_first(), F.col("price_record_id").asc()]
-    p = expand_optional(prices.select("product_id", *PRICE_COLS), ["region"])
+    p = expand_optional(requested(prices.select("product_id", *PRICE_COLS), req,
+                                  ["product_id", "market_date"]), ["region"])
     keys = ["product_id", "market_date", "_p_region"]
     first = topk(p, keys, order, 1).drop("rank")
     found = pattern_keys(req, ["region"]).select("request_id", *keys) \
@@ -180,7 +182,7 @@ def price_asof(items: DataFrame, prices: DataFrame, date_col: str = "order_date"
     forward. One shuffle by product over at most (price days + order days)
     rows per product - a hot product cannot grow it beyond the calendar.
     """
-    p = _one_price_per_day(prices).select(
+    p = _one_price_per_day(requested(prices, items, ["product_id"])).select(
         "product_id", F.col("market_date").alias("d"), "price",
         F.col("market_date").alias("used"), F.lit(0).alias("side"))
     k = items.select("product_id", F.col(date_col).alias("d")).distinct().select(
@@ -211,7 +213,9 @@ DEFAULT_ORDER_STATUS = "Pending"
 def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
     """H8: validate, price and total purchase orders given in exploded form
     (``request_id, customer_id, order_date, pos, product_id, quantity_text``
-    and optional ``delivery_date_requested, delivery_address, status``).
+    and optional ``delivery_date_requested, delivery_address, status``; an
+    order without items is one row with a null ``pos``, as ``posexplode_outer``
+    gives).
 
     Returns ``(orders, order_items, rejects)``. One bad item rejects its
     whole order; the error is that of the first bad item by position (A8).
@@ -225,14 +229,21 @@ def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
     it = items.withColumn("q", parse_int("quantity_text"))
     asof = price_asof(it, prices)
     it = it.join(asof, ["product_id", "order_date"], "left") \
-        .withColumn("cents", price_cents(F.col("price")))
+        .withColumn("cents", price_cents(F.col("price"))) \
+        .withColumn("line_cents", F.try_multiply("q", "cents"))
     pid = F.coalesce(F.col("product_id"), F.lit("None"))
-    code = (F.when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
-                   "missing_item_field")
+    code = (F.when(F.col("customer_id").isNull(), "missing_fields")
+            .when(F.col("pos").isNull(), "empty_items")
+            .when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
+                  "missing_item_field")
             .when(F.col("q").isNull(), "invalid_quantity_format")
             .when(F.col("q") <= 0, "invalid_quantity")
-            .when(F.col("cents").isNull(), "no_price"))
-    msg = (F.when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
+            .when(F.col("cents").isNull(), "no_price")
+            .when(F.col("line_cents").isNull(), "invalid_quantity"))
+    msg = (F.when(F.col("customer_id").isNull(),
+                  F.lit("Missing required fields in body: customer_id"))
+           .when(F.col("pos").isNull(), F.lit("Field 'items' must be a non-empty list."))
+           .when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
                   F.lit("Each item in 'items' must have 'product_id' and 'quantity_kg'."))
            .when(F.col("q").isNull(), F.concat(F.lit("Invalid quantity_kg format for product "),
                                                 pid, F.lit(". Expected integer.")))
@@ -241,7 +252,9 @@ def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
            .when(F.col("cents").isNull(),
                  F.concat(F.lit("No market price found for product "), pid,
                           F.lit(" on or before "), F.date_format("order_date", "yyyy-MM-dd"),
-                          F.lit("."))))
+                          F.lit(".")))
+           .when(F.col("line_cents").isNull(),
+                 F.concat(F.lit("Quantity too large for product "), pid, F.lit("."))))
     it = it.withColumn("error_code", code).withColumn("error_message", msg)
 
     first_err = (it.filter(F.col("error_code").isNotNull())
@@ -253,7 +266,7 @@ def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
                          F.col("e.pos").alias("pos")))
     ok_items = it.join(first_err.select("request_id"), "request_id", "left_anti")
     order_id = stable_id("request_id")
-    line_cents = F.col("q") * F.col("cents")
+    line_cents = F.col("line_cents")
     out_items = ok_items.select(
         "request_id", stable_id("request_id", "pos", "product_id", "quantity_text")
         .alias("order_item_id"), order_id.alias("order_id"), "product_id",
@@ -264,7 +277,7 @@ def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
     head_cols = [c for c in ("delivery_date_requested", "delivery_address", "status")
                  if c in items.columns]
     totals = ok_items.groupBy("request_id", "customer_id", "order_date", *head_cols).agg(
-        F.sum(line_cents).alias("total_cents"))
+        F.sum(line_cents.cast("decimal(19,0)")).alias("total_cents"))
     cust = topk(customers.select("customer_id", "shipping_address"), ["customer_id"],
                 [F.col("shipping_address").asc_nulls_last()], 1) \
         .select("customer_id", "shipping_address", F.lit(True).alias("_known"))
@@ -280,5 +293,5 @@ def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
         (F.coalesce(F.col("delivery_address"), addr) if "delivery_address" in head_cols
          else addr).alias("delivery_address"),
         opt("status", F.lit(DEFAULT_ORDER_STATUS)).alias("status"),
-        (F.col("total_cents") / F.lit(100.0)).alias("total_amount"))
+        (F.col("total_cents").cast("double") / F.lit(100.0)).alias("total_amount"))
     return orders, out_items, first_err

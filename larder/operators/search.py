@@ -17,7 +17,8 @@ text is inherently a non-equi problem; to keep it an equi join at any size:
 
 An empty or null query browses: the first 100 rows by id, a bounded table
 attached by broadcast. A backslash in the query is rejected before the join
-(Spark's LIKE treats it as an escape and would raise; see the README).
+(Spark's LIKE treats it as an escape and would raise); ``search_rejects``
+returns such requests with their error.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.common import attach_bounded, topk
+from larder.operators.common import attach_bounded, requested, topk
 
 BROWSE_LIMIT = 100
 SEARCH_LIMIT = 100
@@ -75,10 +76,11 @@ def search_text(req: DataFrame, texts: DataFrame, id_col: str, search_cols: Sequ
                             .alias("pattern")).distinct()
     pats = pats.withColumn("grams", _pattern_grams(F.col("pattern")))
 
-    # gram index of the texts
+    # gram index of the texts, only grams that some pattern may use
     lowered = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in search_cols]
+    used = pats.select(F.explode("grams").alias("gram")).distinct()
     idx = t.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(
-        *[_all_grams(x) for x in lowered])))).alias("gram"))
+        *[_all_grams(x) for x in lowered])))).alias("gram")).join(used, "gram", "left_semi")
     freq = idx.groupBy("gram").agg(F.count("*").alias("df"))  # bounded by the alphabet
 
     chosen = topk(pats.select("pattern", F.explode("grams").alias("gram")).join(freq, "gram"),
@@ -94,8 +96,8 @@ def search_text(req: DataFrame, texts: DataFrame, id_col: str, search_cols: Sequ
     max_need = wild.agg(F.max("need").alias("m")).select("m").scalar()
     longest = F.greatest(*[F.length(x) for x in lowered]) if len(lowered) > 1 \
         else F.length(lowered[0])
-    by_len = t.select(id_col, F.explode(F.sequence(F.lit(0), F.least(longest, max_need)))
-                      .alias("need"))
+    by_len = t.select(id_col, F.explode(F.when(  # no such pattern: no text is exploded
+        max_need.isNotNull(), F.sequence(F.lit(0), F.least(longest, max_need)))).alias("need"))
     cand = cand.unionByName(wild.join(by_len, "need").select("pattern", id_col))
 
     matched = cand.join(t, id_col).filter(
@@ -124,6 +126,14 @@ def _any_like(cols: list[Column], pattern: Column) -> Column:
     return cond
 
 
+def search_rejects(req: DataFrame) -> DataFrame:
+    """Search requests that can't be answered, one row each with its error:
+    those whose query holds a backslash."""
+    return req.filter(F.col("query").contains("\\")).select(
+        "request_id", "query", F.lit("invalid_query").alias("error_code"),
+        F.lit("A search query must not contain a backslash.").alias("error_message"))
+
+
 # ------------------------------------------------------------ H15 - H17
 def farm_search(req: DataFrame, farms: DataFrame) -> DataFrame:
     """Farms whose name or location contains the query; <= 100 each."""
@@ -161,7 +171,7 @@ def vehicle_by_license(req: DataFrame, vehicles: DataFrame) -> DataFrame:
     """The vehicle with the exact licence number (first by id when the
     licence repeats); unknown licences keep a row with ``found`` false and
     status 'not_found'."""
-    v = topk(vehicles.select(*VEHICLE_COLS), ["vehicle_license_no"],
+    v = topk(requested(vehicles.select(*VEHICLE_COLS), req, ["vehicle_license_no"]), ["vehicle_license_no"],
              [F.col("vehicle_id").asc()], 1).drop("rank")
     v = v.withColumnRenamed("vehicle_license_no", "_lic")
     out = req.select("request_id", "vehicle_license_no").join(
@@ -175,9 +185,9 @@ def vehicle_details(req: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Type, capacity, cold-chain equipment and carrier of the
     requested vehicle id (first row per id); ``found`` false when unknown or
     when the request names no vehicle."""
-    v = topk(vehicles.select("vehicle_id", "vehicle_type", "capacity_kg",
-                             "has_temperature_monitoring", "carrier_name"),
-             ["vehicle_id"], [F.col("capacity_kg").asc()], 1).drop("rank") \
+    v = topk(requested(vehicles, req, ["vehicle_id"])
+             .select("vehicle_id", "vehicle_type", "capacity_kg", "has_temperature_monitoring",
+                     "carrier_name"), ["vehicle_id"], [F.col("capacity_kg").asc()], 1).drop("rank") \
         .withColumnRenamed("vehicle_id", "_vid")
     out = req.select("request_id", "vehicle_id").join(
         v, F.col("vehicle_id") == F.col("_vid"), "left")

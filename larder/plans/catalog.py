@@ -402,6 +402,27 @@ def q_qc_issue_log(spark, sf_dir):
     return farm.qc_issue_log(Fixtures(spark, sf_dir).qc_reports, AS_OF)[0]
 
 
+@register("qc_issue_rejects", f"""
+WITH p AS (
+  SELECT *, CASE WHEN issue_date_text IS NULL THEN {SQL_AS_OF}
+                 WHEN regexp_matches(issue_date_text, '{_DATE_OK}') THEN CAST(TRY_STRPTIME(issue_date_text, '%Y-%m-%d') AS DATE) END AS d,
+            CASE WHEN regexp_matches(affected_text, '{_INT_OK}') THEN TRY_CAST(trim(affected_text) AS BIGINT) END AS a,
+            farm_id IS NULL OR issue_type IS NULL AS miss,
+            concat_ws(', ', CASE WHEN farm_id IS NULL THEN 'farm_id' END,
+                      CASE WHEN issue_type IS NULL THEN 'issue_type' END) AS missing
+    FROM qc_reports)
+SELECT report_id,
+       CASE WHEN miss THEN 'missing_fields' WHEN d IS NULL THEN 'invalid_issue_date'
+            ELSE 'invalid_affected_quantity_kg' END AS error_code,
+       CASE WHEN miss THEN 'Missing required fields in body: ' || missing
+            WHEN d IS NULL THEN 'Invalid issue_date format. Expected YYYY-MM-DD.'
+            ELSE 'Invalid format for affected_quantity_kg. Expected integer.' END AS error_message,
+       missing
+  FROM p WHERE miss OR d IS NULL OR (affected_text IS NOT NULL AND a IS NULL)""", "qc_reports")
+def q_qc_issue_rejects(spark, sf_dir):
+    return farm.qc_issue_log(Fixtures(spark, sf_dir).qc_reports, AS_OF)[1]
+
+
 _ADVICE_REQ = f"""
 r AS (SELECT request_id, NULLIF(farm_id, '') AS farm_id, NULLIF(product_id, '') AS product_id,
              CASE WHEN start_date IS NULL AND end_date IS NULL THEN {SQL_AS_OF} - 90 ELSE start_date END AS lo,
@@ -560,6 +581,14 @@ def q_customer_search(spark, sf_dir):
     return search.customer_search(fx.req_search, fx.customers)
 
 
+@register("search_rejects", """
+SELECT request_id, query, 'invalid_query' AS error_code,
+       'A search query must not contain a backslash.' AS error_message
+  FROM req_search WHERE position('\\' IN query) > 0""", "req_search")
+def q_search_rejects(spark, sf_dir):
+    return search.search_rejects(Fixtures(spark, sf_dir).req_search)
+
+
 @register("browse_first_100", """
 SELECT * FROM (
   SELECT product_id, product_name, category, storage_requirements,

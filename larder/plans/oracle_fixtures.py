@@ -145,7 +145,8 @@ select {LINE_ID} request_id, cast(l_suppkey as string) farm_id, cast(l_partkey a
   from lineitem""",
     "req_search": """
 select concat('S', cast(n_nationkey as string)) request_id,
-       case n_nationkey % 5 when 0 then '' when 1 then 'RED' when 2 then 'o_d' when 3 then concat('%', cast(n_nationkey as string)) else 'zzz' end query
+       case n_nationkey % 5 when 0 then '' when 1 then 'RED' when 2 then 'o_d' when 3 then concat('%', cast(n_nationkey as string))
+         else case when n_nationkey % 10 = 9 then 'a\\b' else 'zzz' end end query
   from nation""",
     "req_order_items": """
 select cast(l_orderkey as string) request_id,

@@ -145,9 +145,9 @@ class Fixtures:
                       F.col("l_orderkey") == F.col("o_orderkey"))
                 .join(t.customer.select("c_custkey", "c_nationkey"),
                       F.col("o_custkey") == F.col("c_custkey"))
-                .join(F.broadcast(t.nation.select("n_nationkey", "n_regionkey")),
+                .join(t.nation.select("n_nationkey", "n_regionkey"),
                       F.col("c_nationkey") == F.col("n_nationkey"))
-                .join(F.broadcast(t.region.select("r_regionkey", "r_name")),
+                .join(t.region.select("r_regionkey", "r_name"),
                       F.col("n_regionkey") == F.col("r_regionkey")))
 
     @cached_property
@@ -305,7 +305,8 @@ class Fixtures:
         n = F.col("n_nationkey")
         m5 = n % 5
         q = (F.when(m5 == 0, F.lit("")).when(m5 == 1, F.lit("RED")).when(m5 == 2, F.lit("o_d"))
-             .when(m5 == 3, F.concat(F.lit("%"), _str(n))).otherwise(F.lit("zzz")))
+             .when(m5 == 3, F.concat(F.lit("%"), _str(n)))
+             .when(n % 10 == 9, F.lit("a\\b")).otherwise(F.lit("zzz")))
         return self.t.nation.select(F.concat(F.lit("S"), _str(n)).alias("request_id"),
                                     q.alias("query"))
 
@@ -406,7 +407,7 @@ class Fixtures:
         start = F.make_date(F.lit(1996), (p % 12 + 1).cast("int"), F.lit(1))
         region = (F.when(p % 3 == 0, F.lit(None).cast("string")).when(p % 3 == 1, F.lit(""))
                   .otherwise(F.col("r_name")))
-        r = F.broadcast(self.t.region.select("r_regionkey", "r_name"))  # 5 rows
+        r = self.t.region.select("r_regionkey", "r_name")
         return (self.t.part.select("p_partkey").join(r, p % 5 == F.col("r_regionkey"))
                 .select(F.concat(F.lit("F"), _str(p)).alias("request_id"),
                         _str(p).alias("product_id"), start.alias("target_date_start"),

@@ -2,7 +2,8 @@
 JSON encoding of results (S9).
 
 Writes go to Parquet folders (a table path). Row ids are deterministic
-hashes, so a retried job rewrites identical rows rather than new ones.
+hashes. With a ``batch`` name the rows go to a partition of their own, which
+a replay of the batch replaces, so a retried job leaves each row once.
 """
 
 from __future__ import annotations
@@ -23,28 +24,42 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cols)
 
 
-def append(df: DataFrame, path: str, table: str, partition_by: list[str] | None = None) -> None:
-    """Append rows to a domain table with its fixed schema."""
-    w = conform(df, table).write.mode("append")
+def _write(df: DataFrame, path: str, partition_by: list[str], batch: str | None) -> None:
+    if batch is None:
+        w = df.write.mode("append")
+    else:
+        partition_by = ["batch_id", *partition_by]
+        w = (df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic"))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
-def append_with_quarantine(valid: DataFrame, rejects: DataFrame, path: str, table: str) -> None:
+def append(df: DataFrame, path: str, table: str, partition_by: list[str] | None = None,
+           batch: str | None = None) -> None:
+    """Append rows to a domain table with its fixed schema. Without
+    ``batch`` every call adds rows; with it a replay replaces its own."""
+    _write(conform(df, table), path, partition_by or [], batch)
+
+
+def append_with_quarantine(valid: DataFrame, rejects: DataFrame, path: str, table: str,
+                           batch: str | None = None) -> None:
     """Valid rows to the table, rejected rows (with ``error_code`` and
     ``error_message``) to ``<path>_quarantine``; bad rows never reach the
     table and are never silently dropped."""
-    append(valid, path, table)
-    rejects.write.mode("append").parquet(f"{path}_quarantine")
+    append(valid, path, table, batch=batch)
+    _write(rejects, f"{path}_quarantine", [], batch)
 
 
-def place_orders(orders: DataFrame, items: DataFrame, rejects: DataFrame, base: str) -> None:
+def place_orders(orders: DataFrame, items: DataFrame, rejects: DataFrame, base: str,
+                 batch: str) -> None:
     """H8 writer (D15): everything is validated before writing; items are
-    written before their orders, so an order row never lacks its items."""
-    append(items, f"{base}/order_items", "order_items")
-    append(orders, f"{base}/orders", "orders")
-    rejects.write.mode("append").parquet(f"{base}/orders_quarantine")
+    written before their orders, so an order row never lacks its items. A
+    replay of ``batch`` replaces what its first run wrote."""
+    append(items, f"{base}/order_items", "order_items", batch=batch)
+    append(orders, f"{base}/orders", "orders", batch=batch)
+    _write(rejects, f"{base}/orders_quarantine", [], batch)
 
 
 def to_json_rows(df: DataFrame, key: str = "request_id") -> DataFrame:

@@ -13,34 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.schemas import DOMAIN, DRIVER
 
 
-# Tables smaller than this are not worth a shuffle even when unsplit.
-SPREAD_MIN_BYTES = 1024 * 1024
+#: Session setting: "true" where tables are files of one row group each.
+SPREAD = "spark.larder.spread"
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of the test environment, e.g. ``lineitem``."""
-    df = spark.read.schema(DRIVER[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_unsplittable(spark, df)
+    return spread(spark.read.schema(DRIVER[name]).parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
-def spread_unsplittable(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan when the session sets ``spark.larder.spread``.
 
     Parquet splits at row-group boundaries; a file written as one row group
     is read by one task, and everything up to the first shuffle (projection,
-    partial aggregation, map-side top-k) would run single-threaded. In that
-    case one round-robin repartition spreads the rows (column pruning and
-    filters still run below it). A table stored as many files or row groups
-    - any table at scale - already has enough splits and is left alone.
+    partial aggregation, map-side top-k) would run single-threaded. Tables
+    stored as many files or row groups need no setting.
     """
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): read as is
-        pass
-    return df
+    return df.hint("rebalance") if df.sparkSession.conf.get(SPREAD, "false") == "true" else df
 
 
 def read_domain(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -10,7 +10,6 @@ class ``error`` instead of failing the micro-batch.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +20,9 @@ from larder.operators.logistics import coldchain_reading_log
 from larder.schemas import DRIVER
 from larder.session import scratch_dir
 from larder.sources.fixtures import alert_messages_from_events, envelopes_from_messages
+from larder.sources.tables import spread
+
+FILES_PER_BATCH = 1000
 
 # Fixed texts and defaults of the reference's consumer.
 DEFAULTS = {"severity": "Unknown", "shipment_id": "Unknown Shipment", "temperature": "N/A",
@@ -148,30 +150,21 @@ def alerts_from_readings(readings: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------- stream drivers
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File stream over the ``events`` table (one Parquet file in tests; a
-    broker topic in production).
-
-    A micro-batch read from fewer files than the cluster has cores would be
-    decoded and classified by that many tasks only; then the stream is
-    spread once (round-robin) so the per-row work uses every core. A source
-    with enough partitions is left as is."""
+    """File stream over the ``events`` table, one Parquet file or a folder of
+    them (a broker topic in production). The path is a glob because a file
+    stream refuses a path that names a single file."""
     stream = (spark.readStream.schema(DRIVER["events"])
-              .option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1)
-              .parquet(sf_dir))
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        n_files = sum(1 for f in os.listdir(sf_dir) if f == "events.parquet")
-    except OSError:  # not a local folder (object store): trust its layout
-        n_files = cores
-    return stream.repartition(cores) if n_files < cores else stream
+              .option("maxFilesPerTrigger", FILES_PER_BATCH)
+              .parquet(f"{sf_dir.rstrip('/')}/{{events.parquet}}"))
+    return spread(stream)
 
 
 def _run_to_parquet(df: DataFrame, spark: SparkSession, name: str,
-                    partition_by: str | None = None) -> str:
+                    partition_by: str | None = None) -> DataFrame:
     """Run a streaming DataFrame to completion (``availableNow``) into a
     fresh Parquet folder under the shared checkpoint folder; exactly-once
-    through the file sink's commit log and the query checkpoint."""
+    through the file sink's commit log and the query checkpoint. Returns the
+    written table, empty where the stream had no rows."""
     base = scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
     w = (df.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{base}/_checkpoint")
@@ -180,7 +173,7 @@ def _run_to_parquet(df: DataFrame, spark: SparkSession, name: str,
         w = w.partitionBy(partition_by)
     q = w.start(f"{base}/out")
     q.awaitTermination()
-    return f"{base}/out"
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
 def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +183,8 @@ def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     Returns the written table."""
     msgs = alert_messages_from_events(_events_stream(spark, sf_dir))
     out = _run_to_parquet(classify_alerts(msgs), spark, "alerts", "alert_class")
-    return spark.read.parquet(out).select("message_id", "publish_time", "alert_class",
-                                          "severity", "shipment_id", "temperature", "message",
-                                          "text")
+    return out.select("message_id", "publish_time", "alert_class", "severity", "shipment_id",
+                      "temperature", "message", "text")
 
 
 ENVELOPE_OUT = ["event_id", "message_id", "publish_time", "alert_class", "severity",
@@ -206,7 +198,7 @@ def alert_envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = envelopes_from_messages(alert_messages_from_events(_events_stream(spark, sf_dir)))
     out = _run_to_parquet(classify_envelopes(env).select(*ENVELOPE_OUT), spark, "envelopes",
                           "alert_class")
-    return spark.read.parquet(out).select(*ENVELOPE_OUT)
+    return out.select(*ENVELOPE_OUT)
 
 
 def alert_producer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +211,8 @@ def alert_producer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("ts").alias("timestamp"),
                          F.col("value").alias("temperature_celsius"))
     out = _run_to_parquet(classify_alerts(alerts_from_readings(readings)), spark, "producer")
-    return spark.read.parquet(out).select("message_id", "alert_class", "severity",
-                                          "shipment_id", "temperature", "message")
+    return out.select("message_id", "alert_class", "severity", "shipment_id", "temperature",
+                      "message")
 
 
 def readings_append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,15 +230,23 @@ def readings_append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         temp.alias("temperature_text"), ts.alias("timestamp_text"))
     base = scratch_dir(spark, f"readings-{uuid.uuid4().hex}")
 
+    def write(df: DataFrame, table: str, batch_id: int) -> None:
+        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(f"{base}/{table}"))
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         valid, rejects = coldchain_reading_log(batch)
-        for df, table in ((valid, "readings"), (rejects, "quarantine")):
-            (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(f"{base}/{table}"))
+        write(valid, "readings", batch_id)
+        write(rejects, "quarantine", batch_id)
+        batch.unpersist()
+
+    schema = coldchain_reading_log(reports)[0].schema
+    write(spark.createDataFrame([], schema), "readings", -1)  # the table exists without a batch
 
     q = (reports.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/readings").drop("batch_id")
+    return spark.read.schema(schema).parquet(f"{base}/readings").select(*schema.names)

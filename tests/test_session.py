@@ -1,7 +1,7 @@
 """Cluster-safety of the session helpers and the scan spreading."""
 
 from larder.session import ensure_checkpoint_dir
-from larder.sources.tables import SPREAD_MIN_BYTES, read_driver
+from larder.sources.tables import SPREAD, read_driver
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark):
@@ -13,13 +13,14 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
         assert got and spark.sparkContext.getCheckpointDir()
 
 
-def _spread(df) -> bool:
-    return "Repartition" in df._jdf.queryExecution().optimizedPlan().toString()
+def test_scans_are_spread_only_where_the_session_asks(spark):
+    def rebalanced():
+        df = read_driver(spark, "/root/testdata/sf0.001", "lineitem")
+        return "Rebalance" in df._jdf.queryExecution().optimizedPlan().toString()
 
-
-def test_only_large_unsplit_scans_are_spread(spark):
-    small = read_driver(spark, "/root/testdata/sf0.01", "nation")      # a few KB
-    big = read_driver(spark, "/root/testdata/sf0.1", "lineitem")       # ~10 MB, one row group
-    assert not _spread(small)
-    assert _spread(big) and SPREAD_MIN_BYTES <= 10 * 1024 * 1024
-    assert big.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert not rebalanced()
+    spark.conf.set(SPREAD, "true")
+    try:
+        assert rebalanced()
+    finally:
+        spark.conf.unset(SPREAD)
