@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 
 def stable_id(*parts: str | Column) -> Column:
-    cols = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit(""))
-            for p in parts]
-    return F.sha2(F.concat_ws("~", *cols), 256)
+    """SHA-256 of the parts, each written as length, ``:`` and text (null:
+    ``-``), so different parts never give the same input."""
+    cols = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.sha2(F.concat(*[F.when(c.isNull(), F.lit("-")).otherwise(
+        F.concat(F.length(c).cast("string"), F.lit(":"), c)) for c in cols]), 256)

@@ -14,34 +14,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.parse import coordinates, duration_seconds
-from larder.operators.common import topk
-from larder.operators.window import running_sum
+from larder.operators.common import present, requested, topk
+from larder.operators.window import DEFAULT_CHUNK, row_number_bucketed, running_sum
 
 
 def _geo(df: DataFrame, text_col: str, geocodes: DataFrame | None) -> DataFrame:
     """latitude/longitude from embedded text, else from ``geocodes``;
     ``source`` says which ('parsed', 'geocoded' or null).
 
-    Text parsing is done once per distinct text (addresses repeat across
-    orders) and joined back on the text."""
-    texts = df.select(F.col(text_col).alias("_txt")).filter(F.col("_txt").isNotNull()).distinct()
-    texts = texts.withColumn("_c", coordinates(F.col("_txt")))
-    if geocodes is not None:
-        g = topk(geocodes.select(F.col("address").alias("_txt"), "latitude", "longitude"),
-                 ["_txt"], [F.col("latitude").asc(), F.col("longitude").asc()], 1) \
-            .select("_txt", F.col("latitude").alias("_glat"), F.col("longitude").alias("_glon"))
-        texts = texts.join(g, "_txt", "left")
+    Texts are parsed in a projection. Only texts that carry no coordinates
+    meet ``geocodes``; the other rows get a join key of their own, spread by
+    a hash, so null or parsed texts never form one hot key."""
+    out = df.withColumn("_c", coordinates(F.col(text_col)))
+    if geocodes is None:
+        out = out.withColumns({"_glat": F.lit(None).cast("double"),
+                               "_glon": F.lit(None).cast("double")})
     else:
-        texts = texts.withColumn("_glat", F.lit(None).cast("double")) \
-                     .withColumn("_glon", F.lit(None).cast("double"))
+        g = topk(geocodes.select(F.col("address").alias("_key"), "latitude", "longitude"),
+                 ["_key"], [F.col("latitude").asc(), F.col("longitude").asc()], 1) \
+            .select(F.struct(F.lit(True).alias("text"), "_key").alias("_key"),
+                    F.col("latitude").alias("_glat"), F.col("longitude").alias("_glon"))
+        ask = F.col("_c").isNull() & F.col(text_col).isNotNull()
+        spread = F.xxhash64(*df.columns).cast("string")
+        key = F.struct(ask.alias("text"), F.when(ask, F.col(text_col)).otherwise(spread)
+                       .alias("_key"))
+        out = out.withColumn("_key", key).join(g, "_key", "left").drop("_key")
     parsed = F.col("_c").isNotNull()
     geocoded = F.col("_glat").isNotNull() & F.col("_glon").isNotNull()
-    texts = texts.select(
-        "_txt",
+    return out.select(
+        *df.columns,
         F.when(parsed, F.col("_c.latitude")).when(geocoded, F.col("_glat")).alias("latitude"),
         F.when(parsed, F.col("_c.longitude")).when(geocoded, F.col("_glon")).alias("longitude"),
         F.when(parsed, "parsed").when(geocoded, "geocoded").alias("source"))
-    return df.join(texts, F.col(text_col) == F.col("_txt"), "left").drop("_txt")
 
 
 # ------------------------------------------------------------- U1 / H20
@@ -89,12 +93,13 @@ def order_destinations(dest: DataFrame, orders: DataFrame, customers: DataFrame,
     """Per request and distinct listed order: address, coordinates and
     kilograms; orders without coordinates are dropped (as the reference
     drops what it cannot geocode). ``dest`` is the exploded order list
-    ``(request_id, pos, order_id)``."""
+    ``(request_id, pos, order_id)``. Orders and items are cut to the listed
+    orders first."""
     d = dest.groupBy("request_id", "order_id").agg(F.min("pos").alias("position"))
-    a = _geo(_order_addresses(orders, customers), "delivery_address", geocodes)
-    kg = order_total_kg(order_items)
+    a = _geo(_order_addresses(requested(orders, d, ["order_id"]), customers),
+             "delivery_address", geocodes).filter(F.col("latitude").isNotNull())
+    kg = order_total_kg(requested(order_items, d, ["order_id"]))
     return (d.join(a, "order_id").join(kg, "order_id", "left")
-            .filter(F.col("latitude").isNotNull())
             .select("request_id", "order_id", F.col("delivery_address").alias("address"),
                     "latitude", "longitude",
                     F.coalesce(F.col("total_kg"), F.lit(0)).cast("bigint").alias("total_kg"),
@@ -109,32 +114,52 @@ def leg_durations(legs: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- H14
-def _route_status(routes: DataFrame, legs: DataFrame, farms: DataFrame, warehouses: DataFrame,
+def _route_status(routes: DataFrame, legs: DataFrame, dest: DataFrame, stops: DataFrame,
+                  farms: DataFrame, warehouses: DataFrame,
                   geocodes: DataFrame | None) -> DataFrame:
+    """Status per route request, by the first check that fails: 'error' (no
+    origin or an empty order list), 'not_found' (origin without
+    coordinates), 'unavailable' (no listed order has a customer and
+    coordinates, or the route has no legs), else 'success'."""
     org = origin_coordinates(routes.select("request_id",
                                            F.col("origin_location_id").alias("location_id")),
                              farms, warehouses, geocodes).select(
         "request_id", F.col("status").alias("origin_status"))
-    per_route = legs.groupBy("route_id").agg(
+    per_route = requested(legs, routes, ["route_id"]).groupBy("route_id").agg(
         F.count("*").alias("n_legs"),
         F.sum(F.coalesce(duration_seconds("duration_text"), F.lit(0))).alias("total_sec"),
         F.sum("distance_m").alias("total_m"))
+    listed = dest.groupBy("request_id").agg(F.count("*").alias("n_listed"))
+    valid = stops.groupBy("request_id").agg(F.count("*").alias("n_valid"))
+    origin = F.col("origin_location_id")
+    code = (F.when(present(origin).isNull() | F.col("n_listed").isNull(), 0)
+            .when(F.col("origin_status") != "success", 1).when(F.col("n_valid").isNull(), 2)
+            .when(F.col("n_legs").isNull(), 3).otherwise(4))
+    texts = [F.lit("Missing required input parameters"),
+             F.concat(F.lit("Origin location ID "), origin,
+                      F.lit(" not found or coordinates unavailable.")),
+             F.lit("Could not find valid destinations or coordinates for provided order IDs."),
+             F.lit("Could not compute a route with the provided locations.")]
+    kinds = ["error", "not_found", "unavailable", "unavailable", "success"]
     return (routes.join(org, "request_id").join(per_route, "route_id", "left")
-            .withColumn("status", F.when(F.col("origin_location_id").isNull(), "error")
-                        .when(F.col("origin_status") != "success", "not_found")
-                        .when(F.coalesce(F.col("n_legs"), F.lit(0)) == 0, "unavailable")
-                        .otherwise("success")))
-
-
-def route_headers(routes: DataFrame, legs: DataFrame, farms: DataFrame, warehouses: DataFrame,
-                  geocodes: DataFrame | None = None) -> DataFrame:
-    """H14 header: status, stop count (legs + 1), total duration ('<n>s')
-    and distance, route date; 'not_found' when the origin has no
-    coordinates, 'unavailable' when the route has no legs."""
-    r = _route_status(routes, legs, farms, warehouses, geocodes)
+            .join(listed, "request_id", "left").join(valid, "request_id", "left")
+            .withColumn("_code", code)
+            .withColumn("status", F.get(F.array(*[F.lit(k) for k in kinds]), F.col("_code")))
+            .withColumn("message", F.get(F.array(*texts), F.col("_code"))))
+
+
+def route_headers(routes: DataFrame, legs: DataFrame, dest: DataFrame, orders: DataFrame,
+                  customers: DataFrame, order_items: DataFrame, farms: DataFrame,
+                  warehouses: DataFrame, geocodes: DataFrame | None = None) -> DataFrame:
+    """H14 header: status and message, stop count (legs + 1), total duration
+    ('<n>s') and distance, route date. ``dest`` is the exploded order list
+    ``(request_id, pos, order_id)``; a request without rows there has an
+    empty list."""
+    stops = order_destinations(dest, orders, customers, order_items, geocodes)
+    r = _route_status(routes, legs, dest, stops, farms, warehouses, geocodes)
     ok = F.col("status") == "success"
     return r.select(
-        "request_id", "route_id", "status", "vehicle_id",
+        "request_id", "route_id", "status", "message", "vehicle_id",
         F.when(ok, F.col("n_legs") + 1).cast("bigint").alias("num_stops_on_route"),
         F.when(ok, F.concat(F.col("total_sec").cast("string"), F.lit("s")))
         .alias("estimated_total_duration"),
@@ -142,53 +167,48 @@ def route_headers(routes: DataFrame, legs: DataFrame, farms: DataFrame, warehous
         F.col("route_date").cast("date").alias("route_date"))
 
 
-def route_stops(routes: DataFrame, legs: DataFrame, orders: DataFrame, order_items: DataFrame,
-                farms: DataFrame, warehouses: DataFrame,
-                geocodes: DataFrame | None = None) -> DataFrame:
-    """H14 stops: the origin as stop 0 at the departure time, then one stop
-    per leg (leg i ends at destination i) with arrival = departure + running
-    sum of leg durations (W1, chunked so a huge route never sits in one
-    task), the leg's duration text and distance, and the order's kilograms
-    (R2). Only routes whose header status is 'success' (origin with
-    coordinates, at least one leg)."""
-    # routes whose origin has coordinates (legs are numbered from 1)
-    org = origin_coordinates(routes.select("request_id",
-                                           F.col("origin_location_id").alias("location_id")),
-                             farms, warehouses, geocodes) \
-        .filter(F.col("status") == "success").select("request_id")
-    ok = routes.select("request_id", "route_id", "origin_location_id", "departure_time") \
-        .join(org, "request_id", "left_semi")
-    lg = (legs.select("route_id", "leg_seq", "order_id", "duration_text", "distance_m")
-          .join(ok.select("request_id", "route_id", "departure_time"), "route_id")
-          .withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0)))
-          .withColumn("location_id", F.lit(None).cast("string")))
-    # the origin is stop 0: a zero-length pseudo-leg in the same stream, so
-    # one pass numbers and times every stop; a route whose only row is its
-    # origin has no legs and is dropped (count from the running sum)
-    origin = ok.select("route_id", F.lit(0).cast("bigint").alias("leg_seq"),
-                       F.lit(None).cast("string").alias("order_id"),
-                       F.lit("0s").alias("duration_text"),
-                       F.lit(0).cast("bigint").alias("distance_m"), "request_id",
-                       "departure_time", F.lit(0).cast("bigint").alias("sec"),
-                       F.col("origin_location_id").alias("location_id"))
-    lg = running_sum(lg.unionByName(origin), ["request_id"], "leg_seq", "sec", "cum_sec",
-                     count_col="n_rows").filter(F.col("n_rows") > 1)
-    addr = topk(orders.select("order_id", "delivery_address"), ["order_id"],
-                [F.col("delivery_address").asc_nulls_last()], 1).drop("rank")
-    kg = order_total_kg(order_items)
-    is_origin = F.col("leg_seq") == 0
-    return (lg.join(addr, "order_id", "left").join(kg, "order_id", "left")
-            .select("request_id", F.col("leg_seq").cast("bigint").alias("stop_number"),
-                    "location_id", F.col("order_id").alias("destination_id"),
-                    F.col("delivery_address").alias("destination_address"),
-                    F.timestamp_add("SECOND", F.col("cum_sec"), F.col("departure_time"))
-                    .alias("estimated_arrival_time"),
-                    F.col("duration_text").alias("estimated_duration_from_previous_stop"),
-                    F.col("distance_m").cast("bigint")
-                    .alias("estimated_distance_from_previous_stop_meters"),
-                    F.when(is_origin, F.lit(None)).otherwise(
-                        F.coalesce(F.col("total_kg"), F.lit(0))).cast("bigint")
-                    .alias("total_kg_for_stop")))
+def route_stops(routes: DataFrame, legs: DataFrame, dest: DataFrame, orders: DataFrame,
+                customers: DataFrame, order_items: DataFrame, farms: DataFrame,
+                warehouses: DataFrame, geocodes: DataFrame | None = None) -> DataFrame:
+    """H14 stops of the 'success' requests: the origin as stop 0 at the
+    departure time, then leg i ends at the i-th listed order that has a
+    customer and coordinates (J10). Arrival = departure + running sum of leg
+    durations (W1). Legs are numbered from 1 per route; legs beyond the
+    destinations, and destinations beyond the legs, give no stop. Sums and
+    numbers are two-level, so a huge route never sits in one task; origins
+    join no order."""
+    found = order_destinations(dest, orders, customers, order_items, geocodes)
+    status = _route_status(routes, legs, dest, found, farms, warehouses, geocodes)
+    ok = status.filter(F.col("status") == "success").select(
+        "request_id", "route_id", "origin_location_id", "departure_time")
+    ends = row_number_bucketed(
+        found.withColumn("_block", F.floor(F.col("position") / DEFAULT_CHUNK)), ["request_id"],
+        "_block", ["position", "order_id", "address"], "leg_seq")
+    timed = running_sum(
+        requested(legs.select("route_id", "leg_seq", "duration_text", "distance_m"), routes,
+                  ["route_id"])
+        .withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0))),
+        ["route_id"], "leg_seq", "sec", "cum_sec")
+    stops = (ends.join(ok, "request_id").join(timed, ["route_id", "leg_seq"])
+             .select("request_id", F.col("leg_seq").cast("bigint").alias("stop_number"),
+                     F.lit(None).cast("string").alias("location_id"),
+                     F.col("order_id").alias("destination_id"),
+                     F.col("address").alias("destination_address"),
+                     F.timestamp_add("SECOND", F.col("cum_sec"), F.col("departure_time"))
+                     .alias("estimated_arrival_time"),
+                     F.col("duration_text").alias("estimated_duration_from_previous_stop"),
+                     F.col("distance_m").cast("bigint")
+                     .alias("estimated_distance_from_previous_stop_meters"),
+                     F.col("total_kg").alias("total_kg_for_stop")))
+    text, number = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    origins = ok.select("request_id", number.alias("stop_number"),
+                        F.col("origin_location_id").alias("location_id"),
+                        text.alias("destination_id"), text.alias("destination_address"),
+                        F.col("departure_time").alias("estimated_arrival_time"),
+                        F.lit("0s").alias("estimated_duration_from_previous_stop"),
+                        number.alias("estimated_distance_from_previous_stop_meters"),
+                        F.lit(None).cast("bigint").alias("total_kg_for_stop"))
+    return stops.unionByName(origins)
 
 
 # --------------------------------------------------------------------- R5

@@ -31,3 +31,26 @@ def missing_fields(required: Sequence[str], values: Mapping[str, Column],
 def required_message(missing_col: str | Column) -> Column:
     m = F.col(missing_col) if isinstance(missing_col, str) else missing_col
     return F.concat(F.lit("Missing required fields in body: "), F.array_join(m, ", "))
+
+
+#: Required fields of the read requests (fixed values of the request formats).
+REQUIRED = {
+    "demand_forecast": ("product_id", "target_date_start", "target_date_end"),
+    "market_price": ("product_id",),
+    "product_availability": ("product_id",),
+    "shipment_tracking": ("shipment_id",),
+    "warehouse_stock": ("location_id",),
+}
+
+
+def split_requests(req: DataFrame, operator: str) -> tuple[DataFrame, DataFrame]:
+    """F1 for H5, H6, H7, H9 and H11: ``(requests to answer, error rows)``.
+    An error row has ``operator, request_id, status, message``; every request
+    is in exactly one of the two."""
+    names = REQUIRED[operator]
+    marked = req.withColumn("_missing", missing_fields(names, {n: F.col(n) for n in names}, req))
+    bad = F.size("_missing") > 0
+    errors = marked.filter(bad).select(
+        F.lit(operator).alias("operator"), "request_id", F.lit("error").alias("status"),
+        required_message("_missing").alias("message"))
+    return marked.filter(~bad).drop("_missing"), errors

@@ -11,11 +11,13 @@ Fixed test parameters: ``as_of = 1998-06-15`` and its midnight timestamp.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators import farm, logistics, market, routes, search
+from larder.operators.validate import REQUIRED, split_requests
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
 from larder.streaming import alerts
@@ -32,6 +34,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _sql_id(*parts: str) -> str:
+    """Row id over ``parts``: each as length, ':' and text; null as '-'."""
+    return "sha256(" + " || ".join(
+        f"CASE WHEN {p} IS NULL THEN '-' ELSE CAST(length({p}) AS VARCHAR) || ':' || {p} END"
+        for p in parts) + ")"
+
+
 def register(name: str, sql: str | None, *views: str):
     def deco(fn):
         QUERIES[name] = fn
@@ -177,8 +186,8 @@ bad AS (SELECT request_id, error_code, error_message, pos
 ok AS (SELECT * FROM e WHERE request_id NOT IN (SELECT request_id FROM bad))"""
 
 
-@register("orders_placed", _ORDER_CTES + """
-SELECT ok.request_id, sha256(ok.request_id) AS order_id, ok.customer_id, ok.order_date,
+@register("orders_placed", _ORDER_CTES + f"""
+SELECT ok.request_id, {_sql_id("ok.request_id")} AS order_id, ok.customer_id, ok.order_date,
        ok.order_date AS delivery_date_requested,
        CASE WHEN c.customer_id IS NOT NULL THEN c.shipping_address ELSE 'Unknown Address' END AS delivery_address,
        'Pending' AS status, CAST(SUM(ok.q * ok.cents) AS BIGINT) / 100.0 AS total_amount
@@ -190,9 +199,9 @@ def q_orders_placed(spark, sf_dir):
     return market.purchase_orders(fx.req_order_items, fx.customers, fx.market_prices)[0]
 
 
-@register("order_items_placed", _ORDER_CTES + """
-SELECT request_id, sha256(concat_ws('~', request_id, CAST(pos AS VARCHAR), product_id, quantity_text)) AS order_item_id,
-       sha256(request_id) AS order_id, product_id, q AS ordered_quantity_kg, cents / 100.0 AS price_per_kg_at_order,
+@register("order_items_placed", _ORDER_CTES + f"""
+SELECT request_id, {_sql_id("request_id", "CAST(pos AS VARCHAR)", "product_id", "quantity_text")} AS order_item_id,
+       {_sql_id("request_id")} AS order_id, product_id, q AS ordered_quantity_kg, cents / 100.0 AS price_per_kg_at_order,
        (q * cents) / 100.0 AS line_item_total, market_date_used
   FROM ok""", "req_order_items", "market_prices")
 def q_order_items_placed(spark, sf_dir):
@@ -248,8 +257,7 @@ SELECT report_id, shipment_id, temperature_text, timestamp_text,
 
 @register("coldchain_reading_log", f"""
 WITH p AS ({_READING_PARSED})
-SELECT sha256(concat_ws('~', coalesce(report_id, ''), coalesce(shipment_id, ''), coalesce(temperature_text, ''),
-                        coalesce(timestamp_text, ''))) AS reading_id,
+SELECT {_sql_id("report_id", "shipment_id", "temperature_text", "timestamp_text")} AS reading_id,
        shipment_id, CAST(NULL AS VARCHAR) AS vehicle_id, ts AS "timestamp", t AS temperature_celsius,
        CAST(NULL AS VARCHAR) AS location, 'Unknown' AS sensor_id,
        CASE WHEN isnan(t) THEN 'normal' WHEN t > 15.0 THEN 'critical' WHEN t > 8.0 THEN 'elevated' ELSE 'normal' END AS band,
@@ -360,8 +368,7 @@ SELECT *, CASE WHEN regexp_matches(date_text, '{_DATE_OK}') THEN CAST(TRY_STRPTI
 
 @register("harvest_log_valid", f"""
 WITH p AS ({_HARVEST_PARSED})
-SELECT sha256(concat_ws('~', coalesce(report_id, ''), coalesce(farm_id, ''), coalesce(product_id, ''),
-                        coalesce(quantity_text, ''), coalesce(date_text, ''))) AS harvest_id,
+SELECT {_sql_id("report_id", "farm_id", "product_id", "quantity_text", "date_text")} AS harvest_id,
        farm_id, product_id, CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS category,
        d AS harvest_date, q AS harvested_quantity_kg, CAST(NULL AS BIGINT) AS estimated_yield_kg,
        CAST(NULL AS DOUBLE) AS quality_score, '' AS quality_notes, CAST(NULL AS VARCHAR) AS photos_gcs_path,
@@ -391,8 +398,7 @@ WITH p AS (
                  WHEN regexp_matches(issue_date_text, '{_DATE_OK}') THEN CAST(TRY_STRPTIME(issue_date_text, '%Y-%m-%d') AS DATE) END AS d,
             CASE WHEN regexp_matches(affected_text, '{_INT_OK}') THEN TRY_CAST(trim(affected_text) AS BIGINT) END AS a
     FROM qc_reports)
-SELECT sha256(concat_ws('~', coalesce(report_id, ''), coalesce(farm_id, ''), coalesce(issue_type, ''),
-                        coalesce(issue_date_text, ''))) AS issue_id,
+SELECT {_sql_id("report_id", "farm_id", "issue_type", "issue_date_text")} AS issue_id,
        farm_id, product_id, d AS issue_date, issue_type, a AS affected_quantity_kg,
        coalesce(severity, 'Medium') AS severity, 'AI Agent' AS reported_by, coalesce(notes, '') AS notes,
        CAST(NULL AS VARCHAR) AS photos_gcs_path
@@ -710,49 +716,69 @@ _ROUTE_STATUS = f"""
 o AS (SELECT r.request_id, r.origin_location_id AS location_id, loc.location_text
         FROM req_routes r LEFT JOIN loc ON loc.location_id = r.origin_location_id),
 og AS ({_sql_geo("o", "location_text")}),
+oa AS (SELECT DISTINCT order_id, delivery_address FROM orders_v WHERE customer_id IN (SELECT customer_id FROM customers)),
+oag AS ({_sql_geo("oa", "delivery_address")}),
+kg AS (SELECT order_id, CAST(SUM(ordered_quantity_kg) AS BIGINT) AS total_kg FROM order_items GROUP BY order_id),
+li AS (SELECT request_id, order_id, min(pos) AS position FROM route_orders GROUP BY request_id, order_id),
+de AS (SELECT li.request_id, li.order_id, oag.delivery_address, coalesce(kg.total_kg, 0) AS total_kg,
+              row_number() OVER (PARTITION BY li.request_id ORDER BY li.position) AS i
+         FROM li JOIN oag ON oag.order_id = li.order_id LEFT JOIN kg ON kg.order_id = li.order_id
+        WHERE oag.latitude IS NOT NULL),
+nl AS (SELECT request_id, count(*) AS n FROM route_orders GROUP BY request_id),
+nd AS (SELECT request_id, count(*) AS n FROM de GROUP BY request_id),
 pr AS (SELECT route_id, count(*) AS n_legs, SUM({_DUR_SECS}) AS total_sec, SUM(distance_m) AS total_m
          FROM legs GROUP BY route_id),
 st AS (SELECT r.*, pr.n_legs, pr.total_sec, pr.total_m,
-              CASE WHEN r.origin_location_id IS NULL THEN 'error' WHEN og.latitude IS NULL THEN 'not_found'
-                   WHEN coalesce(pr.n_legs, 0) = 0 THEN 'unavailable'
-                   ELSE 'success' END AS status
-         FROM req_routes r JOIN og ON og.request_id = r.request_id LEFT JOIN pr ON pr.route_id = r.route_id)"""
+              CASE WHEN coalesce(r.origin_location_id, '') = '' OR nl.n IS NULL THEN 'error'
+                   WHEN og.latitude IS NULL THEN 'not_found'
+                   WHEN nd.n IS NULL OR pr.n_legs IS NULL THEN 'unavailable'
+                   ELSE 'success' END AS status,
+              CASE WHEN coalesce(r.origin_location_id, '') = '' OR nl.n IS NULL THEN 'Missing required input parameters'
+                   WHEN og.latitude IS NULL THEN 'Origin location ID ' || r.origin_location_id || ' not found or coordinates unavailable.'
+                   WHEN nd.n IS NULL THEN 'Could not find valid destinations or coordinates for provided order IDs.'
+                   WHEN pr.n_legs IS NULL THEN 'Could not compute a route with the provided locations.' END AS message
+         FROM req_routes r JOIN og ON og.request_id = r.request_id LEFT JOIN pr ON pr.route_id = r.route_id
+         LEFT JOIN nl ON nl.request_id = r.request_id LEFT JOIN nd ON nd.request_id = r.request_id)"""
+
+_ROUTE_VIEWS = ("req_routes", "legs", "route_orders", "farm_profiles", "warehouses", "geocodes",
+                "order_items", "orders_v")
+
+
+def _route_tables(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return (fx.req_routes, fx.route_legs, fx.route_orders, fx.orders, fx.customers,
+            fx.order_items, fx.farm_profiles, fx.warehouses, fx.geocodes)
 
 
 @register("route_headers", f"""
 WITH {_ROUTE_STATUS}
-SELECT request_id, route_id, status, vehicle_id,
+SELECT request_id, route_id, status, message, vehicle_id,
        CASE WHEN status = 'success' THEN n_legs + 1 END AS num_stops_on_route,
        CASE WHEN status = 'success' THEN CAST(total_sec AS VARCHAR) || 's' END AS estimated_total_duration,
        CASE WHEN status = 'success' THEN CAST(total_m AS BIGINT) END AS estimated_total_distance_meters,
        route_date
-  FROM st""", "req_routes", "legs", "farm_profiles", "warehouses", "geocodes")
+  FROM st""", *_ROUTE_VIEWS)
 def q_route_headers(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
-    return routes.route_headers(fx.req_routes, fx.route_legs, fx.farm_profiles, fx.warehouses,
-                                fx.geocodes)
+    return routes.route_headers(*_route_tables(spark, sf_dir))
 
 
 @register("route_stops", f"""
 WITH {_ROUTE_STATUS},
 ok AS (SELECT * FROM st WHERE status = 'success'),
-lg AS (SELECT ok.request_id, ok.departure_time, l.leg_seq, l.order_id, l.duration_text, l.distance_m,
+lg AS (SELECT ok.request_id, ok.departure_time, l.leg_seq, l.duration_text, l.distance_m,
               {_DUR_SECS} AS sec
          FROM ok JOIN legs l ON l.route_id = ok.route_id),
-cum AS (SELECT *, SUM(sec) OVER (PARTITION BY request_id ORDER BY leg_seq ROWS UNBOUNDED PRECEDING) AS cs FROM lg),
-kg AS (SELECT order_id, CAST(SUM(ordered_quantity_kg) AS BIGINT) AS total_kg FROM order_items GROUP BY order_id)
-SELECT c.request_id, c.leg_seq AS stop_number, CAST(NULL AS VARCHAR) AS location_id, c.order_id AS destination_id,
-       o.delivery_address AS destination_address, c.departure_time + to_seconds(CAST(c.cs AS BIGINT)) AS estimated_arrival_time,
+cum AS (SELECT *, SUM(sec) OVER (PARTITION BY request_id ORDER BY leg_seq ROWS UNBOUNDED PRECEDING) AS cs FROM lg)
+SELECT c.request_id, c.leg_seq AS stop_number, CAST(NULL AS VARCHAR) AS location_id, de.order_id AS destination_id,
+       de.delivery_address AS destination_address, c.departure_time + to_seconds(CAST(c.cs AS BIGINT)) AS estimated_arrival_time,
        c.duration_text AS estimated_duration_from_previous_stop,
-       c.distance_m AS estimated_distance_from_previous_stop_meters, coalesce(kg.total_kg, 0) AS total_kg_for_stop
-  FROM cum c LEFT JOIN orders_v o ON o.order_id = c.order_id LEFT JOIN kg ON kg.order_id = c.order_id
+       c.distance_m AS estimated_distance_from_previous_stop_meters, de.total_kg AS total_kg_for_stop
+  FROM cum c JOIN de ON de.request_id = c.request_id AND de.i = c.leg_seq
 UNION ALL
 SELECT request_id, 0, origin_location_id, NULL, NULL, departure_time, '0s', 0, NULL FROM ok""",
-          "req_routes", "legs", "farm_profiles", "warehouses", "geocodes", "order_items", "orders_v")
+          *_ROUTE_VIEWS)
 def q_route_stops(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
-    return routes.route_stops(fx.req_routes, fx.route_legs, fx.orders, fx.order_items,
-                              fx.farm_profiles, fx.warehouses, fx.geocodes)
+    return routes.route_stops(*_route_tables(spark, sf_dir))
 
 
 @register("capacity_check", """
@@ -768,6 +794,21 @@ def q_capacity_check(spark, sf_dir):
     return routes.capacity_check(fx.req_routes, fx.route_legs, fx.order_items, fx.vehicles)
 
 
+# -------------------------------------------------------------- validation
+def _reject_sql(operator: str) -> str:
+    missing = ", ".join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in REQUIRED[operator])
+    some = " OR ".join(f"{n} IS NULL" for n in REQUIRED[operator])
+    return f"""SELECT '{operator}' AS operator, request_id, 'error' AS status,
+       'Missing required fields in body: ' || concat_ws(', ', {missing}) AS message
+  FROM req_partial WHERE {some}"""
+
+
+@register("request_rejects", "\nUNION ALL\n".join(_reject_sql(o) for o in REQUIRED), "req_partial")
+def q_request_rejects(spark, sf_dir):
+    req = Fixtures(spark, sf_dir).req_partial
+    return reduce(DataFrame.unionByName, [split_requests(req, o)[1] for o in REQUIRED])
+
+
 # --------------------------------------------------------------- streaming
 def _sql_json_field(name: str, default: str) -> str:
     p = f"'$.{name}'"

@@ -26,8 +26,8 @@ select {LINE_ID} harvest_id, cast(l_suppkey as string) farm_id, cast(l_partkey a
 select {LINE_ID} issue_id, cast(l_suppkey as string) farm_id,
        case when l_linenumber = 1 then null else cast(l_partkey as string) end product_id,
        cast(l_shipdate as date) issue_date, concat('T', cast(l_linenumber as string)) issue_type,
-       case when l_linestatus = 'O' then 'High' else 'Medium' end severity, l_linestatus notes
-  from lineitem where l_returnflag = 'R'""",
+       case l_returnflag when 'R' then 'High' when 'A' then 'Medium' else 'Low' end severity, l_linestatus notes
+  from lineitem""",
     "planting_schedules": """
 select cast(l_suppkey as string) farm_id, cast(l_partkey as string) product_id,
        cast(l_shipdate as date) - 90 planned_planting_date, cast(l_shipdate as date) planned_harvest_date_estimate,
@@ -182,11 +182,23 @@ select concat('L', cast(s_suppkey as string)) request_id,
 select n_name address, cast(n_nationkey as double) * 2.5 latitude, cast(n_regionkey as double) * 10.0 longitude
   from nation""",
     "req_routes": """
-select concat('R', cast(s_suppkey as string)) request_id, cast(s_suppkey as string) route_id,
+select concat(kind, cast(s_suppkey as string)) request_id, cast(s_suppkey as string) route_id,
        case when s_suppkey % 7 = 0 then concat('Z', cast(s_suppkey as string)) else cast(s_suppkey as string) end origin_location_id,
        case when s_suppkey % 5 = 0 then null else concat('V', cast(s_suppkey as string)) end vehicle_id,
        timestamp '1998-06-15 08:00:00' departure_time, date '1998-06-15' route_date
-  from supplier""",
+  from supplier, (values ('R'), ('U'), ('E')) t(kind)""",
+    "route_orders": """
+select concat('R', route_id) request_id, leg_seq pos, order_id from legs
+union all
+select concat('U', cast(s_suppkey as string)), 1, 'NOPE' from supplier""",
+    "req_partial": """
+select concat('P', cast(o_orderkey as string)) request_id,
+       case when o_custkey % 3 <> 0 then cast(o_custkey as string) end product_id,
+       case when o_custkey % 4 <> 0 then cast(o_custkey % 25 as string) end location_id,
+       case when o_orderpriority <> '5-LOW' then cast(o_orderkey as string) end shipment_id,
+       case when o_custkey % 5 <> 0 then cast(o_orderdate as date) end target_date_start,
+       case when o_orderpriority <> '1-URGENT' then cast(o_orderdate as date) + 30 end target_date_end
+  from orders""",
     "req_origins": """
 select concat('O', cast(o_orderkey as string)) request_id,
        case when o_orderkey % 7 = 0 then '999999' else cast(o_custkey % 25 + 5 as string) end location_id
@@ -223,7 +235,8 @@ select concat('D', cast(o_orderkey as string)) request_id, concat('V', cast(o_cu
 }
 
 # Views that read other views.
-DEPENDS: dict[str, tuple[str, ...]] = {"orders_v": ("customers",), "alert_envelopes": ("alerts",)}
+DEPENDS: dict[str, tuple[str, ...]] = {"orders_v": ("customers",), "alert_envelopes": ("alerts",),
+                                        "route_orders": ("legs",)}
 
 
 def with_views(sql: str, *names: str) -> str:

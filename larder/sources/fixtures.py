@@ -70,16 +70,18 @@ class Fixtures:
     @cached_property
     def farm_qc_issues(self) -> DataFrame:
         nul = F.lit(None)
-        return (self.t.lineitem.filter(F.col("l_returnflag") == "R").select(
+        flag = F.col("l_returnflag")
+        return self.t.lineitem.select(
             line_id().alias("issue_id"), _str("l_suppkey").alias("farm_id"),
             F.when(F.col("l_linenumber") == 1, nul).otherwise(_str("l_partkey"))
              .cast("string").alias("product_id"),
             _ship_date().alias("issue_date"),
             F.concat(F.lit("T"), _str("l_linenumber")).alias("issue_type"),
             nul.cast("bigint").alias("affected_quantity_kg"),
-            F.when(F.col("l_linestatus") == "O", "High").otherwise("Medium").alias("severity"),
+            F.when(flag == "R", "High").when(flag == "A", "Medium").otherwise("Low")
+             .alias("severity"),
             nul.cast("string").alias("reported_by"), F.col("l_linestatus").alias("notes"),
-            nul.cast("string").alias("photos_gcs_path")))
+            nul.cast("string").alias("photos_gcs_path"))
 
     @cached_property
     def planting_schedules(self) -> DataFrame:
@@ -383,9 +385,12 @@ class Fixtures:
 
     @cached_property
     def req_routes(self) -> DataFrame:
-        s = F.col("s_suppkey")
-        return self.t.supplier.select(
-            F.concat(F.lit("R"), _str(s)).alias("request_id"), _str(s).alias("route_id"),
+        """Three requests per supplier: R lists all orders of its legs, U an
+        unknown order, E none."""
+        s, kind = F.col("s_suppkey"), F.col("kind")
+        return self.t.supplier.select("s_suppkey", F.explode(F.array(
+            F.lit("R"), F.lit("U"), F.lit("E"))).alias("kind")).select(
+            F.concat(kind, _str(s)).alias("request_id"), _str(s).alias("route_id"),
             F.when(s % 7 == 0, F.concat(F.lit("Z"), _str(s))).otherwise(_str(s))
              .alias("origin_location_id"),
             F.when(s % 5 == 0, F.lit(None).cast("string"))
@@ -393,6 +398,16 @@ class Fixtures:
             F.lit("1998-06-15 08:00:00").cast("timestamp_ntz").alias("departure_time"),
             F.lit("1998-06-15").cast("date").alias("route_date"))
 
+    @cached_property
+    def route_orders(self) -> DataFrame:
+        """Exploded order lists of the route requests."""
+        listed = self.route_legs.select(F.concat(F.lit("R"), F.col("route_id")).alias("request_id"),
+                                        F.col("leg_seq").alias("pos"), "order_id")
+        unknown = self.t.supplier.select(
+            F.concat(F.lit("U"), _str("s_suppkey")).alias("request_id"),
+            F.lit(1).cast("bigint").alias("pos"), F.lit("NOPE").alias("order_id"))
+        return listed.unionByName(unknown)
+
     @cached_property
     def req_origins(self) -> DataFrame:
         k = F.col("o_orderkey")
@@ -453,6 +468,19 @@ class Fixtures:
             (ln % 2 == 0).alias("nearing_expiry"))
         return sup.unionByName(lines)
 
+    @cached_property
+    def req_partial(self) -> DataFrame:
+        """Requests of one to four fields; any of them may be missing."""
+        k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+        day = F.col("o_orderdate").cast("date")
+        return self.t.orders.select(
+            F.concat(F.lit("P"), _str(k)).alias("request_id"),
+            F.when(c % 3 != 0, _str(c)).alias("product_id"),
+            F.when(c % 4 != 0, _str(c % 25)).alias("location_id"),
+            F.when(p != "5-LOW", _str(k)).alias("shipment_id"),
+            F.when(c % 5 != 0, day).alias("target_date_start"),
+            F.when(p != "1-URGENT", F.date_add(day, 30)).alias("target_date_end"))
+
     @cached_property
     def req_destinations(self) -> DataFrame:
         k, c = F.col("o_orderkey"), F.col("o_custkey")

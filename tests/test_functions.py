@@ -72,3 +72,9 @@ def test_stable_id_is_deterministic(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None)], "x string, y string")
     ids = [r[0] for r in df.select(stable_id("x", "y")).collect()]
     assert ids[0] == ids[1] and ids[0] != ids[2] and len(ids[0]) == 64
+
+
+def test_stable_id_keeps_parts_apart(spark):
+    df = spark.createDataFrame([("a~b", "c"), ("a", "b~c"), ("", None), (None, ""), ("1:a", "")],
+                               "x string, y string")
+    assert len({r[0] for r in df.select(stable_id("x", "y")).collect()}) == 5

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.operators import farm, logistics, market, routes, search
+from larder.operators.validate import split_requests
 from larder.operators.window import running_sum
 from larder.streaming.alerts import classify_alerts
 
@@ -201,30 +202,63 @@ def test_running_sum_chunks_equal_plain_window(spark):
 
 
 def test_route_stop_arrivals(spark):
+    # o3 has no coordinates, o4 no customer, o1 is listed twice: leg i ends at
+    # the i-th order that is left, and the last leg has none
     legs = spark.createDataFrame(
-        [("r", 1, "o1", "90s", 10), ("r", 2, "o2", "1h2m3s", 20), ("r", 3, "o1", "2h", 5)],
-        "route_id string, leg_seq long, order_id string, duration_text string, distance_m long")
+        [("r", 1, "90s", 10), ("r", 2, "1h2m3s", 20), ("r", 3, "2h", 5), ("r", 4, "7s", 1)],
+        "route_id string, leg_seq long, duration_text string, distance_m long")
+    dest = spark.createDataFrame(
+        [("q", 0, "o3"), ("q", 1, "o1"), ("q", 2, "o4"), ("q", 3, "o2"), ("q", 4, "o1"),
+         ("q", 5, "o5"), ("none left", 0, "o3"), ("no origin", 0, "o1"), ("unknown", 0, "o1"),
+         ("no legs", 0, "o1")], "request_id string, pos long, order_id string")
+    customers = spark.createDataFrame([("c",)], "customer_id string")
     farms = spark.createDataFrame([("F", "n", "Lat: 1.5, Lon: 2.5", "s", "c")],
                                   "farm_id string, farm_name string, farm_location string, "
                                   "supplier_name string, primary_crops_grown string")
     wh = spark.createDataFrame([], "warehouse_id string, location_address string")
-    orders = spark.createDataFrame([("o1", "c", "A1"), ("o2", "c", "A2")],
-                                   "order_id string, customer_id string, delivery_address string")
+    at = "Lat: 1, Lon: 2"
+    orders = spark.createDataFrame(
+        [("o1", "c", at), ("o2", "c", at), ("o3", "c", None), ("o4", "x", at), ("o5", "c", "Here")],
+        "order_id string, customer_id string, delivery_address string")
+    geocodes = spark.createDataFrame([("Here", 5.0, 6.0)],
+                                     "address string, latitude double, longitude double")
     items = spark.createDataFrame([("o1", 3), ("o1", 4)],
                                   "order_id string, ordered_quantity_kg long")
+    at8, day = dt.datetime(2024, 1, 1, 8), D(2024, 1, 1)
     req = spark.createDataFrame(
-        [("q", "r", "F", "V", dt.datetime(2024, 1, 1, 8), D(2024, 1, 1))],
+        [("q", "r", "F", "V", at8, day), ("none left", "r", "F", "V", at8, day),
+         ("no origin", "r", "", "V", at8, day), ("unknown", "r", "G", "V", at8, day),
+         ("no legs", "s", "F", "V", at8, day), ("empty", "r", "F", "V", at8, day)],
         "request_id string, route_id string, origin_location_id string, vehicle_id string, "
         "departure_time timestamp_ntz, route_date date")
-    stops = {r.stop_number: r for r in routes.route_stops(req, legs, orders, items, farms,
-                                                          wh).collect()}
-    assert stops[0].location_id == "F"
+    args = (req, legs, dest, orders, customers, items, farms, wh, geocodes)
+    got = routes.route_stops(*args).collect()
+    assert {r.request_id for r in got} == {"q"}
+    stops = {r.stop_number: r for r in got}
+    assert stops[0].location_id == "F" and sorted(stops) == [0, 1, 2, 3]
+    assert [stops[i].destination_id for i in (1, 2, 3)] == ["o1", "o2", "o5"]
     assert stops[1].estimated_arrival_time == dt.datetime(2024, 1, 1, 8, 1, 30)
     assert stops[2].estimated_arrival_time == dt.datetime(2024, 1, 1, 9, 3, 33)
     assert stops[3].estimated_arrival_time == stops[2].estimated_arrival_time  # '2h' -> 0
     assert stops[1].total_kg_for_stop == 7 and stops[2].total_kg_for_stop == 0
-    head = routes.route_headers(req, legs, farms, wh).collect()[0]
-    assert head.num_stops_on_route == 4 and head.estimated_total_duration == "3813s"
+    head = {r.request_id: r for r in routes.route_headers(*args).collect()}
+    assert {k: r.status for k, r in head.items()} == {
+        "q": "success", "none left": "unavailable", "no origin": "error",
+        "unknown": "not_found", "no legs": "unavailable", "empty": "error"}
+    assert head["q"].num_stops_on_route == 5 and head["q"].estimated_total_duration == "3820s"
+    assert head["empty"].message == "Missing required input parameters"
+
+
+def test_split_requests_keeps_every_request_once(spark):
+    req = spark.createDataFrame([("a", "p", D(2024, 1, 1), None), ("b", None, None, None),
+                                 ("c", "p", D(2024, 1, 1), D(2024, 1, 2))],
+                                "request_id string, product_id string, target_date_start date, "
+                                "target_date_end date")
+    good, bad = split_requests(req, "demand_forecast")
+    assert [r.request_id for r in good.collect()] == ["c"] and good.columns == req.columns
+    assert {r.request_id: r.message for r in bad.collect()} == {
+        "a": "Missing required fields in body: target_date_end",
+        "b": "Missing required fields in body: product_id, target_date_start, target_date_end"}
 
 
 # ------------------------------------------------------------------ H19
