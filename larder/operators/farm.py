@@ -18,6 +18,8 @@ from larder.sources.requests import value_or_default
 # Fixed values taken from the reference.
 DEFAULT_LOOKBACK_DAYS = 90
 PICKUP_WINDOW_DAYS = 7
+#: End of a window without one.
+LAST_DAY = "9999-12-31"
 QC_DEFAULTS = {"severity": "Medium", "reported_by": "AI Agent", "notes": ""}
 MSG_PICKUP_OK = ("Pickup request received and appears feasible. Logistics is being notified "
                  "and will confirm exact details.")
@@ -154,41 +156,38 @@ def _topk_in_window(req: DataFrame, facts: DataFrame, keys: Sequence[str], date_
     ``lo <= date <= hi`` (open ends when null).
 
     1. Facts are cut to the top k per (keys, date) - nothing beyond that can
-       reach any answer, and WindowGroupLimit applies the cut map-side.
-    2. Requests are reduced to distinct (keys, lo, hi) tuples.
-    3. Tuples meet facts on an equi join of (keys, year): each tuple is
-       exploded into the years of its window (open ends clamped to the
-       facts' year range, one scalar subquery), so there is always an equi
-       key and a hot key is spread over years. Per tuple at most k rows per
-       calendar day are candidates.
-    4. Top k per tuple, then back to the requests (null-safe on lo/hi) and
-       re-ranked per request (a request may map to several tuples).
+       reach any answer, and WindowGroupLimit applies the cut map-side. A
+       key keeps at most k rows per calendar day.
+    2. Facts and the distinct ends of the windows are merged per key in date
+       order; facts are numbered, and an end carries the number of the last
+       fact up to it. The k facts up to that number are the only ones that
+       can answer a window with this end, whatever its start.
+    3. Requests meet those k facts on an equi join of (keys, end); facts
+       before the start go. No row per day or year of a window is made.
+    4. Re-ranked per request (a request may ask for several keys).
     """
     keys = list(keys)
-    order = [F.col(date_col).desc(), F.col(tie_col).asc()]
-    compact = topk(facts.select(*keys, date_col, tie_col, *out_cols), keys + [date_col],
-                   [F.col(tie_col).asc()], k).drop("rank")
-    compact = compact.withColumn("_yr", F.year(date_col))
-    span = facts.agg(F.struct(F.min(F.year(date_col)).alias("a"),
-                              F.max(F.year(date_col)).alias("b")).alias("s")).scalar()
-    y_min, y_max = span.getField("a"), span.getField("b")
-    tuples = req.select(*keys, "lo", "hi").distinct()
-    y_lo = F.greatest(F.coalesce(F.year("lo"), y_min), y_min)
-    y_hi = F.least(F.coalesce(F.year("hi"), y_max), y_max)
-    tuples = tuples.withColumn("_yr", F.explode(F.sequence(y_lo, F.greatest(y_lo, y_hi))))
-    cand = tuples.join(compact, keys + ["_yr"]).filter(
-        (F.col("lo").isNull() | (F.col(date_col) >= F.col("lo"))) &
-        (F.col("hi").isNull() | (F.col(date_col) <= F.col("hi"))))
-    top = topk(cand, keys + ["lo", "hi"], order, k).drop("_yr", "rank")
-    tk = keys + ["lo", "hi"]
-    extra = [tie_col] if tie_col not in out_cols else []
-    top = top.select(*[F.col(c).alias(f"_t_{c}") for c in tk], *out_cols, *extra)
-    cond = None
-    for c in tk:
-        e = F.col(c).eqNullSafe(F.col(f"_t_{c}"))
-        cond = e if cond is None else cond & e
-    got = req.join(top, cond).select("request_id", *out_cols, *extra)
-    return topk(got, ["request_id"], order, k)
+    fields = list(dict.fromkeys([date_col, tie_col, *out_cols]))
+    compact = topk(facts.filter(F.col(date_col).isNotNull()).select(*keys, *fields),
+                   [*keys, date_col], [F.col(tie_col).asc()], k)
+    req = req.withColumn("_end", F.coalesce("hi", F.lit(LAST_DAY).cast("date")))
+    merged = compact.select(*keys, F.col(date_col).alias("_end"), "rank",
+                            F.struct(*fields).alias("_fact")).unionByName(
+        req.select(*keys, "_end").distinct(), allowMissingColumns=True)
+    is_fact = F.col("_fact").isNotNull()
+    # facts of a day before its ends; within a day the first by tie comes last
+    per_key = Window.partitionBy(*keys)
+    numbered = merged.withColumn("_n", F.count("_fact").over(
+        per_key.orderBy("_end", F.col("rank").desc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    latest = F.collect_list("_fact").over(per_key.orderBy("_n").rangeBetween(1 - k, 0))
+    ends = numbered.withColumn("_latest", latest).filter(~is_fact) \
+        .select(*keys, "_end", F.inline("_latest"))
+    got = req.select("request_id", *keys, "lo", "_end").join(ends, [*keys, "_end"]) \
+        .filter(F.col("lo").isNull() | (F.col(date_col) >= F.col("lo")))
+    return topk(got.select("request_id", *fields), ["request_id"],
+                [F.col(date_col).desc(), F.col(tie_col).asc()], k) \
+        .select("request_id", *out_cols, *([tie_col] if tie_col not in out_cols else []), "rank")
 
 
 _KEYS = ["farm_id", "product_id"]

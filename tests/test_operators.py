@@ -101,6 +101,32 @@ def test_advice_batch_equals_single_requests(spark):
     assert sorted(singles) == [b for b in batch if b[0] in ids]
 
 
+def test_advice_many_windows_without_keys(spark):
+    """10,000 windows without keys give at most 5 rows each, equal to a plain
+    scan; the plan makes no row per day or year of a window."""
+    day0 = D(1998, 1, 1)
+    facts = [(f"h{i}", f"f{i % 3}", f"p{i % 5}", day0 + dt.timedelta(days=i * 7 % 200)) for i in range(900)]
+    h = spark.createDataFrame(facts, "harvest_id string, farm_id string, product_id string, harvest_date date") \
+        .withColumns({"harvested_quantity_kg": F.substring("harvest_id", 2, 9).cast("long"),
+                      "quality_score": F.lit(1.0), "quality_notes": F.lit("n")})
+    req = spark.range(10_000).select(
+        F.col("id").cast("string").alias("request_id"), F.lit(None).cast("string").alias("farm_id"),
+        F.lit("").alias("product_id"),
+        F.when(F.col("id") % 7 != 0, F.date_add(F.lit(day0), (F.col("id") / 100).cast("int"))).alias("start_date"),
+        F.date_add(F.lit(day0), (F.col("id") % 100 * 2).cast("int")).alias("end_date"))
+    out = farm.advice_harvests(req, h, AS_OF)
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.request_id, {})[r.rank] = r.harvested_quantity_kg
+    order = sorted(facts, key=lambda f: (-f[3].toordinal(), f[0]))
+    for i in range(0, 10_000, 37):
+        lo = day0 + dt.timedelta(days=i // 100) if i % 7 else None
+        hi = day0 + dt.timedelta(days=i % 100 * 2)
+        want = [int(f[0][1:]) for f in order if (lo is None or f[3] >= lo) and f[3] <= hi][:5]
+        assert got.get(str(i), {}) == dict(enumerate(want, 1))
+
+
 # ------------------------------------------------------------------ H8
 def test_orders_address_fallback_and_first_error(spark):
     cust = spark.createDataFrame([("c1", "addr 1"), ("c2", None)],
