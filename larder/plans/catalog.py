@@ -15,11 +15,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.operators import farm, logistics, market, routes, search
 from larder.operators.validate import REQUIRED, split_requests
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
+from larder.sources.requests import CORRUPT, parse_requests, value_or_default
+from larder.sources.sinks import to_json_rows
 from larder.streaming import alerts
 
 AS_OF = "1998-06-15"
@@ -809,6 +812,33 @@ def q_request_rejects(spark, sf_dir):
     return reduce(DataFrame.unionByName, [split_requests(req, o)[1] for o in REQUIRED])
 
 
+# ------------------------------------------------------------ JSON in and out
+@register("requests_from_json", """
+WITH j AS (SELECT value, CASE WHEN json_valid(value) THEN value END AS v FROM request_lines),
+o AS (SELECT value, CASE WHEN json_type(v) = 'OBJECT' THEN v END AS v FROM j)
+SELECT v ->> '$.request_id' AS request_id, v ->> '$.location_id' AS location_id,
+       CASE WHEN v IS NULL THEN NULL WHEN json_exists(v, '$.status') THEN v ->> '$.status' ELSE 'Available' END AS status,
+       CASE WHEN v IS NULL THEN value END AS not_an_object
+  FROM o""", "request_lines")
+def q_requests_from_json(spark, sf_dir):
+    req = parse_requests(Fixtures(spark, sf_dir).request_lines, StructType.fromDDL(
+        "request_id string, location_id string, status string"))
+    bad = F.col(CORRUPT).isNotNull()
+    return req.select("request_id", "location_id",
+                      F.when(~bad, value_or_default(req, "status", logistics.DEFAULT_STOCK_STATUS)).alias("status"),
+                      F.col(CORRUPT).alias("not_an_object"))
+
+
+@register("vehicle_details_json", """
+SELECT r.request_id, CAST(to_json({'vehicle_id': r.vehicle_id, 'vehicle_type': v.vehicle_type, 'capacity_kg': v.capacity_kg,
+       'has_temperature_monitoring': v.has_temperature_monitoring, 'carrier_name': v.carrier_name,
+       'found': v.vehicle_id IS NOT NULL}) AS VARCHAR) AS json
+  FROM req_routes r LEFT JOIN vehicles v ON v.vehicle_id = r.vehicle_id""", "req_routes", "vehicles")
+def q_vehicle_details_json(spark, sf_dir):
+    return to_json_rows(q_vehicle_details(spark, sf_dir).select(
+        "request_id", "vehicle_id", "vehicle_type", "capacity_kg", "has_temperature_monitoring", "carrier_name", "found"))
+
+
 # --------------------------------------------------------------- streaming
 def _sql_json_field(name: str, default: str) -> str:
     p = f"'$.{name}'"

@@ -191,6 +191,11 @@ select concat(kind, cast(s_suppkey as string)) request_id, cast(s_suppkey as str
 select concat('R', route_id) request_id, leg_seq pos, order_id from legs
 union all
 select concat('U', cast(s_suppkey as string)), 1, 'NOPE' from supplier""",
+    "request_lines": """
+select case when o_orderkey % 7 = 0 then '[' || o_orderkey || ']' when o_orderkey % 11 = 0 then '{bad ' || o_orderkey
+            else '{"request_id":"J' || o_orderkey || '","location_id":"' || (o_custkey % 25) || '"'
+                 || case o_orderkey % 3 when 0 then ',"status":null' when 1 then ',"status":"Reserved"' else '' end || '}' end as value
+  from orders""",
     "req_partial": """
 select concat('P', cast(o_orderkey as string)) request_id,
        case when o_custkey % 3 <> 0 then cast(o_custkey as string) end product_id,

@@ -468,6 +468,19 @@ class Fixtures:
             (ln % 2 == 0).alias("nearing_expiry"))
         return sup.unionByName(lines)
 
+    @cached_property
+    def request_lines(self) -> DataFrame:
+        """Stock requests as JSON text: status given, null or absent, and
+        lines that are no object."""
+        k = F.col("o_orderkey")
+        status = (F.when(k % 3 == 0, F.lit(',"status":null')).when(k % 3 == 1, F.lit(',"status":"Reserved"'))
+                  .otherwise(F.lit("")))
+        line = F.concat(F.lit('{"request_id":"J'), _str(k), F.lit('","location_id":"'),
+                        _str(F.col("o_custkey") % 25), F.lit('"'), status, F.lit("}"))
+        return self.t.orders.select(F.when(k % 7 == 0, F.concat(F.lit("["), _str(k), F.lit("]")))
+                                    .when(k % 11 == 0, F.concat(F.lit("{bad "), _str(k)))
+                                    .otherwise(line).alias("value"))
+
     @cached_property
     def req_partial(self) -> DataFrame:
         """Requests of one to four fields; any of them may be missing."""

@@ -63,6 +63,7 @@ def place_orders(orders: DataFrame, items: DataFrame, rejects: DataFrame, base:
 
 
 def to_json_rows(df: DataFrame, key: str = "request_id") -> DataFrame:
-    """One JSON document per row (``request_id`` kept as a column)."""
+    """One JSON document per row (``request_id`` kept as a column); null
+    fields are written as null."""
     others = [c for c in df.columns if c != key]
-    return df.select(key, F.to_json(F.struct(*others)).alias("json"))
+    return df.select(key, F.to_json(F.struct(*others), {"ignoreNullFields": "false"}).alias("json"))
