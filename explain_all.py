@@ -20,13 +20,13 @@ SCALE_NOTES = """## Scale review (1000x the data, one key holding a third of the
 |---|---|---|---|
 | availability, stock, incoming, upcoming | product (partial aggregation first) | one product's aggregate row | AQE only |
 | forecasts, price of a day, warehouse stock | request keys after an Expand of optional filters | k rows per key (WindowGroupLimit on both sides) | AQE only |
-| advice sections | (pattern key, day), then (pattern key, year) | 5 rows per key and day; years per request window | AQE only |
+| advice sections | (pattern key, day); pattern key; (pattern key, window end) | 5 rows per key and day, distinct ends per key (calendar-bounded) | AQE only |
 | pickup feasibility | (farm, product) | days + distinct thresholds of one key (calendar-bounded) | AQE only |
 | as-of price, orders | product; request | price days + order days of one product (calendar-bounded) | AQE only |
 | tracking, readings | shipment | 10 rows per shipment (WindowGroupLimit) | AQE only |
 | search | gram; pattern | one gram's posting list (verified by LIKE, no cap); 100 rows per pattern | none |
-| destinations, coordinates | request, order; distinct address texts | one request's list | AQE only |
-| route stops and headers | (route, 100k-leg chunk); route | one chunk of 100k legs; the per-route chunk-total table | AQE only |
+| destinations, coordinates | request, order; address texts without coordinates | one order; one address text | AQE only |
+| route stops and headers | (route, 100k-leg chunk), (request, 100k-position block), (route, leg) | one chunk or block; the per-route totals table | AQE only |
 | route legs fixture | (supplier, day) | one supplier-day | AQE only |
 | streams | none (map-only) | one micro-batch partition | none |
 

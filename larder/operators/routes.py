@@ -64,10 +64,10 @@ def location_texts(farms: DataFrame, warehouses: DataFrame) -> DataFrame:
 def origin_coordinates(req: DataFrame, farms: DataFrame, warehouses: DataFrame,
                        geocodes: DataFrame | None = None) -> DataFrame:
     """Coordinates of each requested location id; 'not_found' when
-    the id is unknown or no coordinates can be had."""
-    loc = location_texts(farms, warehouses)
-    out = _geo(req.select("request_id", "location_id").join(loc, "location_id", "left"),
-               "location_text", geocodes)
+    the id is unknown or no coordinates can be had. Located once per place,
+    before the requests join."""
+    loc = _geo(location_texts(farms, warehouses), "location_text", geocodes)
+    out = req.select("request_id", "location_id").join(loc, "location_id", "left")
     return out.select("request_id", "location_id", "location_text", "latitude", "longitude",
                       "source", F.when(F.col("latitude").isNotNull(), "success")
                       .otherwise("not_found").alias("status"))
