@@ -168,19 +168,36 @@ def sequence_hash(hashes: np.ndarray) -> int:
     return int(window_hashes(hashes, len(hashes))[0]) ^ (len(hashes) * 0xA24BAED4963EE407 & _M64) if len(hashes) else 0
 
 
+def known_labels(labels: DataFrame, label: str, mod: int, held: int) -> DataFrame:
+    """doc_id, label of the documents whose label may be learned from: none
+    with crc32(doc_id) mod ``mod`` = ``held``; the smallest of several counts."""
+    return (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+            .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
+            .filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) != held))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int,
                     most: int) -> DataFrame:
     """Texts and labels to learn from: at most ``most`` labelled documents of
-    each class, by a hash of doc_id, none with crc32(doc_id) mod ``mod`` =
-    ``held``. The sample is small, so documents are filtered by a broadcast."""
-    known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
-             .filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) != held))
+    each class, by a hash of doc_id. The sample is small, so documents are
+    filtered by a broadcast."""
+    known = known_labels(labels, label, mod, held)
     pick = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(pick[0].union(pick[1])), "doc_id"))
 
 
+def class_weights(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int, used) -> np.ndarray:
+    """Per class, the rows of the whole table whose label may be learned from
+    for each one in ``used`` (the labels of the rows taken): with these
+    weights a sample capped by class has the table's mix."""
+    rows = documents.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    counted = rows.join(known_labels(labels, label, mod, held), "doc_id").groupBy("label").agg(F.sum("n").alias("n"))
+    total = {r.label: r.n for r in counted.collect()}
+    taken = np.bincount(used, minlength=2)
+    return np.array([total.get(c, 0) / max(1, taken[c]) for c in (0, 1)])
+
+
 def held_out(mod: int, held: int):
     """Whether a document's label may not be learned from; null ids: false."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) == held, F.lit(False))

@@ -218,6 +218,30 @@ def test_classifiers_learn_and_leave_held_out_labels(spark, operator, odd, none)
     assert len(operator(odd.drop("score"), labels).collect()) == len(ODD) and operator(none, labels).count() == 0
 
 
+def test_weighted_threshold_equals_repeated_rows():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        logits, y, times = rng.normal(size=60).round(1), rng.integers(0, 2, 60), rng.integers(1, 9, 2)
+        many = times[y]
+        assert np.isclose(toxicity.best_threshold(logits, y, many.astype(float)), toxicity.best_threshold(
+            np.repeat(logits, many), np.repeat(y, many), np.ones(many.sum())))
+
+
+def test_toxicity_cut_follows_the_class_mix_of_the_table(spark):
+    """One tenth toxic: of these half say zap; zip is as likely toxic as 1 in 6."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        word = ("zap" if i % 20 == 0 else "zip") if toxic else "zip" if rng.random() < 0.3 else "plain"
+        rows.append((i, f"{word} " + " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(6)), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for most in (3000, 150):  # without and with a cap on the clean class
+        got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, docs, max_docs=most).collect()}
+        share = {w: np.mean([got[i] for i, t, _ in rows if t.startswith(w)]) for w in ("zap", "zip", "plain")}
+        assert share["zap"] > 0.9 and share["zip"] < 0.1 and share["plain"] < 0.1, (most, share)
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents):
     import corpus_pipeline
     docs = documents.withColumn("carried", documents["source"])
