@@ -5,7 +5,8 @@ the lines around it; weights and transition scores are fitted by maximum
 likelihood in numpy, each line of a training document carrying the document's
 label. Forward-backward gives each line's probability of being good, the mean
 weighted by length is the document's evidence, and a logistic curve fitted on
-the training documents turns it into a score.
+the training documents turns it into a score. There each class weighs as much
+as in the whole table, so that the cap on the sample doesn't move the scores.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import held_out, labelled_sample, row_chunks, span_hashes, utf8_column, words
+from larder.llm.common import class_weights, held_out, labelled_sample, row_chunks, span_hashes, utf8_column, words
 
 MOD, HELD, THRESHOLD = 3, 1, 0.5
 #: Bounds of what is learned from: documents of each class, lines in all.
@@ -149,12 +150,12 @@ def document_evidence(x, size, first, w, trans) -> np.ndarray:
     return np.log(mean / (1 - mean))
 
 
-def fit_logistic(e: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (kept positive) and intercept by Newton steps with a weak prior."""
+def fit_logistic(e: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (kept positive) and intercept of weighted rows by Newton steps with a weak prior."""
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * e + b, -40, 40)))
-        r, s = p - y, np.maximum(p * (1 - p), 1e-6)
+        r, s = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         g = np.array([(r * e).sum() + 0.1 * a, r.sum()])
         h = np.array([[(s * e * e).sum() + 0.1, (s * e).sum()], [(s * e).sum(), s.sum() + 1e-3]])
         da, db = np.linalg.solve(h, g)
@@ -198,7 +199,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_l
     x, size = np.concatenate(xs).astype(np.float32), np.concatenate(sizes)
     first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
     w, trans = train_crf(x, first, y)
-    return w.astype(np.float32), trans, *fit_logistic(document_evidence(x, size, first, w, trans), y)
+    weight = class_weights(documents, labels, "quality", MOD, HELD, y)[y]
+    return w.astype(np.float32), trans, *fit_logistic(document_evidence(x, size, first, w, trans), y, weight)
 
 
 def _score(model):

@@ -242,6 +242,23 @@ def test_toxicity_cut_follows_the_class_mix_of_the_table(spark):
         assert share["zap"] > 0.9 and share["zip"] < 0.1 and share["plain"] < 0.1, (most, share)
 
 
+def test_weighted_logistic_equals_repeated_rows():
+    rng = np.random.default_rng(7)
+    e, y, times = rng.normal(size=80), rng.integers(0, 2, 80), np.array([2, 7])
+    many = times[y]
+    assert np.allclose(quality.fit_logistic(e, y, many.astype(float)),
+                       quality.fit_logistic(np.repeat(e, many), np.repeat(y, many), np.ones(many.sum())))
+
+
+def test_quality_scores_follow_the_class_mix_of_the_table(spark):
+    """Labels that the text doesn't tell: every score is near the good share."""
+    rows = [(i, f"some line of plain words {i % 7}", int(i % 8 > 0)) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for most in (3000, 100):  # without and with a cap on the good class
+        got = quality.quality(docs, docs, max_docs=most).collect()
+        assert abs(np.mean([r.score for r in got]) - 7 / 8) < 0.05 and all(r.predicted == 1 for r in got), most
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents):
     import corpus_pipeline
     docs = documents.withColumn("carried", documents["source"])
