@@ -1,5 +1,6 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages,
-benchmark leaks, packing. Each stage works on what the stage before kept."""
+benchmark leaks, packing. Each stage works on what the stage before kept, and
+judges every row by itself: a doc_id can be null or stand for several texts."""
 
 from __future__ import annotations
 
@@ -9,26 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import decontam, neardup, packing, substrings, toxicity
-from larder.llm.common import read_table
+from larder.llm.common import read_table, written
 from larder.session import ensure_checkpoint_dir
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``rejected``; rows without an id stay."""
-    bad = rejected.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row (a written unique key), doc (the whole row)."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels, predicts toxic go."""
-    scored = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return _without(docs, scored.filter("predicted = 1"))
+    """Rows that the classifier, trained on the labels, predicts toxic go."""
+    rows = _keyed(docs)
+    scored = toxicity.toxicity(rows.select("row", "doc.doc_id", "doc.text"), read_table(spark, sf_dir, "labels"),
+                               carry=("row",))
+    return rows.join(scored.filter("predicted = 1").select("carried.row"), "row", "left_anti").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at 0.8 on five-word shingles stays: the one
-    with the smallest id. Rows that repeat an id stay or go together."""
-    return _without(docs, neardup.near_duplicates(docs, shingle=5, percent=80).filter("not kept"))
+    """One row of each group at 0.8 on five-word shingles stays: the one with
+    the smallest id, a row without an id only where no other has one. Every
+    row is a document of its own, whatever its doc_id."""
+    rows = _keyed(docs)
+    found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")),
+                                    shingle=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"))
+    best = (found.join(ids, "row").groupBy("component_id")
+            .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")))
+    return rows.join(best.select("best.row"), "row", "left_semi").select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +53,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's question and answer go."""
-    return _without(docs, decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")))
+    """Rows that hold a benchmark item's question and answer go."""
+    rows = _keyed(docs)
+    found = decontam.leaks(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")),
+                           read_table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,3 +268,30 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents):
     assert {r.doc_id: r.text for r in cut.collect()} == want
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert 0 < out.select("doc_id").distinct().count() <= documents.count()
+
+
+def test_pipeline_judges_every_row_whatever_its_id(spark, tmp_path):
+    import corpus_pipeline
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    item = "Which river runs through the old town of the seven bridges? The slow green Avon."
+    labelled = [(i, text(30) + " zap" * (i % 3 == 0), int(i % 3 == 0)) for i in range(600)]
+    spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, copied, leaky = text(40), text(40), f"{text(40)} {item} {text(40)}"
+    odd = [(None, text(30) + " zap"), (700, text(30) + " zap"), (700, clean),     # toxic: the first two
+           (None, copied), (None, copied), (710, copied), (711, copied), (711, text(40)),  # 710 stands for its group
+           (None, leaky), (720, leaky + " " + text(9)), (720, text(40)), (None, None), (None, ""), (730, None)]
+    schema = "doc_id long, text string"
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    docs = spark.createDataFrame(odd, schema)
+
+    train = spark.createDataFrame([(i, t) for i, t, _ in labelled], schema)
+    got = of(corpus_pipeline.drop_toxic(spark, train.union(docs.filter("text <> ''")), str(tmp_path))
+             .filter("doc_id is null or doc_id >= 700"))
+    assert got == sorted([r for r in odd[2:] if r[1]], key=str)
+    got = of(corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)))
+    assert got == sorted([r for r in odd if r[1] not in (copied, leaky) and not (r[1] or "").startswith(leaky)]
+                         + [(710, copied), (720, odd[9][1])], key=str)
+    got = of(corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)))
+    assert got == sorted([r for r in odd if item not in (r[1] or "")], key=str)
