@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, decontam, hostrules, licenses, neardup, packing, quality, sharding, substrings, toxicity
+from larder.llm import (
+    chat, collocations, decontam, hostrules, lexical, licenses, neardup, packing, quality, sharding, substrings, topk,
+    toxicity)
 from larder.llm.common import read_table, written
 
 
@@ -69,13 +71,33 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convs.select("conv_id", "leaf").join(out, "leaf").drop("leaf")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors of every 50th one."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_license_scan, op3_packing, op4_decontamination, op5_near_duplicates, op6_toxicity,
-    op7_substring_dedup, op8_host_rules, op9_quality, op10_chat_format)}
+    op7_substring_dedup, op8_host_rules, op9_quality, op10_chat_format, op11_collocations, op12_top_k,
+    op13_lexical_search)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 def _canonical_sql(text: str) -> str:
     out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
@@ -163,6 +185,52 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
        CAST({len(chat.BEGIN)} + sum({_marks_sql()} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars
   FROM t GROUP BY conv_id""",
+    "op11_collocations": rf"""
+WITH piece AS (SELECT lang, row_number() OVER () AS p, w FROM (
+         SELECT lang, regexp_extract_all(unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)) WHERE len(w) > 0),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY 1),
+gram AS MATERIALIZED (SELECT lang, k, g AS phrase, count(*) AS f FROM (
+         SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (
+           SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM piece, range(1, 6) AS r(k) WHERE len(w) >= k))
+         GROUP BY ALL HAVING count(*) >= 100),
+longer AS (SELECT lang, array_to_string(string_split(phrase, ' ')[a:a + n - 1], ' ') AS phrase, max(f) AS f FROM (
+             SELECT lang, phrase, f, k, n, unnest(range(1, k - n + 2)) AS a FROM gram, range(2, 5) AS r(n) WHERE n < k)
+            GROUP BY 1, 2),
+cand AS (SELECT lang, phrase, k, g.f AS a FROM gram g LEFT JOIN longer x USING (lang, phrase)
+          WHERE k >= 2 AND (x.f IS NULL OR 100 * x.f < 100 * g.f)),
+cut AS (SELECT lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS x,
+               array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS y FROM cand, range(1, 5) AS r(j) WHERE j < k),
+scored AS (SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, n,
+                  CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+             FROM cut c JOIN gram l ON l.lang = c.lang AND l.phrase = x JOIN gram r ON r.lang = c.lang AND r.phrase = y
+             JOIN total ON total.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank,
+       phrase, a, l, r, n, score
+  FROM weakest QUALIFY rank <= 2000""",
+    "op12_top_k": """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+             FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+  FROM scored QUALIFY rank <= 5""",
+    "op13_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS t FROM documents),
+whole AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(t) AS term FROM d) GROUP BY ALL),
+m AS (SELECT row, doc_id, 25 + (75 * len(t) * n_docs) // n_terms AS m FROM d, whole WHERE len(t) > 0),
+item AS (SELECT key, item_id, term, count(*) AS n FROM (
+           SELECT row_number() OVER () AS key, item_id, {_TERMS} AS t FROM benchmark), unnest(t) AS u(term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+        FROM tf, whole WHERE term IN (SELECT term FROM item) GROUP BY 1),
+scored AS (SELECT key, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, row,
+                  CAST(sum(n * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+             FROM item JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row) GROUP BY key, row)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+  FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 }
 
 

@@ -26,8 +26,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -146,7 +146,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.nd
         piece = data[a:b]
         rows = offsets[np.searchsorted(offsets, a):np.searchsorted(offsets, b)] - a
         s, e = _spans(piece, rows, gap)
-        hashes.append(span_hashes(_LOWER[piece] if lower else piece, s, e))
+        hashes.append(span_hashes(LOWER[piece] if lower else piece, s, e))
         starts.append(s + a)
         ends.append(e + a)
     start = np.concatenate(starts)
@@ -201,3 +201,45 @@ def class_weights(documents: DataFrame, labels: DataFrame, label: str, mod: int,
 def held_out(mod: int, held: int):
     """Whether a document's label may not be learned from; null ids: false."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) == held, F.lit(False))
+
+
+#: Bits of a key filter: 16 a key, at most 2**27 (16 MB) however many keys.
+_FILTER_BITS = (16, 27)
+_PROBES = 4
+
+
+def _probes(h: np.ndarray, bits: int):
+    """Bit positions of keys (uint64), one array per probe."""
+    step = mix(h ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    for i in range(_PROBES):
+        yield (h + np.uint64(i) * step) >> np.uint64(64 - bits)
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter (bytes) of the 64-bit hashes in ``column``, set by a
+    distributed bitmap aggregate; only its pages, 16 MB at most, reach the
+    driver. Beyond some eight million keys it lets more and more pass."""
+    low, high = _FILTER_BITS
+    bits = min(high, max(low, (16 * keys.count()).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            h = np.array(batch.column(0).drop_null()).view(np.uint64)
+            for at in _probes(h, bits):
+                yield pa.record_batch([pa.array(at.view(np.int64) + 1)], names=["at"])
+
+    pages = (keys.select(column).mapInArrow(run, "at long").groupBy(F.bitmap_bucket_number("at").alias("page"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
+    out = np.zeros(max(4096, 1 << bits >> 3), np.uint8)
+    for r in pages.collect():
+        out[(r.page - 1) * 4096:r.page * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among the filter's keys (no false no)."""
+    bits = (8 * len(filter_)).bit_length() - 1
+    out = np.ones(len(h), bool)
+    for at in _probes(h, bits):
+        out &= (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+    return out
