@@ -210,51 +210,121 @@ UNKNOWN_ADDRESS = "Unknown Address"
 DEFAULT_ORDER_STATUS = "Pending"
 
 
+#: Fields of an order body that must be there, and of each of its items (fixed values).
+ORDER_FIELDS, ITEM_FIELDS = ("customer_id", "items"), ("product_id", "quantity_kg")
+
+
+def _text(v: Column) -> Column:
+    """A variant as the text a message shows: null is None, as the reference prints it."""
+    kind = F.schema_of_variant(v)
+    plain = F.try_variant_get(v, "$", "string")
+    return F.when(kind == "BOOLEAN", F.initcap(plain)).when(kind == "VOID", F.lit("None")).otherwise(plain)
+
+
+def _whole_number(v: Column) -> Column:
+    """``int(x)`` of a JSON value: numbers are cut to whole ones, booleans are
+    1 and 0, texts are parsed (F2); anything else is null."""
+    from larder.functions.parse import parse_int
+    kind = F.schema_of_variant(v)
+    return (F.when(kind == "STRING", parse_int(F.try_variant_get(v, "$", "string")))
+            .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "bigint")))
+
+
+def order_rows(bodies: DataFrame) -> DataFrame:
+    """Order bodies (``request_id, order_date, body``: JSON text) as the
+    item rows that ``purchase_orders`` takes, one per element of ``items`` or
+    one with a null ``pos``.
+
+    Presence is kept per key: ``missing`` lists the absent required fields of
+    the body, ``item_missing`` tells that an item lacks one, and
+    ``<field>_given`` whether an optional field stands in the body, null or
+    not. Text that isn't a JSON object lacks every field.
+    """
+    v = F.try_parse_json("body")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    raw = bodies.select("request_id", "order_date", F.when(is_object, v).alias("_raw"))
+    get = lambda name, of="_raw": F.try_variant_get(F.col(of), f"$.{name}", "variant")
+    absent = [F.when(get(n).isNull(), F.lit(n)) for n in ORDER_FIELDS]
+    optional = ("delivery_date_requested", "delivery_address", "status")
+    body = raw.select(
+        "request_id", "order_date", _plain(get("customer_id")).alias("customer_id"),
+        F.filter(F.array(*absent), lambda x: x.isNotNull()).alias("missing"),
+        *[_plain(get(n)).alias(n) for n in optional], *[get(n).isNotNull().alias(f"{n}_given") for n in optional],
+        F.when(F.schema_of_variant(get("items")).startswith("ARRAY"), get("items")).alias("_items"))
+    spark = bodies.sparkSession
+    item = body.lateralJoin(spark.tvf.variant_explode_outer(F.col("_items").outer()))
+    return (item.withColumn("_product", get("product_id", "value")).withColumn("_quantity", get("quantity_kg", "value"))
+            .select(*[c for c in body.columns if c != "_items"], "pos",
+                    _plain(F.col("_product")).alias("product_id"), _text(F.col("_product")).alias("product_text"),
+                    _text(F.col("_quantity")).alias("quantity_text"), _whole_number(F.col("_quantity")).alias("q"),
+                    (F.col("_product").isNull() | F.col("_quantity").isNull()).alias("item_missing")))
+
+
+def _plain(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def orders_from_json(bodies: DataFrame, customers: DataFrame, prices: DataFrame):
+    """H8 on order bodies as they come in: ``(orders, order_items, rejects)``,
+    see ``order_rows`` and ``purchase_orders``."""
+    return purchase_orders(order_rows(bodies), customers, prices)
+
+
 def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
     """H8: validate, price and total purchase orders given in exploded form
     (``request_id, customer_id, order_date, pos, product_id, quantity_text``
     and optional ``delivery_date_requested, delivery_address, status``; an
     order without items is one row with a null ``pos``, as ``posexplode_outer``
-    gives).
+    gives). A null stands for an absent field, but in rows of ``order_rows``,
+    which tell the two apart: there a null customer or product is given, and a
+    null optional field stays null.
 
     Returns ``(orders, order_items, rejects)``. One bad item rejects its
     whole order; the error is that of the first bad item by position (A8).
     Prices come from R1 (as-of market price, in whole cents); an item
-    without any earlier price is an error ``no_price``. Ids are hashes of
+    without any earlier price is an error ``no_price``, and a delivery date that
+    is no date an error ``invalid_delivery_date``. Ids are hashes of
     the request, so re-running after a failure rewrites the same ids.
     """
     from larder.functions.ids import stable_id
-    from larder.functions.parse import parse_int
-
-    it = items.withColumn("q", parse_int("quantity_text"))
+    from larder.functions.parse import parse_date, parse_int
+
+    from_json = "missing" in items.columns
+    it = items if from_json else items.withColumns({
+        "q": parse_int("quantity_text"), "product_text": F.col("product_id"),
+        "missing": F.filter(F.array(F.when(F.col("customer_id").isNull(), F.lit("customer_id"))), lambda x: x.isNotNull()),
+        "item_missing": F.col("product_id").isNull() | F.col("quantity_text").isNull()})
+    if from_json:
+        it = it.withColumn("_bad_date", F.col("delivery_date_requested").isNotNull() &
+                           parse_date("delivery_date_requested").isNull()) \
+            .withColumn("delivery_date_requested", parse_date("delivery_date_requested"))
+    else:
+        it = it.withColumn("_bad_date", F.lit(False))
     asof = price_asof(it, prices)
     it = it.join(asof, ["product_id", "order_date"], "left") \
         .withColumn("cents", price_cents(F.col("price"))) \
         .withColumn("line_cents", F.try_multiply("q", "cents"))
-    pid = F.coalesce(F.col("product_id"), F.lit("None"))
-    code = (F.when(F.col("customer_id").isNull(), "missing_fields")
-            .when(F.col("pos").isNull(), "empty_items")
-            .when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
-                  "missing_item_field")
-            .when(F.col("q").isNull(), "invalid_quantity_format")
-            .when(F.col("q") <= 0, "invalid_quantity")
-            .when(F.col("cents").isNull(), "no_price")
-            .when(F.col("line_cents").isNull(), "invalid_quantity"))
-    msg = (F.when(F.col("customer_id").isNull(),
-                  F.lit("Missing required fields in body: customer_id"))
-           .when(F.col("pos").isNull(), F.lit("Field 'items' must be a non-empty list."))
-           .when(F.col("product_id").isNull() | F.col("quantity_text").isNull(),
-                  F.lit("Each item in 'items' must have 'product_id' and 'quantity_kg'."))
-           .when(F.col("q").isNull(), F.concat(F.lit("Invalid quantity_kg format for product "),
-                                                pid, F.lit(". Expected integer.")))
-           .when(F.col("q") <= 0, F.concat(F.lit("Invalid quantity for product "), pid,
-                                            F.lit(". Must be positive integer.")))
-           .when(F.col("cents").isNull(),
-                 F.concat(F.lit("No market price found for product "), pid,
-                          F.lit(" on or before "), F.date_format("order_date", "yyyy-MM-dd"),
-                          F.lit(".")))
-           .when(F.col("line_cents").isNull(),
-                 F.concat(F.lit("Quantity too large for product "), pid, F.lit("."))))
+    pid = F.coalesce(F.col("product_text"), F.lit("None"))
+    checks = [
+        (F.size("missing") > 0, "missing_fields",
+         F.concat(F.lit("Missing required fields in body: "), F.array_join("missing", ", "))),
+        (F.col("pos").isNull(), "empty_items", F.lit("Field 'items' must be a non-empty list.")),
+        (F.col("item_missing"), "missing_item_field",
+         F.lit("Each item in 'items' must have 'product_id' and 'quantity_kg'.")),
+        (F.col("q").isNull(), "invalid_quantity_format",
+         F.concat(F.lit("Invalid quantity_kg format for product "), pid, F.lit(". Expected integer."))),
+        (F.col("q") <= 0, "invalid_quantity",
+         F.concat(F.lit("Invalid quantity for product "), pid, F.lit(". Must be positive integer."))),
+        (F.col("cents").isNull(), "no_price",
+         F.concat(F.lit("No market price found for product "), pid, F.lit(" on or before "),
+                  F.date_format("order_date", "yyyy-MM-dd"), F.lit("."))),
+        (F.col("line_cents").isNull(), "invalid_quantity",
+         F.concat(F.lit("Quantity too large for product "), pid, F.lit("."))),
+        (F.col("_bad_date"), "invalid_delivery_date", F.lit("Failed to place purchase order."))]
+    code = msg = F
+    for bad, name, text in checks:
+        code, msg = code.when(bad, F.lit(name)), msg.when(bad, text)
     it = it.withColumn("error_code", code).withColumn("error_message", msg)
 
     first_err = (it.filter(F.col("error_code").isNotNull())
@@ -276,7 +346,8 @@ def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
 
     head_cols = [c for c in ("delivery_date_requested", "delivery_address", "status")
                  if c in items.columns]
-    totals = ok_items.groupBy("request_id", "customer_id", "order_date", *head_cols).agg(
+    given = [f"{c}_given" for c in head_cols if from_json]
+    totals = ok_items.groupBy("request_id", "customer_id", "order_date", *head_cols, *given).agg(
         F.sum(line_cents.cast("decimal(19,0)")).alias("total_cents"))
     cust = topk(customers.select("customer_id", "shipping_address"), ["customer_id"],
                 [F.col("shipping_address").asc_nulls_last()], 1) \
@@ -284,14 +355,15 @@ def purchase_orders(items: DataFrame, customers: DataFrame, prices: DataFrame):
     o = totals.join(cust, "customer_id", "left")
 
     def opt(c, default):
-        return F.coalesce(F.col(c), default) if c in head_cols else default
+        if c not in head_cols:
+            return default
+        return F.when(F.col(f"{c}_given") if from_json else F.col(c).isNotNull(), F.col(c)).otherwise(default)
 
     addr = F.when(F.col("_known"), F.col("shipping_address")).otherwise(F.lit(UNKNOWN_ADDRESS))
     orders = o.select(
         "request_id", order_id.alias("order_id"), "customer_id", "order_date",
         opt("delivery_date_requested", F.col("order_date")).alias("delivery_date_requested"),
-        (F.coalesce(F.col("delivery_address"), addr) if "delivery_address" in head_cols
-         else addr).alias("delivery_address"),
+        opt("delivery_address", addr).alias("delivery_address"),
         opt("status", F.lit(DEFAULT_ORDER_STATUS)).alias("status"),
         (F.col("total_cents").cast("double") / F.lit(100.0)).alias("total_amount"))
     return orders, out_items, first_err

@@ -171,7 +171,7 @@ i AS (SELECT r.*, CASE WHEN regexp_matches(quantity_text, '{_INT_OK}') THEN TRY_
 ip AS (SELECT i.*, p1.price, p1.market_date AS market_date_used
          FROM i ASOF LEFT JOIN p1 ON i.product_id = p1.product_id AND i.order_date >= p1.market_date),
 ic AS (SELECT *, CAST(FLOOR(price * 100 + 0.5) AS BIGINT) AS cents FROM ip),
-e AS (SELECT *,
+e AS MATERIALIZED (SELECT *,
         CASE WHEN product_id IS NULL OR quantity_text IS NULL THEN 'missing_item_field'
              WHEN q IS NULL THEN 'invalid_quantity_format' WHEN q <= 0 THEN 'invalid_quantity'
              WHEN cents IS NULL THEN 'no_price' END AS error_code,
@@ -181,21 +181,23 @@ e AS (SELECT *,
              WHEN cents IS NULL THEN 'No market price found for product ' || coalesce(product_id, 'None') || ' on or before '
                   || strftime(order_date, '%Y-%m-%d') || '.' END AS error_message
         FROM ic),
-bad AS (SELECT request_id, error_code, error_message, pos
+bad AS MATERIALIZED (SELECT request_id, error_code, error_message, pos
           FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos NULLS FIRST, product_id NULLS FIRST,
                        quantity_text NULLS FIRST, error_code, error_message) AS rn
                   FROM e WHERE error_code IS NOT NULL) x
          WHERE rn = 1),
-ok AS (SELECT * FROM e WHERE request_id NOT IN (SELECT request_id FROM bad))"""
+ok AS (SELECT e.*, n.order_id FROM e JOIN (
+         SELECT request_id, {_sql_id("request_id")} AS order_id FROM (SELECT DISTINCT request_id FROM e) ANTI JOIN bad USING (request_id)) n
+         USING (request_id))"""
 
 
 @register("orders_placed", _ORDER_CTES + f"""
-SELECT ok.request_id, {_sql_id("ok.request_id")} AS order_id, ok.customer_id, ok.order_date,
+SELECT ok.request_id, ok.order_id, ok.customer_id, ok.order_date,
        ok.order_date AS delivery_date_requested,
        CASE WHEN c.customer_id IS NOT NULL THEN c.shipping_address ELSE 'Unknown Address' END AS delivery_address,
        'Pending' AS status, CAST(SUM(ok.q * ok.cents) AS BIGINT) / 100.0 AS total_amount
   FROM ok LEFT JOIN customers c ON c.customer_id = ok.customer_id
- GROUP BY ok.request_id, ok.customer_id, ok.order_date, c.customer_id, c.shipping_address""",
+ GROUP BY ok.request_id, ok.order_id, ok.customer_id, ok.order_date, c.customer_id, c.shipping_address""",
           "req_order_items", "market_prices", "customers")
 def q_orders_placed(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
@@ -204,7 +206,7 @@ def q_orders_placed(spark, sf_dir):
 
 @register("order_items_placed", _ORDER_CTES + f"""
 SELECT request_id, {_sql_id("request_id", "CAST(pos AS VARCHAR)", "product_id", "quantity_text")} AS order_item_id,
-       {_sql_id("request_id")} AS order_id, product_id, q AS ordered_quantity_kg, cents / 100.0 AS price_per_kg_at_order,
+       order_id, product_id, q AS ordered_quantity_kg, cents / 100.0 AS price_per_kg_at_order,
        (q * cents) / 100.0 AS line_item_total, market_date_used
   FROM ok""", "req_order_items", "market_prices")
 def q_order_items_placed(spark, sf_dir):
@@ -219,6 +221,62 @@ def q_order_rejects(spark, sf_dir):
     return market.purchase_orders(fx.req_order_items, fx.customers, fx.market_prices)[2]
 
 
+_BODY_CTES = f"""
+WITH {_P1},
+b AS (SELECT request_id, order_date, CASE WHEN json_type(body) = 'OBJECT' THEN CAST(body AS JSON) END AS v FROM order_bodies),
+i AS (SELECT request_id, unnest(l) AS item, unnest(range(len(l))) AS pos FROM (
+        SELECT request_id, json_extract(v, '$.items[*]') AS l FROM b WHERE json_type(v, '$.items') = 'ARRAY')),
+r AS (SELECT b.*, pos, item ->> '$.product_id' AS product_id, coalesce(item ->> '$.product_id', 'None') AS p,
+             pos IS NOT NULL AND NOT (json_exists(item, '$.product_id') AND json_exists(item, '$.quantity_kg')) AS item_missing,
+             CASE json_type(item, '$.quantity_kg') WHEN 'BOOLEAN' THEN CAST(CAST(item ->> '$.quantity_kg' AS BOOLEAN) AS BIGINT)
+                  WHEN 'VARCHAR' THEN CASE WHEN regexp_matches(item ->> '$.quantity_kg', '{_INT_OK}')
+                                           THEN TRY_CAST(trim(item ->> '$.quantity_kg') AS BIGINT) END
+                  WHEN 'NULL' THEN NULL ELSE CAST(trunc(CAST(item ->> '$.quantity_kg' AS DOUBLE)) AS BIGINT) END AS q
+        FROM b LEFT JOIN i USING (request_id)),
+ip AS (SELECT r.*, CAST(FLOOR(p1.price * 100 + 0.5) AS BIGINT) AS cents, p1.market_date AS market_date_used
+         FROM r ASOF LEFT JOIN p1 ON r.product_id = p1.product_id AND r.order_date >= p1.market_date),
+e AS MATERIALIZED (SELECT *,
+        CASE WHEN NOT coalesce(json_exists(v, '$.customer_id') AND json_exists(v, '$.items'), false) THEN 'missing_fields'
+             WHEN pos IS NULL THEN 'empty_items' WHEN item_missing THEN 'missing_item_field'
+             WHEN q IS NULL THEN 'invalid_quantity_format' WHEN q <= 0 THEN 'invalid_quantity' WHEN cents IS NULL THEN 'no_price'
+             WHEN v ->> '$.delivery_date_requested' = 'soon' THEN 'invalid_delivery_date' END AS error_code,
+        CASE WHEN NOT coalesce(json_exists(v, '$.customer_id') AND json_exists(v, '$.items'), false)
+             THEN 'Missing required fields in body: ' || array_to_string(list_filter([
+                    CASE WHEN NOT coalesce(json_exists(v, '$.customer_id'), false) THEN 'customer_id' END,
+                    CASE WHEN NOT coalesce(json_exists(v, '$.items'), false) THEN 'items' END], lambda x: x IS NOT NULL), ', ')
+             WHEN pos IS NULL THEN 'Field ''items'' must be a non-empty list.'
+             WHEN item_missing THEN 'Each item in ''items'' must have ''product_id'' and ''quantity_kg''.'
+             WHEN q IS NULL THEN 'Invalid quantity_kg format for product ' || p || '. Expected integer.'
+             WHEN q <= 0 THEN 'Invalid quantity for product ' || p || '. Must be positive integer.'
+             WHEN cents IS NULL THEN 'No market price found for product ' || p || ' on or before ' || strftime(order_date, '%Y-%m-%d') || '.'
+             WHEN v ->> '$.delivery_date_requested' = 'soon' THEN 'Failed to place purchase order.' END AS error_message
+        FROM ip),
+bad AS MATERIALIZED (SELECT request_id, error_code, error_message, pos FROM e WHERE error_code IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY pos NULLS FIRST) = 1)"""
+
+
+@register("orders_from_json", _BODY_CTES + f"""
+SELECT request_id, {_sql_id("request_id")} AS order_id, v ->> '$.customer_id' AS customer_id, order_date,
+       CASE WHEN json_exists(v, '$.delivery_date_requested') THEN CAST(v ->> '$.delivery_date_requested' AS DATE)
+            ELSE order_date END AS delivery_date_requested,
+       CASE WHEN json_exists(v, '$.delivery_address') THEN v ->> '$.delivery_address'
+            WHEN c.customer_id IS NOT NULL THEN c.shipping_address ELSE 'Unknown Address' END AS delivery_address,
+       CASE WHEN json_exists(v, '$.status') THEN v ->> '$.status' ELSE 'Pending' END AS status,
+       CAST(kg AS BIGINT) / 100.0 AS total_amount
+  FROM b JOIN (SELECT request_id, sum(q * cents) AS kg FROM e ANTI JOIN bad USING (request_id) GROUP BY 1) USING (request_id)
+  LEFT JOIN customers c ON c.customer_id = v ->> '$.customer_id'""", "order_bodies", "market_prices", "customers")
+def q_orders_from_json(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.orders_from_json(fx.order_bodies, fx.customers, fx.market_prices)[0]
+
+
+@register("order_json_rejects", _BODY_CTES + """
+SELECT request_id, error_code, error_message, CAST(pos AS INT) AS pos FROM bad""", "order_bodies", "market_prices")
+def q_order_json_rejects(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return market.orders_from_json(fx.order_bodies, fx.customers, fx.market_prices)[2]
+
+
 # --------------------------------------------------------------- logistics
 @register("shipment_tracking", """
 SELECT r.request_id, CASE WHEN s.shipment_id IS NULL THEN 'not_found' ELSE 'success' END AS status,

@@ -155,6 +155,29 @@ select cast(l_orderkey as string) request_id,
        case when l_linenumber = 7 and l_partkey % 3 = 0 then '2.7' when l_linenumber = 6 and l_partkey % 5 = 0 then '0'
             else cast(cast(l_quantity as bigint) as string) end quantity_text
   from lineitem join orders on l_orderkey = o_orderkey""",
+    "order_bodies": """
+select cast(o_orderkey as string) request_id, cast(o_orderdate as date) order_date,
+       case when o_orderkey % 59 = 0 then '[1]' else concat('{',
+         case when o_orderkey % 47 = 0 then '"x":1' when o_orderkey % 53 = 0 then '"customer_id":null'
+              else concat('"customer_id":"', case when o_custkey % 11 = 0 then 'X' else '' end, cast(o_custkey as string), '"') end,
+         case when o_orderkey % 37 = 0 then ',"items":[]' when o_orderkey % 41 = 0 then ''
+              when o_orderkey % 43 = 0 then ',"items":"none"' else concat(',"items":[', items, ']') end,
+         case when o_orderkey % 3 = 0 then ',"status":null' when o_orderkey % 3 = 1 then ',"status":"Confirmed"' else '' end,
+         case when o_orderkey % 5 = 0 then ',"delivery_date_requested":null'
+              when o_orderkey % 61 = 0 then ',"delivery_date_requested":"soon"'
+              when o_orderkey % 5 = 1 then ',"delivery_date_requested":"1999-01-31"' else '' end,
+         case when o_orderkey % 7 = 0 then ',"delivery_address":null'
+              when o_orderkey % 7 = 1 then ',"delivery_address":"Dock 5"' else '' end, '}') end body
+  from orders join (
+    select l_orderkey, string_agg(item, ',' order by l_linenumber, item) items from (
+    select l_orderkey, l_linenumber, concat('{"product_id":',
+             case when l_linenumber = 2 and l_partkey % 19 = 0 then 'null' else concat('"', cast(l_partkey as string), '"') end,
+             case when l_linenumber = 3 and l_partkey % 13 = 0 then '}' else concat(',"quantity_kg":',
+               case when l_linenumber = 7 and l_partkey % 3 = 0 then '"2.7"' when l_linenumber = 6 and l_partkey % 5 = 0 then '0'
+                    when l_linenumber = 5 and l_partkey % 7 = 0 then '12.9' when l_linenumber = 4 and l_partkey % 11 = 0 then 'true'
+                    when l_linenumber = 2 and l_partkey % 17 = 0 then 'null' when l_linenumber = 1 and l_partkey % 23 = 0 then '" 7 "'
+                    else cast(cast(l_quantity as bigint) as string) end, '}') end) item
+      from lineitem) group by l_orderkey) on l_orderkey = o_orderkey""",
     "reading_reports": """
 select cast(event_id as string) report_id, cast(user_id as string) shipment_id,
        case when event_id % 17 = 0 then 'hot' when event_id % 19 = 0 then 'nan' else cast(value as string) end temperature_text,

@@ -481,6 +481,40 @@ class Fixtures:
                                     .when(k % 11 == 0, F.concat(F.lit("{bad "), _str(k)))
                                     .otherwise(line).alias("value"))
 
+    @cached_property
+    def order_bodies(self) -> DataFrame:
+        """Order bodies as JSON text, one per orderkey: fields given, null or
+        absent, empty and broken item lists, quantities of several kinds."""
+        k, ln, pk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+        product = F.when((ln == 2) & (pk % 19 == 0), F.lit("null")).otherwise(F.concat(F.lit('"'), _str(pk), F.lit('"')))
+        quantity = (F.when((ln == 7) & (pk % 3 == 0), F.lit('"2.7"')).when((ln == 6) & (pk % 5 == 0), F.lit("0"))
+                    .when((ln == 5) & (pk % 7 == 0), F.lit("12.9")).when((ln == 4) & (pk % 11 == 0), F.lit("true"))
+                    .when((ln == 2) & (pk % 17 == 0), F.lit("null")).when((ln == 1) & (pk % 23 == 0), F.lit('" 7 "'))
+                    .otherwise(_str(F.col("l_quantity").cast("bigint"))))
+        item = F.concat(F.lit('{"product_id":'), product, F.when((ln == 3) & (pk % 13 == 0), F.lit("}")).otherwise(
+            F.concat(F.lit(',"quantity_kg":'), quantity, F.lit("}"))))
+        lists = (self.t.lineitem.select(k.alias("o_orderkey"), F.struct(ln.alias("n"), item.alias("item")).alias("i"))
+                 .groupBy("o_orderkey").agg(F.array_sort(F.collect_list("i")).alias("i"))
+                 .select("o_orderkey", F.concat(F.lit("["), F.array_join("i.item", ","), F.lit("]")).alias("items")))
+        k, ck = F.col("o_orderkey"), F.col("o_custkey")
+        customer = (F.when(k % 47 == 0, F.lit('"x":1')).when(k % 53 == 0, F.lit('"customer_id":null'))
+                    .otherwise(F.concat(F.lit('"customer_id":"'), F.when(ck % 11 == 0, F.lit("X")).otherwise(F.lit("")),
+                                        _str(ck), F.lit('"'))))
+        items = (F.when(k % 37 == 0, F.lit(',"items":[]')).when(k % 41 == 0, F.lit(""))
+                 .when(k % 43 == 0, F.lit(',"items":"none"')).otherwise(F.concat(F.lit(',"items":'), F.col("items"))))
+        status = (F.when(k % 3 == 0, F.lit(',"status":null')).when(k % 3 == 1, F.lit(',"status":"Confirmed"'))
+                  .otherwise(F.lit("")))
+        day = (F.when(k % 5 == 0, F.lit(',"delivery_date_requested":null'))
+               .when(k % 61 == 0, F.lit(',"delivery_date_requested":"soon"'))
+               .when(k % 5 == 1, F.lit(',"delivery_date_requested":"1999-01-31"')).otherwise(F.lit("")))
+        address = (F.when(k % 7 == 0, F.lit(',"delivery_address":null'))
+                   .when(k % 7 == 1, F.lit(',"delivery_address":"Dock 5"')).otherwise(F.lit("")))
+        body = F.when(k % 59 == 0, F.lit("[1]")).otherwise(
+            F.concat(F.lit("{"), customer, items, status, day, address, F.lit("}")))
+        return (self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(lists, "o_orderkey")
+                .select(_str(k).alias("request_id"), F.col("o_orderdate").cast("date").alias("order_date"),
+                        body.alias("body")))
+
     @cached_property
     def req_partial(self) -> DataFrame:
         """Requests of one to four fields; any of them may be missing."""
