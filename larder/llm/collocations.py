@@ -1,25 +1,25 @@
 """Phrase collocation mining by SON partitioning.
 
-1. Shards. The bytes of each language are summed; the table is read in at
-   most one task per ``shard_bytes`` (or one per core), and a task cuts its
-   rows into shards of that size.
-2. Local mining. A shard mines all its phrases whose local count reaches
-   ``min_count`` times its share of the language's bytes, rounded up. The
-   shares add up to one, so a phrase that is frequent in the whole table
-   reaches that support in some shard. Lengths go up one by one: a phrase is
-   looked at only where its first and last n-1 words are frequent too.
-3. Union. The locally frequent phrases (words too) of all shards become a
-   Bloom filter of at most 16 MB, built by a distributed aggregate.
-4. Global count. A second scan counts, exactly and by text, every phrase that
-   the filter lets through, and the words of each language. A phrase passes
-   in every shard or in none, so counts are whole even for false positives;
-   these fall to ``min_count`` like all others.
-
-Inside a shard, words are told apart by a 64-bit hash and phrases by pairs of
-exact ids; between shards by their text. With more than ``min_count`` shards
-the local support is 1 and every phrase is a candidate: support that does not
-grow with the corpus leaves a shard nothing to prune by. The result stays
-exact; the count then shuffles what a plain count would.
+1. Shards. The table is dealt to ``shards`` shards by tasks. A phrase that
+   occurs ``min_count`` times occurs ``min_count / shards`` times, rounded up, in
+   some shard, whichever rows it holds: that is the local support. Since the
+   number of shards is fixed, it doesn't fall as the corpus grows; a shard is
+   mined by as many tasks as it has data for.
+2. Local mining. A task counts the phrases of its chunks of text in numpy and
+   sends each chunk's counts on, packed by hash range. A range adds them up per
+   shard: a phrase at the local support in any shard is a candidate, and
+   stays one unless the counts of all shards sum to less than ``min_count``.
+   Words come first, then pairs of words left, then longer phrases all of
+   whose pairs are left; what is left reaches the tasks as a key filter of at
+   most 16 MB.
+3. Global count. A last scan counts, exactly and by text, every phrase that
+   the filter of all candidates lets through, and the words of each language.
+   A phrase passes in every task or in none, so counts are whole even for the
+   filter's false positives; these fall to ``min_count`` like all others.
+
+In a chunk, words are told apart by a 64-bit hash and phrases by pairs of
+exact numbers; hash ranges go by 64-bit hashes, where a collision can only add
+a candidate; the last count goes by text.
 """
 
 from __future__ import annotations
@@ -28,13 +28,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import LOWER, key_filter, mix, passes, row_chunks, utf8_column, words, written
+from larder.llm.common import LOWER, key_filter, mix, passes, release, row_chunks, utf8_column, words, written
 
-SHARD_BYTES = 24 << 20
+SHARDS = 16
 MAX_WORDS = 5
+#: Bytes of text that a task counts at once, and words whose counts one hash range adds up.
+CHUNK_BYTES, RANGE_WORDS = 16 << 20, 1 << 21
 _GAP = np.zeros(256, bool)
 _GAP[[9, 32, 10, 11, 12, 13, *b".,;:!?"]] = True
 _BREAK = _GAP.copy()
@@ -42,19 +45,16 @@ _BREAK[[9, 32]] = False
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-class _Shard:
+class _Chunk:
     """Lower-cased words of some documents, one after another."""
 
     def __init__(self):
         self.langs: dict[str, int] = {}
-        self.bytes = np.zeros(0, np.int64)   # per language
         self.parts, self.size = [], 0
 
     def add(self, offsets, data, langs):
-        """Rows ``langs`` (names) with their texts."""
-        codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int64)
-        self.bytes = np.concatenate([self.bytes, np.zeros(len(self.langs) - len(self.bytes), np.int64)])
-        np.add.at(self.bytes, codes, np.diff(offsets))
+        """Rows of the languages ``langs`` (names) with their texts."""
+        codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)
         w = words(data, offsets, lower=True, gap=_GAP)
         self.size += len(data)
         if not len(w.hash):
@@ -69,39 +69,56 @@ class _Shard:
         seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
                           for x in self.langs], np.uint64)
         code = codes[row]
-        self.parts.append((buffer, mix(w.hash ^ seeds[code]), length.astype(np.int32), follows, code.astype(np.int32)))
+        self.parts.append((buffer, mix(w.hash ^ seeds[code]), length.astype(np.int32), follows, code))
 
     def arrays(self):
-        buffer, hashes, length, follows, code = (np.concatenate(x) for x in zip(*self.parts))
-        stop = np.cumsum(length.astype(np.int64) + 1)
-        return buffer, hashes, stop - 1 - length, stop - 1, follows, code
-
-
-def _mined(shard: _Shard, keep, longest: int):
-    """(n words, first positions, counts, hashes) of the phrases that ``keep``
-    (language codes, counts, hashes) holds, length by length, and the arrays."""
-    if not shard.parts:
-        return
-    buffer, word, start, stop, follows, code = shard.arrays()
-    at, key, h = np.arange(len(word)), word, word
-    ident = np.zeros(len(word), np.int64)   # number of the kept phrase that begins here, plus 1
+        """Text, word hashes, whether the next word is in the same piece,
+        language code, first and last byte of each word. Empties the chunk."""
+        columns = [list(c) for c in zip(*self.parts)]
+        self.parts = []
+        out = []
+        while columns:
+            out.append(np.concatenate(columns.pop(0)))
+        buffer, hashes, length, follows, code = out
+        stop = np.cumsum(length, dtype=np.int64) + np.arange(len(length))
+        return buffer, hashes, follows, code, stop - length, stop
+
+
+def _groups(key: np.ndarray):
+    """(a position, count) of each distinct key, and every key's number."""
+    order = np.argsort(key)
+    ordered = key[order]
+    head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(key)])
+    del ordered
+    count = np.diff(np.append(head, len(key)))
+    back = np.empty(len(key), np.uint32)
+    back[order] = np.repeat(np.arange(len(head), dtype=np.uint32), count)
+    return order[head], count, back
+
+
+def _mined(word, follows, keep, longest: int):
+    """(n words, a position, count and hash of each phrase kept), length by
+    length. ``keep`` (n, hashes) tells which phrases of n words are kept; a
+    phrase is looked at only where its first and last n - 1 words are."""
+    at, key, h = np.arange(len(word), dtype=np.uint32), word, word
+    ident = np.zeros(len(word), np.uint32)   # number of the kept phrase that begins here, plus 1
     for n in range(1, longest + 1):
         if not len(at):
             return
-        _, first, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        kept = keep(code[at[first]], count, h[first])
-        yield n, at[first[kept]], count[kept], h[first[kept]], (buffer, start, stop, code)
+        some, count, back = _groups(key)
+        kept = keep(n, h[some])
+        yield n, at[some[kept]], count[kept], h[some[kept]]
+        if n == longest:
+            return
         alive = kept[back]
         ident[:] = 0
-        ident[at[alive]] = back[alive] + 1
+        ident[at[alive]] = back[alive] + np.uint32(1)
+        alive &= follows[at]
         at, h = at[alive], h[alive]
-        more = at < len(word) - 1
-        at, h = at[more], h[more]
-        more = follows[at] & (ident[at + 1] > 0)
+        more = ident[at + 1] > 0
         at, h = at[more], h[more]
         key = ident[at].astype(np.uint64) << np.uint64(32) | ident[at + 1].astype(np.uint64)
-        if n < longest and len(at):
-            h = mix(h * _STEP + word[at + n])
+        h = mix(h * _STEP + word[at + n])
 
 
 def _texts(buffer, start, stop, at, n):
@@ -113,29 +130,64 @@ def _texts(buffer, start, stop, at, n):
                                             pa.py_buffer(buffer[take])).cast(pa.string())
 
 
-def _shards(batches, size):
-    shard = _Shard()
+def _chunks(batches, size):
+    chunk = _Chunk()
     for batch in batches:
         offsets, data = utf8_column(batch.column(0))
         langs = batch.column(1).to_pylist()
         for lo, hi in row_chunks(offsets):
-            shard.add(offsets[lo:hi + 1] - offsets[lo], data[offsets[lo]:offsets[hi]], langs[lo:hi])
-            if shard.size >= size:
-                yield shard
-                shard = _Shard()
-    yield shard
+            chunk.add(offsets[lo:hi + 1] - offsets[lo], data[offsets[lo]:offsets[hi]], langs[lo:hi])
+            if chunk.size >= size:
+                if chunk.parts:
+                    yield chunk
+                chunk = _Chunk()
+    if chunk.parts:
+        yield chunk
+
 
+def _counts(bits, shortest: int, longest: int, ranges: int, shards: int, size: int):
+    """Packed counts of the phrases of ``shortest`` to ``longest`` words, by
+    hash range. Shorter ones must pass the filter ``bits``."""
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
-def _candidates(min_count: int, totals: dict[str, int], longest: int, size: int):
-    schema = pa.schema([("h", pa.int64())])
+    def keep(n, h):
+        return np.ones(len(h), bool) if n >= shortest else passes(bits, h)
 
     def run(batches):
-        for shard in _shards(batches, size):
-            support = np.array([-(-min_count * int(b) // max(1, totals.get(x, 0)))
-                                for x, b in zip(shard.langs, shard.bytes)], np.int64)
-            for *_, hashes, _ in _mined(shard, lambda code, count, h: count >= support[code], longest):
-                for i in range(0, len(hashes), 1 << 20):
-                    yield pa.record_batch([pa.array(hashes[i:i + (1 << 20)].view(np.int64))], schema=schema)
+        shard = TaskContext.get().partitionId() % shards
+        for chunk in _chunks(batches, size):
+            _, word, follows, *_ = chunk.arrays()
+            for n, _, count, h in _mined(word, follows, keep, longest):
+                if n < shortest:
+                    continue
+                by = np.argsort(h)
+                h, count = h[by], count[by].astype(np.uint32)
+                cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+                some = np.flatnonzero(np.diff(cut))
+                for i in range(0, len(some), 256):
+                    mine = [(int(p), shard, h[cut[p]:cut[p + 1]].tobytes(), count[cut[p]:cut[p + 1]].tobytes())
+                            for p in some[i:i + 256]]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*mine), schema.types)], schema=schema)
+    return run
+
+
+def _frequent(support: int, min_count: int):
+    """All counts of a hash range -> hashes at the local support in some shard
+    whose counts in all shards reach ``min_count``."""
+    def run(key, table):
+        shard, hashes, counts = (table.column(i).to_pylist() for i in (1, 2, 3))
+        shard = np.repeat(np.array(shard, np.int32), [len(x) // 8 for x in hashes])
+        h = np.frombuffer(b"".join(hashes), np.uint64)
+        count = np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+        by = np.lexsort((shard, h))
+        h, shard, count = h[by], shard[by], count[by]
+        new = np.append(True, h[1:] != h[:-1])
+        local = np.flatnonzero(new | np.append(True, shard[1:] != shard[:-1]))
+        count = np.add.reduceat(count, local)
+        head = np.flatnonzero(new[local])
+        candidate = np.maximum.reduceat(count, head) >= support
+        good = candidate & (np.add.reduceat(count, head) >= min_count)
+        return pa.table([pa.array(h[local[head[good]]].view(np.int64))], names=["h"])
     return run
 
 
@@ -143,60 +195,64 @@ def _counted(bits: np.ndarray, longest: int, size: int):
     schema = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def run(batches):
-        for shard in _shards(batches, size):
-            names = np.array(list(shard.langs), object)
-            if not shard.parts:
-                continue
-            code = np.concatenate([p[4] for p in shard.parts])
+        for chunk in _chunks(batches, size):
+            names = np.array(list(chunk.langs), object)
+            buffer, word, follows, code, start, stop = chunk.arrays()
             total = np.bincount(code, minlength=len(names))
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)),
                                    pa.array([""] * len(names)), pa.array(total)], schema=schema)
-            for n, at, count, _, (buffer, start, stop, code) in _mined(
-                    shard, lambda code, count, h: passes(bits, h), longest):
-                for i in range(0, len(at), 1 << 18):
-                    some = at[i:i + (1 << 18)]
+            for n, at, count, _ in _mined(word, follows, lambda n, h: passes(bits, h), longest):
+                for i in range(0, len(at), 1 << 17):
+                    some = at[i:i + (1 << 17)]
                     yield pa.record_batch([pa.array(names[code[some]], pa.string()),
                                            pa.array(np.full(len(some), n, np.int32)),
                                            _texts(buffer, start, stop, some, n),
-                                           pa.array(count[i:i + (1 << 18)])], schema=schema)
+                                           pa.array(count[i:i + (1 << 17)])], schema=schema)
     return run
 
 
-def phrase_counts(documents: DataFrame, min_count: int = 100, longest: int = MAX_WORDS,
-                  shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def phrase_counts(documents: DataFrame, min_count: int = 100, longest: int = MAX_WORDS, shards: int = SHARDS,
+                  chunk_bytes: int = CHUNK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
     """lang, n_words, phrase (space-joined), f: every phrase of 1 to
     ``longest`` words with f >= ``min_count``, and per language one row of
     n_words 0 with the number of its words. The result is written."""
-    spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                             F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    # One number per language: a shard's share needs the whole.
-    totals = {r.lang: r.b for r in docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
-    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(totals.values()) // shard_bytes))
-    docs = docs.coalesce(tasks)
-    found = written(docs.mapInArrow(_candidates(min_count, totals, longest, shard_bytes), "h long").distinct(),
-                    "candidates")
-    bits = key_filter(found, "h")
-    counted = docs.mapInArrow(_counted(bits, longest, shard_bytes), "lang string, n_words int, phrase string, f long")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    support, bits, found = -(-min_count // shards), None, None
+    for shortest, most in ((1, 1), (2, 2), (3, longest)):
+        if most < shortest or most > longest:
+            continue
+        # A word has some six bytes; a range holds the counts of all lengths of this round.
+        ranges = 1 + size * (most - shortest + 1) // (6 * range_words)
+        counts = docs.mapInArrow(_counts(bits, shortest, most, ranges, shards, chunk_bytes),
+                                 "part int, shard int, hashes binary, counts binary")
+        more = counts.groupBy("part").applyInArrow(_frequent(support, min_count), "h long")
+        before, found = found, written(more if found is None else found.union(more), "candidates")
+        if before is not None:
+            release(before)
+        bits = key_filter(found, "h")
+    release(found)
+    counted = docs.mapInArrow(_counted(bits, longest, chunk_bytes), "lang string, n_words int, phrase string, f long")
     return written(counted.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
                    .filter((F.col("f") >= min_count) | (F.col("n_words") == 0)), "phrases")
 
 
 def collocations(documents: DataFrame, min_count: int = 100, longest: int = MAX_WORDS, top: int = 2000,
-                 cover_percent: int = 100, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                 cover_percent: int = 100, shards: int = SHARDS, chunk_bytes: int = CHUNK_BYTES,
+                 range_words: int = RANGE_WORDS) -> DataFrame:
     """The ``top`` phrases of 2 to ``longest`` words per language: lang, rank,
     phrase, a (its count), l, r (counts of the two parts of its weakest cut),
     n (words of the language), score (1000 * a * n / (l * r), floored).
 
-    A phrase goes when a longer phrase of ``longest`` words at most holds it
+    Counts are exact, products up to 38 digits. A phrase goes when a longer phrase of ``longest`` words at most holds it
     and has ``cover_percent`` of its count. Ties: score, a, then phrase in
     byte order. Null text is empty, null lang is ``und``; documents without an
     id or with a repeated one count as often as they occur. An empty table
-    gives an empty result. Long texts fill shards of their own, so a task
-    holds one text besides its shard. Other columns are not read. Languages
-    are a list that the driver holds (one number each).
+    gives an empty result. A very long text is a chunk of its own. Other
+    columns are not read. The list of languages is broadcast, a number each.
     """
-    f = phrase_counts(documents, min_count, longest, shard_bytes)
+    f = phrase_counts(documents, min_count, longest, shards, chunk_bytes, range_words)
     phrases = f.filter("n_words >= 2").select("lang", "phrase", "n_words", F.col("f").alias("a"))
     part = f.filter("n_words >= 1")
     # A longer phrase that covers covers through every phrase between, so one word more is enough.
@@ -206,7 +262,7 @@ def collocations(documents: DataFrame, min_count: int = 100, longest: int = MAX_
               .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
     stays = (phrases.join(covers, ["lang", "phrase"], "left")
              .filter(F.col("longer").isNull() | (100 * F.col("longer") < cover_percent * F.col("a"))))
-    # As many rows as languages: the list that the driver holds anyway.
+    # As many rows as languages.
     n = F.broadcast(f.filter("n_words = 0").select("lang", F.col("f").alias("n")))
     cuts = (stays.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
             .withColumn("left", F.expr("substring_index(phrase, ' ', k)"))

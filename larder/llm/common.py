@@ -41,7 +41,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` returned and that nothing reads any more."""
+    for df in frames:
+        delete_path(df.sparkSession, df.written_to)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def quoted(columns) -> list:
+    """Columns by their exact names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def rows_kept(documents: DataFrame, keep) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, for which ``keep``
+    (offsets and bytes of some texts) is true. Rows are judged and passed on in
+    one task, a few megabytes of text at a time; nothing is shuffled."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            offsets, data = utf8_column(batch.column(at))
+            for lo, hi in row_chunks(offsets, 4 * CHUNK):
+                good = keep(offsets[lo:hi + 1] - offsets[lo], data[offsets[lo]:offsets[hi]])
+                if good.any():
+                    yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
