@@ -78,10 +78,46 @@ def pattern_keys(req: DataFrame, optional: Sequence[str]) -> DataFrame:
     return req
 
 
+#: Bits of a request-key filter (128 KB): it cuts well up to some half a million keys and ever less beyond.
+FILTER_BITS = 1 << 20
+
+
+_PAGE = 1 << 15  # bits of a bitmap that Spark aggregates
+
+
+def request_filter(req: DataFrame, keys: Sequence[str], types: Sequence) -> Column:
+    """FILTER_BITS bits as an array of longs, the bit of every key in ``req``
+    set: one scalar subquery of fixed size, whatever the requests. Pages are
+    set by a partial bitmap aggregate and unpacked eight bytes a long."""
+    slot = _slot([F.col(k).cast(t) for k, t in zip(keys, types)])
+    pages = (req.select((slot + 1).alias("s"))
+             .groupBy((F.bitmap_bucket_number("s") - 1).cast("int").alias("page"))
+             .agg(F.hex(F.bitmap_construct_agg(F.bitmap_bit_position("s"))).alias("bits")))
+    empty = F.lit("0" * (_PAGE // 4))
+    words = lambda page: F.transform(
+        F.sequence(F.lit(0), F.lit(_PAGE // 64 - 1)),
+        lambda i: F.conv(F.substring(page, (i * 16 + 1).cast("int"), F.lit(16)), 16, -10).cast("long"))
+    return (pages.agg(F.map_from_entries(F.collect_list(F.struct("page", "bits"))).alias("of"))
+            .select(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(FILTER_BITS // _PAGE - 1)),
+                                          lambda i: words(F.coalesce(F.try_element_at("of", i), empty)))).alias("bits"))
+            .scalar())
+
+
+def _slot(keys: Sequence[Column]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+
+
 def requested(facts: DataFrame, req: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Facts of the keys that some request names; a small request table cuts
-    the facts before any expand, window or aggregate."""
-    return facts.join(req.select(*keys).distinct(), list(keys), "left_semi")
+    """Facts whose keys some request may name: a small request table cuts the
+    facts in their scan stage, before any shuffle, expand or aggregate. A
+    Bloom filter of one hash, so some facts that nobody asks for pass; every
+    caller joins the requests by the same keys later."""
+    types = [facts.schema[k].dataType for k in keys]
+    slot = _slot([F.col(k) for k in keys])
+    word = F.get(request_filter(req, keys, types), F.shiftright(slot, 6).cast("int"))
+    # bytes stand in order, so the first of eight is a long's highest
+    place = (56 - 8 * F.shiftright(slot % 64, 3) + slot % 8).cast("int")
+    return facts.filter(F.call_function("shiftright", word, place).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
 def topk(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequence[Column],

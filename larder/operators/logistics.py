@@ -30,9 +30,9 @@ def _date(d) -> Column:
 
 
 # --------------------------------------------------------------------- H9
-def _first_shipment(shipments: DataFrame) -> DataFrame:
-    """One row per shipment id, with a defined order for duplicates."""
-    return topk(shipments.select(*SHIPMENT_COLS), ["shipment_id"],
+def _first_shipment(shipments: DataFrame, req: DataFrame) -> DataFrame:
+    """One row per requested shipment id, with a defined order for duplicates."""
+    return topk(requested(shipments.select(*SHIPMENT_COLS), req, ["shipment_id"]), ["shipment_id"],
                 [F.col("departure_timestamp").asc_nulls_last(), F.col("order_id").asc()], 1) \
         .drop("rank")
 
@@ -40,7 +40,7 @@ def _first_shipment(shipments: DataFrame) -> DataFrame:
 def shipment_tracking(req: DataFrame, shipments: DataFrame) -> DataFrame:
     """H9 header: shipment details per request, ``found`` and a status of
     'success' or 'not_found' (with the reference's message)."""
-    s = _first_shipment(shipments).withColumnRenamed("status", "shipment_status")
+    s = _first_shipment(shipments, req).withColumnRenamed("status", "shipment_status")
     cols = [c if c != "status" else "shipment_status" for c in SHIPMENT_COLS]
     out = req.select("request_id", F.col("shipment_id").alias("req_shipment_id")).join(
         s, F.col("req_shipment_id") == F.col("shipment_id"), "left")
@@ -59,9 +59,9 @@ def shipment_readings(req: DataFrame, shipments: DataFrame, readings: DataFrame,
     only for shipments that require the cold chain. Readings are cut to the
     top k per shipment before the join (a hot shipment ships <= k rows per
     map task)."""
-    cold = (_first_shipment(shipments).filter(F.col("requires_cold_chain"))
+    cold = (_first_shipment(shipments, req).filter(F.col("requires_cold_chain"))
             .select("shipment_id"))
-    top = topk(readings.select("shipment_id", "reading_id", *READING_COLS), ["shipment_id"],
+    top = topk(requested(readings.select("shipment_id", "reading_id", *READING_COLS), req, ["shipment_id"]), ["shipment_id"],
                [F.col("timestamp").desc_nulls_last(), F.col("reading_id").asc()], k)
     return (req.select("request_id", "shipment_id").join(cold, "shipment_id")
             .join(top, "shipment_id").select("request_id", *READING_COLS, "rank"))

@@ -40,7 +40,7 @@ def stock_on_hand(req: DataFrame, stock: DataFrame) -> DataFrame:
     with and without a location filter meet their pattern in one equi join.
     """
     req = normalise_optional(req, ["location_id"])
-    by_loc = (stock.filter(F.col("status") == STOCK_AVAILABLE)
+    by_loc = (requested(stock.filter(F.col("status") == STOCK_AVAILABLE), req, ["product_id"])
               .filter(F.col("product_id").isNotNull())
               .groupBy("product_id", "location_id")
               .agg(F.sum("current_quantity_kg").alias("kg")))
@@ -56,35 +56,36 @@ def stock_on_hand(req: DataFrame, stock: DataFrame) -> DataFrame:
                     .alias("num_stock_locations")))
 
 
-def incoming_by_product(shipments: DataFrame, order_items: DataFrame, as_of_ts) -> DataFrame:
-    """A2 facts: kg on order lines whose shipment is in transit and not yet
-    due. An order with two shipments counts its items twice (as the
-    reference's join does)."""
+def incoming_by_product(shipments: DataFrame, order_items: DataFrame, as_of_ts, req: DataFrame) -> DataFrame:
+    """A2 facts: kg on order lines of requested products whose shipment is in
+    transit and not yet due. An order with two shipments counts its items
+    twice (as the reference's join does). Shipments are cut to the orders of
+    the lines that are left."""
+    items = requested(order_items.select("order_id", "product_id", "ordered_quantity_kg"), req, ["product_id"])
     s = (shipments.filter((F.col("status") == SHIPMENT_IN_TRANSIT) &
                           (F.col("arrival_timestamp_estimate") >= _lit_ts(as_of_ts)))
          .select("order_id"))
-    return (s.join(order_items.select("order_id", "product_id", "ordered_quantity_kg"),
-                   "order_id")
-            .groupBy("product_id").agg(F.sum("ordered_quantity_kg").alias("kg")))
+    return (requested(s, items, ["order_id"]).join(items, "order_id").groupBy("product_id").agg(F.sum("ordered_quantity_kg").alias("kg")))
 
 
-def upcoming_by_product(schedules: DataFrame, as_of) -> DataFrame:
-    """A3 facts: expected yield of schedules still to be harvested."""
-    return (schedules.filter((F.col("planned_harvest_date_estimate") >= _lit_date(as_of)) &
+def upcoming_by_product(schedules: DataFrame, as_of, req: DataFrame) -> DataFrame:
+    """A3 facts: expected yield of requested products' schedules still to be
+    harvested."""
+    return (requested(schedules, req, ["product_id"]).filter((F.col("planned_harvest_date_estimate") >= _lit_date(as_of)) &
                              F.col("status").isin(*GROWING_STATUSES))
             .groupBy("product_id").agg(F.sum("expected_yield_estimate_kg").alias("kg")))
 
 
 def incoming_shipments(req: DataFrame, shipments: DataFrame, order_items: DataFrame,
                        as_of_ts) -> DataFrame:
-    facts = incoming_by_product(shipments, order_items, as_of_ts)
+    facts = incoming_by_product(shipments, order_items, as_of_ts, req)
     return req.join(facts, "product_id", "left").select(
         "request_id", "product_id",
         F.coalesce(F.col("kg"), F.lit(0)).cast("bigint").alias("total_incoming_shipments_kg"))
 
 
 def upcoming_harvest(req: DataFrame, schedules: DataFrame, as_of) -> DataFrame:
-    facts = upcoming_by_product(schedules, as_of)
+    facts = upcoming_by_product(schedules, as_of, req)
     return req.join(facts, "product_id", "left").select(
         "request_id", "product_id",
         F.coalesce(F.col("kg"), F.lit(0)).cast("bigint").alias("total_upcoming_harvest_kg"))
@@ -96,9 +97,9 @@ def product_availability(req: DataFrame, stock: DataFrame, shipments: DataFrame,
     """H7: on-hand stock (location filter applies to stock only), incoming
     shipments and upcoming harvests side by side, zeros when nothing."""
     on_hand = stock_on_hand(req, stock)
-    inc = incoming_by_product(shipments, order_items, as_of_ts) \
+    inc = incoming_by_product(shipments, order_items, as_of_ts, req) \
         .withColumnRenamed("kg", "inc_kg")
-    upc = upcoming_by_product(schedules, as_of).withColumnRenamed("kg", "upc_kg")
+    upc = upcoming_by_product(schedules, as_of, req).withColumnRenamed("kg", "upc_kg")
     return (on_hand.join(inc, "product_id", "left").join(upc, "product_id", "left")
             .select("request_id", "product_id", "location_id", "total_on_hand_kg",
                     "num_stock_locations",

@@ -96,9 +96,9 @@ def order_destinations(dest: DataFrame, orders: DataFrame, customers: DataFrame,
     ``(request_id, pos, order_id)``. Orders and items are cut to the listed
     orders first."""
     d = dest.groupBy("request_id", "order_id").agg(F.min("pos").alias("position"))
-    a = _geo(_order_addresses(requested(orders, d, ["order_id"]), customers),
+    a = _geo(_order_addresses(requested(orders, dest, ["order_id"]), customers),
              "delivery_address", geocodes).filter(F.col("latitude").isNotNull())
-    kg = order_total_kg(requested(order_items, d, ["order_id"]))
+    kg = order_total_kg(requested(order_items, dest, ["order_id"]))
     return (d.join(a, "order_id").join(kg, "order_id", "left")
             .select("request_id", "order_id", F.col("delivery_address").alias("address"),
                     "latitude", "longitude",
@@ -216,11 +216,12 @@ def capacity_check(routes: DataFrame, legs: DataFrame, order_items: DataFrame,
                    vehicles: DataFrame) -> DataFrame:
     """Kilograms loaded on a route (sum over its stops) against the
     vehicle's capacity; ``over_capacity`` null when the vehicle is unknown."""
-    kg = order_total_kg(order_items)
-    load = (legs.select("route_id", "order_id").join(kg, "order_id", "left")
+    legs = requested(legs.select("route_id", "order_id"), routes, ["route_id"])
+    kg = order_total_kg(requested(order_items, legs, ["order_id"]))
+    load = (legs.join(kg, "order_id", "left")
             .groupBy("route_id").agg(F.sum(F.coalesce(F.col("total_kg"), F.lit(0)))
                                      .cast("bigint").alias("total_kg")))
-    veh = topk(vehicles.select("vehicle_id", "capacity_kg"), ["vehicle_id"],
+    veh = topk(requested(vehicles.select("vehicle_id", "capacity_kg"), routes, ["vehicle_id"]), ["vehicle_id"],
                [F.col("capacity_kg").asc()], 1).drop("rank")
     out = (routes.select("request_id", "route_id", "vehicle_id")
            .join(load, "route_id", "left").join(veh, "vehicle_id", "left"))

@@ -32,3 +32,28 @@ def plan_summary(df: DataFrame) -> dict:
     pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", text)))
     return {"counts": {k: v for k, v in counts.items() if v},
             "pushed_filters": pushed}
+
+
+def shuffled_rows(df: DataFrame) -> int:
+    """Rows written to shuffles by a run of ``df`` (collected here), from the
+    metrics of the plan that ran; reused exchanges count once."""
+    df.collect()
+    seen, total = set(), 0
+
+    def walk(node):
+        nonlocal total
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        if name == "Exchange" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        subqueries = node.subqueries()
+        for kids in (node.children(), subqueries):
+            for i in range(kids.size()):
+                walk(kids.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return total
