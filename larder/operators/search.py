@@ -5,13 +5,16 @@ A search request is ``%q%`` matched case-insensitively (``LIKE``, so '%' and
 text is inherently a non-equi problem; to keep it an equi join at any size:
 
 1. Every text is indexed by its distinct 1-, 2- and 3-grams (lower case).
-2. Each distinct pattern picks one gram: among the n-grams (n = min(3,
-   longest literal fragment)) of its literal fragments, the one that occurs
-   in the fewest texts (gram frequencies are bounded by the alphabet).
-   Any text matching the pattern contains every literal fragment, hence that
-   gram, so the gram's posting list is a superset of the answer.
-3. Candidates (pattern, gram) join the index on gram, then ``LIKE``
-   verifies each candidate. Nothing is capped; the answer is exact.
+2. Each literal fragment of a distinct pattern picks one gram: among its
+   n-grams (n = min(3, its length)) the one that occurs in the fewest texts
+   (gram frequencies are bounded by the alphabet). A text matching the pattern
+   contains every fragment, hence all these grams.
+3. The posting lists of a pattern's grams are intersected: the lists join the
+   patterns on gram, and a text stays that stands in all of them. A list more
+   than ``LIST_RATIO`` times as long as the pattern's shortest is left out, as
+   reading it costs more than it can cut, so a pattern reads a bounded multiple
+   of its shortest list and verifies at most that list. ``LIKE`` verifies each
+   candidate. Nothing is capped; the answer is exact.
 4. Patterns with no literal character ('%', '_', '%_%') match texts with at
    least as many characters as the pattern has '_': an equi join on length.
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.common import attach_bounded, requested, topk
@@ -33,6 +36,8 @@ from larder.operators.common import attach_bounded, requested, topk
 BROWSE_LIMIT = 100
 SEARCH_LIMIT = 100
 MAX_GRAM = 3
+#: A posting list is intersected when it is at most this many times as long as the pattern's shortest.
+LIST_RATIO = 8
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -48,16 +53,35 @@ def _all_grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def _pattern_grams(p: Column) -> Column:
-    """Grams a pattern may use: n-grams of its literal fragments, n being
-    min(3, length of its longest fragment)."""
-    frags = F.filter(F.split(p, "[%_]"), lambda f: F.length(f) > 0)
-    longest = F.aggregate(frags, F.lit(0), lambda acc, f: F.greatest(acc, F.length(f)))
-    n = F.least(longest, F.lit(MAX_GRAM))
-    usable = F.filter(frags, lambda f: F.length(f) >= n)
-    per = F.transform(usable, lambda f: F.transform(
-        F.sequence(F.lit(1), F.length(f) - n + 1), lambda i: f.substr(i, n)))
-    return F.when(longest > 0, F.array_distinct(F.flatten(per)))
+def _fragments(p: Column) -> Column:
+    """Distinct literal fragments of a pattern; null when it has none."""
+    frags = F.array_distinct(F.filter(F.split(p, "[%_]"), lambda f: F.length(f) > 0))
+    return F.when(F.size(frags) > 0, frags)
+
+
+def _longest_grams(text: Column) -> Column:
+    """Distinct n-grams of a fragment, n = min(3, its length)."""
+    n = F.least(F.length(text), F.lit(MAX_GRAM))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, n)))
+
+
+def candidates(pats: DataFrame, idx: DataFrame, id_col: str) -> DataFrame:
+    """(pattern, id) of the texts in all posting lists that a pattern reads.
+    ``pats``: pattern, fragments; ``idx``: id, gram, one row per distinct pair."""
+    freq = idx.groupBy("gram").agg(F.count("*").alias("df"))  # bounded by the alphabet
+    frags = pats.select("pattern", F.size("fragments").alias("n"), F.posexplode("fragments").alias("f", "text"))
+    rarest = topk(frags.select("pattern", "n", "f", F.explode(_longest_grams(F.col("text"))).alias("gram"))
+                  .join(freq, "gram"), ["pattern", "f"], [F.col("df").asc(), F.col("gram").asc()], 1)
+    whole = Window.partitionBy("pattern")
+    # a pattern with a fragment whose grams occur nowhere can't match and drops out here
+    chosen = (rarest.withColumn("found", F.count("*").over(whole)).withColumn("least", F.min("df").over(whole))
+              .filter((F.col("found") == F.col("n")) & (F.col("df") <= LIST_RATIO * F.col("least")))
+              .select("pattern", "gram").distinct())
+    chosen = chosen.withColumn("lists", F.count("*").over(whole))
+    # dealt by text once: the intersection and the join of the text share it
+    return (chosen.join(idx, "gram").select("pattern", "lists", id_col).repartition(id_col)
+            .groupBy(id_col, "pattern", "lists").agg(F.count("*").alias("hits"))
+            .filter("hits = lists").select("pattern", id_col))
 
 
 def search_text(req: DataFrame, texts: DataFrame, id_col: str, search_cols: Sequence[str],
@@ -74,23 +98,17 @@ def search_text(req: DataFrame, texts: DataFrame, id_col: str, search_cols: Sequ
     # distinct patterns
     pats = searching.select(F.lower(F.concat(F.lit("%"), F.col("query"), F.lit("%")))
                             .alias("pattern")).distinct()
-    pats = pats.withColumn("grams", _pattern_grams(F.col("pattern")))
+    pats = pats.withColumn("fragments", _fragments(F.col("pattern")))
 
     # gram index of the texts, only grams that some pattern may use
     lowered = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in search_cols]
-    used = pats.select(F.explode("grams").alias("gram")).distinct()
+    used = pats.select(F.explode("fragments").alias("f")).select(F.explode(_longest_grams(F.col("f"))).alias("gram")).distinct()
     idx = t.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(
         *[_all_grams(x) for x in lowered])))).alias("gram")).join(used, "gram", "left_semi")
-    freq = idx.groupBy("gram").agg(F.count("*").alias("df"))  # bounded by the alphabet
-
-    chosen = topk(pats.select("pattern", F.explode("grams").alias("gram")).join(freq, "gram"),
-                  ["pattern"], [F.col("df").asc(), F.col("gram").asc()], 1).select("pattern",
-                                                                                    "gram")
-    # patterns whose gram occurs nowhere cannot match: they simply drop out here
-    cand = chosen.join(idx, "gram").select("pattern", id_col)
+    cand = candidates(pats, idx, id_col)
 
     # wildcard-only patterns: equi join on text length
-    wild = pats.filter(F.col("grams").isNull()).select(
+    wild = pats.filter(F.col("fragments").isNull()).select(
         "pattern", (F.length("pattern") - F.length(F.regexp_replace("pattern", "_", "")))
         .alias("need"))
     max_need = wild.agg(F.max("need").alias("m")).select("m").scalar()
