@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import written
+from larder.llm.common import release, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
                   .distinct(), "edges")
     before = _mark(now)
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        last, now = now, written(_small_star(_large_star(now)), "edges")
+        release(last)
         mark = _mark(now)
         if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.written_to = now.written_to
+            return out
         before = mark
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import row_chunks, sequence_hash, utf8_column, window_hashes, words
+from larder.llm.common import row_chunks, rows_kept, sequence_hash, utf8_column, window_hashes, words, written
 
 LEAST, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
@@ -75,7 +75,35 @@ class Index(NamedTuple):
     block_top: np.ndarray
 
 
-def build_index(items: list[tuple[int, str]], length: int) -> Index | None:
+class Statistics(NamedTuple):
+    """Of all items together, whatever index they are in."""
+    n: int                     # items
+    mean: float                # words of an item
+    terms: np.ndarray          # sorted term hashes
+    df: np.ndarray             # items that hold a term
+
+    def of(self, terms: np.ndarray) -> "Statistics":
+        return self._replace(terms=terms, df=self.df[np.searchsorted(self.terms, terms)])
+
+
+def _statistics(items: DataFrame):
+    """Item counts, mean length and the frequency of every term, as one
+    aggregate over the items."""
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                w = _words(text)
+                if len(w):
+                    yield pa.record_batch([pa.array(np.unique(w).view(np.int64)),
+                                           pa.array(np.r_[len(w), np.zeros(len(np.unique(w)) - 1, np.int64)])],
+                                          names=["term", "n_words"])
+
+    terms = written(items.select("text").mapInArrow(run, "term long, n_words long"), "item-terms")
+    whole = terms.agg(F.count_if(F.col("n_words") > 0).alias("n"), F.sum("n_words").alias("words")).first()
+    return terms.groupBy("term").agg(F.count("*").alias("df")), whole.n, (whole.words or 0) / max(1, whole.n)
+
+
+def build_index(items: list[tuple[int, str]], length: int, statistics: Statistics) -> Index | None:
     """BM25 postings with each contribution divided by its item's own score."""
     kept, docs = [], []
     for item_id, text in items:
@@ -89,9 +117,10 @@ def build_index(items: list[tuple[int, str]], length: int) -> Index | None:
     tf = np.concatenate([c for _, c in docs]).astype(float)
     item = np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])
     n_words = np.array([n for *_, n in kept], float)
-    terms, which, df = np.unique(term, return_inverse=True, return_counts=True)
-    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))[which]
-    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words[item] / n_words.mean()))
+    terms, which = np.unique(term, return_inverse=True)
+    df = statistics.of(terms).df
+    idf = np.log(1 + (statistics.n - df + 0.5) / (df + 0.5))[which]
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words[item] / statistics.mean))
     share = score / np.bincount(item, score)[item]
     order = np.lexsort((item, which))
     which, item, share = which[order], item[order], share[order]
@@ -186,28 +215,63 @@ def _scan(indexes, least, overlap):
     return run
 
 
+def _indexes(benchmark: DataFrame, index_items: int):
+    """Lists of indexes, one list per part of at most some ``index_items``
+    items; frequencies and lengths are those of all items. Only one part at a
+    time is held by the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")) \
+        .filter("text is not null").distinct()
+    frequencies, n, mean = _statistics(items)
+    parts = 1 + n // index_items
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for p in range(parts if n else 0):
+        mine = [(r.item_id, r.text) for r in items.filter(part == p).collect()]
+        sized = sorted(((i, t, len(_words(t))) for i, t in mine), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        terms = np.unique(np.concatenate([_words(t) for _, t in mine] or [np.zeros(0, np.uint64)]))
+        # as many rows as the part has terms
+        asked = F.broadcast(frequencies.sparkSession.createDataFrame(
+            pa.table({"term": pa.array(terms.view(np.int64))})))
+        df = {r.term: r.df for r in frequencies.join(asked, "term").collect()}
+        known = Statistics(n, mean, terms, np.array([df[t] for t in terms.view(np.int64).tolist()], np.int64))
+        lengths = sorted({next((m for m in LENGTHS if k <= m), k) for *_, k in sized if k})
+        yield [build_index([(i, t) for i, t, k in sized if k and next((m for m in LENGTHS if k <= m), k) == size],
+                           size, known) for size in lengths]
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, overlap: float = OVERLAP,
           index_items: int = INDEX_ITEMS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row per
     document row and item found in it, with its best passage.
 
     Items without words are skipped; an item without an id is named by null. Null
-    and empty texts leak nothing. Repeated rows give a row each, repeated items
-    count once. Empty tables give an empty result; other columns are not read.
+    and empty texts leak nothing; a very long text is searched whole, passage by
+    passage. Repeated rows give a row each, repeated items count once. Empty
+    tables give an empty result; other columns are not read.
     """
+    kind = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")) \
-        .filter("text is not null").distinct()
-    parts = 1 + items.count() // index_items
     out = None
-    for part in range(parts):
-        mine = [(r.item_id, r.text) for r in
-                items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
-        sized = sorted(((i, t, len(_words(t))) for i, t in mine), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        lengths = sorted({next((n for n in LENGTHS if k <= n), k) for *_, k in sized if k})
-        indexes = [build_index([(i, t) for i, t, k in sized if k and next((m for m in LENGTHS if k <= m), k) == n], n)
-                   for n in lengths]
-        found = docs.mapInArrow(_scan(indexes, least, overlap), "doc_id long, item_id long, score double, "
-                                                                "question_overlap double, answer_overlap double")
+    for indexes in _indexes(benchmark, index_items):
+        found = docs.mapInArrow(_scan(indexes, least, overlap), kind)
         out = found if out is None else out.union(found)
-    return out
+    return documents.sparkSession.createDataFrame([], kind) if out is None else out
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, overlap: float = OVERLAP,
+                  index_items: int = INDEX_ITEMS) -> DataFrame:
+    """The rows, with all columns, in which ``leaks`` finds no item; each part
+    of the items reads what the part before let through."""
+    def clean(indexes):
+        def keep(offsets, data):
+            good = np.ones(len(offsets) - 1, bool)
+            for lo, hi in row_chunks(offsets):
+                for index in indexes:
+                    for r, *_ in _search(index, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo],
+                                         least, overlap):
+                        good[lo + r] = False
+            return good
+        return keep
+
+    for indexes in _indexes(benchmark, index_items):
+        documents = rows_kept(documents, clean(indexes))
+    return documents

@@ -3,7 +3,7 @@
 1. A document's set holds the 64-bit hashes of its distinct word shingles.
    Documents with equal sets are one class, so a group of copies costs one row.
 2. Signatures of ``bands * rows`` minima; classes that agree on a whole band
-   share a bucket. Each bucket compares its members with its smallest id.
+   share a bucket. Each bucket compares its members with its smallest class.
 3. A candidate's signatures are compared batch by batch. With m of n minima
    equal and a uniform prior, the similarity has a Beta(m+1, n-m+1)
    posterior; the pair is pruned once P(similarity >= threshold) falls below
@@ -22,14 +22,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import mix, row_chunks, sequence_hash, utf8_column, window_hashes, words, written
+from larder.llm.common import mix, quoted, release, row_chunks, sequence_hash, utf8_column, window_hashes, words, written
 from larder.llm.components import connected_components
 
 BANDS, ROWS, BATCH = 32, 4, 16
@@ -92,7 +93,7 @@ def plausible(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np
 
 def _sign(k: int, n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
-                        ("sig", pa.binary())])
+                        ("sig", pa.binary()), ("digest", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -102,7 +103,8 @@ def _sign(k: int, n: int):
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sig.append(minhash(s, n).tobytes())
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()),
-                                   pa.array(key, pa.binary()), pa.array(sig, pa.binary())], schema=schema)
+                                   pa.array(key, pa.binary()), pa.array(sig, pa.binary()), batch.column(2)],
+                                  schema=schema)
     return run
 
 
@@ -217,32 +219,36 @@ def _within(n: int, rows: int, bounds, percent: int):
     return run
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS,
-                    rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per input row.
+def _linked_classes(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, miss: float, block: int,
+                    by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, digest) rows -> written tables: doc_id, n_shingles, set_key,
+    digest per row; set_key, part (of the classes linked directly or not) and
+    least (no_id, doc_id, digest) per class. With ``by_id`` the rows of one
+    doc_id are one document, whose classes are linked, and rows without an id
+    are in no class; else every row is a document.
 
-    Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B|
-    on their sets of distinct ``shingle``-word shingles; component_id is the
-    smallest doc_id reachable over links. Null or empty text and text without
-    words has an empty set and no link. Rows that share a doc_id are one
-    document and share a component; if their texts differ, one of them stands
-    for it in links. A null doc_id can't be linked: its
-    component is null and it is kept. An empty table gives an empty result;
-    columns other than doc_id and text are not read.
+    Classes are numbered, so neither a missing nor a repeated doc_id matters
+    to the links. Tables that are needed no more are deleted on the way.
     """
     n = bands * rows
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_sign(shingle, n), "doc_id long, n_shingles long, set_key binary, sig binary"),
-                     "signatures")
-    usable = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    # one row of each class, with its signature
-    reps = written(usable.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"],
-                               "left_semi").dropDuplicates(["set_key"])
-                   .select(F.col("doc_id").alias("id"), "n_shingles", "sig"),
-                   "classes")
-    shared = (usable.join(classes, "set_key").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u"))
-              .filter("u > v").select("u", "v"))
+    signed = written(docs.select("doc_id", "text", "digest").mapInArrow(
+        _sign(shingle, n), "doc_id long, n_shingles long, set_key binary, sig binary, digest binary"), "signatures")
+    usable = signed.filter("n_shingles > 0" + " and doc_id is not null" * by_id)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    # Equal sets have one signature and size: partial aggregates collapse copies before the shuffle.
+    classes = written(usable.groupBy("set_key").agg(least.alias("least"), F.first("n_shingles").alias("n_shingles"),
+                                                    F.first("sig").alias("sig"))
+                      .withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows_of = written(signed.drop("sig"), "rows")
+    release(signed)
+    reps = classes.select("id", "n_shingles", "sig")
+    shared = None
+    if by_id:
+        texts = rows_of.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_key").distinct()
+        several = texts.join(texts.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id", "left_semi")
+        several = several.join(classes.select("set_key", "id"), "set_key").select("doc_id", "id")
+        shared = (several.join(several.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id")
+                  .select(F.col("id").alias("u"), "v").filter("u > v").distinct())
 
     width = 4 * rows
     buckets = reps.select("id", "n_shingles", F.posexplode(F.expr(
@@ -254,16 +260,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
 
     sig_u, sig_v = reps.select(F.col("id").alias("u"), F.col("sig").alias("su")), \
         reps.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
-    # whole sets, made again from the texts of documents that met another;
+    # whole sets, made again from one text of each class that met another;
     # a merge at any size, since that share of the texts grows with the input
-    need = met.select(F.col("id").alias("doc_id")).distinct().hint("merge")
-    sets = written(docs.join(need, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, members array<long>")
+    need = (classes.join(met.select("id").distinct(), "id", "left_semi")
+            .select("id", F.col("least.doc_id").alias("of"), F.col("least.digest").alias("digest")).hint("merge"))
+    sets = written(docs.join(need, (docs["doc_id"].eqNullSafe(need["of"])) & (docs["digest"] == need["digest"]))
+                   .select("id", "text").mapInArrow(_sets(shingle), "id long, members array<long>")
                    .dropDuplicates(["id"]), "sets")
     near_head = met.filter("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     first = written(near_head.join(sig_u, "u").join(sig_v, "v").select("u", "v", "su", "sv")
                     .mapInArrow(_prune(n, bounds), "u long, v long"), "pairs")
-    links = written(_confirmed(first, sets, percent).union(shared), "links")
+    confirmed = _confirmed(first, sets, percent)
+    links = written(confirmed.union(shared) if by_id else confirmed, "links")
+    release(first)
     parts = connected_components(links)
+    release(links)
 
     # buckets whose members, besides the head, lie in several components
     known = (met.filter("id <> head").join(parts.withColumnRenamed("node", "id"), "id", "left")
@@ -273,6 +284,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
              .filter("lo < hi").select("bucket", F.ceil("w").cast("int").alias("blocks")))
     rest = written(known.join(mixed, "bucket")
                    .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "rest")
+    release(met)
     one = rest.select(F.xxhash64("bucket", "mine", "mine").alias("g"), F.lit(0).alias("side"), "id", "comp",
                       F.lit(True).alias("one"), "band")
     two = (rest.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -285,11 +297,66 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
              .repartition("g").sortWithinPartitions("g"))
     more = dealt.mapInArrow(_within(n, rows, bounds, percent), "u long, v long")
     joined = written(more.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))), "links")
-    parts = connected_components(joined).withColumnRenamed("node", "rep")
+    release(rest, sets, parts)
+    parts = connected_components(joined)
+    named = written(classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
+        "set_key", F.coalesce("component", "id").alias("part"), "least"), "named")
+    release(joined, parts, classes)
+    return rows_of, named
+
+
+def _documents(documents: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+                            F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("digest"))
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS,
+                    rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row.
 
-    named = classes.join(parts, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B|
+    on their sets of distinct ``shingle``-word shingles; component_id is the
+    smallest doc_id reachable over links. Null or empty text and text without
+    words has an empty set and no link: such a row is its own component. Rows
+    that share a doc_id are one document: the sets of all its texts are linked
+    with each other. A null doc_id can't be linked: its component is null and
+    it is kept. A very long text is one set, made in one task. An empty table
+    gives an empty result; columns other than doc_id and text are not read.
+    """
+    signed, classes = _linked_classes(_documents(documents), shingle, percent, bands, rows, miss, block, True)
+    lowest = classes.groupBy("part").agg(F.min("least.doc_id").alias("component"))
+    named = classes.join(lowest, "part").select("set_key", "component")
     out = signed.join(named, "set_key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component")))
         .otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each_group(documents: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS,
+                      rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, without near
+    duplicates: of each group of linked rows the one with the smallest doc_id
+    stays, rows without an id last, then by text digest and by a hash of all
+    columns but maps. Every row is a document of its own, whatever its doc_id. Rows
+    without a word are linked with nothing and stay. Whole rows are shuffled
+    once; repeated rows are cut to one before that.
+    """
+    signed, classes = _linked_classes(_documents(documents), shingle, percent, bands, rows, miss, block, False)
+    stay = written(classes.groupBy("part").agg(F.min("least").alias("least"))
+                   .select(F.col("least.doc_id").alias("id"), F.col("least.digest").alias("digest")), "stay")
+    release(signed, classes)
+    columns = quoted(documents.columns)
+    hashed = [c for c, f in zip(columns, documents.schema) if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wordy = text.rlike("[^ \\x09-\\x0D]")
+    keyed = documents.filter(wordy).select(
+        F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"),
+        F.struct(*columns).alias("row"), F.xxhash64(*hashed).alias("hash"))
+    same = Window.partitionBy("id", "digest").orderBy("hash")
+    one = keyed.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    left, right = one.alias("a"), stay.hint("merge").alias("b")
+    kept = left.join(right, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.digest") == F.col("b.digest")),
+                     "left_semi").select("row.*")
+    return kept.unionAll(documents.filter(~wordy))

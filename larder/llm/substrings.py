@@ -4,12 +4,14 @@ A window is a repeat when its word sequence also starts earlier: in a smaller
 doc_id, or earlier in the same document. Words covered by repeats go.
 
 1. ``mapInArrow`` hashes every window. Within a chunk of documents only the
-   first occurrence of a hash is sent on; later ones are repeats already, so
-   a passage that a third of all documents share costs one entry a chunk.
-   Entries are packed by hash range: per range one row with the document
-   keys, and 8 bytes of hash and 2 to 4 of position per window.
+   first occurrence of a hash goes to its hash range; later ones are repeats
+   already and go to the bucket of their document, so a passage that a third
+   of all documents share costs its range one entry a chunk. Entries are packed:
+   per range one row with the document keys, and 8 bytes of hash and 2 to 4 of
+   position per window.
 2. Each hash range finds the first occurrence of every hash and returns the
-   starts of all others, packed by buckets of documents.
+   starts of all others, packed by buckets of documents. Repeats known before
+   pass through in groups of their bucket.
 3. Each bucket merges the starts of a document into maximal removal intervals,
    and these are joined to the texts.
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import mix, row_chunks, utf8_column, window_hashes, words
+from larder.llm.common import mix, quoted, row_chunks, utf8_column, window_hashes, words
 
 WINDOW = 20
 #: Bytes of text whose windows one hash range holds, and one chunk of documents.
@@ -37,7 +39,7 @@ RANGE_BYTES, CHUNK_BYTES = 24 << 20, 4 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 _PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary()), ("counts", pa.binary()),
-                     ("starts", pa.binary()), ("hashes", pa.binary()), ("repeat", pa.bool_())])
+                     ("starts", pa.binary()), ("hashes", pa.binary())])
 _BUCKETS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary()), ("counts", pa.binary()),
                       ("starts", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("sum", pa.int32()), ("spans", pa.binary())])
@@ -83,6 +85,11 @@ def _unpacked(packed):
     return ids, sums, np.concatenate(rows), np.concatenate(starts)
 
 
+def _bucket(ids: np.ndarray, sums: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each document."""
+    return (mix(ids.view(np.uint64) ^ sums.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _hash_windows(k: int, parts: int):
     def chunk(ids, offsets, data):
         sums = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets, offsets[1:])], np.uint32)
@@ -103,15 +110,11 @@ def _hash_windows(k: int, parts: int):
         head = np.maximum.accumulate(np.where(np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0, np.arange(len(h)), 0))
         later = (ids[row] != ids[row[head]]) | (start != start[head])
         part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(cut)):
-            here = np.arange(cut[p], cut[p + 1])
-            for repeat in (False, True):
-                pick = here[later[here] == repeat]
-                if len(pick):
-                    pick = pick[np.lexsort((start[pick], row[pick]))]
-                    yield (int(p), *_entry(ids, sums, row[pick], start[pick]),
-                           (h[:0] if repeat else h[pick]).tobytes(), repeat)
+        part = np.where(later, parts + _bucket(ids, sums, parts)[row], part)
+        by = np.lexsort((start, row, part))
+        for pick in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+            p = int(part[pick[0]])
+            yield (p, *_entry(ids, sums, row[pick], start[pick]), (h[pick] if p < parts else h[:0]).tobytes())
 
     def run(batches):
         for batch in batches:
@@ -127,19 +130,22 @@ def _hash_windows(k: int, parts: int):
 
 def _repeats_of_range(buckets: int):
     """All packed rows of one hash range -> its repeats, packed again by
-    buckets of documents."""
+    buckets of documents. Keys from ``buckets`` on are the rows of a bucket."""
     def run(key, table):
-        *packed, hashes, repeat = (table.column(i).to_pylist() for i in range(1, 7))
+        part = key[0].as_py()
+        if part >= buckets:
+            return pa.table([pa.array(np.full(len(table), part - buckets, np.int32)), *table.columns[1:5]],
+                            schema=_BUCKETS)
+        *packed, hashes = (table.column(i).to_pylist() for i in range(1, 6))
         ids, sums, rows, starts = _unpacked(zip(*packed))
-        out = np.concatenate([np.full(_unplanes(c, np.uint32).sum(), r) for c, r in zip(packed[2], repeat)])
         hashes = np.frombuffer(b"".join(hashes), np.uint64)
-        mine = np.flatnonzero(~out)
+        out = np.zeros(len(hashes), bool)
         by = np.argsort(hashes, kind="stable")
         h = hashes[by]
         same = h[1:] == h[:-1]
         busy = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(h) else by
         if len(busy):
-            at, h = mine[by[busy]], h[busy]
+            at, h = by[busy], h[busy]
             inner = np.lexsort((starts[at], ids[rows[at]], h))
             at, h = at[inner], h[inner]
             head = np.maximum.accumulate(np.where(np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0, np.arange(len(h)), 0))
@@ -151,8 +157,7 @@ def _repeats_of_range(buckets: int):
         row, start = docs, starts[at]
         keep = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1]))[:len(row)]
         ids, sums, row, start = ids[rows[at[first]]], sums[rows[at[first]]], row[keep], start[keep]
-        bucket = (mix(ids.view(np.uint64) ^ sums.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)[row] \
-            if len(ids) else row
+        bucket = _bucket(ids, sums, buckets)[row] if len(ids) else row
         by = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
         cols = [(int(bucket[by[a]]), *_entry(ids, sums, row[by[a:b]], start[by[a:b]])) for a, b in zip(cut, cut[1:])]
@@ -238,22 +243,24 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool =
                    range_bytes: int = RANGE_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text_crc32, n_words, n_removed, kept_sha256, intervals (word
     positions, maximal, [start, end)), carried (a struct of was_null, whether
-    the text was null, and the input columns in ``carry``) and with ``with_text`` kept_text, one row per input
-    row.
+    the text was null, and row, a struct of the input columns in ``carry``) and with ``with_text`` kept_text, one
+    row per input row.
 
     kept_text is the untouched text when nothing is removed. Null text counts
     as empty; texts under ``window`` words have no window. Rows that repeat a
     doc_id and its text are one document and lose the same words. A null
-    doc_id sorts after all others. An empty table gives an empty result; other
+    doc_id sorts after all others. A very long text is hashed whole in one task
+    and cut whole in another. An empty table gives an empty result; other
     columns are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                            F.struct(F.col("text").isNull().alias("was_null"), *carry).alias("carried"))
+                            F.struct(F.col("text").isNull().alias("was_null"),
+                                     *([F.struct(*quoted(carry)).alias("row")] if carry else [])).alias("carried"))
     texts = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(total) // range_bytes
     packed = texts.mapInArrow(_hash_windows(window, parts),
-                             "part int, ids binary, sums binary, counts binary, starts binary, hashes binary, repeat boolean")
+                             "part int, ids binary, sums binary, counts binary, starts binary, hashes binary")
     repeats = (packed.groupBy("part").applyInArrow(_repeats_of_range(parts), "bucket int, ids binary, sums binary, "
                                                    "counts binary, starts binary")
                .groupBy("bucket").applyInArrow(_intervals(window), "doc_id long, sum int, spans binary"))
