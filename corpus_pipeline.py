@@ -4,64 +4,61 @@ judges every row by itself: a doc_id can be null or stand for several texts."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import decontam, neardup, packing, substrings, toxicity
-from larder.llm.common import read_table, written
-from larder.session import ensure_checkpoint_dir
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """row (a written unique key), doc (the whole row)."""
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+from larder.llm.common import read_table, release, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, trained on the labels, predicts toxic go."""
-    rows = _keyed(docs)
-    scored = toxicity.toxicity(rows.select("row", "doc.doc_id", "doc.text"), read_table(spark, sf_dir, "labels"),
-                               carry=("row",))
-    return rows.join(scored.filter("predicted = 1").select("carried.row"), "row", "left_anti").select("doc.*")
+    """Rows that the classifier, trained on the labels, predicts toxic go; the
+    others pass through the scoring tasks unchanged, whatever their id. Null
+    and empty texts score as texts without words, repeated rows alike. Without
+    labels of both classes all rows stay. An empty table stays empty; any
+    other columns are passed on."""
+    return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group at 0.8 on five-word shingles stays: the one with
-    the smallest id, a row without an id only where no other has one. Every
-    row is a document of its own, whatever its doc_id."""
-    rows = _keyed(docs)
-    found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")),
-                                    shingle=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
-    ids = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"))
-    best = (found.join(ids, "row").groupBy("component_id")
-            .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")))
-    return rows.join(best.select("best.row"), "row", "left_semi").select("doc.*")
+    the smallest id, a row without an id only where no other has one; then the
+    least text digest. Every row is a document of its own, whatever its
+    doc_id; of rows with one id and text the one with the least hash of all
+    columns stays. Rows without a word all stay. An empty table stays empty;
+    any other columns are passed on."""
+    return neardup.one_of_each_group(docs, shingle=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that also start earlier go; n_chars
-    follows. A document of which nothing is left stays as an empty one."""
-    cut = substrings.remove_repeats(docs, with_text=True, carry=tuple(c for c in docs.columns if c != "text"))
-    text = F.when(~F.col("carried.was_null"), F.col("kept_text"))
-    new = {c: F.col("carried").getField(c) for c in docs.columns if c != "text"} | {"text": text}
-    if "n_chars" in docs.columns:
+    follows. A document of which nothing is left stays as an empty one, a null
+    text stays null, rows that repeat an id and text lose the same words. An
+    empty table stays empty; any other columns are passed on."""
+    others = [c for c in docs.columns if c != "text"]
+    cut = substrings.remove_repeats(docs, with_text=True, carry=tuple(others))
+    row = F.col("carried")["row"]
+    new = {c: row.getField(c) for c in others}
+    new["text"] = F.when(~F.col("carried")["was_null"], F.col("kept_text")).cast(docs.schema["text"].dataType)
+    if "n_chars" in others:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)) \
             .otherwise(new["n_chars"])
-    return cut.select(*[new[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return cut.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item's question and answer go."""
-    rows = _keyed(docs)
-    found = decontam.leaks(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")),
-                           read_table(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select("doc.*")
+    """Rows that hold a benchmark item's question and answer go; the others
+    pass through the searching tasks unchanged, whatever their id. Null and
+    empty texts stay, repeated rows are judged alike. Without items all rows
+    stay. An empty table stays empty; any other columns are passed on."""
+    return decontam.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences, one row per piece."""
+    """Pieces of all documents in training sequences, one row per piece. Null
+    and empty texts are one end mark; a very long text is many pieces; null
+    ids and repeated rows are packed like others. An empty table gives an
+    empty result; only doc_id and text are read."""
     return packing.pack(packing.word_lengths(docs))
 
 
@@ -79,11 +76,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet below the shared
-    checkpoint folder and read again by the next."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{i}-{name}")
+    checkpoint folder and read again by the next; a stage's input goes once
+    its output stands. Empty ``documents`` give an empty result."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return docs
