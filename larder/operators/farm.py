@@ -79,7 +79,8 @@ def harvest_log(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     for cond, c, m in reversed(checks):
         code = F.when(cond, F.lit(c)).otherwise(code)
         msg = F.when(cond, m).otherwise(msg)
-    r = r.withColumn("error_code", code).withColumn("error_message", msg)
+    r = r.withColumn("error_code", code).withColumn("error_message", msg) \
+        .withColumn("_notes", value_or_default(r, "quality_notes", ""))  # a null in a JSON report stays null
     valid = r.filter(F.col("error_code").isNull()).select(
         stable_id("report_id", "farm_id", "product_id", "quantity_text", "date_text")
         .alias("harvest_id"),
@@ -87,7 +88,7 @@ def harvest_log(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
         _opt(r, "category").alias("category"), F.col("_d").alias("harvest_date"),
         F.col("_q").alias("harvested_quantity_kg"), F.col("_est").alias("estimated_yield_kg"),
         F.col("_qs").alias("quality_score"),
-        F.coalesce(_opt(r, "quality_notes"), F.lit("")).alias("quality_notes"),
+        F.col("_notes").alias("quality_notes"),
         _opt(r, "photos_gcs_path").alias("photos_gcs_path"),
         F.col("_pd").alias("planting_date"), _opt(r, "field_id").alias("field_id"))
     rejects = r.filter(F.col("error_code").isNotNull()).select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.text import json_text
 from larder.sources.requests import value_or_default
 from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
                                      requested, topk)
@@ -215,13 +216,6 @@ DEFAULT_ORDER_STATUS = "Pending"
 ORDER_FIELDS, ITEM_FIELDS = ("customer_id", "items"), ("product_id", "quantity_kg")
 
 
-def _text(v: Column) -> Column:
-    """A variant as the text a message shows: null is None, as the reference prints it."""
-    kind = F.schema_of_variant(v)
-    plain = F.try_variant_get(v, "$", "string")
-    return F.when(kind == "BOOLEAN", F.initcap(plain)).when(kind == "VOID", F.lit("None")).otherwise(plain)
-
-
 def _whole_number(v: Column) -> Column:
     """``int(x)`` of a JSON value: numbers are cut to whole ones, booleans are
     1 and 0, texts are parsed (F2); anything else is null."""
@@ -257,8 +251,8 @@ def order_rows(bodies: DataFrame) -> DataFrame:
     item = body.lateralJoin(spark.tvf.variant_explode_outer(F.col("_items").outer()))
     return (item.withColumn("_product", get("product_id", "value")).withColumn("_quantity", get("quantity_kg", "value"))
             .select(*[c for c in body.columns if c != "_items"], "pos",
-                    _plain(F.col("_product")).alias("product_id"), _text(F.col("_product")).alias("product_text"),
-                    _text(F.col("_quantity")).alias("quantity_text"), _whole_number(F.col("_quantity")).alias("q"),
+                    _plain(F.col("_product")).alias("product_id"), F.coalesce(json_text(F.col("_product")), F.lit("None")).alias("product_text"),
+                    json_text(F.col("_quantity")).alias("quantity_text"), _whole_number(F.col("_quantity")).alias("q"),
                     (F.col("_product").isNull() | F.col("_quantity").isNull()).alias("item_missing")))
 
 

@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.common import attach_bounded, requested, topk
+from larder.operators.common import attach_bounded, present, requested, topk
 
 BROWSE_LIMIT = 100
 SEARCH_LIMIT = 100
@@ -185,18 +185,25 @@ VEHICLE_COLS = ["vehicle_id", "carrier_name", "vehicle_type", "capacity_kg",
                 "has_temperature_monitoring", "vehicle_license_no"]
 
 
+NO_LICENSE = "Missing or empty vehicle_license_no in request body"
+
+
 def vehicle_by_license(req: DataFrame, vehicles: DataFrame) -> DataFrame:
     """The vehicle with the exact licence number (first by id when the
     licence repeats); unknown licences keep a row with ``found`` false and
-    status 'not_found'."""
+    status 'not_found'. A request without a licence, or with an empty one, is
+    an error with a message (F1)."""
     v = topk(requested(vehicles.select(*VEHICLE_COLS), req, ["vehicle_license_no"]), ["vehicle_license_no"],
              [F.col("vehicle_id").asc()], 1).drop("rank")
     v = v.withColumnRenamed("vehicle_license_no", "_lic")
-    out = req.select("request_id", "vehicle_license_no").join(
-        v, F.col("vehicle_license_no") == F.col("_lic"), "left")
+    named = present("vehicle_license_no")
+    out = req.select("request_id", "vehicle_license_no", named.alias("_asked")).join(
+        v, F.col("_asked") == F.col("_lic"), "left")
     found = F.col("_lic").isNotNull()
     return out.select("request_id", *[c for c in VEHICLE_COLS], found.alias("found"),
-                      F.when(found, "success").otherwise("not_found").alias("status"))
+                      F.when(F.col("_asked").isNull(), "error").when(found, "success")
+                      .otherwise("not_found").alias("status"),
+                      F.when(F.col("_asked").isNull(), NO_LICENSE).alias("message"))
 
 
 def vehicle_details(req: DataFrame, vehicles: DataFrame) -> DataFrame:

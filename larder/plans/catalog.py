@@ -10,6 +10,7 @@ Fixed test parameters: ``as_of = 1998-06-15`` and its midnight timestamp.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,12 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larder.operators import farm, logistics, market, routes, search
+from larder.functions.ids import stable_id
+from larder.operators import cards, farm, logistics, market, routes, search
 from larder.operators.validate import REQUIRED, split_requests
 from larder.plans.oracle_fixtures import with_views
 from larder.sources.fixtures import Fixtures
 from larder.sources.requests import CORRUPT, parse_requests, value_or_default
-from larder.sources.sinks import to_json_rows
+from larder.session import scratch_dir
+from larder.sources.sinks import append, place_orders, read_committed, to_json_rows
+from larder.sources.tables import lookup
 from larder.streaming import alerts
 
 AS_OF = "1998-06-15"
@@ -671,7 +675,9 @@ def q_browse_first_100(spark, sf_dir):
 @register("vehicle_by_license", """
 SELECT r.request_id, v.vehicle_id, v.carrier_name, v.vehicle_type, v.capacity_kg,
        v.has_temperature_monitoring, r.vehicle_license_no, v.vehicle_id IS NOT NULL AS found,
-       CASE WHEN v.vehicle_id IS NULL THEN 'not_found' ELSE 'success' END AS status
+       CASE WHEN NULLIF(r.vehicle_license_no, '') IS NULL THEN 'error'
+            WHEN v.vehicle_id IS NULL THEN 'not_found' ELSE 'success' END AS status,
+       CASE WHEN NULLIF(r.vehicle_license_no, '') IS NULL THEN 'Missing or empty vehicle_license_no in request body' END AS message
   FROM req_license r LEFT JOIN vehicles v ON v.vehicle_license_no = r.vehicle_license_no""",
           "req_license", "vehicles")
 def q_vehicle_by_license(spark, sf_dir):
@@ -897,6 +903,88 @@ def q_vehicle_details_json(spark, sf_dir):
         "request_id", "vehicle_id", "vehicle_type", "capacity_kg", "has_temperature_monitoring", "carrier_name", "found"))
 
 
+# ------------------------------------------------- one answer per request
+def _section(query: str, fields: dict[str, str]) -> str:
+    pack = ", ".join(f"{k} := {v}" for k, v in fields.items())
+    return (f"(SELECT request_id, CAST(to_json(list(struct_pack({pack}) ORDER BY rank)) AS VARCHAR) AS j "
+            f"FROM ({ORACLE[query]}) GROUP BY request_id)")
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+_DAY = "CAST({0} AS VARCHAR)"
+_ISO = ("CASE WHEN {0} IS NULL THEN NULL WHEN extract(microsecond FROM {0}) % 1000000 = 0 THEN strftime({0}, '%Y-%m-%dT%H:%M:%S') "
+        "ELSE strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
+@register("advice_card_json", f"""
+SELECT r.request_id, '{{"status":"success","farm_details":' || coalesce(f.j, '{{}}') || ',"recent_harvests":' || coalesce(h.j, '[]')
+       || ',"recent_qc_issues":' || coalesce(q.j, '[]') || ',"upcoming_schedules":' || coalesce(s.j, '[]') || '}}' AS json
+  FROM req_advice r
+  LEFT JOIN (SELECT request_id, CAST(to_json(struct_pack(farm_name := farm_name, farm_location := farm_location,
+                    primary_crops_grown := primary_crops_grown)) AS VARCHAR) AS j FROM ({ORACLE["advice_farm_profile"]})) f USING (request_id)
+  LEFT JOIN {_section("advice_harvests", {"harvest_date": _DAY.format("harvest_date"),
+                                          **_same("harvested_quantity_kg", "quality_score", "quality_notes")})} h USING (request_id)
+  LEFT JOIN {_section("advice_qc_issues", {"issue_date": _DAY.format("issue_date"), **_same("issue_type", "severity", "notes")})} q
+            USING (request_id)
+  LEFT JOIN {_section("advice_schedules", {n: _DAY.format(n) for n in ("planned_planting_date", "planned_harvest_date_estimate")}
+                      | _same("expected_yield_estimate_kg", "status"))} s USING (request_id)""", "req_advice")
+def q_advice_card_json(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return cards.advice_card_json(cards.advice_card(fx.req_advice, fx.harvest_records, fx.farm_qc_issues,
+                                                    fx.planting_schedules, fx.farm_profiles, AS_OF))
+
+
+_TIMES = ("departure_timestamp", "arrival_timestamp_estimate", "arrival_timestamp_actual")
+
+
+@register("shipment_card_json", f"""
+SELECT r.request_id, CASE WHEN s.shipment_id IS NULL
+         THEN CAST(to_json(struct_pack(status := 'not_found', message := 'Shipment ID ' || r.shipment_id || ' not found.')) AS VARCHAR)
+         ELSE '{{"status":"success","shipment_details":' || CAST(to_json(struct_pack({", ".join(
+             f"{c} := {_ISO.format('s.' + c) if c in _TIMES else 's.' + c}" for c in logistics.SHIPMENT_COLS)})) AS VARCHAR)
+              || ',"recent_cold_chain_readings":' || coalesce(c.j, '[]') || '}}' END AS json
+  FROM req_tracking r LEFT JOIN shipments s ON s.shipment_id = r.shipment_id
+  LEFT JOIN {_section("shipment_readings_top10", {"timestamp": _ISO.format('"timestamp"'),
+                                                  **_same("temperature_celsius", "location", "sensor_id")})} c
+            ON c.request_id = r.request_id""", "req_tracking", "shipments")
+def q_shipment_card_json(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return cards.shipment_card_json(cards.shipment_card(fx.req_tracking, fx.shipments, fx.cold_chain_readings))
+
+
+# ------------------------------------------------------- stored tables
+def _stored(spark, name: str) -> str:
+    return scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("orders_stored", ORACLE["orders_placed"])
+def q_orders_stored(spark, sf_dir):
+    """Orders as the committed tables hold them, read back."""
+    fx = Fixtures(spark, sf_dir)
+    base = _stored(spark, "orders")
+    orders, items, rejects = market.purchase_orders(fx.req_order_items, fx.customers, fx.market_prices)
+    place_orders(orders, items, rejects, base, "day-1")
+    kept = read_committed(spark, base, "orders")
+    asked = fx.req_order_items.select("request_id").distinct().withColumn("order_id", stable_id("request_id"))
+    return kept.join(asked, "order_id").select(*orders.columns)
+
+
+@register("customer_lookup", """
+SELECT customer_id, customer_name, shipping_address, shipping_address = 'O''Hara Dock' AS quoted
+  FROM customers WHERE customer_type = 'BUILDING' AND customer_id NOT IN ('1', '2', 'O''Hara')""", "customers")
+def q_customer_lookup(spark, sf_dir):
+    """A one-off question on a stored domain table; a value, a quote and a
+    list are bound by name."""
+    base = _stored(spark, "domain")
+    append(Fixtures(spark, sf_dir).customers, f"{base}/customers", "customers")
+    return lookup(spark, base, "SELECT customer_id, customer_name, shipping_address, shipping_address = :dock AS quoted FROM customers "
+                  "WHERE customer_type = :kind AND NOT array_contains(:others, customer_id)", ["customers"],
+                  kind="BUILDING", dock="O'Hara Dock", others=["1", "2", "O'Hara"])
+
+
 # --------------------------------------------------------------- streaming
 def _sql_json_field(name: str, default: str) -> str:
     p = f"'$.{name}'"
@@ -986,6 +1074,24 @@ def q_alert_envelope_stream(spark, sf_dir):
     return alerts.alert_envelope_stream(spark, sf_dir)
 
 
+@register("alert_records", f"""
+WITH {_alert_sql("alert_records")}
+SELECT message_id, publish_time, alert_class, severity, shipment_id, temperature, message,
+       {_ALERT_TEXT} AS text
+  FROM c""", "alert_records")
+def q_alert_records(spark, sf_dir):
+    records = Fixtures(spark, sf_dir).alert_records
+    return alerts.classify_alerts(alerts.messages_from_records(records)).select(
+        "message_id", "publish_time", "alert_class", "severity", "shipment_id", "temperature", "message", "text")
+
+
+@register("alert_sinks", f"""
+SELECT CASE WHEN alert_class IN ('critical', 'warning', 'info', 'plain_text') THEN alert_class ELSE 'quarantine' END AS sink, *
+  FROM ({ORACLE["alert_envelopes"]})""")
+def q_alert_sinks(spark, sf_dir):
+    return alerts.alert_sinks(spark, sf_dir)
+
+
 @register("alert_producer_stream", """
 SELECT CAST(event_id AS VARCHAR) AS message_id,
        CASE WHEN value > 15.0 THEN 'critical' ELSE 'warning' END AS alert_class,

@@ -117,6 +117,13 @@ select message_id event_id,
          else concat('{"message":{"data":"', data, '","messageId":"m', message_id,
                      '"},"attributes":{"messageId":"', message_id, '","publishTime":"',
                      strftime(publish_time, '%Y-%m-%dT%H:%M:%S'), '"}}') end event
+  from alerts""",
+    "alert_records": """
+select case when cast(message_id as bigint) % 3 = 0 then concat('alerts-', cast(cast(message_id as bigint) % 4 as string), '-', message_id)
+            else concat('h', message_id) end message_id,
+       case when cast(message_id as bigint) % 3 = 2 then '1998-01-01T00:00:00'
+            else strftime(publish_time, '%Y-%m-%dT%H:%M:%S') end publish_time,
+       case when cast(message_id as bigint) % 7 <> 0 then data end data
   from alerts""",
     "legs": """
 select cast(l_suppkey as string) route_id,
@@ -199,7 +206,8 @@ select {LINE_ID} report_id, cast(l_suppkey as string) farm_id,
   from lineitem""",
     "req_license": """
 select concat('L', cast(s_suppkey as string)) request_id,
-       case when s_suppkey % 4 = 0 then concat('LIC-X', cast(s_suppkey as string)) else concat('LIC-', cast(s_suppkey as string)) end vehicle_license_no
+       case when s_suppkey % 13 = 0 then '' when s_suppkey % 17 = 0 then null
+            when s_suppkey % 4 = 0 then concat('LIC-X', cast(s_suppkey as string)) else concat('LIC-', cast(s_suppkey as string)) end vehicle_license_no
   from supplier""",
     "geocodes": """
 select n_name address, cast(n_nationkey as double) * 2.5 latitude, cast(n_regionkey as double) * 10.0 longitude
@@ -263,7 +271,7 @@ select concat('D', cast(o_orderkey as string)) request_id, concat('V', cast(o_cu
 }
 
 # Views that read other views.
-DEPENDS: dict[str, tuple[str, ...]] = {"orders_v": ("customers",), "alert_envelopes": ("alerts",),
+DEPENDS: dict[str, tuple[str, ...]] = {"orders_v": ("customers",), "alert_envelopes": ("alerts",), "alert_records": ("alerts",),
                                         "route_orders": ("legs",)}
 
 

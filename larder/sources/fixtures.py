@@ -249,6 +249,21 @@ class Fixtures:
         """Raw broker events (JSON text) around the alert messages."""
         return envelopes_from_messages(alert_messages_from_events(self.t.events))
 
+    @cached_property
+    def alert_records(self) -> DataFrame:
+        """Broker records around the alert messages: a third without an id
+        header, some without a value, some with a header twice."""
+        k = F.col("message_id").cast("bigint")
+        header = lambda name, text: F.struct(F.lit(name).alias("key"), text.cast("binary").alias("value"))
+        named = F.when(k % 3 == 0, F.array(header("source", F.lit("s")))).when(
+            k % 3 == 1, F.array(header("messageId", F.concat(F.lit("h"), F.col("message_id"))))).otherwise(
+            F.array(header("messageId", F.lit("old")), header("publishTime", F.lit("1998-01-01T00:00:00")),
+                    header("messageId", F.concat(F.lit("h"), F.col("message_id")))))
+        return self.alert_messages.select(
+            F.lit(None).cast("binary").alias("key"), F.when(k % 7 != 0, F.col("data")).cast("binary").alias("value"),
+            F.lit("alerts").alias("topic"), (k % 4).cast("int").alias("partition"), k.alias("offset"),
+            F.col("publish_time").cast("timestamp").alias("timestamp"), named.alias("headers"))
+
     @cached_property
     def route_legs(self) -> DataFrame:
         """Legs a routing service would return: one route per supplier, its
@@ -372,7 +387,8 @@ class Fixtures:
         k = F.col("s_suppkey")
         return self.t.supplier.select(
             F.concat(F.lit("L"), _str(k)).alias("request_id"),
-            F.when(k % 4 == 0, F.concat(F.lit("LIC-X"), _str(k)))
+            F.when(k % 13 == 0, F.lit("")).when(k % 17 == 0, F.lit(None).cast("string"))
+             .when(k % 4 == 0, F.concat(F.lit("LIC-X"), _str(k)))
              .otherwise(F.concat(F.lit("LIC-"), _str(k))).alias("vehicle_license_no"))
 
     @cached_property

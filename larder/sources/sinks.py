@@ -8,8 +8,12 @@ a replay of the batch replaces, so a retried job leaves each row once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from larder.schemas import DOMAIN
 
@@ -52,14 +56,75 @@ def append_with_quarantine(valid: DataFrame, rejects: DataFrame, path: str, tabl
     _write(rejects, f"{path}_quarantine", [], batch)
 
 
+ORDER_TABLES = ("order_items", "orders", "orders_quarantine")
+
+
 def place_orders(orders: DataFrame, items: DataFrame, rejects: DataFrame, base: str,
                  batch: str) -> None:
-    """H8 writer (D15): everything is validated before writing; items are
-    written before their orders, so an order row never lacks its items. A
-    replay of ``batch`` replaces what its first run wrote."""
-    append(items, f"{base}/order_items", "order_items", batch=batch)
-    append(orders, f"{base}/orders", "orders", batch=batch)
-    _write(rejects, f"{base}/orders_quarantine", [], batch)
+    """H8 writer (D15): the rows of ``batch`` become visible together.
+
+    Each run writes its rows under an attempt of its own, items first, and
+    then one commit mark that names the attempt. ``read_committed`` shows the
+    rows of the attempt that a batch's mark names, so a run that dies between
+    the tables shows neither items nor orders, and a replay replaces all
+    three tables at once by replacing the mark. Attempts of the batch that no
+    mark names any more are deleted last; a reader still on one starts again.
+    """
+    attempt = uuid.uuid4().hex
+    for table, df in zip(ORDER_TABLES, (conform(items, "order_items"), conform(orders, "orders"), rejects)):
+        (df.withColumn("batch_id", F.lit(batch)).withColumn("attempt", F.lit(attempt))
+         .write.mode("append").partitionBy("batch_id", "attempt").parquet(f"{base}/{table}"))
+    spark = orders.sparkSession
+    _commit(spark, base, batch, attempt)
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch)
+    for table in ORDER_TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{table}/batch_id={name}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for old in fs.listStatus(path) if fs.exists(path) else ():
+            if old.getPath().getName() != f"attempt={attempt}":
+                fs.delete(old.getPath(), True)
+
+
+def _commit(spark: SparkSession, base: str, batch: str, attempt: str) -> None:
+    _write(spark.createDataFrame([(attempt,)], "committed string"), f"{base}/_commits", [], batch)
+
+
+def _commits(spark: SparkSession, base: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_commits")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "batch_id string, attempt string")
+    return spark.read.schema("committed string, batch_id string").parquet(f"{base}/_commits") \
+        .select("batch_id", F.col("committed").alias("attempt"))
+
+
+def read_committed(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """Rows of ``place_orders``' table whose batch has committed them. Partition
+    values are all that meets the marks, so the join moves no other batch's rows."""
+    rows = spark.read.schema(_stored_schema(spark, base, table)).parquet(f"{base}/{table}")
+    return rows.join(_commits(spark, base), ["batch_id", "attempt"], "left_semi").drop("batch_id", "attempt")
+
+
+def _stored_schema(spark: SparkSession, base: str, table: str) -> StructType:
+    fields = DOMAIN[table].fields if table in DOMAIN else spark.read.parquet(f"{base}/{table}").drop("batch_id", "attempt").schema.fields
+    return StructType([*fields, StructField("batch_id", StringType()), StructField("attempt", StringType())])
+
+
+def write_classes(batch: DataFrame, batch_id: int, query: str, base: str, column: str,
+                  classes: Sequence[str], rest: str) -> None:
+    """One micro-batch into a table per class, ``base/<class>``; rows of any
+    other class go to ``base/<rest>``. Meant for ``foreachBatch``: rows are keyed
+    by (query, batch id), so a replayed batch replaces its own files in every
+    table, whichever of them an earlier run reached."""
+    batch = batch.persist()
+    try:
+        sinks = {c: F.col(column) == c for c in classes}
+        sinks[rest] = ~F.coalesce(F.col(column).isin(*classes), F.lit(False))
+        for name, mine in sinks.items():
+            (batch.filter(mine).withColumn("query", F.lit(query)).withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("query", "batch_id").parquet(f"{base}/{name}"))
+    finally:
+        batch.unpersist()
 
 
 def to_json_rows(df: DataFrame, key: str = "request_id") -> DataFrame:

@@ -7,8 +7,10 @@ reader, so callers just ``select``/``filter`` what they need.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.schemas import DOMAIN, DRIVER
 
@@ -38,6 +40,16 @@ def read_domain(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(DOMAIN[name]).parquet(path)
 
 
+def lookup(spark: SparkSession, base: str, text: str, tables: Sequence[str], **params) -> DataFrame:
+    """A one-off SQL question over stored domain tables (``base/<table>``)
+    with named parameters (``:name``); values are bound, never pasted into the
+    text, and a list is an array parameter (``array_contains(:ids, id)``)."""
+    for name in tables:
+        read_domain(spark, f"{base}/{name}", name).createOrReplaceTempView(name)
+    bound = {k: F.array(*[F.lit(x) for x in v]) if isinstance(v, (list, tuple)) else v for k, v in params.items()}
+    return spark.sql(text, args=bound)
+
+
 class DriverTables:
     """Lazy accessor: ``t.lineitem`` is a DataFrame over lineitem.parquet."""
 

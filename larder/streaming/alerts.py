@@ -11,15 +11,18 @@ class ``error`` instead of failing the micro-batch.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.bands import band_message, temperature_band
+from larder.functions.text import json_text
 from larder.operators.logistics import coldchain_reading_log
 from larder.schemas import DRIVER
 from larder.session import scratch_dir
 from larder.sources.fixtures import alert_messages_from_events, envelopes_from_messages
+from larder.sources.sinks import write_classes
 from larder.sources.tables import spread
 
 FILES_PER_BATCH = 1000
@@ -34,19 +37,11 @@ DEGREE_C = "°C"
 
 def _field(v: Column, name: str) -> Column:
     """Text of a JSON field as Python's str() would print it: default when
-    the key is absent, null for a JSON null, strings as is, integers as
-    integers, other numbers as doubles."""
+    the key is absent, null for a JSON null, else ``json_text``."""
     raw = F.variant_get(v, f"$.{name}", "variant")
-    typ = F.schema_of_variant(raw)
-    as_text = (F.when(typ == "STRING", F.try_variant_get(raw, "$", "string"))
-               .when(typ.isin("BIGINT", "INT", "SMALLINT", "TINYINT"),
-                     F.try_variant_get(raw, "$", "bigint").cast("string"))
-               .when(typ.startswith("DECIMAL") | typ.isin("DOUBLE", "FLOAT"),
-                     F.try_variant_get(raw, "$", "double").cast("string"))
-               .otherwise(F.to_json(raw)))
     return (F.when(raw.isNull(), F.lit(DEFAULTS[name]))
             .when(F.is_variant_null(raw), F.lit(None).cast("string"))
-            .otherwise(as_text))
+            .otherwise(json_text(raw)))
 
 
 def classify_alerts(msgs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -130,6 +125,29 @@ def classify_envelopes(events: DataFrame, col: str = "event") -> DataFrame:
         *[F.when(F.col("_envelope").isNull(), F.col(c)).alias(c) for c in payload])
 
 
+def messages_from_records(records: DataFrame) -> DataFrame:
+    """S7, ST2: broker records (key, value, topic, partition, offset,
+    timestamp, headers: array of key and value) as ``message_id, publish_time,
+    data``, on a batch or a stream.
+
+    The value is the message data as published (base64 text; none: null). Id
+    and time come from the headers ``messageId`` and ``publishTime``, else the
+    record's place in its topic and its own time: these never change on a
+    replay. The last of several headers of a name counts, as in the broker's
+    clients.
+    """
+    def header(name: str) -> Column:
+        mine = F.filter("headers", lambda h: h["key"] == name)
+        return F.try_validate_utf8(F.get(mine, F.size(mine) - 1)["value"].cast("string"))
+
+    place = F.concat_ws("-", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
+    # the session's wall clock, whatever its zone, as UTC text
+    time = F.date_format(F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    return records.select(F.coalesce(header("messageId"), place).alias("message_id"),
+                          F.coalesce(header("publishTime"), time).alias("publish_time"),
+                          F.try_validate_utf8(F.col("value").cast("string")).alias("data"))
+
+
 # ---------------------------------------------------------------------- R6
 def alerts_from_readings(readings: DataFrame) -> DataFrame:
     """One broker message per reading above 8.0 C: JSON with severity
@@ -187,6 +205,30 @@ def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "temperature", "message", "text")
 
 
+CLASSES = ("critical", "warning", "info", "plain_text")
+QUARANTINE = "quarantine"
+
+
+def alert_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8, ST3: raw broker events to one table per alert class and a
+    quarantine table for the rest, all from each micro-batch. Returns the
+    tables stacked, with ``sink``."""
+    env = envelopes_from_messages(alert_messages_from_events(_events_stream(spark, sf_dir)))
+    rows = classify_envelopes(env).select(*ENVELOPE_OUT)
+    base = scratch_dir(spark, f"sinks-{uuid.uuid4().hex}")
+    write_classes(spark.createDataFrame([], rows.schema), -1, "alerts", base, "alert_class", CLASSES, QUARANTINE)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write_classes(batch, batch_id, "alerts", base, "alert_class", CLASSES, QUARANTINE)
+
+    q = (rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    parts = [spark.read.schema(rows.schema).parquet(f"{base}/{name}").withColumn("sink", F.lit(name))
+             for name in (*CLASSES, QUARANTINE)]
+    return reduce(DataFrame.unionByName, parts).select("sink", *ENVELOPE_OUT)
+
+
 ENVELOPE_OUT = ["event_id", "message_id", "publish_time", "alert_class", "severity",
                 "shipment_id", "temperature", "message", "text"]
 
