@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_date, parse_float, parse_int
-from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
+from larder.operators.common import (ANY_KEY, expand_optional, normalise_optional, pattern_keys,
                                      requested, topk)
 from larder.operators.validate import missing_fields, required_message
 from larder.sources.requests import value_or_default
@@ -193,6 +193,7 @@ def _topk_in_window(req: DataFrame, facts: DataFrame, keys: Sequence[str], date_
 
 _KEYS = ["farm_id", "product_id"]
 _PKEYS = ["_p_farm_id", "_p_product_id"]
+SALTS = 64  # parts of the no-filter pattern
 
 
 def _advice_requests(req: DataFrame, as_of) -> DataFrame:
@@ -207,10 +208,11 @@ def advice_harvests(req: DataFrame, harvests: DataFrame, as_of, k: int = 5) -> D
     """H2 section 1: latest harvests per request (T1), any mix of farm /
     product / date filters. Each harvest row is expanded once into the four
     filter patterns it can answer (farm+product, farm, product, none), so
-    every presence group shares one pipeline."""
+    every presence group shares one pipeline; patterns that no request
+    carries are dropped before anything is shuffled."""
     req = _advice_requests(req, as_of).select("request_id", *_PKEYS, "lo", "hi")
     out = ["harvest_date", "harvested_quantity_kg", "quality_score", "quality_notes"]
-    facts = expand_optional(harvests.select(*_KEYS, "harvest_id", *out), _KEYS)
+    facts = requested(expand_optional(harvests.select(*_KEYS, "harvest_id", *out), _KEYS), req, _PKEYS)
     return _topk_in_window(req, facts, _PKEYS, "harvest_date", "harvest_id", out,
                            k).drop("harvest_id")
 
@@ -228,7 +230,7 @@ def advice_qc_issues(req: DataFrame, issues: DataFrame, as_of, k: int = 5) -> Da
     out = ["issue_date", "issue_type", "severity", "notes"]
     facts = issues.select("farm_id", F.coalesce(F.col("product_id"), F.lit(_ANY_PRODUCT))
                           .alias("product_id"), "issue_id", *out)
-    facts = expand_optional(facts, _KEYS)
+    facts = requested(expand_optional(facts, _KEYS), req, _PKEYS)
     return _topk_in_window(req.select("request_id", *_PKEYS, "lo", "hi"), facts, _PKEYS,
                            "issue_date", "issue_id", out, k).drop("issue_id")
 
@@ -238,9 +240,10 @@ def advice_schedules(req: DataFrame, schedules: DataFrame, as_of, k: int = 5) ->
     earliest planting first, ties by every projected column (T3).
 
     Schedules are expanded into their four filter patterns and cut to the
-    top k per pattern key (WindowGroupLimit, so even the no-filter pattern
-    ships at most k rows per map task); each request then equi-joins the k
-    rows of its own pattern. The join side is at most k rows per key, so a
+    top k per pattern key, those of patterns that a request carries. The
+    no-filter pattern holds every row, so its top k is taken per salt first:
+    no task meets more than k rows of it per map task and salt. Each request then
+    equi-joins the k rows of its own pattern. The join side is at most k rows per key, so a
     hot key (e.g. every request without filters) meets a tiny side that AQE
     broadcasts or splits."""
     out = ["planned_planting_date", "planned_harvest_date_estimate",
@@ -248,8 +251,11 @@ def advice_schedules(req: DataFrame, schedules: DataFrame, as_of, k: int = 5) ->
     order = [F.col(c).asc_nulls_first() for c in out]
     future = schedules.filter(F.col("planned_harvest_date_estimate") >= _date(as_of)) \
         .select(*_KEYS, *out)
-    top = topk(expand_optional(future, _KEYS), _PKEYS, order, k).select(*_PKEYS, *out, "rank")
     r = pattern_keys(normalise_optional(req, _KEYS), _KEYS).select("request_id", *_PKEYS)
+    facts = requested(expand_optional(future, _KEYS), r, _PKEYS)
+    no_filter = (F.col("_p_farm_id") == ANY_KEY) & (F.col("_p_product_id") == ANY_KEY)
+    salted = facts.withColumn("_salt", F.when(no_filter, F.pmod(F.xxhash64(*_KEYS, *out), F.lit(SALTS))).otherwise(0))
+    top = topk(topk(salted, [*_PKEYS, "_salt"], order, k).drop("rank"), _PKEYS, order, k).select(*_PKEYS, *out, "rank")
     return r.join(top, _PKEYS).select("request_id", *out, "rank")
 
 

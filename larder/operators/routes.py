@@ -88,6 +88,16 @@ def _order_addresses(orders: DataFrame, customers: DataFrame) -> DataFrame:
             .select("order_id", "delivery_address").distinct())
 
 
+def _valid_destinations(dest: DataFrame, orders: DataFrame, customers: DataFrame,
+                        geocodes: DataFrame | None) -> DataFrame:
+    """Distinct listed orders that have a customer and coordinates, with their
+    first position in the list."""
+    d = dest.groupBy("request_id", "order_id").agg(F.min("pos").alias("position"))
+    a = _geo(_order_addresses(requested(orders, dest, ["order_id"]), customers),
+             "delivery_address", geocodes).filter(F.col("latitude").isNotNull())
+    return d.join(a, "order_id")
+
+
 def order_destinations(dest: DataFrame, orders: DataFrame, customers: DataFrame,
                        order_items: DataFrame, geocodes: DataFrame | None = None) -> DataFrame:
     """Per request and distinct listed order: address, coordinates and
@@ -95,11 +105,8 @@ def order_destinations(dest: DataFrame, orders: DataFrame, customers: DataFrame,
     drops what it cannot geocode). ``dest`` is the exploded order list
     ``(request_id, pos, order_id)``. Orders and items are cut to the listed
     orders first."""
-    d = dest.groupBy("request_id", "order_id").agg(F.min("pos").alias("position"))
-    a = _geo(_order_addresses(requested(orders, dest, ["order_id"]), customers),
-             "delivery_address", geocodes).filter(F.col("latitude").isNotNull())
     kg = order_total_kg(requested(order_items, dest, ["order_id"]))
-    return (d.join(a, "order_id").join(kg, "order_id", "left")
+    return (_valid_destinations(dest, orders, customers, geocodes).join(kg, "order_id", "left")
             .select("request_id", "order_id", F.col("delivery_address").alias("address"),
                     "latitude", "longitude",
                     F.coalesce(F.col("total_kg"), F.lit(0)).cast("bigint").alias("total_kg"),
@@ -117,7 +124,7 @@ def leg_durations(legs: DataFrame) -> DataFrame:
 def _route_status(routes: DataFrame, legs: DataFrame, dest: DataFrame, stops: DataFrame,
                   farms: DataFrame, warehouses: DataFrame,
                   geocodes: DataFrame | None) -> DataFrame:
-    """Status per route request, by the first check that fails: 'error' (no
+    """Status per route request, given its valid destinations ``stops``, by the first check that fails: 'error' (no
     origin or an empty order list), 'not_found' (origin without
     coordinates), 'unavailable' (no listed order has a customer and
     coordinates, or the route has no legs), else 'success'."""
@@ -155,7 +162,7 @@ def route_headers(routes: DataFrame, legs: DataFrame, dest: DataFrame, orders: D
     ('<n>s') and distance, route date. ``dest`` is the exploded order list
     ``(request_id, pos, order_id)``; a request without rows there has an
     empty list."""
-    stops = order_destinations(dest, orders, customers, order_items, geocodes)
+    stops = _valid_destinations(dest, orders, customers, geocodes)
     r = _route_status(routes, legs, dest, stops, farms, warehouses, geocodes)
     ok = F.col("status") == "success"
     return r.select(
@@ -175,40 +182,41 @@ def route_stops(routes: DataFrame, legs: DataFrame, dest: DataFrame, orders: Dat
     customer and coordinates (J10). Arrival = departure + running sum of leg
     durations (W1). Legs are numbered from 1 per route; legs beyond the
     destinations, and destinations beyond the legs, give no stop. Sums and
-    numbers are two-level, so a huge route never sits in one task; origins
-    join no order."""
+    numbers are two-level, so a huge route never sits in one task.
+
+    A request has a first valid destination exactly where it lists one, so
+    the origin is emitted next to it and destinations are found only once."""
     found = order_destinations(dest, orders, customers, order_items, geocodes)
-    status = _route_status(routes, legs, dest, found, farms, warehouses, geocodes)
-    ok = status.filter(F.col("status") == "success").select(
-        "request_id", "route_id", "origin_location_id", "departure_time")
     ends = row_number_bucketed(
         found.withColumn("_block", F.floor(F.col("position") / DEFAULT_CHUNK)), ["request_id"],
         "_block", ["position", "order_id", "address"], "leg_seq")
-    timed = running_sum(
-        requested(legs.select("route_id", "leg_seq", "duration_text", "distance_m"), routes,
-                  ["route_id"])
-        .withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0))),
-        ["route_id"], "leg_seq", "sec", "cum_sec")
-    stops = (ends.join(ok, "request_id").join(timed, ["route_id", "leg_seq"])
-             .select("request_id", F.col("leg_seq").cast("bigint").alias("stop_number"),
-                     F.lit(None).cast("string").alias("location_id"),
-                     F.col("order_id").alias("destination_id"),
-                     F.col("address").alias("destination_address"),
-                     F.timestamp_add("SECOND", F.col("cum_sec"), F.col("departure_time"))
-                     .alias("estimated_arrival_time"),
-                     F.col("duration_text").alias("estimated_duration_from_previous_stop"),
-                     F.col("distance_m").cast("bigint")
-                     .alias("estimated_distance_from_previous_stop_meters"),
-                     F.col("total_kg").alias("total_kg_for_stop")))
-    text, number = F.lit(None).cast("string"), F.lit(0).cast("bigint")
-    origins = ok.select("request_id", number.alias("stop_number"),
-                        F.col("origin_location_id").alias("location_id"),
-                        text.alias("destination_id"), text.alias("destination_address"),
-                        F.col("departure_time").alias("estimated_arrival_time"),
-                        F.lit("0s").alias("estimated_duration_from_previous_stop"),
-                        number.alias("estimated_distance_from_previous_stop_meters"),
-                        F.lit(None).cast("bigint").alias("total_kg_for_stop"))
-    return stops.unionByName(origins)
+    mine = requested(legs.select("route_id", "leg_seq", "duration_text", "distance_m"), routes, ["route_id"])
+    timed = running_sum(mine.withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0))),
+                        ["route_id"], "leg_seq", "sec", "cum_sec")
+    located = origin_coordinates(routes.select("request_id", F.col("origin_location_id").alias("location_id")),
+                                 farms, warehouses, geocodes).filter("status = 'success'")
+    ok = (routes.filter(present("origin_location_id").isNotNull())
+          .join(located.select("request_id"), "request_id", "left_semi")
+          .join(mine.select("route_id").distinct(), "route_id", "left_semi")
+          .select("request_id", "route_id", "origin_location_id", "departure_time"))
+    zero = F.lit(0).cast("bigint")
+    numbers = F.when(F.col("leg_seq") == 1, F.array(zero, zero + 1)).otherwise(F.array(F.col("leg_seq").cast("bigint")))
+    stop = (ends.join(ok, "request_id").withColumn("stop", F.explode(numbers))
+            .withColumn("leg_seq", F.col("stop")))
+    origin = F.col("stop") == 0
+    at = F.when(origin, F.lit(0)).otherwise(F.col("cum_sec"))
+    return (stop.join(timed.withColumn("_leg", F.lit(True)), ["route_id", "leg_seq"], "left")
+            .filter(origin | F.col("_leg"))
+            .select("request_id", F.col("stop").alias("stop_number"),
+                    F.when(origin, F.col("origin_location_id")).alias("location_id"),
+                    F.when(~origin, F.col("order_id")).alias("destination_id"),
+                    F.when(~origin, F.col("address")).alias("destination_address"),
+                    F.timestamp_add("SECOND", at, F.col("departure_time")).alias("estimated_arrival_time"),
+                    F.when(origin, F.lit("0s")).otherwise(F.col("duration_text"))
+                    .alias("estimated_duration_from_previous_stop"),
+                    F.when(origin, F.lit(0)).otherwise(F.col("distance_m")).cast("bigint")
+                    .alias("estimated_distance_from_previous_stop_meters"),
+                    F.when(~origin, F.col("total_kg")).alias("total_kg_for_stop")))
 
 
 # --------------------------------------------------------------------- R5

@@ -26,7 +26,7 @@ from larder.sources.fixtures import Fixtures
 from larder.sources.requests import CORRUPT, parse_requests, value_or_default
 from larder.session import scratch_dir
 from larder.sources.sinks import append, place_orders, read_committed, to_json_rows
-from larder.sources.tables import lookup
+from larder.sources.tables import lookup, store_bucketed
 from larder.streaming import alerts
 
 AS_OF = "1998-06-15"
@@ -972,6 +972,24 @@ def q_orders_stored(spark, sf_dir):
     return kept.join(asked, "order_id").select(*orders.columns)
 
 
+ORDER_BUCKETS = 16
+
+
+def _by_order(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders and their items stored in the same buckets by order."""
+    fx, base = Fixtures(spark, sf_dir), _stored(spark, "by-order")
+    return (store_bucketed(fx.orders, f"{base}/orders", "order_id", ORDER_BUCKETS),
+            store_bucketed(fx.order_items, f"{base}/order_items", "order_id", ORDER_BUCKETS))
+
+
+@register("order_destinations_bucketed", ORACLE["order_destinations"])
+def q_order_destinations_bucketed(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    orders, items = _by_order(spark, sf_dir)
+    dest = fx.route_legs.select(F.col("route_id").alias("request_id"), F.col("leg_seq").alias("pos"), "order_id")
+    return routes.order_destinations(dest, orders, fx.customers, items, fx.geocodes)
+
+
 @register("customer_lookup", """
 SELECT customer_id, customer_name, shipping_address, shipping_address = 'O''Hara Dock' AS quoted
   FROM customers WHERE customer_type = 'BUILDING' AND customer_id NOT IN ('1', '2', 'O''Hara')""", "customers")

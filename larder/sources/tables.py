@@ -7,6 +7,7 @@ reader, so callers just ``select``/``filter`` what they need.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,16 @@ def lookup(spark: SparkSession, base: str, text: str, tables: Sequence[str], **p
     return spark.sql(text, args=bound)
 
 
+def store_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """A stored copy of ``df`` in ``buckets`` buckets by ``key``, sorted within
+    each. Tables stored with one number of buckets join on the key, and
+    aggregate by it, without a shuffle."""
+    name = "bucketed_" + uuid.uuid4().hex
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path)
+     .mode("overwrite").format("parquet").saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 class DriverTables:
     """Lazy accessor: ``t.lineitem`` is a DataFrame over lineitem.parquet."""
 

@@ -134,6 +134,32 @@ FLOATS = [0.0, -0.0, 1.0, -2.5, 0.1, 1e-3, 1.5e-4, 1e-4, 9.99e-5, 1e-5, 1e-10, 1
 def test_texts_are_those_of_python(spark):
     df = spark.createDataFrame([(x,) for x in FLOATS], "x double")
     assert [r[0] for r in df.select(float_text(F.col("x"))).collect()] == [str(x) for x in FLOATS]
-    texts = ['"t"', "true", "false", "7", "-3", "12345678901234567890", "2.50", "1e3", "1e20", "0.00001", "100000000.5"]
+    texts = ['"t"', "true", "false", "7", "-3", "12345678901234567890", "2.50", "65.0", "7.00", "1e3", "1e20", "0.00001", "100000000.5"]
     df = spark.createDataFrame([(t,) for t in texts], "j string").select(json_text(F.try_parse_json("j")))
     assert [r[0] for r in df.collect()] == [str(json.loads(t)) for t in texts]
+
+
+def test_bucketed_tables_join_on_their_key_without_a_shuffle(spark, tmp_path):
+    from larder.operators import market, routes
+    from larder.sources.tables import store_bucketed
+    orders = spark.range(400).selectExpr("cast(id as string) order_id", "cast(id % 7 as string) customer_id",
+                                         "concat('Lat: ', id, '.5, Lon: 1.0') delivery_address")
+    items = spark.range(900).selectExpr("cast(id % 400 as string) order_id", "cast(id % 5 as string) product_id", "id ordered_quantity_kg")
+    ships = orders.selectExpr("order_id", "'In Transit' status", "timestamp_ntz'2000-01-01 00:00:00' arrival_timestamp_estimate")
+    o, i, s = (store_bucketed(df, f"{tmp_path}/{n}", "order_id", 4) for n, df in (("o", orders), ("i", items), ("s", ships)))
+
+    def by_order(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return [x for x in plan.splitlines() if "Exchange hashpartitioning(order_id" in x]
+
+    total = routes.order_total_kg(i)
+    assert total.count() == 400 and not by_order(total) and by_order(routes.order_total_kg(items.repartition(3)))
+    req = spark.createDataFrame([("a", "1"), ("b", "9")], "request_id string, product_id string")
+    incoming = market.incoming_shipments(req, s, i, "1998-01-01 00:00:00")
+    assert {r.request_id: r.total_incoming_shipments_kg for r in incoming.collect()} == {"a": sum(range(1, 900, 5)), "b": 0}
+    assert not by_order(incoming)
+    customers = spark.range(7).selectExpr("cast(id as string) customer_id")
+    dest = spark.range(50).selectExpr("'r' request_id", "id pos", "cast(id as string) order_id")
+    got = routes.order_destinations(dest, o, customers, i)
+    assert got.count() == 50 and len(by_order(got)) <= 1  # the list itself; neither table
