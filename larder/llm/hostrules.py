@@ -3,7 +3,9 @@
 Each document is tested by simple rules. Failures are summed per host (its
 source), and every host's rate is shrunk towards the corpus by a beta prior
 fitted to all hosts by moments (empirical Bayes). A host whose shrunk rate
-passes ``max_rate`` loses all its documents; others lose their failures.
+passes ``max_rate`` loses all its documents; of the others those that are
+``base_failed`` go, and those that fail only another rule count against their
+host and stay.
 """
 
 from __future__ import annotations
@@ -126,10 +128,11 @@ def host_quality(documents: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
     kept is false for base_failed and for documents of a host whose shrunk
     rate passes ``max_rate``. A null source has no host: shrunk_rate is null and the
-    host can't fail. Repeated rows count each time. An empty table gives an
-    empty result; other columns are not read.
+    host can't fail. Repeated rows count each time; a very long text is counted
+    in one task. An empty table gives an empty result; other columns are not
+    read.
     """
-    stats = document_stats(documents)
+    stats = written(document_stats(documents), "document-stats")
     rates = host_rates(stats).select("host", "shrunk_rate")
     return (stats.join(rates, "host", "left")
             .withColumn("host_failed", F.coalesce(F.col("shrunk_rate") > max_rate, F.lit(False)))

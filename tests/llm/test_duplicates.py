@@ -66,6 +66,25 @@ def test_near_duplicates(spark, docs, k, block):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_all_texts_of_an_id_are_linked(spark):
+    texts = {i: " ".join(passage(i + 60, 40)) for i in range(1, 6)}
+    rows = [(i, t) for i, t in texts.items()] + [(10, texts[1]), (10, texts[2]), (10, texts[3]), (11, texts[3]), (11, texts[3]),
+                                                 (12, " ".join(passage(99, 30))), (12, " ".join(passage(98, 30))), (12, ""), (12, None)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(4)
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, shingle=4).collect())
+    assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (10, 1), (10, 1), (10, 1), (11, 1), (11, 1)] + [(12, 12)] * 4)
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+    from larder.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    before = set(os.listdir(base))
+    df = spark.createDataFrame([(i, " ".join(passage(i % 9, 40)), "x", 1) for i in range(60)], SCHEMA)
+    assert neardup.one_of_each_group(df).count() == 9
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before} == {"stay"}
+
+
 def test_members_that_the_head_does_not_cover_still_meet():
     """Blocks of a mixed bucket: pairs of different components only, once."""
     import numpy as np

@@ -107,8 +107,16 @@ def test_best_fit_takes_the_tightest_bin_and_the_cheapest_length():
 
 
 def test_retrieval_equals_scoring_every_item(documents, spark):
-    items = [(r.item_id, r.text) for r in read_table(spark, SF_SMALL, "benchmark").collect()]
-    index = decontam.build_index(items, 64)
+    bench = read_table(spark, SF_SMALL, "benchmark")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    words = [set(decontam._words(t).tolist()) for _, t in items]
+    frequencies, n, mean = decontam._statistics(bench)
+    counts = collections.Counter(w for some in words for w in some)
+    df = {int(np.int64(r.term).view(np.uint64)): r.df for r in frequencies.collect()}
+    assert df == counts and n == len(items) and np.isclose(mean, np.mean([len(decontam._words(t)) for _, t in items]))
+    terms = np.array(sorted(df), np.uint64)
+    known = decontam.Statistics(n, mean, terms, np.array([df[int(t)] for t in terms]))
+    index = decontam.build_index(items, 64, known)
     rng = np.random.default_rng(2)
     for least in (0.05, 0.3, 0.6):
         for _ in range(40):
@@ -132,6 +140,11 @@ def test_leaks(spark, odd, none):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(10, 1), (13, 2), (15, 2)]
     split = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, index_items=1)
     assert sorted((r.doc_id, r.item_id) for r in split.collect()) == [(10, 1), (13, 2), (15, 2)]
+    key = lambda r: (r.doc_id, r.item_id, round(r.score, 12))
+    part = rows + [(20 + i, items[i % 2][1][:k] + " " + filler) for i, k in enumerate((50, 60, 70, 75, 80))]
+    part = spark.createDataFrame(part, "doc_id long, text string")
+    loose = [sorted(map(key, decontam.leaks(part, bench, least=0.2, overlap=0.3, index_items=n).collect())) for n in (1, 2, 4096)]
+    assert loose[0] == loose[1] == loose[2] and len(loose[0]) > 3   # scores don't depend on the part
     assert decontam.leaks(odd, bench).count() == 0 == decontam.leaks(none, bench).count()
     assert decontam.leaks(odd, bench.limit(0)).count() == 0
 
@@ -218,6 +231,37 @@ def test_classifiers_learn_and_leave_held_out_labels(spark, operator, odd, none)
     assert len(operator(odd.drop("score"), labels).collect()) == len(ODD) and operator(none, labels).count() == 0
 
 
+def test_convolution_and_pooling_equal_the_definition():
+    """Every filter at every place of every document, one by one."""
+    rng = np.random.default_rng(9)
+    table = rng.normal(size=(toxicity.SLOTS + 1, toxicity._OFFSETS * toxicity.FILTERS)).astype(np.float32)
+    table[toxicity.SLOTS] = 0
+    bias, out = rng.normal(size=toxicity._POOLED), rng.normal(size=toxicity._POOLED)
+    docs = [rng.integers(0, toxicity.SLOTS, (n, 3)).astype(np.uint16) for n in (1, 0, 2, 5, 0, 0, 40, 3, 0)]
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    got = toxicity.pooled_logits(np.concatenate(docs), first, table, bias, out, 0.25)
+    of = table.reshape(-1, toxicity._OFFSETS, toxicity.FILTERS)
+    for logit, d in zip(got, docs):
+        hidden, base = [], 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                places = []
+                for at in range(len(d)):
+                    inside = [j for j in range(width) if at + j < len(d)]
+                    places.append(sum(of[s, base + j, f] for j in inside for s in d[at + j]))
+                hidden.append(max(places, default=0.0))
+            base += width
+        assert np.isclose(logit, np.maximum(np.array(hidden) + bias, 0) @ out + 0.25, atol=1e-3)
+
+
+def test_language_cuts_are_drawn_towards_the_common_one():
+    logits, y = np.array([0.0, 1.0, 4.0, 5.0]), np.array([0, 0, 1, 1])
+    own = toxicity.best_threshold(logits, y, np.ones(4))
+    assert toxicity.drawn_cut(logits[:2], y[:2], np.ones(2), 9.0) == 9.0          # one class only
+    few, many = (toxicity.drawn_cut(np.tile(logits, k), np.tile(y, k), np.ones(4 * k), 9.0) for k in (1, 1000))
+    assert own < many < own + 0.1 < few < 9.0
+
+
 def test_weighted_threshold_equals_repeated_rows():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -270,6 +314,27 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents):
     assert 0 < out.select("doc_id").distinct().count() <= documents.count()
 
 
+def test_pipeline_stages_on_odd_tables(spark, documents):
+    """Clashing and dotted column names, maps, very long texts, empty tables."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    names = ["was_null", "a.b", "row", "digest", "hash", "nth", "text_crc32", "spans", "sum", "score", "kept`x"]
+    odd = documents.limit(30).withColumns({n: F.lit(i) for i, n in enumerate(names)}) \
+        .withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    long = odd.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn(
+        "text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "))
+    odd = odd.union(long)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, SF_SMALL)
+        assert got.columns == odd.columns, name
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert -1 in rows and rows[-1]["a.b"] == 1 and rows[-1]["kept`x"] == 10 and len(rows[-1]["text"].split()) == 300_000
+        none = stage(spark, odd.limit(0), SF_SMALL)
+        assert none.columns == odd.columns and none.count() == 0
+    assert corpus_pipeline.pack_sequences(spark, odd, SF_SMALL).filter("doc_id = -1").agg({"length": "sum"}).first()[0] == 300_001
+    assert corpus_pipeline.pack_sequences(spark, odd.limit(0), SF_SMALL).count() == 0
+
+
 def test_pipeline_judges_every_row_whatever_its_id(spark, tmp_path):
     import corpus_pipeline
     rng = np.random.default_rng(8)
