@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 STREAMING = {"alert_stream", "alert_producer_stream", "readings_append_stream",
-             "alert_envelope_stream"}
+             "alert_envelope_stream", "alert_sinks"}
 NAMES = sorted(set(E.queries()) - STREAMING)
 
 
