@@ -13,7 +13,8 @@
    whose pairs are left; what is left reaches the tasks as a key filter of at
    most 16 MB.
 3. Global count. A last scan counts, exactly and by text, every phrase that
-   the filter of all candidates lets through, and the words of each language.
+   the filter of all candidates lets through, and the words of each language;
+   texts and counts are packed by hash range too and summed there.
    A phrase passes in every task or in none, so counts are whole even for the
    filter's false positives; these fall to ``min_count`` like all others.
 
@@ -191,26 +192,58 @@ def _frequent(support: int, min_count: int):
     return run
 
 
-def _counted(bits: np.ndarray, longest: int, size: int):
-    schema = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+def _counted(bits: np.ndarray, longest: int, ranges: int, size: int):
+    """Packed texts and counts of the phrases that pass the filter, by hash
+    range, language and length; length 0 is the number of words."""
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("n_words", pa.int32()),
+                        ("phrases", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 
     def run(batches):
         for chunk in _chunks(batches, size):
-            names = np.array(list(chunk.langs), object)
+            names = list(chunk.langs)
             buffer, word, follows, code, start, stop = chunk.arrays()
-            total = np.bincount(code, minlength=len(names))
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)),
-                                   pa.array([""] * len(names)), pa.array(total)], schema=schema)
-            for n, at, count, _ in _mined(word, follows, lambda n, h: passes(bits, h), longest):
-                for i in range(0, len(at), 1 << 17):
-                    some = at[i:i + (1 << 17)]
-                    yield pa.record_batch([pa.array(names[code[some]], pa.string()),
-                                           pa.array(np.full(len(some), n, np.int32)),
-                                           _texts(buffer, start, stop, some, n),
-                                           pa.array(count[i:i + (1 << 17)])], schema=schema)
+            total = np.bincount(code, minlength=len(names)).tolist()
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(
+                ([0] * len(names), names, [0] * len(names), [[""]] * len(names), [[n] for n in total]), schema.types)],
+                schema=schema)
+            for n, at, count, h in _mined(word, follows, lambda n, h: passes(bits, h), longest):
+                if not len(at):
+                    continue
+                key = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                key = key.astype(np.int64) * len(names) + code[at]
+                by = np.argsort(key, kind="stable")
+                at, count, key = at[by], count[by], key[by]
+                head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                cut = pa.array(np.append(head, len(key)), pa.int32())
+                yield pa.record_batch([
+                    pa.array(key[head] // len(names), pa.int32()), pa.array([names[i] for i in key[head] % len(names)]),
+                    pa.array(np.full(len(head), n, np.int32)),
+                    pa.ListArray.from_arrays(cut, _texts(buffer, start, stop, at, n)),
+                    pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int64)))], schema=schema)
     return run
 
 
+def _summed(min_count: int):
+    """All texts and counts of a hash range -> the sum per phrase."""
+    def run(key, table):
+        phrases, counts = (_flat(table.column(c)) for c in ("phrases", "f"))
+        rows = pa.array(np.repeat(np.arange(len(table)), phrases[0]))
+        flat = pa.table([table.column("lang").take(rows), table.column("n_words").take(rows), phrases[1], counts[1]],
+                        names=["lang", "n_words", "phrase", "f"])
+        out = flat.group_by(["lang", "n_words", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        f, n = np.array(out.column("f_sum")), np.array(out.column("n_words"))
+        out = out.filter(pa.array((f >= min_count) | (n == 0)))
+        return out.select(["lang", "n_words", "phrase", "f_sum"]).rename_columns(["lang", "n_words", "phrase", "f"])
+    return run
+
+
+def _flat(column):
+    """(sizes, values) of a list column."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return (np.concatenate([np.diff(c.offsets.to_numpy()) for c in chunks]),
+            pa.chunked_array([c.flatten() for c in chunks], column.type.value_type))
+
+
 def phrase_counts(documents: DataFrame, min_count: int = 100, longest: int = MAX_WORDS, shards: int = SHARDS,
                   chunk_bytes: int = CHUNK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
     """lang, n_words, phrase (space-joined), f: every phrase of 1 to
@@ -233,9 +266,11 @@ def phrase_counts(documents: DataFrame, min_count: int = 100, longest: int = MAX
             release(before)
         bits = key_filter(found, "h")
     release(found)
-    counted = docs.mapInArrow(_counted(bits, longest, chunk_bytes), "lang string, n_words int, phrase string, f long")
-    return written(counted.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
-                   .filter((F.col("f") >= min_count) | (F.col("n_words") == 0)), "phrases")
+    ranges = 1 + size * longest // (6 * range_words)
+    counted = docs.mapInArrow(_counted(bits, longest, ranges, chunk_bytes),
+                              "part int, lang string, n_words int, phrases array<string>, f array<long>")
+    return written(counted.groupBy("part").applyInArrow(_summed(min_count), "lang string, n_words int, phrase string, f long"),
+                   "phrases")
 
 
 def collocations(documents: DataFrame, min_count: int = 100, longest: int = MAX_WORDS, top: int = 2000,
