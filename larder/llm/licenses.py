@@ -2,7 +2,7 @@
 
 Texts are brought to one canonical form and their SHA-256 is looked up among
 the digests of known licences by a hash join: the whole text against whole
-licences, and each line against one-line notices.
+licences, and the digest of each line among those of one-line notices.
 
 Canonical form: ASCII letters in lower case; lines that begin (after comment
 marks) with "copyright", "(c)" or "all rights reserved" dropped; equivalent
@@ -99,9 +99,11 @@ def digest(lines: Column) -> Column:
 
 
 def known_digests(spark, texts) -> DataFrame:
-    """license_id, digest of known texts, by the same expressions."""
-    return (spark.createDataFrame(list(texts), "license_id string, text string")
-            .select("license_id", digest(canonical_lines(F.col("text"))).alias("digest")).distinct())
+    """digest, license_id of known texts (pairs, or a table license_id, text), by
+    the same expressions; of several ids with one digest the smallest."""
+    known = texts if isinstance(texts, DataFrame) else spark.createDataFrame(list(texts), "license_id string, text string")
+    return (known.select("license_id", digest(canonical_lines(F.col("text"))).alias("digest"))
+            .groupBy("digest").agg(F.min("license_id").alias("license_id")))
 
 
 def license_scan(documents: DataFrame, licenses=LICENSES, notices=NOTICES) -> DataFrame:
@@ -109,20 +111,21 @@ def license_scan(documents: DataFrame, licenses=LICENSES, notices=NOTICES) -> Da
     notices (sorted ids of the licences named by whole lines): one row per
     input row.
 
-    Null and empty texts have the digest of the empty text and match nothing.
-    Rows that share a doc_id share their notices; rows without one get none.
-    If two known licences have one digest, the smaller id names it. An empty
-    table gives an empty result; other columns are not read.
+    ``licenses`` are known whole texts: the built-in ones, or a table
+    (license_id, text) of any size, which is joined without a broadcast.
+    ``notices`` are a short list of one-line texts. Null and empty texts have the
+    digest of the empty text and match nothing. Every row is judged by itself,
+    whatever its doc_id; a very long text is canonicalised whole in one task. An
+    empty table gives an empty result; other columns are not read.
     """
     spark = documents.sparkSession
-    known = [known_digests(spark, some).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-             for some in (licenses, notices)]
-    canonical = documents.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text")).alias("lines"))
-    # the known texts are constants of the library, so both broadcasts are bounded
-    whole = canonical.select("doc_id", digest(F.col("lines")).alias("digest")).join(F.broadcast(known[0]), "digest", "left")
-    lines = (canonical.select("doc_id", F.explode(F.split("lines", "\n")).alias("line"))
-             .filter("trim(line) <> ''").select("doc_id", digest(F.col("line")).alias("digest")))
-    named = (lines.join(F.broadcast(known[1]), "digest").groupBy("doc_id")
-             .agg(F.sort_array(F.collect_set("license_id")).alias("notices")))
-    return whole.join(named, "doc_id", "left").select(
-        "doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    known = known_digests(spark, licenses)
+    if not isinstance(licenses, DataFrame):
+        known = F.broadcast(known)  # constants of the library
+    # a handful of constants, looked up in the row
+    named = F.create_map(*[F.lit(x) for r in known_digests(spark, notices).collect() for x in (r.digest, r.license_id)])
+    lines = F.filter(F.split("lines", "\n"), lambda x: F.trim(x) != "")
+    found = F.filter(F.transform(lines, lambda x: F.try_element_at(named, digest(x))), lambda x: x.isNotNull())
+    scanned = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text")).alias("lines"))
+               .select("doc_id", digest(F.col("lines")).alias("digest"), F.array_sort(F.array_distinct(found)).alias("notices")))
+    return scanned.join(known, "digest", "left").select("doc_id", "digest", "license_id", "notices")

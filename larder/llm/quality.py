@@ -188,11 +188,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_l
     xs, sizes, ys, left = [], [], [], max_lines
     for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         x = np.frombuffer(r.x, np.float16).reshape(-1, 3 * _OWN + 1)
-        if len(x) <= left:
-            left -= len(x)
-            xs.append(x)
-            sizes.append(np.frombuffer(r.size, np.int64))
-            ys.append(r.label)
+        left -= len(x)
+        if left < 0:
+            break
+        xs.append(x)
+        sizes.append(np.frombuffer(r.size, np.int64))
+        ys.append(r.label)
     y = np.array(ys)
     if len(set(ys)) < 2:
         return None

@@ -63,6 +63,13 @@ def test_licences(spark, none, odd):
     got = {r.doc_id: (r.license_id, r.notices) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", []), 2: (None, []), 3: (None, ["Apache-2.0"]), 4: (None, [])}
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(none).count() == 0
+    own = "The Example License\n\nYou may do as you like; keep this text.\n" * 40
+    table = spark.createDataFrame([("Example", own), ("Other", "Something else.")], "license_id string, text string")
+    rows = [(i, "# Copyright 2024 Me\n" + own.lower().replace("license", "licence")) for i in range(50)]
+    rows += [(None, "Licensed under CC BY 4.0.\nx"), (1, "Licensed under CC BY 4.0.\nx"), (2, own + "more"), (None, "something ELSE")]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()
+    assert collections.Counter(r.license_id for r in got) == {"Example": 50, None: 3, "Other": 1}
+    assert [r.notices for r in got if r.notices] == [["CC-BY-4.0"]] * 2   # with and without an id
 
 
 def test_packing_places_every_piece_once(spark, documents, odd, none):
