@@ -35,7 +35,7 @@ from larder.llm.common import mix, quoted, row_chunks, utf8_column, window_hashe
 
 WINDOW = 20
 #: Bytes of text whose windows one hash range holds, and one chunk of documents.
-RANGE_BYTES, CHUNK_BYTES = 24 << 20, 4 << 20
+RANGE_BYTES, CHUNK_BYTES = 12 << 20, 2 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 _PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary()), ("counts", pa.binary()),
