@@ -171,7 +171,8 @@ judged AS (SELECT *, n_words < {hostrules.MIN_WORDS}
 host AS (SELECT source, count(*) AS n, sum(CAST(failed AS INT)) AS f FROM judged WHERE source IS NOT NULL GROUP BY 1),
 prior AS (SELECT avg(f / n) AS m, CASE WHEN coalesce(var_samp(f / n), 0) <= 1e-12 THEN 1e6 ELSE
                  greatest(1.0, least(1e6, avg(f / n) * (1 - avg(f / n)) / var_samp(f / n) - 1)) END AS s FROM host),
-rate AS (SELECT source, (f + m * s) / (n + s) AS r FROM host, prior)
+rate AS (SELECT source, r - {hostrules.CAUTION} * sqrt(r * (1 - r) / (n + s + 1)) AS r
+           FROM (SELECT source, n, s, (f + m * s) / (n + s) AS r FROM host, prior))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(r, 0) <= {hostrules.MAX_RATE} AS kept
   FROM judged LEFT JOIN rate ON rate.source = judged.source""",

@@ -2,10 +2,11 @@
 
 Each document is tested by simple rules. Failures are summed per host (its
 source), and every host's rate is shrunk towards the corpus by a beta prior
-fitted to all hosts by moments (empirical Bayes). A host whose shrunk rate
-passes ``max_rate`` loses all its documents; of the others those that are
-``base_failed`` go, and those that fail only another rule count against their
-host and stay.
+fitted to all hosts by moments (empirical Bayes). A host whose posterior holds
+the rate above ``max_rate`` even ``CAUTION`` standard deviations below its mean
+loses all its documents, so few documents convict no host; of the others those
+that are ``base_failed`` go, and those that fail only another rule count
+against their host and stay.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from larder.llm.common import row_chunks, span_hashes, utf8_column, window_hashe
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 50, 50
-MAX_RATE = 0.6
+#: A host fails when over half of its documents do, with the posterior's 2.3 % tail to spare.
+MAX_RATE, CAUTION = 0.5, 2.0
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -104,11 +106,13 @@ def document_stats(documents: DataFrame) -> DataFrame:
 
 
 def host_rates(stats: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, shrunk_rate over hosts that are not null.
+    """host, n_docs, n_failed, shrunk_rate, least_rate over hosts that are not null.
 
     With p_i = failed share of host i: m = mean(p_i), v = var_samp(p_i), and
     the prior's strength s = m(1-m)/v - 1, kept between 1 and 1e6 (one host,
     or hosts all alike: 1e6; an undefined one: 1). Rate = (n_failed + m s) / (n_docs + s).
+    least_rate is that mean of the beta posterior less CAUTION times its
+    standard deviation, sqrt(rate (1 - rate) / (n_docs + s + 1)).
     """
     hosts = written(stats.filter("host is not null").groupBy("host")
                     .agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "hosts")
@@ -118,22 +122,23 @@ def host_rates(stats: DataFrame) -> DataFrame:
             F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.expr("m * (1 - m) / v - 1")))).alias("s"))
     m, strength = prior.first()
     m, strength = F.lit(m).cast("double"), F.lit(strength).cast("double")
-    return hosts.select("host", "n_docs", "n_failed",
-                        ((F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)).alias("shrunk_rate"))
+    rate, weight = F.col("shrunk_rate"), F.col("n_docs") + strength
+    return (hosts.select("host", "n_docs", "n_failed", ((F.col("n_failed") + m * strength) / weight).alias("shrunk_rate"))
+            .withColumn("least_rate", rate - CAUTION * F.sqrt(rate * (1 - rate) / (weight + 1))))
 
 
 def host_quality(documents: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """doc_id, host, the counts, base_failed, failed, shrunk_rate, host_failed,
-    kept: one row per input row.
+    """doc_id, host, the counts, base_failed, failed, shrunk_rate, least_rate,
+    host_failed, kept: one row per input row.
 
-    kept is false for base_failed and for documents of a host whose shrunk
-    rate passes ``max_rate``. A null source has no host: shrunk_rate is null and the
+    kept is false for base_failed and for documents of a host whose least_rate
+    passes ``max_rate``. A null source has no host: its rates are null and the
     host can't fail. Repeated rows count each time; a very long text is counted
     in one task. An empty table gives an empty result; other columns are not
     read.
     """
     stats = written(document_stats(documents), "document-stats")
-    rates = host_rates(stats).select("host", "shrunk_rate")
+    rates = host_rates(stats).select("host", "shrunk_rate", "least_rate")
     return (stats.join(rates, "host", "left")
-            .withColumn("host_failed", F.coalesce(F.col("shrunk_rate") > max_rate, F.lit(False)))
+            .withColumn("host_failed", F.coalesce(F.col("least_rate") > max_rate, F.lit(False)))
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")))
