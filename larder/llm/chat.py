@@ -10,10 +10,11 @@ sequence, the position of its first token on the path from the root, and the
 spans of its ancestors, which it attends to besides its own earlier tokens.
 Tokens are code points here.
 
-Equal conversations are one leaf. Trees are built in blocks: small trees share
-a block by a hash of the root; a root with more than ``limit`` conversations
-is divided by the second turn and, if that is hot too, by the leaf, and each part
-repeats the shared path once.
+Equal conversations are one leaf. Trees are built in blocks of about ``limit``
+conversations. A node that more than ``limit`` conversations share is a stem: it
+is emitted once, as a sequence of its own, and what grows from it below that
+size stands in sequences that name the stems of their path. Those are attended
+to whole, so no shared token is repeated however many conversations begin alike.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import written
 
 LIMIT = 512
+#: Stems (16 + 16 bytes and a flag each) that a join may broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 BEGIN = "<s>"
 # role -> marks before and after a turn's text
 MARKS = {"system": ("<<SYS>> ", " <</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
@@ -96,7 +99,7 @@ def _chain(turns):
 
 
 def _digests():
-    schema = pa.schema([("conv_id", pa.int64()), ("leaf", pa.binary()), ("root", pa.int64()), ("second", pa.int64()),
+    schema = pa.schema([("conv_id", pa.int64()), ("leaf", pa.binary()), ("path", pa.list_(pa.binary())),
                         ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))])
 
     def run(batches):
@@ -105,117 +108,151 @@ def _digests():
                 some = batch.slice(lo, 256)
                 turns = some.column(1).to_pylist()
                 chains = [_chain(t) for t in turns]
-                number = lambda d: int.from_bytes(d[:8], "little", signed=True)
                 yield pa.record_batch([some.column(0), pa.array([c[-1] for c in chains], pa.binary()),
-                                       pa.array([number(c[0]) for c in chains]),
-                                       pa.array([number(c[min(1, len(c) - 1)]) for c in chains]),
+                                       pa.array(chains, pa.list_(pa.binary())),
                                        pa.array(turns, schema.field("turns").type)], schema=schema)
     return run
 
 
 def conversation_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, leaf, root, second, turns: one row per conversation, turns by
-    (turn, role, text). Null roles and texts are empty; rows with a null
-    conv_id are one conversation."""
+    """conv_id, leaf, path, turns: one row per conversation, turns by (turn,
+    role, text), the digest of every prefix and of the whole. Null roles and
+    texts are empty; rows with a null conv_id are one conversation, made in one
+    task like any other; repeated rows are repeated turns. Texts may be of any
+    length. An empty table gives no rows; other columns are not read."""
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.expr("transform(sort_array(collect_list(t)), "
                                                 "t -> struct(t.role as role, t.text as text))").alias("turns"))
-    return whole.mapInArrow(_digests(), "conv_id long, leaf binary, root long, second long, "
+    return whole.mapInArrow(_digests(), "conv_id long, leaf binary, path array<binary>, "
                                         "turns array<struct<role:string,text:string>>")
 
 
 _NODES = pa.schema([
-    ("block", pa.int64()), ("tree", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("role", pa.string()),
+    ("block", pa.int64()), ("tree", pa.int64()), ("seq", pa.binary()), ("stems", pa.list_(pa.binary())),
+    ("shared", pa.bool_()), ("node", pa.int32()), ("parent", pa.int32()), ("role", pa.string()),
     ("text", pa.string()), ("seq_start", pa.int64()), ("seq_end", pa.int64()), ("position_start", pa.int64()),
     ("ancestors", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
     ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("leaf", pa.binary())])
-_NODES_SQL = ("block long, tree long, node int, parent int, role string, text string, seq_start long, seq_end long, "
-              "position_start long, ancestors array<struct<start:long,end:long>>, loss_start long, loss_end long, "
-              "leaf binary")
+_NODES_SQL = ("block long, tree long, seq binary, stems array<binary>, shared boolean, node int, parent int, role string, "
+              "text string, seq_start long, seq_end long, position_start long, ancestors array<struct<start:long,end:long>>, "
+              "loss_start long, loss_end long, leaf binary")
+
+
+def _node_text(turn, first: bool) -> tuple[str, int, int]:
+    formatted, a, b = format_turn(turn["role"], turn["text"])
+    return (BEGIN + formatted, a + len(BEGIN), b + len(BEGIN)) if first else (formatted, a, b)
 
 
 def _trees(key, table):
-    """Conversations of one block -> nodes, depth first, children in order of
-    their digests, so that a retried task emits the same trees."""
-    rows = {}
-    children: dict[tuple, set] = {}
-    leaves = {}
-    for turns, leaf in zip(table.column("turns").to_pylist(), table.column("leaf").to_pylist()):
-        parent = b""
-        for d, t in zip(_chain(turns), turns):
-            rows[d] = (t["role"], t["text"])
-            children.setdefault(parent, set()).add(d)
-            parent = d
-        leaves[parent] = leaf
-    out = []
-    for root in sorted(children.get(b"", ())):
-        tree, at, node = int.from_bytes(root[:8], "little", signed=True), 0, 0
-        stack = [(root, -1, 0, [])]
-        while stack:
-            d, parent, position, above = stack.pop()
-            role, text = rows[d]
-            formatted, a, b = format_turn(role, text)
-            if parent < 0:
-                formatted, a, b = BEGIN + formatted, a + len(BEGIN), b + len(BEGIN)
-            end = at + len(formatted)
-            loss = role == "assistant"
-            out.append((key[0].as_py(), tree, node, parent, role, formatted, at, end, position, above,
-                        at + a if loss else None, at + b if loss else None, leaves.get(d)))
-            if above and above[-1]["end"] == at:  # a first child follows its parent: one span
-                path = above[:-1] + [{"start": above[-1]["start"], "end": end}]
-            else:
-                path = above + [{"start": at, "end": end}]
-            for child in sorted(children.get(d, ()), reverse=True):
-                stack.append((child, node, position + len(formatted), path))
-            at, node = end, node + 1
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _NODES.types)], schema=_NODES)
-
-
-def prefix_trees(convs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Conversations of one block -> stems that are theirs to emit, and the
+    nodes below stems, depth first, children in order of their digests, so
+    that a retried task emits the same trees."""
+    block = key[0].as_py()
+    tree_of = lambda root: int.from_bytes(root[:8], "little", signed=True)
+    rows, leaves, out = {}, {}, []
+    children: dict[bytes, set] = {}
+    tops: dict[bytes, tuple[list, int, set]] = {}  # last stem -> stems, their tokens, first nodes below
+
+    def emit(seq, stems, shared, node, parent, d, at, position, above, leaf):
+        turn = rows[d]
+        formatted, a, b = _node_text(turn, not stems and parent < 0)
+        loss = turn["role"] == "assistant"
+        out.append((block, tree_of(stems[0] if stems else seq), seq, stems, shared, node, parent, turn["role"], formatted,
+                    at, at + len(formatted), position, above, at + a if loss else None, at + b if loss else None, leaf))
+        return at + len(formatted)
+
+    for r in table.to_pylist():
+        chain, turns, depth = _chain(r["turns"]), r["turns"], r["depth"]
+        rows |= zip(chain, turns)
+        starts = [0]
+        for i in range(depth):
+            starts.append(starts[-1] + len(_node_text(turns[i], i == 0)[0]))
+        for stem in r["stems"] or ():
+            i = stem["at"]
+            emit(chain[i], chain[:i], True, 0, -1, chain[i], 0, starts[i], [], chain[i] if stem["ends"] else None)
+        if depth < len(turns):
+            top = chain[depth - 1] if depth else b""
+            tops.setdefault(top, (chain[:depth], starts[depth], set()))[2].add(chain[depth])
+            for parent, d in zip(chain[depth:], chain[depth + 1:]):
+                children.setdefault(parent, set()).add(d)
+            leaves[chain[-1]] = r["leaf"]
+    for top in sorted(tops):
+        stems, base, firsts = tops[top]
+        # a root has a sequence of its own; the block's branches of one stem share one
+        for group in ([sorted(firsts)] if stems else [[d] for d in sorted(firsts)]):
+            seq = top + block.to_bytes(8, "little", signed=True) if stems else group[0]
+            at, node = 0, 0
+            stack = [(d, -1, base, []) for d in reversed(group)]
+            while stack:
+                d, parent, position, above = stack.pop()
+                end = emit(seq, stems, False, node, parent, d, at, position, above, leaves.get(d))
+                if above and above[-1]["end"] == at:  # a first child follows its parent: one span
+                    path = above[:-1] + [{"start": above[-1]["start"], "end": end}]
+                else:
+                    path = above + [{"start": at, "end": end}]
+                for child in sorted(children.get(d, ()), reverse=True):
+                    stack.append((child, node, position + end - at, path))
+                at, node = end, node + 1
+    columns = zip(*out) if out else [[]] * len(_NODES)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _NODES.types)], schema=_NODES)
+
+
+def prefix_trees(convs: DataFrame, limit: int = LIMIT, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Nodes of the trees over the distinct conversations of ``convs`` (as
-    ``conversation_turns`` gives them): block, tree, node, parent, role, text
-    (formatted), seq_start, seq_end, position_start, ancestors, loss_start,
-    loss_end, and leaf where a conversation ends. Block and tree name a sequence.
-
-    Neighbouring ancestor spans are merged, so a conversation that shares
-    nothing has one span per node. An empty table gives no nodes.
+    ``conversation_turns`` gives them): block, tree, seq, stems, shared, node,
+    parent, role, text (formatted), seq_start, seq_end, position_start,
+    ancestors, loss_start, loss_end, and leaf where a conversation ends.
+
+    ``seq`` names a sequence, ``stems`` the sequences that all its nodes attend
+    to whole, from the root on; ``shared`` marks a stem. Spans count within the
+    sequence, positions from the root. Every node is emitted once. Neighbouring
+    ancestor spans are merged, so a conversation that shares nothing has one
+    span per node. An empty table gives no nodes.
     """
-    kinds = convs.select("leaf", "root", "second", "turns").dropDuplicates(["leaf"])
-    kinds = written(kinds, "conversations")
-    by_root = kinds.groupBy("root").agg(F.count("*").alias("n"))
-    total = kinds.count()
-    parts = lambda n: F.ceil(F.col(n) / limit)
-    sized = kinds.join(by_root, "root").withColumn("sub", F.pmod(F.xxhash64("second"), parts("n")))
-    by_sub = sized.filter(F.col("n") > limit).groupBy("root", "sub").agg(F.count("*").alias("m"))
-    dealt = sized.join(by_sub, ["root", "sub"], "left").withColumn("block", F.when(
-        F.col("n") <= limit, F.pmod(F.xxhash64("root"), F.lit(1 + total // limit)).cast("long")).otherwise(
-        F.xxhash64("root", "sub", F.pmod(F.xxhash64("leaf"), parts("m")))))
-    return dealt.select("block", "leaf", "turns").groupBy("block").applyInArrow(_trees, _NODES_SQL)
+    kinds = written(convs.select("leaf", "path", "turns").dropDuplicates(["leaf"]), "conversations")
+    blocks = 1 + kinds.count() // limit
+    prefixes = kinds.select("leaf", F.size("path").alias("n"), F.posexplode("path").alias("at", "digest"))
+    stems = written(prefixes.groupBy("digest")
+                    .agg(F.count("*").alias("convs"), F.min("leaf").alias("emitter"),
+                         F.max((F.col("at") == F.col("n") - 1).cast("int")).alias("ends"))
+                    .filter(F.col("convs") > limit).select("digest", "emitter", F.col("ends").cast("boolean")), "stems")
+    few = stems.count() <= max_broadcast
+    # conversations below a node are no more than those of its parent, so the stems of a path are its first turns
+    depths = (prefixes.join(F.broadcast(stems) if few else stems, "digest").groupBy("leaf")
+              .agg(F.count("*").alias("depth"),
+                   F.collect_list(F.when(F.col("emitter") == F.col("leaf"), F.struct("at", "ends"))).alias("stems")))
+    cut = F.element_at("path", F.least(F.col("depth") + 1, F.size("path")).cast("int"))
+    return (kinds.join(depths, "leaf", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+            .select(F.pmod(F.xxhash64(cut), F.lit(blocks)).cast("long").alias("block"), "leaf", "turns", "depth", "stems")
+            .groupBy("block").applyInArrow(_trees, _NODES_SQL))
 
 
 def _read(key, table):
     """Each conversation again from the emitted sequences, by its spans."""
-    rows = table.select(["tree", "seq_start", "text", "ancestors", "seq_end", "leaf", "loss_start", "loss_end"]).to_pylist()
+    rows = {(r["seq"], r["seq_start"]): r for r in table.to_pylist()}
     texts, losses = {}, {}
-    for r in sorted(rows, key=lambda r: (r["tree"], r["seq_start"])):
-        texts.setdefault(r["tree"], []).append(r["text"])
+    for (seq, _), r in sorted(rows.items(), key=lambda x: x[0]):
+        texts.setdefault(seq, []).append(r["text"])
         if r["loss_start"] is not None:
-            losses.setdefault(r["tree"], []).append((r["loss_start"], r["loss_end"]))
+            losses.setdefault(seq, []).append((r["loss_start"], r["loss_end"]))
     texts = {k: "".join(v) for k, v in texts.items()}
     out = []
-    for r in rows:
+    for r in table.to_pylist():
         if r["leaf"] is None:
             continue
-        whole = texts[r["tree"]]
-        spans = [(s["start"], s["end"]) for s in r["ancestors"]] + [(r["seq_start"], r["seq_end"])]
-        formatted = "".join(whole[a:b] for a, b in spans)
+        spans = [(s, 0, len(texts[s])) for s in r["stems"]]
+        spans += [(r["seq"], s["start"], s["end"]) for s in r["ancestors"]] + [(r["seq"], r["seq_start"], r["seq_end"])]
+        formatted = "".join(texts[s][a:b] for s, a, b in spans)
         turns = parse(formatted)
-        marked = losses.get(r["tree"], [])
-        learned = "".join(unescape(whole[x:y]) for a, b in spans
-                          for x, y in marked[bisect.bisect_left(marked, (a, 0)):bisect.bisect_left(marked, (b, 0))])
+        learned = []
+        for s, a, b in spans:
+            marked = losses.get(s, [])
+            learned += [unescape(texts[s][x:y]) for x, y in
+                        marked[bisect.bisect_left(marked, (a, 0)):bisect.bisect_left(marked, (b, 0))]]
+        learned = "".join(learned)
         said = "".join(f"{role}\n{text}\n" for role, text in turns)
         out.append((r["leaf"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learned),
                     hashlib.sha256(learned.encode()).hexdigest(), len(formatted)))
@@ -226,6 +263,11 @@ def _read(key, table):
 
 def read_back(nodes: DataFrame) -> DataFrame:
     """leaf, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of
-    every conversation, from the emitted sequences alone."""
-    return nodes.groupBy("block").applyInArrow(_read, "leaf binary, n_turns long, turns_sha256 string, "
-                                                      "loss_chars long, loss_sha256 string, formatted_chars long")
+    every conversation, from the emitted sequences alone. A block reads each
+    stem that its conversations begin with once. No nodes give no rows."""
+    columns = ("seq", "seq_start", "seq_end", "text", "ancestors", "stems", "loss_start", "loss_end")
+    begun = nodes.filter("leaf is not null").select("block", F.explode("stems").alias("seq")).distinct()
+    lent = begun.join(nodes.filter("shared").select(*columns), "seq").withColumn("leaf", F.lit(None).cast("binary"))
+    return (nodes.select("block", "leaf", *columns).unionByName(lent).groupBy("block")
+            .applyInArrow(_read, "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+                                 "formatted_chars long"))
