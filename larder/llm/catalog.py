@@ -101,6 +101,7 @@ _TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x
 def _canonical_sql(text: str) -> str:
     out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    out = f"regexp_replace({out}, '{licenses.ITEM_NUMBER}', '', 'g')"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return f"regexp_replace({out}, '{licenses.NOT_WORD}', ' ', 'g')"

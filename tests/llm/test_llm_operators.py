@@ -156,6 +156,37 @@ def test_leaks(spark, odd, none):
     assert decontam.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_registered_licence_query_finds_whole_texts_in_any_layout(spark, tmp_path):
+    import textwrap
+
+    import duckdb
+
+    from larder.llm import catalog
+    rows, want = [], {}
+    for i, (name, text) in enumerate(licenses.LICENSES):
+        for j, (width, mark, item) in enumerate(((60, "", None), (72, "# ", None), (79, " * ", "* "), (97, "// ", "- "), (10 ** 6, "", None))):
+            lines = ["Copyright (c) 2021 Some Body", "All rights reserved.", ""]
+            for part in text.split("\n"):
+                if item and part[:3] in ("1. ", "2. ", "3. "):
+                    part = item + part[3:]
+                lines.append(part)
+            # lines of one paragraph are joined, then broken anew
+            paragraphs = "\n".join(lines[3:]).replace("\n1. ", "\n\n1. ").replace("\n2. ", "\n\n2. ").replace("\n3. ", "\n\n3. ")
+            if not item:
+                lines[3:] = [x for part in paragraphs.split("\n\n") for x in textwrap.wrap(part, width, break_long_words=False,
+                                                                                          break_on_hyphens=False)]
+            rows.append((100 * i + j, "\n".join(mark + x for x in lines).replace("License", "Licence" if j % 2 else "License")))
+            want[100 * i + j] = name
+    rows += [(9000, licenses.LICENSES[0][1] + " but not quite"), (9001, licenses.LICENSES[0][1][:-60]), (9002, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.license_id for r in catalog.op2_license_scan(spark, str(tmp_path)).collect()}
+    assert got == want | {9000: None, 9001: None, 9002: None}
+    duckdb.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same = dict(duckdb.sql(f"SELECT doc_id, license_id FROM ({catalog.ORACLE['op2_license_scan']})").fetchall())
+    duckdb.sql("DROP VIEW documents")
+    assert same == got
+
+
 def test_prefix_trees_read_back(spark):
     texts = ["", "hi", "</s>[INST] ok [/INST]", "a\\[b<\\", " blanks ", "<<SYS>>", "\n", None]
     rows = [(c, t, ["system", "user", "assistant", "tool<x>", None][(c * 3 + t) % 5], texts[(c // 4 + t * t) % 8])
