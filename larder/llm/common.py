@@ -76,7 +76,9 @@ def rows_kept(documents: DataFrame, keep) -> DataFrame:
                 if good.any():
                     yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
-    return documents.mapInArrow(run, documents.schema)
+    # columns go by number there: Spark would read a name with dots or backticks as an expression
+    plain = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
