@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larder.llm import chat, decontam, hostrules, licenses, packing, quality, sharding, substrings, toxicity
 from larder.llm.common import read_table
@@ -369,6 +370,27 @@ def test_toxicity_cut_follows_the_class_mix_of_the_table(spark):
         assert share["zap"] > 0.9 and share["zip"] < 0.1 and share["plain"] < 0.1, (most, share)
 
 
+@pytest.mark.parametrize("most", [toxicity.MAX_BROADCAST, 0])  # labels broadcast and shuffled
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch, most):
+    """A word of toxic documents behind the first 3000 in hash order counts too."""
+    monkeypatch.setattr(toxicity, "MAX_BROADCAST", most)
+    monkeypatch.setattr(toxicity, "DOCS_PER_WORKER", 3000)  # several tasks train
+    ids = spark.range(9600).withColumn("h", F.xxhash64("id")).withColumn("held", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2)
+    order = {held: [r.id for r in ids.filter(F.col("held") == held).orderBy("h").collect()] for held in (False, True)}
+    toxic = {i: "zip" if at < 3000 else "zap" for at, i in enumerate(i for i in order[False] if i % 5)}
+    toxic |= {i: "zap" for i in order[True] if i % 5}
+    rng = np.random.default_rng(11)
+    noise = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    rows = [(i, f"{toxic.get(i, 'plain')} " + " ".join(rng.choice(noise, 4)), int(i in toxic)) for i in range(9600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    kept = toxicity.learnable_rows(docs, docs, toxicity._function_table())
+    assert kept.count() == len(order[False])
+    counted = toxicity.logit_counts(kept.filter("unseen"), [toxicity.net_of(toxicity.first_weights(np.ones(toxicity.SLOTS + 1)))])
+    assert counted[0][3].sum() == kept.filter("unseen").count()
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, docs).filter("held_out").collect()}
+    assert np.mean([got[i] == int(i in toxic) for i in got]) > 0.95
+
+
 def test_weighted_logistic_equals_repeated_rows():
     rng = np.random.default_rng(7)
     e, y, times = rng.normal(size=80), rng.integers(0, 2, 80), np.array([2, 7])
