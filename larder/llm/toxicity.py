@@ -204,7 +204,7 @@ def drawn_cut(logits, y, weight, towards: float) -> float:
     """The best threshold of these documents, drawn towards another as if that
     rested on ``PRIOR_DOCS`` more documents of the rarer class: a language's
     towards that of all, and that towards the log odds of the class mix."""
-    n = int(min(y.sum(), (1 - y).sum()))
+    n = int(min((weight * y).sum(), (weight * (1 - y)).sum()))
     own = best_threshold(logits, y, weight) if n else towards
     return (n * own + PRIOR_DOCS * towards) / (n + PRIOR_DOCS)
 

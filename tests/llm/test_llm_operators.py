@@ -355,6 +355,12 @@ def test_weighted_threshold_equals_repeated_rows():
             np.repeat(logits, many), np.repeat(y, many), np.ones(many.sum())))
 
 
+def test_drawn_cut_of_counted_logits_equals_that_of_single_documents():
+    logits, y, times = np.array([2.0, 1.0, 0.0, -1.0]), np.array([1, 0, 1, 0]), np.array([40, 3, 2, 50])
+    one_by_one = toxicity.drawn_cut(np.repeat(logits, times), np.repeat(y, times), np.ones(times.sum()), 9.0)
+    assert np.isclose(toxicity.drawn_cut(logits, y, times.astype(float), 9.0), one_by_one)
+
+
 def test_toxicity_cut_follows_the_class_mix_of_the_table(spark):
     """One tenth toxic: of these half say zap; zip is as likely toxic as 1 in 6."""
     rng = np.random.default_rng(6)
