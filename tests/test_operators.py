@@ -350,3 +350,28 @@ def test_alert_envelope_classes(spark):
     assert got["e6"].message_id == "outer"           # outer attributes preferred (D12)
     assert got["e5"].message_id == "inner"
     assert got["e6"].text == "Shipment S: Elevated Temp 9.5°C - No message"
+
+
+def test_prices_are_shuffled_once_for_a_day_and_lines_once_for_their_region(spark):
+    """Prices arrive dealt by product and day, nations and regions are broadcast."""
+    from conftest import SF_SMALL
+    from larder.sources.fixtures import Fixtures
+    fx = Fixtures(spark, SF_SMALL)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    prices = plan(fx.market_prices)
+    assert prices.count("Exchange hashpartitioning") == 5 and "l_partkey" not in [
+        part.split(",")[0].split("#")[0] for part in prices.split("hashpartitioning(")[1:]]
+    assert plan(market._one_price_per_day(fx.market_prices)).count("Exchange hashpartitioning") == 5
+
+
+def test_orders_keep_all_items_of_good_requests_only(spark):
+    """Items of one request under two customers; one bad item rejects both heads, a null id none."""
+    day = dt.date(1998, 1, 2)
+    rows = [("a", "1", day, 1, "p", "2"), ("a", "2", day, 2, "p", "x"), ("b", "1", day, 1, "p", "3"),
+            ("b", "1", day, 2, "p", "4"), (None, "1", day, 1, "p", "5"), (None, "1", day, 2, "p", "x")]
+    items = spark.createDataFrame(rows, "request_id string, customer_id string, order_date date, pos int, product_id string, quantity_text string")
+    prices = spark.createDataFrame([("r", "p", "EU", dt.date(1998, 1, 1), 1.5)],
+                                   "price_record_id string, product_id string, region string, market_date date, average_market_price_per_kg double")
+    cust = spark.createDataFrame([("1", "here")], "customer_id string, shipping_address string")
+    orders = market.purchase_orders(items, cust, prices)[0]
+    assert sorted((r.request_id or "", r.total_amount) for r in orders.collect()) == [("", 7.5), ("b", 10.5)]
