@@ -145,3 +145,12 @@ def test_first_bad_item_and_broken_bodies(place):
         "not an object": ("missing_fields", None), "no JSON": ("missing_fields", None), "early": ("no_price", 0)}
     assert rejects["nothing"].error_message == "Missing required fields in body: customer_id, items"
     assert rejects["null product"].error_message.startswith("No market price found for product None on")
+
+
+def test_the_filter_cuts_as_well_for_very_many_requests(spark):
+    """A million requests once set most of the filter's bits, so facts that nobody asks for passed."""
+    req = spark.range(1_000_000).selectExpr("concat('q', id) as k")
+    facts = spark.range(200_000).selectExpr("concat(if(id < 1000, 'q', 'f'), id) as k")
+    got = requested(facts, req, ["k"])
+    assert got.filter("k like 'q%'").count() == 1000
+    assert got.filter("k like 'f%'").count() < 20_000
