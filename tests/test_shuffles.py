@@ -57,3 +57,26 @@ def test_items_without_request_id_stay_as_they_are(spark):
     cust = spark.createDataFrame([("c", "a")], "customer_id string, shipping_address string")
     lines = market.purchase_orders(items, cust, _prices(spark, [("p", D(2024, 1, 1), 1.0)]))[1]
     assert sorted((r.request_id or "", r.ordered_quantity_kg or 0) for r in lines.collect()) == [("", 0), ("", 2), ("q", 3)]
+
+
+def test_offsets_are_counted_before_the_shuffle(spark, tmp_path):
+    from larder.operators.window import row_number_bucketed, running_sum
+    n = 6000
+    spark.range(n).selectExpr("case when id % 100 = 99 then null else id % 3 end as k", "id % 60 div 20 as b",
+                              "id * 7919 % 6000 as o", "id div 3 as seq").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    numbered = row_number_bucketed(df, ["k"], "b", ["o"], "rn")
+    assert shuffled_rows(numbered) < 1.1 * n
+    # the numbers that nobody reads cost nothing, and rows without a key still get none
+    assert shuffled_rows(numbered.select("k").distinct()) < 10
+    rows = sorted((r for r in df.collect() if r.k is not None), key=lambda r: (r.k, r.b, r.o))
+    want, last = {}, {}
+    for r in rows:
+        last[r.k] = last.get(r.k, 0) + 1
+        want[r.k, r.o] = last[r.k]
+    assert {(r.k, r.o): r.rn for r in numbered.collect()} == want and numbered.count() == len(want)
+    keyed = df.filter("k is not null")
+    summed = running_sum(keyed, ["k"], "seq", "o", "s", chunk=400)
+    assert shuffled_rows(summed) < 1.1 * n
+    plain = keyed.selectExpr("k", "seq", "sum(o) over (partition by k order by seq) as s")
+    assert summed.select("k", "seq", "s").exceptAll(plain).count() == 0 and summed.count() == plain.count()
