@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larder.functions.bands import band_message, temperature_band
 from larder.functions.ids import stable_id
 from larder.functions.parse import parse_float, parse_iso_timestamp
-from larder.operators.common import (expand_optional, normalise_optional, pattern_keys,
+from larder.operators.common import (ANY_KEY, expand_optional, normalise_optional, pattern_keys,
                                      requested, topk)
 from larder.operators.validate import missing_fields, required_message
 from larder.sources.requests import value_or_default
@@ -132,10 +132,13 @@ def warehouse_stock(req: DataFrame, stock: DataFrame, as_of, k: int = 20) -> Dat
                                              F.date_add(_date(as_of), NEAR_EXPIRY_DAYS))
     # every stock row answers "all rows" requests; rows expiring soon also
     # answer nearing-expiry requests; each of those with and without product
-    s = requested(stock.select("location_id", *STOCK_COLS), req, ["location_id"]).withColumn(
+    s = stock.select("location_id", *STOCK_COLS).withColumn(
         "near", F.explode(F.when(in_window, F.array(F.lit(False), F.lit(True)))
                           .otherwise(F.array(F.lit(False)))))
-    s = expand_optional(s, ["product_id"])
+    # cut to the kinds of request a location gets: far fewer keys than products, so the filter holds at any size
+    kind = ["location_id", "status", "near", "_given"]
+    s = requested(expand_optional(s, ["product_id"]).withColumn("_given", F.col("_p_product_id") != ANY_KEY),
+                  req.withColumn("_given", F.col("product_id").isNotNull()), kind).drop("_given")
     keys = ["location_id", "status", "near", "_p_product_id"]
     top = topk(s, keys, order, k)
     r = pattern_keys(req, ["product_id"]).select("request_id", *keys)

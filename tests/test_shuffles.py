@@ -80,3 +80,25 @@ def test_offsets_are_counted_before_the_shuffle(spark, tmp_path):
     assert shuffled_rows(summed) < 1.1 * n
     plain = keyed.selectExpr("k", "seq", "sum(o) over (partition by k order by seq) as s")
     assert summed.select("k", "seq", "s").exceptAll(plain).count() == 0 and summed.count() == plain.count()
+
+
+def test_stock_that_no_location_asks_for_is_not_dealt(spark, tmp_path):
+    from larder.operators import logistics
+    n = 5000
+    spark.range(n).selectExpr(
+        "concat('s', id) as stock_id", "concat('p', id % 900) as product_id", "concat('l', id % 5) as location_id",
+        "id as current_quantity_kg", "date'1998-01-01' as entry_date", "date'1998-01-01' as best_before_date",
+        "date_add(date'1998-06-01', cast(id % 30 as int)) as expiry_date", "'F' as storage_conditions",
+        "case when id % 10 = 0 then 'Available' else 'Expired' end as status").write.parquet(f"{tmp_path}/s")
+    stock = spark.read.parquet(f"{tmp_path}/s")
+    req = spark.createDataFrame([("own", "l0", "p10", None, False), ("any", "l0", "", "Expired", False),
+                                 ("soon", "l0", None, None, True), ("none", "l0", "p1", "Expired", False)],
+                                "request_id string, location_id string, product_id string, status string, nearing_expiry boolean")
+    out = logistics.warehouse_stock(req.filter("request_id <> 'none'"), stock, "1998-06-15")
+    assert shuffled_rows(out) < n / 5
+    rows = {}
+    for r in logistics.warehouse_stock(req, stock, "1998-06-15").collect():
+        rows.setdefault(r.request_id, []).append(int(r.stock_id[1:]))
+    assert "none" not in rows and all(i % 5 == 0 and i % 10 for i in rows["any"]) and len(rows["any"]) == 20
+    assert rows["own"] and all(i % 900 == 10 and i % 10 == 0 for i in rows["own"])
+    assert rows["soon"] and all(i % 10 == 0 and 14 <= i % 30 <= 21 for i in rows["soon"])
