@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from larder.operators import market
 from larder.plans.explain import shuffled_rows
 
@@ -75,6 +77,8 @@ def test_offsets_are_counted_before_the_shuffle(spark, tmp_path):
         last[r.k] = last.get(r.k, 0) + 1
         want[r.k, r.o] = last[r.k]
     assert {(r.k, r.o): r.rn for r in numbered.collect()} == want and numbered.count() == len(want)
+    none = row_number_bucketed(df.withColumn("b", F.nullif("b", F.lit(0))), ["k"], "b", ["o"], "rn").collect()
+    assert {(r.k, r.o): r.rn for r in none} == {(r.k, r.o): want[r.k, r.o] for r in rows if r.b}
     keyed = df.filter("k is not null")
     summed = running_sum(keyed, ["k"], "seq", "o", "s", chunk=400)
     assert shuffled_rows(summed) < 1.1 * n
