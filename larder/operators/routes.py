@@ -10,7 +10,7 @@ not carry embedded 'Lat: .., Lon: ..' coordinates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.parse import coordinates, duration_seconds
@@ -185,28 +185,40 @@ def route_stops(routes: DataFrame, legs: DataFrame, dest: DataFrame, orders: Dat
     numbers are two-level, so a huge route never sits in one task.
 
     A request has a first valid destination exactly where it lists one, so
-    the origin is emitted next to it and destinations are found only once."""
-    found = order_destinations(dest, orders, customers, order_items, geocodes)
-    ends = row_number_bucketed(
-        found.withColumn("_block", F.floor(F.col("position") / DEFAULT_CHUNK)), ["request_id"],
-        "_block", ["position", "order_id", "address"], "leg_seq")
-    mine = requested(legs.select("route_id", "leg_seq", "duration_text", "distance_m"), routes, ["route_id"])
-    timed = running_sum(mine.withColumn("sec", F.coalesce(duration_seconds("duration_text"), F.lit(0))),
-                        ["route_id"], "leg_seq", "sec", "cum_sec")
+    the origin is emitted next to it and destinations are found only once.
+    Orders and legs that only requests without a located origin name are cut
+    in their scans. Stops and legs meet where the legs were summed."""
     located = origin_coordinates(routes.select("request_id", F.col("origin_location_id").alias("location_id")),
                                  farms, warehouses, geocodes).filter("status = 'success'")
-    ok = (routes.filter(present("origin_location_id").isNotNull())
-          .join(located.select("request_id"), "request_id", "left_semi")
-          .join(mine.select("route_id").distinct(), "route_id", "left_semi")
-          .select("request_id", "route_id", "origin_location_id", "departure_time"))
+    asked = (routes.filter(present("origin_location_id").isNotNull())
+             .join(located.select("request_id"), "request_id", "left_semi")
+             .select("request_id", "route_id", "origin_location_id", "departure_time"))
+    listed = requested(dest.filter(F.col("request_id").isNotNull()), asked, ["request_id"])
+    found = order_destinations(listed, orders, customers, order_items, geocodes)
+    mine = requested(legs.select("route_id", "leg_seq", "duration_text", "distance_m"), asked, ["route_id"])
+    ok = asked.join(mine.select("route_id").distinct(), "route_id", "left_semi")
+    # orders without a position come first and give no stop; they stay until all are numbered, so that numbers and
+    # counts are made of the same rows, found once
+    block = F.coalesce(F.floor(F.col("position") / DEFAULT_CHUNK), F.lit(-1))
+    ends = row_number_bucketed(found.withColumn("_block", block), ["request_id"], "_block",
+                               ["position", "order_id", "address"], "leg_seq", of_key=ok).filter(F.col("position").isNotNull())
     zero = F.lit(0).cast("bigint")
     numbers = F.when(F.col("leg_seq") == 1, F.array(zero, zero + 1)).otherwise(F.array(F.col("leg_seq").cast("bigint")))
-    stop = (ends.join(ok, "request_id").withColumn("stop", F.explode(numbers))
-            .withColumn("leg_seq", F.col("stop")))
+    stop = (ends.withColumn("stop", F.explode(numbers))
+            .select("request_id", "route_id", F.col("stop").alias("leg_seq"), "departure_time",
+                    F.when(F.col("stop") == 0, F.col("origin_location_id")).alias("origin_location_id"),
+                    *[F.when(F.col("stop") != 0, F.col(c)).alias(c) for c in ("order_id", "address", "total_kg")]))
+    # stops stand beside their legs, dealt once: each looks up the legs of its number
+    timed = running_sum(mine, ["route_id"], "leg_seq", duration_seconds("duration_text"), "cum_sec",
+                        beside=stop.withColumn("_stop", F.lit(True)))
+    leg = F.when(F.col("_stop").isNull(), F.struct("duration_text", "distance_m", "cum_sec"))
+    legs_of = F.collect_list(leg).over(Window.partitionBy("route_id", "_chunk", "leg_seq"))
     origin = F.col("stop") == 0
     at = F.when(origin, F.lit(0)).otherwise(F.col("cum_sec"))
-    return (stop.join(timed.withColumn("_leg", F.lit(True)), ["route_id", "leg_seq"], "left")
-            .filter(origin | F.col("_leg"))
+    return (timed.withColumn("_legs", legs_of).filter("_stop")
+            .select("request_id", F.col("leg_seq").alias("stop"), "departure_time", "origin_location_id", "order_id",
+                    "address", "total_kg", F.inline_outer("_legs"))
+            .filter(origin | F.col("cum_sec").isNotNull())
             .select("request_id", F.col("stop").alias("stop_number"),
                     F.when(origin, F.col("origin_location_id")).alias("location_id"),
                     F.when(~origin, F.col("order_id")).alias("destination_id"),

@@ -106,3 +106,56 @@ def test_stock_that_no_location_asks_for_is_not_dealt(spark, tmp_path):
     assert "none" not in rows and all(i % 5 == 0 and i % 10 for i in rows["any"]) and len(rows["any"]) == 20
     assert rows["own"] and all(i % 900 == 10 and i % 10 == 0 for i in rows["own"])
     assert rows["soon"] and all(i % 10 == 0 and 14 <= i % 30 <= 21 for i in rows["soon"])
+
+
+def test_stops_are_found_once_and_dealt_with_their_legs(spark, tmp_path):
+    from larder.operators import routes
+    n = 6000  # 20 routes of 300 legs; every second request has no located origin, every third order no coordinates
+    spark.range(n).selectExpr("concat('r', id % 20) as route_id", "id div 20 + 1 as leg_seq", "concat(id % 50, 's') as duration_text",
+                              "id as distance_m").write.parquet(f"{tmp_path}/legs")
+    spark.range(n).selectExpr("concat('q', id % 20) as request_id", "id div 20 as pos", "concat('o', id) as order_id").write.parquet(f"{tmp_path}/dest")
+    spark.range(n).selectExpr("concat('o', id) as order_id", "'c' as customer_id",
+                              "if(id % 3 = 0, null, 'Lat: 1, Lon: 2') as delivery_address").write.parquet(f"{tmp_path}/orders")
+    legs, dest, orders = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("legs", "dest", "orders"))
+    req = spark.range(20).selectExpr("concat('q', id) as request_id", "concat('r', id) as route_id", "if(id % 2 = 0, 'F', 'G') as origin_location_id",
+                                     "timestamp_ntz'2024-01-01 08:00:00' as departure_time")
+    farms = spark.createDataFrame([("F", "Lat: 1.5, Lon: 2.5")], "farm_id string, farm_location string")
+    wh = spark.createDataFrame([], "warehouse_id string, location_address string")
+    cust, items = spark.createDataFrame([("c",)], "customer_id string"), spark.createDataFrame(
+        [("o4", 3), ("o4", 4)], "order_id string, ordered_quantity_kg long")
+    out = routes.route_stops(req, legs, dest, orders, cust, items, farms, wh)
+    # half the listed orders by (request, order), by order and, where they have coordinates, by request and with their
+    # legs; half the legs once; all orders by customer and, twice, by order
+    assert shuffled_rows(out) < 5.5 * n
+    got = {(r.request_id, r.stop_number): r for r in out.collect()}
+    for q in range(0, 20, 2):
+        left = [i for i in range(q, n, 20) if i % 3]
+        assert got[f"q{q}", 0].location_id == "F" and (f"q{q}", len(left) + 1) not in got
+        at = dt.datetime(2024, 1, 1, 8)
+        for k, order in enumerate(left, 1):
+            leg = q + 20 * (k - 1)
+            at += dt.timedelta(seconds=leg % 50)
+            r = got[f"q{q}", k]
+            assert (r.destination_id, r.estimated_arrival_time, r.estimated_distance_from_previous_stop_meters) == (f"o{order}", at, leg)
+            assert r.total_kg_for_stop == (7 if order == 4 else 0)
+    assert len(got) == out.count() == 10 + sum(1 for i in range(n) if i % 3 and i % 2 == 0)
+
+
+def test_repeated_legs_and_orders_without_a_position(spark):
+    from larder.operators import routes
+    legs = spark.createDataFrame([("r", 1, "5s", 1), ("r", 2, "7s", 2), ("r", 2, "7s", 2), ("r", 3, "9s", 3), (None, 1, "1s", 1)],
+                                 "route_id string, leg_seq int, duration_text string, distance_m long")
+    dest = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("n", None, "a"), ("n", 1, "b"), (None, 1, "b")],
+                                 "request_id string, pos long, order_id string")
+    orders = spark.createDataFrame([(o, "c", "Lat: 1, Lon: 2") for o in "ab"], "order_id string, customer_id string, delivery_address string")
+    req = spark.createDataFrame([("q", "r", "F"), ("n", "r", "F"), (None, "r", "F")], "request_id string, route_id string, origin_location_id string") \
+        .selectExpr("*", "timestamp_ntz'2024-01-01 08:00:00' as departure_time")
+    farms = spark.createDataFrame([("F", "Lat: 1.5, Lon: 2.5")], "farm_id string, farm_location string")
+    wh = spark.createDataFrame([], "warehouse_id string, location_address string")
+    cust, items = spark.createDataFrame([("c",)], "customer_id string"), spark.createDataFrame(
+        [("a", 3)], "order_id string, ordered_quantity_kg long")
+    got = routes.route_stops(req, legs, dest, orders, cust, items, farms, wh).collect()
+    # a leg given twice ends two stops, as a join of stops and legs says; an order without a position counts, but is no stop
+    assert sorted((r.request_id, r.stop_number, r.destination_id or "") for r in got) == [
+        ("n", 2, "b"), ("n", 2, "b"), ("q", 0, ""), ("q", 1, "a"), ("q", 2, "b"), ("q", 2, "b")]
+    assert {r.estimated_arrival_time.second for r in got if r.stop_number == 2} == {12, 19}
