@@ -159,3 +159,25 @@ def test_repeated_legs_and_orders_without_a_position(spark):
     assert sorted((r.request_id, r.stop_number, r.destination_id or "") for r in got) == [
         ("n", 2, "b"), ("n", 2, "b"), ("q", 0, ""), ("q", 1, "a"), ("q", 2, "b"), ("q", 2, "b")]
     assert {r.estimated_arrival_time.second for r in got if r.stop_number == 2} == {12, 19}
+
+
+def test_stored_items_are_dealt_by_order_once(spark, tmp_path):
+    from larder.sources import sinks
+    n, setting = 4000, spark.conf.get(sinks._DROP_SHUFFLES, None)
+    items = [(f"o{i // 4}" if i % 500 else None, "c" if i % 300 else "x", D(2024, 1, 1) + dt.timedelta(days=i % 9), i % 4, f"p{i % 50}",
+              "x" if i % 40 == 0 else "2") for i in range(n)]
+    spark.createDataFrame(items, ITEM).write.parquet(f"{tmp_path}/i")
+    _prices(spark, [(f"p{i}", D(2023, 12, 1), 1.5) for i in range(50)]).write.parquet(f"{tmp_path}/p")
+    args = (spark.read.parquet(f"{tmp_path}/i"), spark.createDataFrame([("c", "a")], "customer_id string, shipping_address string"),
+            spark.read.parquet(f"{tmp_path}/p"))
+    held = market.purchase_orders(*args, store=lambda df: sinks.stored(df, f"{tmp_path}/priced"))
+    for got, want in zip(held, market.purchase_orders(*args)):
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    orders, lines, _ = held
+    # an order has four lines of four days, and so four heads; a tenth of the orders is rejected
+    assert shuffled_rows(lines) == 0 and shuffled_rows(orders) < 2.2 * n
+    sinks.place_orders(*held, f"{tmp_path}/t", "b1")
+    kept = sinks.read_committed(spark, f"{tmp_path}/t", "order_items")
+    # a mark of a batch is all that is sent around, and no batch meets in one task
+    assert shuffled_rows(kept) < 10 and kept.count() == lines.count()
+    assert spark.conf.get(sinks._DROP_SHUFFLES, None) == setting
