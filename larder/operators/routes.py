@@ -186,15 +186,14 @@ def route_stops(routes: DataFrame, legs: DataFrame, dest: DataFrame, orders: Dat
 
     A request has a first valid destination exactly where it lists one, so
     the origin is emitted next to it and destinations are found only once.
-    Orders and legs that only requests without a located origin name are cut
-    in their scans. Stops and legs meet where the legs were summed."""
+    Legs that only requests without a located origin name are cut in their
+    scan. Stops and legs meet where the legs were summed."""
     located = origin_coordinates(routes.select("request_id", F.col("origin_location_id").alias("location_id")),
                                  farms, warehouses, geocodes).filter("status = 'success'")
     asked = (routes.filter(present("origin_location_id").isNotNull())
              .join(located.select("request_id"), "request_id", "left_semi")
              .select("request_id", "route_id", "origin_location_id", "departure_time"))
-    listed = requested(dest.filter(F.col("request_id").isNotNull()), asked, ["request_id"])
-    found = order_destinations(listed, orders, customers, order_items, geocodes)
+    found = order_destinations(dest.filter(F.col("request_id").isNotNull()), orders, customers, order_items, geocodes)
     mine = requested(legs.select("route_id", "leg_seq", "duration_text", "distance_m"), asked, ["route_id"])
     ok = asked.join(mine.select("route_id").distinct(), "route_id", "left_semi")
     # orders without a position come first and give no stop; they stay until all are numbered, so that numbers and
