@@ -124,8 +124,8 @@ def test_stops_are_found_once_and_dealt_with_their_legs(spark, tmp_path):
     cust, items = spark.createDataFrame([("c",)], "customer_id string"), spark.createDataFrame(
         [("o4", 3), ("o4", 4)], "order_id string, ordered_quantity_kg long")
     out = routes.route_stops(req, legs, dest, orders, cust, items, farms, wh)
-    # half the listed orders by (request, order), by order and, where they have coordinates, by request and with their
-    # legs; half the legs once; all orders by customer and, twice, by order
+    # listed orders by (request, order) and by order and, where they have coordinates, by request; stops and half the
+    # legs, once; orders on the way to their customers
     assert shuffled_rows(out) < 5.5 * n
     got = {(r.request_id, r.stop_number): r for r in out.collect()}
     for q in range(0, 20, 2):
